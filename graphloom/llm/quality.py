@@ -214,19 +214,39 @@ def judge(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLAS
     its words in repeated 3-word windows. Repeated rows get a row each. Without a usable model (too few labels) quality
     is null and the base rule decides. Extra columns are ignored. An empty table gives no rows.
     """
-    model = fit(documents, labels, sample, min_words)
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most len(FAMILIES) * BUCKETS weights
+    verdict = _judge(documents, labels, sample, keep_from, min_words)
     names = [f.name for f in SCHEMA.fields]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            found = measures(texts)
-            failed = base_failed(found, min_words)
-            quality = shared.value.probabilities(texts) if shared.value else np.full(len(texts), np.nan)
-            kept = ~failed & ~(quality < keep_from)
+            found, failed, kept, quality = verdict(batch.column("text").to_pylist())
             arrays = [batch.column("doc_id"), *(pa.array(found[c].astype(np.int64)) for c in names[1:6]), pa.array(failed), pa.array(kept), pa.array(quality, mask=np.isnan(quality))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
     rows = narrow(documents, doc_id="doc_id", text="text").select("doc_id", text_bytes().alias("text"))
     return rows.mapInArrow(scored, SCHEMA)
+
+
+def _judge(documents: DataFrame, labels: DataFrame, sample: int, keep_from: float, min_words: int):
+    """A function for tasks: (counts, base verdicts, final verdicts, qualities) of a list of texts."""
+    model = fit(documents, labels, sample, min_words)
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most len(FAMILIES) * BUCKETS weights
+
+    def verdict(texts: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        found = measures(texts)
+        failed = base_failed(found, min_words)
+        quality = shared.value.probabilities(texts) if shared.value else np.full(len(texts), np.nan)
+        return found, failed, ~failed & ~(quality < keep_from), quality
+
+    return verdict
+
+
+def passed(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, keep_from: float = KEEP_FROM, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents, with all their columns, that `judge` keeps; each row is judged by its own text."""
+    verdict = _judge(documents, labels, sample, keep_from, min_words)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            yield batch.filter(pa.array(verdict([(t or "").encode() for t in batch.column("text").to_pylist()])[2]))
+
+    return documents.mapInArrow(kept, documents.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at one time.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:

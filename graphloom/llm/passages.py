@@ -1,11 +1,15 @@
-"""What both operators on repeated passages need: exact copies set aside, words of stretches, and results by document.
+"""What both operators on repeated passages need: exact copies, runs of equal words, and results by document.
 
 A passage is given by word positions in its document. Both operators look only among different texts: of equal texts
 the least doc_id stands for all, and each other copy is reported as one passage, the whole text.
+
+Texts are never shuffled but for the documents that take part in a match. Which these are is told to the scan by a
+bitmap of fixed size: it may let some others pass, which the join then drops, and none of those wanted is held back.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,63 +17,136 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, text_bytes, written
-from .words import Words
+from .common import chunks, narrow, partitions, runs, text_bytes, written
+from .words import U, Words, window_minima
 
 MIN_WORDS = 50
+#: Words of a seed, and seeds from which the least is an anchor: every run of ANCHORED + GRAM - 1 words holds one.
+GRAM = 8
+ANCHORED = 24
+LEAST_MIN_WORDS = ANCHORED + GRAM - 1
+#: Bits of the bitmap of documents, a prime.
+BITMAP = (1 << 24) - 3
 RESULT = "doc_id long, start_word long, n_words long, source_doc_id long, source_start_word long, n_equal long"
 
 
-def classes(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, copies): the least doc_id of each different text with its text, and (doc_id, source_doc_id) of the rest."""
-    rows = narrow(documents, doc_id="doc_id", text="text").filter("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text"))
-    keys = written(rows.select("doc_id", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2"), F.length("text").alias("k3")))
-    least = keys.groupBy("k1", "k2", "k3").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").alias("n"))
-    several = written(least.filter("n > 1"))
-    copies = written(keys.join(several, ["k1", "k2", "k3"]).filter("doc_id > source_doc_id").select("doc_id", "source_doc_id").distinct())
-    texts = rows.join(copies.select("doc_id"), "doc_id", "left_anti")
-    return texts, copies
+def rows_of(documents: DataFrame) -> DataFrame:
+    """doc_id and text of the documents that have an id."""
+    return narrow(documents, doc_id="doc_id", text="text").filter("doc_id IS NOT NULL").select("doc_id", text_bytes().alias("text"))
 
 
-def copied(copies: DataFrame, documents: DataFrame, min_words: int) -> DataFrame:
-    """The copies of at least min_words words as passages."""
+def copies_of(documents: DataFrame) -> DataFrame:
+    """(doc_id, source_doc_id, n_words) of every document whose text a lesser source_doc_id has: the least that has it."""
 
-    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            n = np.array([len(t.split()) for t in batch.column("text").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("source_doc_id"), pa.array(n)], ["source_doc_id", "n_words"])
+            texts = batch.column("text").to_pylist()
+            keys = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(t.split()) for t in texts], pa.int64())], ["doc_id", "text_key", "n_words"])
+
+    keys = written(rows_of(documents).mapInArrow(keyed, "doc_id long, text_key binary, n_words long"))
+    least = keys.groupBy("text_key").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").alias("rows")).filter("rows > 1")
+    return written(keys.join(least, "text_key").filter("doc_id > source_doc_id").select("doc_id", "source_doc_id", "n_words").distinct())
 
-    heads = copies.select("source_doc_id").distinct()
-    rows = narrow(documents, source_doc_id="doc_id", text="text").select("source_doc_id", text_bytes().alias("text")).join(heads, "source_doc_id", "left_semi")
-    sizes = rows.mapInArrow(sized, "source_doc_id long, n_words long").groupBy("source_doc_id").agg(F.max("n_words").alias("n_words")).filter(F.col("n_words") >= min_words)
+
+def copied(copies: DataFrame, min_words: int) -> DataFrame:
+    """The copies of at least min_words words as passages."""
     zero = F.lit(0).cast("long")
-    return copies.join(sizes, "source_doc_id").select("doc_id", zero.alias("start_word"), "n_words", "source_doc_id", zero.alias("source_start_word"), F.col("n_words").alias("n_equal"))
+    return copies.filter(F.col("n_words") >= min_words).select("doc_id", zero.alias("start_word"), "n_words", "source_doc_id", zero.alias("source_start_word"), F.col("n_words").alias("n_equal"))
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """A bit for each remainder of the ids: at most BITMAP / 64 rows come to the driver, whatever their number."""
+    bits = ids.select(F.pmod(F.col("doc_id"), F.lit(BITMAP)).alias("bit")).selectExpr("CAST(bit DIV 64 AS INT) AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bits")
+    rows = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BITMAP // 64 + 1, np.int64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(U)
+
+
+def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the documents among ids, and of some others."""
+    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
+    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = np.mod(batch.column("doc_id").to_numpy(), BITMAP)
+            yield batch.filter(pa.array((shared.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)).cast(pa.bool_()))
 
-def word_lists(texts: DataFrame) -> DataFrame:
-    """(doc_id, words): each text's words as 4-byte hashes."""
+    return rows_of(documents).mapInArrow(among, "doc_id long, text binary")
+
+
+def _windows(min_words: int):
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every run of min_words words that belongs to one of its document's places: that of the least seed among the
+        run's first ones, which is the same wherever the run stands."""
+        for batch in chunks(batches, "text"):
+            words = Words(batch.column("text").to_pylist())
+            seeds, at = words.grams(GRAM)
+            cut = np.searchsorted(at, words.first)
+            run, doc, place = [], [], []
+            for i, (d, places) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                n = int(words.counts[i]) - min_words + 1
+                if n <= 0:
+                    continue
+                anchors = window_minima(seeds[cut[i] : cut[i + 1]], ANCHORED)[:n]
+                starts = np.flatnonzero(np.isin(anchors, np.array(places)))
+                run.append(words.run_hashes(starts + words.first[i], min_words))
+                place.append(starts.astype(np.int32))
+                doc.append(np.full(len(starts), d, np.int64))
+            if run:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(run).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(place))], ["run", "doc_id", "place"])
+
+    return windows
+
+
+def equal_runs(documents: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """(a, a_place, b, b_place): every run of min_words words at one of the places (doc_id, place) of a document a, with
+    the first place in the least document b < a that has the run, too. Places are where seeds of GRAM words begin."""
+    by_document = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    runs_ = written(texts_of(documents, places).join(by_document, "doc_id").mapInArrow(_windows(min_words), "run long, doc_id long, place int"))
+    ends = runs_.groupBy("run").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").drop("last")
+    met = runs_.join(ends, "run")
+    heads = met.filter("doc_id = b").groupBy("run").agg(F.min("place").alias("b_place"))
+    return met.filter("doc_id > b").join(heads, "run").selectExpr("doc_id AS a", "place AS a_place", "b", "b_place")
+
+
+def joined_runs(links: DataFrame, min_words: int) -> DataFrame:
+    """The passages that runs on one diagonal of two documents make, each as long as its runs follow one another."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["a", "b"]):
+            a, b, x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "a_place", "b_place"))
+            order = np.lexsort((x, x - y, b, a))
+            a, b, x, y = a[order], b[order], x[order], y[order]
+            new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(x - y) != 0) | (np.diff(x) > min_words)])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:] - 1, [len(a) - 1]])
+            n = x[last] - x[first] + min_words
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[first], x[first], n, b[first], y[first], n)], RESULT.replace(",", "").split()[0::2])
+
+    n = partitions(links.sparkSession)
+    return links.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(join, RESULT)
+
+
+def with_stretches(found: DataFrame, documents: DataFrame, margin: int) -> DataFrame:
+    """For each row of found (a, a_from, a_to, b, b_from, b_to, parts) two rows (a, b, a_from, b_from, side, stretch_low,
+    stretch, parts), one after the other: the words of either document as 4-byte hashes, `margin` words wider at each end."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             words = Words(batch.column("text").to_pylist())
             short = words.hashes.astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([short[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([short[i:j].tobytes() for i, j in zip(words.first[:-1], words.first[1:], strict=True)], pa.binary())], ["doc_id", "words"])
 
-    return texts.mapInArrow(hashed, "doc_id long, words binary")
-
-
-def with_stretches(found: DataFrame, texts: DataFrame, margin: int) -> DataFrame:
-    """found (a, a_from, a_to, b, b_from, b_to, ...) with the words of both stretches, `margin` words wider at each end.
-
-    Adds a_low, a_words, b_low, b_words. Word lists are made only for documents in a pair, and only stretches travel.
-    """
-    wanted = found.select(F.col("a").alias("doc_id")).unionByName(found.select(F.col("b").alias("doc_id"))).distinct()
-    lists = written(word_lists(texts.join(wanted, "doc_id", "left_semi")))
-    for side in ("a", "b"):
-        low = F.greatest(F.col(f"{side}_from") - margin, F.lit(0))
-        cut = F.substring("words", (low * 4 + 1).cast("int"), ((F.col(f"{side}_to") + margin - low) * 4).cast("int"))
-        found = found.join(lists.withColumnRenamed("doc_id", side), side).withColumn(f"{side}_low", low).withColumn(f"{side}_words", cut).drop("words")
-    return found
+    key = ["a", "b", "a_from", "b_from"]
+    sides = [found.select(*key, F.lit(k).alias("side"), F.col(s).alias("doc_id"), F.col(f"{s}_from").alias("low"), F.col(f"{s}_to").alias("high"), F.col("parts") if not k else F.lit(None).cast("binary").alias("parts")) for k, s in enumerate("ab")]
+    needs = sides[0].unionByName(sides[1])
+    lists = texts_of(documents, needs.select("doc_id")).mapInArrow(hashed, "doc_id long, words binary")
+    low = F.greatest(F.col("low") - margin, F.lit(0))
+    stretch = F.substring("words", (low * 4 + 1).cast("int"), ((F.col("high") + margin - low) * 4).cast("int"))
+    cut = needs.join(lists, "doc_id").select(*key, "side", low.alias("stretch_low"), stretch.alias("stretch"), "parts")
+    return cut.repartition(partitions(documents.sparkSession), *key).sortWithinPartitions(*key, "side")
 
 
 def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
@@ -80,12 +157,19 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_word", "n_words"))).alias("cuts"))
     columns = documents.columns
-    touched = documents.join(cuts, "doc_id")
+    touched = documents.select(*columns).withColumnRenamed("cuts", "other_cuts") if "cuts" in columns else documents
+    own = touched.columns
+    # All rows keep their place: those without a cut have none to join.
+    joined = touched.join(cuts, "doc_id", "left").select(*own, "cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             texts, keep = [], []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
+                if not marks:
+                    texts.append(text)
+                    keep.append(True)
+                    continue
                 raw = (text or "").encode()
                 words = Words([raw])
                 out, at = [], 0
@@ -99,11 +183,12 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
                 left = b"".join(out)
                 texts.append(left.decode("utf-8", "replace"))
                 keep.append(bool(left.split()))
-            arrays = [batch.column(c) for c in columns]
-            arrays[columns.index("text")] = pa.array(texts, pa.string())
-            if "n_chars" in columns:
-                arrays[columns.index("n_chars")] = pa.array([len(t) for t in texts], arrays[columns.index("n_chars")].type)
+            arrays = [batch.column(c) for c in own]
+            arrays[own.index("text")] = pa.array(texts, pa.string())
+            if "n_chars" in own:
+                old = batch.column("n_chars").to_pylist()
+                marked = batch.column("cuts").to_pylist()
+                arrays[own.index("n_chars")] = pa.array([len(t) if m else o for t, o, m in zip(texts, old, marked, strict=True)], arrays[own.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
-    schema = documents.schema
-    return documents.join(cuts.select("doc_id"), "doc_id", "left_anti").select(*columns).unionByName(touched.select(*columns, "cuts").mapInArrow(cut, schema))
+    return joined.mapInArrow(cut, documents.schema)

@@ -2,9 +2,10 @@
 
 Only suffixes that begin at content-selected places (minimisers) are kept: a passage holds the same ones in every
 document. They are sorted by range over their first words, ties by document, so a suffix that thousands share is dealt
-over many tasks. Each is compared with its neighbour before it; where tasks meet, the last suffix of one is compared
-with the first of the next. Neighbours on one diagonal of two documents are one match, which is then extended word by
-word to the left and to the right in the texts.
+over many tasks. Each is compared with its neighbours; where tasks meet, the first and the last suffix count as equal to
+one. Suffixes with an equal neighbour are extended to the left and to the right: all runs of the least length that begin
+up to ANCHORED words before the suffix are compared in full, each with the least document that has it, and runs that
+follow one another make one passage. So a pair is not lost where another text sorts between the two.
 """
 
 from __future__ import annotations
@@ -13,118 +14,76 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .chaining import _outwards
 from .common import chunks, partitions, written
-from .passages import MIN_WORDS, RESULT, classes, copied, with_stretches, without_passages
+from .passages import ANCHORED, GRAM, LEAST_MIN_WORDS, MIN_WORDS, copied, copies_of, equal_runs, joined_runs, rows_of, without_passages
 from .words import Words, minimisers
 
-PREFIX = 8
-WINDOW = 24
-MARGIN = 64
-
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first PREFIX words, as 4-byte hashes, of the suffix at every selected place."""
+    """The first GRAM words, as 4-byte hashes, of the suffix at every selected place."""
     for batch in chunks(batches, "text"):
         words = Words(batch.column("text").to_pylist())
-        grams, at = words.grams(PREFIX)
+        grams, at = words.grams(GRAM)
         cut = np.searchsorted(at, words.first)
         short = words.hashes.astype(">u4")
         docs = batch.column("doc_id").to_numpy()
         where, doc, place = [], [], []
         for i, d in enumerate(docs):
-            picked = minimisers(grams[cut[i] : cut[i + 1]], WINDOW)
+            picked = minimisers(grams[cut[i] : cut[i + 1]], ANCHORED)
             where.append(picked + words.first[i])
             place.append(picked.astype(np.int32))
             doc.append(np.full(len(picked), d, np.int64))
         starts = np.concatenate(where).astype(np.int64)
-        rows = np.ascontiguousarray(short[starts[:, None] + np.arange(PREFIX)]).tobytes() if len(starts) else b""
-        width = 4 * PREFIX
+        rows = np.ascontiguousarray(short[starts[:, None] + np.arange(GRAM)]).tobytes() if len(starts) else b""
+        width = 4 * GRAM
         prefix = pa.array([rows[i : i + width] for i in range(0, len(rows), width)], pa.binary())
         yield pa.RecordBatch.from_arrays([prefix, pa.array(np.concatenate(doc)), pa.array(np.concatenate(place))], ["prefix", "doc_id", "place"])
 
 
-_NEIGHBOURS = "kind int, task int, prefix binary, doc_id long, place int, other long, other_place int"
-
-
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind 0: a suffix and its equal neighbour before it. kinds 1 and 2: the first and the last suffix of a task."""
-    task, last, first = TaskContext.get().partitionId(), None, True
-    names = ["kind", "task", "prefix", "doc_id", "place", "other", "other_place"]
-
-    def row(kind: int, prefix: bytes, doc: int, place: int) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((kind, task, prefix, doc, place, None, None), (pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names)
-
+def _with_equal_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id and place of the suffixes that are equal to the one before or after them, and of a task's first and last."""
+    held: tuple[bytes, pa.RecordBatch] | None = None  # the last suffix so far, which waits for the next
+    before_held = True  # whether it is known to belong to the result
     for batch in batches:
         if not batch.num_rows:
             continue
-        prefix, doc, place = batch.column("prefix").to_pylist(), batch.column("doc_id").to_numpy(), batch.column("place").to_numpy()
-        if first:
-            yield row(1, prefix[0], int(doc[0]), int(place[0]))
-            first = False
-        before = [last[0] if last else None, *prefix[:-1]]
-        other = np.concatenate([[last[1] if last else -1], doc[:-1]])
-        other_place = np.concatenate([[last[2] if last else -1], place[:-1]]).astype(np.int32)
-        same = np.array([x == y for x, y in zip(prefix, before, strict=True)]) & (doc != other)
-        at = np.flatnonzero(same)
-        n = len(at)
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), pa.array(np.full(n, task, np.int32)), pa.nulls(n, pa.binary()), pa.array(doc[at]), pa.array(place[at]), pa.array(other[at].astype(np.int64)), pa.array(other_place[at])], names)
-        last = (prefix[-1], int(doc[-1]), int(place[-1]))
-    if last:
-        yield row(2, *last)
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = []
-        columns = [batch.column(c).to_pylist() for c in ("a", "a_from", "a_to", "a_low", "a_words", "b", "b_from", "b_low", "b_words")]
-        for a, a_from, a_to, a_low, p, b, b_from, b_low, q in zip(*columns, strict=True):
-            p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
-            x, y, n = a_from - a_low, b_from - b_low, a_to - a_from
-            # A stretch between two equal suffixes may differ within: every whole run of equal words counts.
-            shift = min(x, y)
-            p, q = p[x - shift :], q[y - shift :]
-            width = min(len(p), len(q))
-            edge = np.flatnonzero(np.diff(np.concatenate([[False], p[:width] == q[:width], [False]]).view(np.int8)))
-            for s, e in zip(edge[0::2], edge[1::2], strict=True):
-                if e - s >= MIN_WORDS and s < shift + n and e > shift:
-                    out.append((a, a_from - shift + int(s), int(e - s), b, b_from - shift + int(s), int(e - s)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (list(zip(*out, strict=True)) or [()] * 6)], ["doc_id", "start_word", "n_words", "source_doc_id", "source_start_word", "n_equal"])
+        prefix = batch.column("prefix").to_pylist()
+        same = np.array([x == y for x, y in zip(prefix[1:], prefix[:-1], strict=True)], bool)
+        first = held is None or held[0] == prefix[0]
+        if held is not None and (before_held or first):
+            yield held[1]
+        keep = np.concatenate([[first], same])
+        keep[:-1] |= same
+        rows = batch.select(["doc_id", "place"])
+        yield rows.slice(0, batch.num_rows - 1).filter(pa.array(keep[:-1], pa.bool_()))
+        held, before_held = (prefix[-1], rows.slice(batch.num_rows - 1)), bool(keep[-1])
+    if held is not None:
+        yield held[1]
 
 
 def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start_word, n_words, source_doc_id, source_start_word, n_equal): runs of at least MIN_WORDS equal words that
+    """(doc_id, start_word, n_words, source_doc_id, source_start_word, n_equal): runs of at least min_words equal words that
     doc_id shares with a lesser source_doc_id.
 
-    A run longer than the stretch around its suffixes by over MARGIN words is given in several rows that overlap. A copy
-    of a whole text is one passage of all its words. Words are compared with A-Z lowered. Texts under min_words words,
-    null and empty ones have no passages, and rows without a doc_id are left out. Repeated rows are one document. Extra
-    columns are ignored; an empty table gives no rows.
+    Every run of min_words words that a lesser document has, too, is in a passage; its source is the least such document.
+    Passages of one document overlap where parts of it have different sources, or where a text repeats itself. A copy of
+    a whole text is one passage of all its words. Words are compared with A-Z lowered. Texts under min_words words, null
+    and empty ones have no passages, and rows without a doc_id are left out. Repeated rows are one document. Extra columns
+    are ignored; an empty table gives no rows. min_words may not be under LEAST_MIN_WORDS, below which a passage may hold
+    no suffix.
     """
-    texts, copies = classes(documents)
+    if min_words < LEAST_MIN_WORDS:
+        raise ValueError(f"min_words must be at least {LEAST_MIN_WORDS}")
+    copies = copies_of(documents)
     n = partitions(documents.sparkSession)
     # Written first: range boundaries are drawn from it without making the suffixes twice.
-    suffixes = written(texts.mapInArrow(_suffixes, "prefix binary, doc_id long, place int"))
+    suffixes = written(rows_of(documents).mapInArrow(_suffixes, "prefix binary, doc_id long, place int"))
     ordered = suffixes.repartitionByRange(n, "prefix", "doc_id", "place").sortWithinPartitions("prefix", "doc_id", "place")
-    near = written(ordered.mapInArrow(_neighbours, _NEIGHBOURS))
-    # Two rows a task: a bounded window.
-    edge = Window.orderBy("task", "kind")
-    edges = near.filter("kind > 0").select("*", *[F.lag(c).over(edge).alias(f"last_{c}") for c in ("kind", "prefix", "doc_id", "place")])
-    edges = edges.filter("kind = 1 AND last_kind = 2 AND prefix = last_prefix AND doc_id != last_doc_id").selectExpr("doc_id", "place", "last_doc_id AS other", "last_place AS other_place")
-    links = near.filter("kind = 0").select("doc_id", "place", "other", "other_place").unionByName(edges)
-    links = links.selectExpr("greatest(doc_id, other) AS a", "IF(doc_id > other, place, other_place) AS a_place", "least(doc_id, other) AS b", "IF(doc_id > other, other_place, place) AS b_place")
-    matches = written(
-        links.groupBy("a", "b", (F.col("a_place") - F.col("b_place")).alias("diagonal"))
-        .agg(F.min("a_place").cast("long").alias("a_from"), (F.max("a_place") + PREFIX).cast("long").alias("a_to"))
-        .select("a", "a_from", "a_to", "b", (F.col("a_from") - F.col("diagonal")).alias("b_from"), (F.col("a_to") - F.col("diagonal")).alias("b_to"))
-    )
-    found = written(with_stretches(matches, texts, MARGIN).mapInArrow(_extended, RESULT).distinct())
-    return found.unionByName(copied(copies, documents, min_words))
+    shared = ordered.mapInArrow(_with_equal_neighbours, "doc_id long, place int").join(copies.select("doc_id"), "doc_id", "left_anti")
+    found = written(joined_runs(equal_runs(documents, written(shared), min_words), min_words).distinct())
+    return found.unionByName(copied(copies, min_words))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:

@@ -87,6 +87,13 @@ class Words:
         at = np.flatnonzero(inside)
         return mix(value[at] + U(k)), at
 
+    def run_hashes(self, starts: np.ndarray, k: int) -> np.ndarray:
+        """Hashes of the runs of k words that begin at the given words, whatever k is."""
+        up, down = _power(len(self.hashes) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, U), np.cumsum(self.hashes * up[: len(self.hashes)])])
+            return mix((total[starts + k] - total[starts]) * down[starts])
+
 
 def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none an empty set."""
@@ -107,8 +114,8 @@ def shingle_sets(words: Words, k: int = 5) -> list[np.ndarray]:
     return out
 
 
-def minimisers(values: np.ndarray, window: int) -> np.ndarray:
-    """Positions of the least value (the leftmost of equals) of each window; a shorter line gives its one least."""
+def window_minima(values: np.ndarray, window: int) -> np.ndarray:
+    """For each window the position of its least value, the leftmost of equals; a line shorter than that has one window."""
     n = len(values)
     if not n:
         return np.zeros(0, np.int64)
@@ -123,4 +130,9 @@ def minimisers(values: np.ndarray, window: int) -> np.ndarray:
     rows = padded.reshape(-1, window)
     prefix = np.minimum.accumulate(rows, axis=1).ravel()
     suffix = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.unique(order[np.minimum(suffix[: n - window + 1], prefix[window - 1 : n])])
+    return order[np.minimum(suffix[: n - window + 1], prefix[window - 1 : n])]
+
+
+def minimisers(values: np.ndarray, window: int) -> np.ndarray:
+    """Positions that are the least of some window."""
+    return np.unique(window_minima(values, window))

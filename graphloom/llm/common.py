@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at one time.
 CHUNK_BYTES = 500_000
+#: Bits of the bitmap of ids, a prime.
+BITMAP = (1 << 24) - 3
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -89,3 +92,39 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         held = [batch.slice(low)]
     if held:
         yield pa.Table.from_batches(held)
+
+
+class Ids:
+    """A set of ids as a bitmap of fixed size, which tasks get by broadcast: it holds every id of the set, and maybe others.
+
+    It keeps rows out of a shuffle that a join would drop, or would not change; the join stays the judge of the rest.
+    """
+
+    def __init__(self, ids: DataFrame, column: str = "doc_id"):
+        # At most BITMAP / 64 rows come to the driver, whatever the number of ids.
+        bits = ids.select(F.pmod(F.col(column), F.lit(BITMAP)).alias("bit")).filter("bit IS NOT NULL")
+        bits = bits.selectExpr("CAST(bit DIV 64 AS INT) AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bits")
+        rows = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        words = np.zeros(BITMAP // 64 + 1, np.int64)
+        words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+        self.shared = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))
+
+    def _has(self, column: pa.Array) -> np.ndarray:
+        bit = np.mod(column.fill_null(0).to_numpy(zero_copy_only=False), BITMAP)
+        found = (self.shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+        return found.astype(bool) & column.is_valid().to_numpy(zero_copy_only=False)
+
+    def rows(self, df: DataFrame, there: bool = True, column: str = "doc_id") -> DataFrame:
+        """The rows of df whose id may be in the set; with there=False the others, whose id is not in it or null."""
+
+        def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self._has(batch.column(column)) == there))
+
+        return df.mapInArrow(picked, df.schema)
+
+
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents, with all their columns, whose doc_id is not in gone (doc_id). Only those that may go are shuffled."""
+    ids = Ids(gone)
+    return ids.rows(documents, False).unionByName(ids.rows(documents).join(gone.distinct(), "doc_id", "left_anti").select(*documents.columns))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, text_bytes
+from .common import chunks, narrow, text_bytes, without, written
 from .words import U, Words
 
 MIN_TILE = 5
@@ -166,5 +166,4 @@ def leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The documents into which no test item has leaked."""
-    gone = leaks(documents, benchmark, coverage).select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(*documents.columns)
+    return without(documents, written(leaks(documents, benchmark, coverage).select("doc_id").distinct()))

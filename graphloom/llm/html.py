@@ -2,8 +2,9 @@
 
 Each text node belongs to the path of tags from the root to it. Per path, the length of its text and of its
 punctuation are set in ratio to the number of nodes on the path, smoothed along the page with the ratios of
-neighbouring nodes, and fused to one weight. Paths whose weight reaches the threshold are content; the container whose
-content paths weigh most (an article or main element if there is one) gives the page's blocks. Boilerplate elements
+neighbouring nodes, and fused to one weight. Paths whose weight reaches the threshold are content. If there is an article
+or main element, the one whose content weighs most gives the page's blocks; else the innermost element that holds most
+of all content does, from its first content block to its last, without blocks that are links alone. Boilerplate elements
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) are told by tag, role and class and left out.
 """
 
@@ -46,6 +47,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 THRESHOLD = 0.5
 SMOOTHING = 1
+#: The share of all content that the chosen element must hold.
+MOST = 0.7
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -66,17 +69,17 @@ def _dropped(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
 
 
 class _Block:
-    __slots__ = ("container", "path", "text", "linked")
+    __slots__ = ("container", "elements", "path", "text", "linked")
 
-    def __init__(self, path: str, container: int):
-        self.path, self.container, self.text, self.linked = path, container, [], 0
+    def __init__(self, path: str, container: int, elements: tuple[int, ...]):
+        self.path, self.container, self.elements, self.text, self.linked = path, container, elements, [], 0
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks of text in order, boilerplate elements left out."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]  # tag, dropped, container
-    containers, open_block = 0, None
+    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, dropped, container, number
+    containers, open_block, numbered = 0, None, 0
     at, size = 0, len(page)
 
     def say(text: str) -> None:
@@ -86,10 +89,11 @@ def blocks(page: str) -> list[_Block]:
         if open_block is None:
             if not text.strip():
                 return
-            open_block = _Block("/".join(t for t, _, _ in stack if t in _BLOCKS or not t), stack[-1][2])
+            around = [(t, k) for t, _, _, k in stack if t in _BLOCKS or not t]
+            open_block = _Block("/".join(t for t, _ in around), stack[-1][2], tuple(k for _, k in around))
             out.append(open_block)
         open_block.text.append(text)
-        if any(t == "a" for t, _, _ in stack):
+        if any(t == "a" for t, *_ in stack):
             open_block.linked += len(text.strip())
 
     def close(tag: str) -> None:
@@ -115,7 +119,7 @@ def blocks(page: str) -> list[_Block]:
             continue
         if tag in _BLOCKS:
             open_block = None
-        if tag in _ENDS_P and any(t == "p" for t, _, _ in stack):
+        if tag in _ENDS_P and any(t == "p" for t, *_ in stack):
             close("p")  # inline elements left open in it end with it
         if tag in _SAME:
             for i in range(len(stack) - 1, 0, -1):
@@ -140,7 +144,8 @@ def blocks(page: str) -> list[_Block]:
             if not container:
                 containers += 1
                 container = containers
-        stack.append((tag, stack[-1][1] or _dropped(tag, attributes, bool(container)), container))
+        numbered += 1
+        stack.append((tag, stack[-1][1] or _dropped(tag, attributes, bool(container)), container, numbered))
     return out
 
 
@@ -174,14 +179,16 @@ def main_text(page: str) -> str:
         chosen = max(sorted(mass), key=mass.get) if mass else max(inside)
         picked = [b for b in found if b.container == chosen]
     else:
-        # Without such an element: all blocks between the first and the last content block that share their parents.
         at = np.flatnonzero(content)
-        roots: dict[str, float] = {}
+        mass = {}
         for i in at:
-            root = found[i].path.rpartition("/")[0]
-            roots[root] = roots.get(root, 0.0) + weight[i]
-        root = max(sorted(roots), key=roots.get)
-        picked = [b for b in found if b.path.startswith(root)]
+            for k in found[i].elements:
+                mass[k] = mass.get(k, 0.0) + weight[i]
+        most = MOST * mass[0]
+        chosen = max(k for k, m in mass.items() if m >= most)  # numbered in page order: the last is the innermost
+        at = [i for i in at if chosen in found[i].elements]
+        inside = [(i, found[i]) for i in range(at[0], at[-1] + 1) if chosen in found[i].elements]
+        picked = [b for i, b in inside if content[i] or b.linked < len("".join(b.text).strip())]
     lines = (_SPACE.sub(" ", "".join(b.text)).strip() for b in picked)
     return "\n".join(line for line in lines if line)
 

@@ -30,8 +30,8 @@ from .words import U, Words
 PRIOR = 500.0
 ADDED = 0.1
 HELD_OUT_OF = 10
-SHARD_BYTES = 16_000_000
-CHUNK = 6_000_000
+SHARD_BYTES = 6_000_000
+CHUNK = 3_000_000
 _END, _BEGIN = U(0xE2D0F7E3C1B5A697), U(0xBE6140F0D3C2B1A5)
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

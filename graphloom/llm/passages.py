@@ -3,8 +3,7 @@
 A passage is given by word positions in its document. Both operators look only among different texts: of equal texts
 the least doc_id stands for all, and each other copy is reported as one passage, the whole text.
 
-Texts are never shuffled but for the documents that take part in a match. Which these are is told to the scan by a
-bitmap of fixed size: it may let some others pass, which the join then drops, and none of those wanted is held back.
+Texts are never shuffled but for the documents that take part in a match, which a bitmap of fixed size tells to the scan.
 """
 
 from __future__ import annotations
@@ -17,16 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, partitions, runs, text_bytes, written
-from .words import U, Words, window_minima
+from .common import Ids, chunks, narrow, partitions, runs, text_bytes, written
+from .words import Words, window_minima
 
 MIN_WORDS = 50
 #: Words of a seed, and seeds from which the least is an anchor: every run of ANCHORED + GRAM - 1 words holds one.
 GRAM = 8
 ANCHORED = 24
 LEAST_MIN_WORDS = ANCHORED + GRAM - 1
-#: Bits of the bitmap of documents, a prime.
-BITMAP = (1 << 24) - 3
 RESULT = "doc_id long, start_word long, n_words long, source_doc_id long, source_start_word long, n_equal long"
 
 
@@ -55,25 +52,9 @@ def copied(copies: DataFrame, min_words: int) -> DataFrame:
     return copies.filter(F.col("n_words") >= min_words).select("doc_id", zero.alias("start_word"), "n_words", "source_doc_id", zero.alias("source_start_word"), F.col("n_words").alias("n_equal"))
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """A bit for each remainder of the ids: at most BITMAP / 64 rows come to the driver, whatever their number."""
-    bits = ids.select(F.pmod(F.col("doc_id"), F.lit(BITMAP)).alias("bit")).selectExpr("CAST(bit DIV 64 AS INT) AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bits")
-    rows = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BITMAP // 64 + 1, np.int64)
-    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
-    return out.view(U)
-
-
 def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and text of the documents among ids, and of some others."""
-    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(ids))
-
-    def among(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bit = np.mod(batch.column("doc_id").to_numpy(), BITMAP)
-            yield batch.filter(pa.array((shared.value[bit >> 6] >> (bit & 63).astype(U)) & U(1)).cast(pa.bool_()))
-
-    return rows_of(documents).mapInArrow(among, "doc_id long, text binary")
+    return Ids(ids).rows(rows_of(documents))
 
 
 def _windows(min_words: int):
@@ -156,11 +137,10 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     there is such a column, is counted anew. A document that has no words left is dropped; one that had none stays.
     """
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_word", "n_words"))).alias("cuts"))
-    columns = documents.columns
-    touched = documents.select(*columns).withColumnRenamed("cuts", "other_cuts") if "cuts" in columns else documents
-    own = touched.columns
-    # All rows keep their place: those without a cut have none to join.
-    joined = touched.join(cuts, "doc_id", "left").select(*own, "cuts")
+    cuts = written(cuts)
+    columns, ids = documents.columns, Ids(cuts)
+    joined = ids.rows(documents.withColumnsRenamed({"cuts": "other_cuts"})).join(cuts, "doc_id", "left")
+    own = ["other_cuts" if c == "cuts" else c for c in columns]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
@@ -191,4 +171,4 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
                 arrays[own.index("n_chars")] = pa.array([len(t) if m else o for t, o, m in zip(texts, old, marked, strict=True)], arrays[own.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(arrays, columns).filter(pa.array(keep, pa.bool_()))
 
-    return joined.mapInArrow(cut, documents.schema)
+    return ids.rows(documents, False).unionByName(joined.select(*own, "cuts").mapInArrow(cut, documents.schema))

@@ -1,0 +1 @@
+"""Column expressions: order hashes, predicates, text and vector functions."""

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at one time.
 CHUNK_BYTES = 500_000
+#: Bytes of a batch that Spark sends to Python; a task holds a few of them.
+BATCH_BYTES = 4_000_000
 #: Bits of the bitmap of ids, a prime.
 BITMAP = (1 << 24) - 3
 
@@ -37,7 +39,11 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
-    """Only the named columns, under our own names, so that other columns cannot clash with ours."""
+    """Only the named columns, under our own names, so that other columns cannot clash with ours.
+
+    Every operator begins with this, so it is also where the session is told to send texts to Python in small batches.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(*[df[name].alias(own) for own, name in columns.items()])
 
 

@@ -30,7 +30,7 @@ from .words import U, Words
 PRIOR = 500.0
 ADDED = 0.1
 HELD_OUT_OF = 10
-SHARD_BYTES = 6_000_000
+SHARD_BYTES = 10_000_000
 CHUNK = 3_000_000
 _END, _BEGIN = U(0xE2D0F7E3C1B5A697), U(0xBE6140F0D3C2B1A5)
 
@@ -113,35 +113,62 @@ def _totals(shards: int):
 
 
 def _dealt(shards: int, hot: np.ndarray):
-    names = ["shard", "chunk", "docs", "words", "lengths", "before", "owner", "training"]
-    types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+    names = ["shard", "chunk", "docs", "words", "lengths", "before", "owner", "n_docs", "n_training"]
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int32(), pa.int32()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A chunk's tokens for each shard, sorted by word; and one row that only names the chunk's documents."""
+        """A chunk's tokens for each shard, sorted by word; and one row that only names the chunk's documents. Documents
+        are numbered in their chunk, those for training first, so a cell needs no list of them."""
         chunk = TaskContext.get().partitionId() << 32
         for batch in chunks(batches, "text", CHUNK):
             chunk += 1
             docs = batch.column("doc_id").to_pylist()
-            token, before, owner = _tokens(batch.column("text").to_pylist())
             train = _training(docs)
+            first = np.argsort(~train, kind="stable")
+            docs, n_training = [docs[i] for i in first], int(train.sum())
+            token, before, owner = _tokens(batch.column("text").take(pa.array(first)).to_pylist())
             short = before.astype(np.uint32)
             where = np.where(np.isin(token, hot), short.astype(U) % U(shards), token % U(shards)).astype(np.int64)
             order = np.lexsort((token, where))
             cut = np.searchsorted(where[order], np.arange(shards + 1))
             ids = np.array([-(1 << 63) if d is None else d for d in docs], np.int64)
             n_tokens = np.bincount(owner, minlength=len(docs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((chunk % shards, chunk, ids.tobytes(), n_tokens.tobytes(), None, None, None, train.tobytes()), types, strict=True)], names)
+            row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+            yield row(chunk % shards, chunk, ids.tobytes(), n_tokens.tobytes(), None, None, None, len(docs), n_training)
+            owner = owner.astype(_owner_type(len(docs)))
             for s in range(shards):
                 own = order[cut[s] : cut[s + 1]]
                 if len(own):
                     new = np.flatnonzero(np.concatenate([[True], token[own][1:] != token[own][:-1]]))
                     lengths = np.diff(np.concatenate([new, [len(own)]])).astype(np.uint32)
-                    values = (s, chunk, None, token[own][new].tobytes(), lengths.tobytes(), short[own].tobytes(), owner[own].astype(np.uint32 if len(docs) > 65535 else np.uint16).tobytes(), train.tobytes())
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
+                    yield row(s, chunk, None, token[own][new].tobytes(), lengths.tobytes(), short[own].tobytes(), owner[own].tobytes(), len(docs), n_training)
 
     return deal
 
 
+def _owner_type(n_docs: int) -> type:
+    return np.uint16 if n_docs <= 65536 else np.uint32
+
+
+#: Sums travel as whole numbers of this part.
+_UNIT = 2.0**-30
+
+
+def _packed(sums: np.ndarray) -> bytes:
+    """Sums as whole numbers of _UNIT, in as many bytes as the greatest needs, all first bytes first."""
+    whole = np.round(sums / _UNIT).astype("<i8")
+    width = (int(max(whole.max(), -whole.min() - 1, 0)).bit_length() + 8) // 8
+    return np.ascontiguousarray(whole.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(-1, n)
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, : len(planes)] = planes.T
+    whole[:, len(planes) :] = np.where(planes[-1] >= 128, 255, 0)[:, None].astype(np.uint8)
+    return whole.view("<i8").ravel() * _UNIT
+
+
 def _settle(token: np.ndarray, before: np.ndarray, train: np.ndarray, hot: np.ndarray, hot_counts: np.ndarray, unit: float) -> tuple[np.ndarray, np.ndarray]:
     """Each token's training count, and log10 of its numerator c(v w) + M p(w), by way of the shard's trie.
 
@@ -181,11 +208,12 @@ def _settle(token: np.ndarray, before: np.ndarray, train: np.ndarray, hot: np.nd
 
 
 def _scored(hot: np.ndarray, hot_counts: np.ndarray, unit: float, prior: float):
-    names = ["chunk", "docs", "n_tokens", "known", "base", "score"]
-    types = [pa.int64(), *[pa.binary()] * 5]
+    names = ["chunk", "docs", "n_tokens", "owners", "unknown", "base", "score"]
+    types = [pa.int64(), *[pa.binary()] * 6]
+    row = lambda *values: pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each chunk of a shard, sums by document; rows that name documents pass."""
+        """For each chunk of a shard, sums of the documents that have tokens there; rows that name documents pass."""
 
         def shard_rows() -> Iterator[pa.Table]:
             for table in runs(batches, ["shard"]):
@@ -198,24 +226,26 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray, unit: float, prior: float):
             rows = table.to_pylist()
             for r in rows:
                 if r["docs"] is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((r["chunk"], r["docs"], r["words"], None, None, None), types, strict=True)], names)
+                    yield row(r["chunk"], r["docs"], r["words"], None, None, None, None)
             rows = [r for r in rows if r["docs"] is None]
             if not rows:
                 continue
             token = np.concatenate([np.repeat(np.frombuffer(r["words"], U), np.frombuffer(r["lengths"], np.uint32)) for r in rows])
             before = np.concatenate([np.frombuffer(r["before"], np.uint32) for r in rows])
-            owners = [np.frombuffer(r["owner"], np.uint32 if len(r["training"]) > 65535 else np.uint16) for r in rows]
-            train = np.concatenate([np.frombuffer(r["training"], bool)[o] for r, o in zip(rows, owners, strict=True)])
+            owners = [np.frombuffer(r["owner"], _owner_type(r["n_docs"])) for r in rows]
+            train = np.concatenate([o < r["n_training"] for r, o in zip(rows, owners, strict=True)])
             count, value = _settle(token, before, train, hot, hot_counts, unit)
-            base = np.log10(count + ADDED)
             # A word is the context of the token after it; an end is of none.
-            value = value - np.where(token == _END, 0.0, np.log10(count + prior))
+            value -= np.where(token == _END, 0.0, np.log10(count + prior))
+            base = np.log10(count + ADDED)
             at = 0
             for r, o in zip(rows, owners, strict=True):
-                own, n = slice(at, at + len(o)), len(r["training"])
+                own = slice(at, at + len(o))
                 at += len(o)
-                sums = (np.bincount(o, count[own] > 0, n).astype(np.uint32), np.bincount(o, base[own], n), np.bincount(o, value[own], n).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((r["chunk"], None, None, *(s.tobytes() for s in sums)), types, strict=True)], names)
+                seen, inverse = np.unique(o, return_inverse=True)
+                unknown = np.bincount(inverse, count[own] == 0).astype(np.uint32)
+                sums = np.bincount(inverse, value[own]).astype(np.float32)
+                yield row(r["chunk"], None, None, seen.astype(np.uint32).tobytes(), unknown.tobytes(), _packed(np.bincount(inverse, base[own])), sums.tobytes())
 
     return score
 
@@ -223,16 +253,19 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray, unit: float, prior: float):
 def _summed(n_training: int, vocabulary: int, begin: float):
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["chunk"]):
-            by: dict[int, list] = {}
+            by: dict[int, list[dict]] = {}
             for r in table.to_pylist():
-                own = by.setdefault(r["chunk"], [None, None, 0, 0.0, 0.0])
-                if r["docs"] is not None:
-                    own[0], own[1] = np.frombuffer(r["docs"], np.int64), np.frombuffer(r["n_tokens"], np.int64)
-                else:
-                    own[2] = own[2] + np.frombuffer(r["known"], np.uint32).astype(np.int64)
-                    own[3] = own[3] + np.frombuffer(r["base"], float)
-                    own[4] = own[4] + np.frombuffer(r["score"], np.float32).astype(float)
-            for docs, n_tokens, known, base, score in by.values():
+                by.setdefault(r["chunk"], []).append(r)
+            for rows in by.values():
+                named = next(r for r in rows if r["docs"] is not None)
+                docs, n_tokens = np.frombuffer(named["docs"], np.int64), np.frombuffer(named["n_tokens"], np.int64)
+                known, base, score = n_tokens.copy(), np.zeros(len(docs)), np.zeros(len(docs))
+                for r in rows:
+                    if r["docs"] is None:
+                        at = np.frombuffer(r["owners"], np.uint32)
+                        known[at] -= np.frombuffer(r["unknown"], np.uint32)
+                        base[at] += _unpacked(r["base"], len(at))
+                        score[at] += np.frombuffer(r["score"], np.float32)
                 ids = pa.array(docs, mask=docs == -(1 << 63))
                 out = pa.array([held_out(d) for d in ids.to_pylist()])
                 base = base - n_tokens * np.log10(n_training + ADDED * (vocabulary + 1))
@@ -262,7 +295,7 @@ def score(documents: DataFrame, prior: float = PRIOR, shard_bytes: int = SHARD_B
     n_documents = rows.filter(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT_OF)) != 0).count()
     unit = prior / (n_training + ADDED * (vocabulary + 1))
 
-    dealt = rows.mapInArrow(_dealt(shards, hot), "shard int, chunk long, docs binary, words binary, lengths binary, before binary, owner binary, training binary")
-    sums = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_scored(hot, hot_counts, unit, prior), "chunk long, docs binary, n_tokens binary, known binary, base binary, score binary")
+    dealt = rows.mapInArrow(_dealt(shards, hot), "shard int, chunk long, docs binary, words binary, lengths binary, before binary, owner binary, n_docs int, n_training int")
+    sums = dealt.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_scored(hot, hot_counts, unit, prior), "chunk long, docs binary, n_tokens binary, owners binary, unknown binary, base binary, score binary")
     begin = float(np.log10(n_documents + prior))
     return sums.repartition(n, "chunk").sortWithinPartitions("chunk").mapInArrow(_summed(n_training, vocabulary, begin), SCHEMA)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_WORD = re.compile(r"[^\t\n\x0b\f\r ]+")
+
+
 def _vector(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
@@ -68,8 +75,20 @@ def logit_loss(score: Column | str, label: Column | str) -> Column:
 
 def hashed_bag(text: Column | str, size: int = 64) -> Column:
     """Words counted in `size` buckets, scaled to length one: a text vector that needs no model. Blank texts give zeros."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))), r"\s+"), lambda w: w != "")
-    buckets = F.transform(words, lambda w: F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(dot(counts, counts))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+    @F.pandas_udf("array<double>")
+    def vectors(texts: pd.Series) -> pd.Series:
+        seen: dict[str, int] = {}
+
+        def bucket(word: str) -> int:
+            if word not in seen:
+                seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:15], 16) % size
+            return seen[word]
+
+        def vector(value: str | None) -> np.ndarray:
+            counts = np.bincount([bucket(w) for w in _WORD.findall((value or "").lower())], minlength=size).astype(float)
+            return counts / (np.sqrt(counts @ counts) or 1.0)
+
+        return texts.map(vector, na_action=None)
+
+    return vectors(F.col(text) if isinstance(text, str) else text)

@@ -47,7 +47,12 @@ def relations(edges: DataFrame) -> DataFrame:
 def triples(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     """(h, r, t, pos): typed edges with known ends, one for each (h, r, t): the first. pos is its place in scan order."""
     ended = known_ends(typed(edges), catalog)
-    return ended.join(relations(ended), "type").groupBy("h", "r", "t").agg(F.min("id").alias("pos"))
+    return first_triples(ended, relations(ended))
+
+
+def first_triples(ended: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(h, r, t, pos) of edges with known ends, by a vocabulary of relations, which is small."""
+    return ended.join(F.broadcast(vocabulary), "type").groupBy("h", "r", "t").agg(F.min("id").alias("pos"))
 
 
 def resolved_entities(refs: DataFrame, catalog: DataFrame, ref: str = "ref") -> DataFrame:

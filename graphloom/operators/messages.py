@@ -43,7 +43,8 @@ def relational_layer(edges: DataFrame, vectors: DataFrame, own: list[list[float]
     from ..functions.vectors import dense
 
     means = relational_aggregate(edges, vectors).join(F.broadcast(shares.select("rel", "share")), "rel")  # one row a relation
-    layers = [F.transform(dense("vector", base, [0.0] * len(bias)), lambda x, k=k: x * F.element_at("share", k + 1)) for k, base in enumerate(bases)]
+    shared = lambda k: lambda x: x * F.element_at("share", k + 1)
+    layers = [F.transform(dense("vector", base, [0.0] * len(bias)), shared(k)) for k, base in enumerate(bases)]
     mixed = layers[0]
     for layer in layers[1:]:
         mixed = F.zip_with(mixed, layer, lambda a, b: a + b)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from .graph_queries import QUERIES as _GRAPH
-from .graph_sql import SQL as _GRAPH_SQL
+from . import graph_queries, graph_sql, model_queries, model_sql
 
-QUERIES = dict(_GRAPH)
-SQL = dict(_GRAPH_SQL)
+QUERIES = graph_queries.QUERIES | model_queries.QUERIES
+SQL = graph_sql.SQL | model_sql.SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,18 +24,27 @@ CONTEXT = 4
 
 
 class Graph:
-    """The tables of one folder as a graph, each made when it is asked for."""
+    """The tables of one folder as a graph, each made when it is first asked for. The catalog and the triples are written
+    to the shared folder, since most queries read them more than once."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.nodes, self.edges = tables.nodes(spark, folder), tables.edges(spark, folder)
 
-    @property
+    @cached_property
     def catalog(self) -> DataFrame:
-        return C.entities(self.nodes, FOCUS)
+        return N.written(C.entities(self.nodes, FOCUS))
 
-    @property
+    @cached_property
+    def ended(self) -> DataFrame:
+        return N.written(C.known_ends(C.typed(self.edges), self.catalog))
+
+    @cached_property
+    def vocabulary(self) -> DataFrame:
+        return N.written(C.relations(self.ended))
+
+    @cached_property
     def triples(self) -> DataFrame:
-        return C.triples(self.edges, self.catalog).select("h", "r", "t")
+        return N.written(C.first_triples(self.ended, self.vocabulary).select("h", "r", "t"))
 
     @property
     def pairs(self) -> DataFrame:
@@ -72,7 +83,7 @@ def edge_type_counts(spark, folder):
 
 
 def entity_catalog(spark, folder):
-    return Graph(spark, folder).catalog
+    return C.entities(Graph(spark, folder).nodes, FOCUS)
 
 
 def image_flags(spark, folder):
@@ -87,8 +98,7 @@ def wid_lookup(spark, folder):
 
 
 def relation_vocab(spark, folder):
-    g = Graph(spark, folder)
-    return C.relations(C.known_ends(C.typed(g.edges), g.catalog))
+    return Graph(spark, folder).vocabulary
 
 
 def triples_dedup(spark, folder):
@@ -110,7 +120,7 @@ def resolve_refs(spark, folder):
     relation = F.element_at(F.array(F.lit("CONTAINS"), F.lit("3"), F.lit("nothing")), (F.col("event_id") % 3 + 1).cast("int"))
     refs = tables.table(spark, folder, "events").select("event_id", ref.alias("ref"), relation.alias("relation"))
     g = Graph(spark, folder)
-    return C.resolved_relations(C.resolved_entities(refs, g.catalog), relation_vocab(spark, folder)).select("event_id", "node_idx", "r")
+    return C.resolved_relations(C.resolved_entities(refs, g.catalog), g.vocabulary).select("event_id", "node_idx", "r")
 
 
 def art_subsets(spark, folder):
@@ -155,12 +165,8 @@ def chunk_manifest(spark, folder):
 
 
 def manifest_faults(spark, folder):
-    """Faults of the manifest as it is, and as it would be with one chunk's count lost."""
-    g = Graph(spark, folder)
-    rows = writers.manifest(g.nodes, g.edges)
-    from pyspark.sql.window import Window
-
-    rows = rows.withColumn("chunk_index", F.row_number().over(Window.orderBy("chunk_id")) - 1)  # one row a chunk
+    """Faults of the planned chunks' manifest as it is, and as it would be with one chunk's count lost."""
+    rows = stats.chunk_plan(Graph(spark, folder).nodes, 2000, 1000, 3000).select("chunk_index", "node_count", F.lit(0).alias("edge_count"), "low", "high")
     said = rows.agg(F.sum("node_count").alias("completed_nodes"), F.sum("edge_count").alias("completed_edges"))
     whole = rows.crossJoin(said)
     broken = whole.withColumn("node_count", F.when(F.col("chunk_index") == 0, 0).otherwise(F.col("node_count")))
@@ -223,7 +229,7 @@ def leakage_mask(spark, folder):
     """The sample's edges without those between a customer and the customer's nation."""
     g = Graph(spark, folder)
     edges = g.sample()[1]
-    nation = relation_vocab(spark, folder).filter("type = 'IN_NATION'").select("r")
+    nation = g.vocabulary.filter("type = 'IN_NATION'").select("r")
     pairs = g.batches().withColumnRenamed("node", "h").join(g.triples, "h").join(F.broadcast(nation), "r").select("batch_id", "h", "t")  # one row
     return N.masked(edges, pairs)
 
@@ -261,9 +267,8 @@ def epoch_batches(spark, folder):
 def _positives(spark, folder) -> tuple[Graph, DataFrame, DataFrame]:
     """The graph, its triples, and those of orders with their customers."""
     g = Graph(spark, folder)
-    triples = N.written(g.triples)
-    placed = relation_vocab(spark, folder).filter("type = 'PLACED_BY'").select("r")
-    return g, triples, triples.join(F.broadcast(placed), "r").select("h", "r", "t")  # one row
+    placed = g.vocabulary.filter("type = 'PLACED_BY'").select("r")
+    return g, g.triples, g.triples.join(F.broadcast(placed), "r").select("h", "r", "t")  # one row
 
 
 def _pairs(triples: DataFrame) -> DataFrame:
@@ -298,7 +303,7 @@ def neg_art_any(spark, folder):
 def neg_candidate_pool(spark, folder):
     """From a small pool, the nations, in which most draws are known: some rows have none that is valid."""
     g, triples, _ = _positives(spark, folder)
-    nation = relation_vocab(spark, folder).filter("type = 'IN_NATION'").select("r")
+    nation = g.vocabulary.filter("type = 'IN_NATION'").select("r")
     positives = triples.join(F.broadcast(nation), "r")  # one row
     return negatives.of_pairs(_pairs(positives), _pairs(triples), _pool(g.catalog.filter(F.col("node_id").between(2 * 10**10, 2 * 10**10 + 3))), SEED, 3)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -56,6 +58,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Spark keeps its Python workers from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `limit` bytes in `column`; one long value is a slice of its own."""
     for batch in batches:
@@ -68,6 +77,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
             held += size
         if start < batch.num_rows:
             yield batch.slice(start)
+    _give_back()
 
 
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
@@ -98,6 +108,8 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
         held = [batch.slice(low)]
     if held:
         yield pa.Table.from_batches(held)
+    del held
+    _give_back()
 
 
 class Ids:

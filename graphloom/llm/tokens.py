@@ -29,7 +29,7 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Characters that a chunk's end may have spoilt: more than any special token has, and a match's look-ahead.
 MARGIN = 32
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 100_000
 LIMIT = 512
 
 # The pre-token patterns of the two vocabularies, for Latin-1 text.

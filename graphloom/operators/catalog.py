@@ -91,9 +91,11 @@ def first_seen(df: DataFrame, key: str, pos: str) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, pos: str) -> DataFrame:
-    """The last row of each key: of several of one place, the greatest by its other columns."""
+    """The last row of each key: of several of one place, the greatest by its other columns (maps as JSON)."""
     rest = [c for c in df.columns if c not in (key, pos)]
-    return df.groupBy(key).agg(F.max(F.struct(pos, *rest)).alias("row")).select(key, *[F.col(f"row.{c}").alias(c) for c in (pos, *rest)])
+    rank = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in df.dtypes if c in rest]
+    last = df.groupBy(key).agg(F.max_by(F.struct(pos, *rest), F.struct(pos, *rank)).alias("row"))
+    return last.select(key, *[F.col(f"row.{c}").alias(c) for c in (pos, *rest)])
 
 
 def best_path(images: DataFrame, wid: str = "wid", path: str = "path") -> DataFrame:

@@ -171,7 +171,7 @@ def test_exports(spark, tmp_path):
     assert exports.records(spark, f"{tmp_path}/records.jsonl").count() == 2
     for name in ("Q5_3.jpg", "Q5_0.png", "Q6.webp", "x.jpg", "Q7.txt"):
         (tmp_path / "images").mkdir(exist_ok=True)
-        (tmp_path / "images" / name).write_bytes(b"")
+        (tmp_path / "images" / name).write_bytes(b"x")
     best = C.best_path(exports.images(spark, f"{tmp_path}/images"))
     assert {(r["wid"], r["path"].rpartition("/")[2]) for r in best.collect()} == {("Q5", "Q5_0.png"), ("Q6", "Q6.webp")}
     writers.scores(rows.withColumn("top", F.array(F.lit(1))), f"{tmp_path}/scores.csv")

@@ -193,7 +193,9 @@ def _settle(token: np.ndarray, before: np.ndarray, train: np.ndarray, hot: np.nd
     with tempfile.TemporaryDirectory() as folder:
         Trie.write(folder, words, np.log10(prior), first, v2, np.log10(pairs + np.repeat(prior, np.diff(first))))
         trie = Trie(folder)
+        w = v = order = v2 = pairs = prior = None  # the trie has it all; what follows needs the room
         different, inverse = np.unique(token, return_inverse=True)
+        inverse = inverse.astype(np.int32)
         node = trie.node(different)
         c = np.where(node >= 0, count[np.maximum(node, 0)] if len(count) else 0, 0)
         if len(hot):  # a frequent word may have no training token here
@@ -227,13 +229,15 @@ def _scored(hot: np.ndarray, hot_counts: np.ndarray, unit: float, prior: float):
             for r in rows:
                 if r["docs"] is not None:
                     yield row(r["chunk"], r["docs"], r["words"], None, None, None, None)
-            rows = [r for r in rows if r["docs"] is None]
+            rows, table = [r for r in rows if r["docs"] is None], None
             if not rows:
                 continue
             token = np.concatenate([np.repeat(np.frombuffer(r["words"], U), np.frombuffer(r["lengths"], np.uint32)) for r in rows])
             before = np.concatenate([np.frombuffer(r["before"], np.uint32) for r in rows])
             owners = [np.frombuffer(r["owner"], _owner_type(r["n_docs"])) for r in rows]
             train = np.concatenate([o < r["n_training"] for r, o in zip(rows, owners, strict=True)])
+            for r in rows:
+                r["words"] = r["lengths"] = r["before"] = None
             count, value = _settle(token, before, train, hot, hot_counts, unit)
             # A word is the context of the token after it; an end is of none.
             value -= np.where(token == _END, 0.0, np.log10(count + prior))

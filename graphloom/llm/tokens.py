@@ -29,7 +29,7 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Characters that a chunk's end may have spoilt: more than any special token has, and a match's look-ahead.
 MARGIN = 32
-CACHE_ENTRIES = 100_000
+CACHE_ENTRIES = 120_000
 LIMIT = 512
 
 # The pre-token patterns of the two vocabularies, for Latin-1 text.
@@ -60,15 +60,19 @@ class Encoder:
         self.lower = "word" in name
         self.pattern = re.compile(_WORD_PATTERN if self.lower else _BYTE_PATTERN)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        #: Two generations: words of the older one that are met again move to the newer.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _plain(self, text: str) -> bool:
         return bool(_PLAIN.match(text)) and not any(s in text for s in self.special)
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
-        new = sorted(missing)
+            self.older, self.known = self.known, {}
+        again = missing.intersection(self.older)
+        self.known.update((word, self.older[word]) for word in again)
+        new = sorted(missing - again)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):

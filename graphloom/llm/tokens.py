@@ -68,8 +68,6 @@ class Encoder:
         return bool(_PLAIN.match(text)) and not any(s in text for s in self.special)
 
     def _learn(self, missing: set[str]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.older, self.known = self.known, {}
         again = missing.intersection(self.older)
         self.known.update((word, self.older[word]) for word in again)
         new = sorted(missing - again)
@@ -83,11 +81,10 @@ class Encoder:
         if not self._plain(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = self.pattern.findall(text.lower() if self.lower else text)
+        if len(self.known) > CACHE_ENTRIES:
+            self.older, self.known = self.known, {}  # before the text's words are looked up, so that none of them is lost
         if missing := set(found).difference(self.known):
             self._learn(missing)
-            missing = set(found).difference(self.known)  # what a cleared cache has lost
-            if missing:
-                self._learn(missing)
         return b"".join(map(self.known.__getitem__, found))
 
     def marks(self, text: str, start: int) -> tuple[np.ndarray, np.ndarray]:

@@ -50,3 +50,11 @@ def test_texts_without_a_boundary():
     enc = tokens.Encoder("byte_bpe_50k.json")
     for text in ("a" * 5000, " " * 5000, "é" * 4000, "漢" * 3000, "<|endoftext|>" * 300, "!" * 4000 + "a"):
         assert tokens.count_spliced(enc, text, 256, 64) == len(enc.library.encode(text, add_special_tokens=False).ids)
+
+
+def test_more_words_than_the_cache_holds(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_ENTRIES", 50)
+    enc = tokens.Encoder("byte_bpe_50k.json")
+    for k in range(6):
+        text = " ".join(f"w{i % (40 + 30 * k)}x" for i in range(400))
+        assert enc.ids(text) == b"".join(i.to_bytes(4, "little") for i in enc.library.encode(text, add_special_tokens=False).ids)

@@ -68,7 +68,7 @@ class Encoder:
         return bool(_PLAIN.match(text)) and not any(s in text for s in self.special)
 
     def _learn(self, missing: set[str]) -> None:
-        again = missing.intersection(self.older)
+        again = {word for word in missing if word in self.older}
         self.known.update((word, self.older[word]) for word in again)
         new = sorted(missing - again)
         for at in range(0, len(new), 4096):

@@ -137,3 +137,18 @@ def test_cutting(spark):
     assert rows_of(got) == [(1, "a e f", 5, "x"), (3, "", 0, "x"), (4, None, None, "x")]
     for without in (chaining.without_repeats, suffixes.without_repeats):
         assert rows_of(without(docs)) == rows_of(docs)
+
+
+def test_a_least_document_with_the_seeds_but_not_the_passage(spark):
+    """0 quotes every part of the passage in another order, 1 holds it, and 2 and 3 hold edits of it."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base = [word() for _ in range(160)]
+    # Every seed of the base stands in one part with a whole window about it; a part is no passage.
+    parts = [base[max(i, 0) : i + 45] for i in range(-25, 160, 10)]
+    quotes = [w for p in reversed(parts) for w in [*p, *(word() for _ in range(30))]]
+    edit = lambda k: [f"{k}x{i}" if i % 40 == 9 + k else w for i, w in enumerate(base)]
+    docs = [(0, " ".join(quotes)), (1, " ".join(base)), (2, " ".join([*edit(1), word()])), (3, " ".join([word(), *edit(2)]))]
+    have = covered(chaining.fuzzy_passages(frame(spark, docs)).collect())
+    assert not have[0] and not have[1]
+    assert len(have[2]) >= 150 and len(have[3]) >= 150

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from graphloom.llm import chaining, suffixes
@@ -152,3 +153,19 @@ def test_a_least_document_with_the_seeds_but_not_the_passage(spark):
     have = covered(chaining.fuzzy_passages(frame(spark, docs)).collect())
     assert not have[0] and not have[1]
     assert len(have[2]) >= 150 and len(have[3]) >= 150
+
+
+def test_a_far_long_segment_does_not_hide_a_near_one():
+    found = np.array([[0, 500, 0, 500], [700, 720, 700, 720], [740, 760, 741, 761], [780, 800, 782, 802]])
+    assert chaining.chain(found) == [[0], [1, 2, 3]]
+
+
+def test_exact_passage_before_a_fuzzy_one(spark):
+    """The fuzzy one's words shift by one at each edit, so each of its segments is too short alone."""
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    exact, fuzzy = some(500), some(160)
+    edited = [w for i, w in enumerate(fuzzy) if i % 27 not in (24, 25, 26)]
+    docs = [(0, " ".join([*exact, *some(120), *fuzzy])), (1, " ".join([*exact, *some(120), *edited]))]
+    have = covered(chaining.fuzzy_passages(frame(spark, docs)).collect())
+    assert set(range(500)) <= have[1] and len(have[1] & set(range(620, 620 + len(edited)))) >= 110

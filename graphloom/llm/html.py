@@ -2,9 +2,10 @@
 
 Each text node belongs to the path of tags from the root to it. Per path, the length of its text and of its
 punctuation are set in ratio to the number of nodes on the path, smoothed along the page with the ratios of
-neighbouring nodes, and fused to one weight. Paths whose weight reaches the threshold are content. If there is an article
-or main element, the one whose content weighs most gives the page's blocks; else the innermost element that holds most
-of all content does, from its first content block to its last, without blocks that are links alone. Boilerplate elements
+neighbouring nodes, and fused to one weight. Paths whose weight reaches the threshold are content. If there are article
+or main elements, those that hold content give the page's blocks; else the innermost element that holds most of all
+content does, up to its own borders, without blocks that are links alone. If that is the whole body, headings and lists
+beside the content belong to it, and other blocks outside its first and last are left out. Boilerplate elements
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) are told by tag, role and class and left out.
 """
 
@@ -163,6 +164,16 @@ def weights(found: list[_Block]) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), "valid") if len(ratio) else ratio
 
 
+def _links_alone(block: _Block) -> bool:
+    return block.linked >= len("".join(block.text).strip())
+
+
+def _beside(block: _Block) -> bool:
+    """A heading or a part of a list."""
+    tags = block.path.split("/")
+    return tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6") or not {"li", "dt", "dd"}.isdisjoint(tags)
+
+
 def main_text(page: str) -> str:
     """The article's blocks, each with its white space as single spaces, joined by line feeds. Empty if there are none."""
     found = blocks(page.replace("\0", ""))
@@ -172,12 +183,9 @@ def main_text(page: str) -> str:
     content = weight >= THRESHOLD * weight.mean()
     inside = [b.container for b in found]
     if any(inside):
-        mass: dict[int, float] = {}
-        for b, w, c in zip(found, weight, content, strict=True):
-            if b.container and c:
-                mass[b.container] = mass.get(b.container, 0.0) + w
-        chosen = max(sorted(mass), key=mass.get) if mass else max(inside)
-        picked = [b for b in found if b.container == chosen]
+        several = {b.container for b, c in zip(found, content, strict=True) if b.container and c and not _links_alone(b)}
+        chosen = several or {max(inside)}
+        picked = [b for b in found if b.container in chosen]
     else:
         at = np.flatnonzero(content)
         mass = {}
@@ -186,9 +194,17 @@ def main_text(page: str) -> str:
                 mass[k] = mass.get(k, 0.0) + weight[i]
         most = MOST * mass[0]
         chosen = max(k for k, m in mass.items() if m >= most)  # numbered in page order: the last is the innermost
-        at = [i for i in at if chosen in found[i].elements]
-        inside = [(i, found[i]) for i in range(at[0], at[-1] + 1) if chosen in found[i].elements]
-        picked = [b for i, b in inside if content[i] or b.linked < len("".join(b.text).strip())]
+        within = [i for i, b in enumerate(found) if chosen in b.elements and (content[i] or not _links_alone(b))]
+        first = found[within[0]]
+        if first.path.split("/")[first.elements.index(chosen)] in ("", "html", "body"):
+            # No element sets the content apart: from its first block to its last, and the headings and lists beside it.
+            low, high = (within.index(i) for i in (at[0], at[-1]))
+            while low > 0 and _beside(found[within[low - 1]]):
+                low -= 1
+            while high + 1 < len(within) and _beside(found[within[high + 1]]):
+                high += 1
+            within = within[low : high + 1]
+        picked = [found[i] for i in within]
     lines = (_SPACE.sub(" ", "".join(b.text)).strip() for b in picked)
     return "\n".join(line for line in lines if line)
 

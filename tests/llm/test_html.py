@@ -42,6 +42,28 @@ def test_page_without_an_article_element():
     assert len(lines) == 6 and all(line.startswith("Paragraph") for line in lines)
 
 
+LONG = "".join(f"<p>Paragraph {i} of the story, which has a good length, some commas, more words than it needs, and an end. It has a second sentence, too.</p>" for i in range(6))
+STORY = f"<h1>A headline of few words</h1>{LONG}<ul><li>One item</li><li>Another</li></ul><p>The end</p>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_headline_and_list_with_and_without_article(tag):
+    page = f"<html><body><div><a href=1>Home</a></div><{tag}>{STORY}</{tag}><div>Some place, 2020</div></body></html>"
+    lines = html.main_text(page).split("\n")
+    assert lines[0] == "A headline of few words" and lines[-3:] == ["One item", "Another", "The end"] and len(lines) == 10
+
+
+def test_headline_and_list_in_the_body():
+    lines = html.main_text(f"<html><body><div><a href=1>Home</a></div>{STORY[: -len('<p>The end</p>')]}<div>Some place</div></body></html>").split("\n")
+    assert lines[0] == "A headline of few words" and lines[-2:] == ["One item", "Another"] and len(lines) == 9
+
+
+def test_several_articles_with_content():
+    page = f"<html><body><article>{LONG}</article><article><h2>Second</h2>{LONG}</article><article><h3><a href=1>A teaser</a></h3></article></body></html>"
+    lines = html.main_text(page).split("\n")
+    assert len(lines) == 13 and lines[6] == "Second"
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<!--", "<article>", "</p></article>", "<script>x", "<article></article>", "&", "&#xFFFFFFFF;", "<a href='", "<p class=\"x>y</p>", "\0", "<" * 5000, "<div>" * 3000 + "deep" + "</div>" * 3000])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 500_000
 #: Bytes of a batch that Spark sends to Python; a task holds a few of them.
 BATCH_BYTES = 4_000_000
-#: Bits of the bitmap of ids, a prime.
-BITMAP = (1 << 24) - 3
+#: Bits a counted id of a bitmap of ids, and its most bits: 16 MB. Beyond half as many ids, joins take its place.
+BITS_AN_ID = 16
+MOST_BITS = 1 << 27
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -113,36 +114,64 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
 
 
 class Ids:
-    """A set of ids as a bitmap of fixed size, which tasks get by broadcast: it holds every id of the set, and maybe others.
+    """A set of ids as a bitmap, sized by their number, which tasks get by broadcast: it holds every id, and maybe others.
 
     It keeps rows out of a shuffle that a join would drop, or would not change; the join stays the judge of the rest.
+    Where there are more ids than the greatest bitmap has room for, the join alone picks the rows.
     """
 
     def __init__(self, ids: DataFrame, column: str = "doc_id"):
-        # At most BITMAP / 64 rows come to the driver, whatever the number of ids.
-        bits = ids.select(F.pmod(F.col(column), F.lit(BITMAP)).alias("bit")).filter("bit IS NOT NULL")
+        self.ids, self.column, self.shared = ids.select(F.col(column).alias("doc_id")).filter("doc_id IS NOT NULL").distinct(), column, None
+        n = self.ids.count()
+        if n > MOST_BITS // 2:
+            return
+        # An odd number of bits, so that ids with a stride are dealt evenly.
+        self.bits = min(MOST_BITS, max(1 << 16, 1 << (BITS_AN_ID * n - 1).bit_length() if n else 0)) - 1
+        bits = self.ids.select(F.pmod("doc_id", F.lit(self.bits)).alias("bit"))
         bits = bits.selectExpr("CAST(bit DIV 64 AS INT) AS word", "shiftleft(1L, CAST(bit % 64 AS INT)) AS bits")
-        rows = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-        words = np.zeros(BITMAP // 64 + 1, np.int64)
+        rows = bits.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most MOST_BITS / 64 rows
+        words = np.zeros(self.bits // 64 + 1, np.int64)
         words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
         self.shared = ids.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
-    def _has(self, column: pa.Array) -> np.ndarray:
-        bit = np.mod(column.fill_null(0).to_numpy(zero_copy_only=False), BITMAP)
-        found = (self.shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-        return found.astype(bool) & column.is_valid().to_numpy(zero_copy_only=False)
-
     def rows(self, df: DataFrame, there: bool = True, column: str = "doc_id") -> DataFrame:
         """The rows of df whose id may be in the set; with there=False the others, whose id is not in it or null."""
+        return self.mapped(df, None, df.schema, there, column)
+
+    def mapped(self, df: DataFrame, function, schema, there: bool = True, column: str = "doc_id") -> DataFrame:
+        """function, if any, over rows(...), in the same Python worker."""
+        if self.shared is None:
+            picked = df.join(self.ids.withColumnRenamed("doc_id", "__id"), F.col(column) == F.col("__id"), "left_semi" if there else "left_anti")
+            return picked.mapInArrow(function, schema) if function else picked
+        shared, bits = self.shared, self.bits
 
         def picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array(self._has(batch.column(column)) == there))
+                own = batch.column(column)
+                bit = np.mod(own.fill_null(0).to_numpy(zero_copy_only=False), bits)
+                has = ((shared.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                yield batch.filter(pa.array((has & own.is_valid().to_numpy(zero_copy_only=False)) == there))
 
-        return df.mapInArrow(picked, df.schema)
+        return df.mapInArrow((lambda batches: function(picked(batches))) if function else picked, schema)
 
 
 def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents, with all their columns, whose doc_id is not in gone (doc_id). Only those that may go are shuffled."""
     ids = Ids(gone)
     return ids.rows(documents, False).unionByName(ids.rows(documents).join(gone.distinct(), "doc_id", "left_anti").select(*documents.columns))
+
+
+def hot_keys(rows: DataFrame, key: str) -> DataFrame:
+    """(key, salts) of the keys with more rows than a sixteenth of a partition's mean share, and how many such shares each
+    has: at most 16 keys a partition, small enough to broadcast. rows may be a sample."""
+    counts = written(rows.groupBy(key).agg(F.count("*").alias("n")))
+    share = max(4.0, (counts.agg(F.sum("n")).first()[0] or 0) / (16 * partitions(rows.sparkSession)))
+    return written(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts")))
+
+
+def dealt(rows: DataFrame, key: str, hot: DataFrame, *order: str) -> DataFrame:
+    """Rows dealt by (key, salt) and sorted by these and `order`. The salt of a hot key depends on doc_id and is 1 or more;
+    that of any other key is 0."""
+    salt = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")) + 1, F.lit(0)).cast("int")
+    marked = rows.join(F.broadcast(hot), key, "left").withColumn("salt", salt).drop("salts")
+    return marked.repartition(partitions(rows.sparkSession), key, "salt").sortWithinPartitions(key, "salt", *order)

@@ -16,14 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, chunks, narrow, partitions, runs, text_bytes, written
-from .words import Words, window_minima
+from .common import Ids, chunks, hot_keys, narrow, partitions, runs, text_bytes, written
+from .words import U, Words, mix
 
 MIN_WORDS = 50
 #: Words of a seed, and seeds from which the least is an anchor: every run of ANCHORED + GRAM - 1 words holds one.
 GRAM = 8
 ANCHORED = 24
 LEAST_MIN_WORDS = ANCHORED + GRAM - 1
+#: Words on either side of an anchor that a run about it may begin or end with, besides the prefix.
+LEFT = ANCHORED - 1
+STRETCH = "a long, a_place long, b long, b_place long, length long"
 RESULT = "doc_id long, start_word long, n_words long, source_doc_id long, source_start_word long, n_equal long"
 
 
@@ -52,62 +55,162 @@ def copied(copies: DataFrame, min_words: int) -> DataFrame:
     return copies.filter(F.col("n_words") >= min_words).select("doc_id", zero.alias("start_word"), "n_words", "source_doc_id", zero.alias("source_start_word"), F.col("n_words").alias("n_equal"))
 
 
-def texts_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the documents among ids, and of some others."""
-    return Ids(ids).rows(rows_of(documents))
+def distinct_texts(documents: DataFrame, copies: DataFrame, function, schema: str) -> DataFrame:
+    """function over (doc_id, text) of the documents that are no copies. Only those that may be copies are shuffled."""
+    ids, rows = Ids(copies), rows_of(documents)
+    others = ids.rows(rows).join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
+    return ids.mapped(rows, function, schema, False).unionByName(others.mapInArrow(function, schema))
 
 
-def _windows(min_words: int):
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every run of min_words words that belongs to one of its document's places: that of the least seed among the
-        run's first ones, which is the same wherever the run stands."""
+def _contexts(min_words: int):
+    """Of each of a document's places the words about the prefix, as 4-byte hashes: those before it, nearest first, and
+    those after it, up to LEFT of either."""
+    keyed = min_words - LEFT
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
             words = Words(batch.column("text").to_pylist())
-            seeds, at = words.grams(GRAM)
-            cut = np.searchsorted(at, words.first)
-            run, doc, place = [], [], []
-            for i, (d, places) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                n = int(words.counts[i]) - min_words + 1
-                if n <= 0:
-                    continue
-                anchors = window_minima(seeds[cut[i] : cut[i + 1]], ANCHORED)[:n]
-                starts = np.flatnonzero(np.isin(anchors, np.array(places)))
-                run.append(words.run_hashes(starts + words.first[i], min_words))
-                place.append(starts.astype(np.int32))
-                doc.append(np.full(len(starts), d, np.int64))
-            if run:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(run).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(place))], ["run", "doc_id", "place"])
+            short = words.hashes.astype("<u4")
+            back = np.ascontiguousarray(short[::-1])
+            near = batch.column("places")
+            owner = np.repeat(np.arange(batch.num_rows), np.diff(near.offsets.to_numpy()))
+            flat = near.flatten()
+            place, prefix = flat.field("place").to_numpy().astype(np.int64), flat.field("prefix").to_numpy()
+            low, high, n = words.first[:-1][owner], words.first[1:][owner], len(short)
+            # Rows that repeat a doc_id with another text have other suffixes.
+            fits = np.flatnonzero(place + keyed <= high - low)
+            fits = fits[words.run_hashes(low[fits] + place[fits], keyed).view(np.int64) == prefix[fits]]
+            place, prefix, low, high, owner = (c[fits] for c in (place, prefix, low, high, owner))
+            at = low + place
+            before = [back[n - i : n - i + k].tobytes() for i, k in zip(at.tolist(), np.minimum(place, LEFT).tolist(), strict=True)]
+            after = [short[i : i + k].tobytes() for i, k in zip((at + keyed).tolist(), np.minimum(high - at - keyed, LEFT).tolist(), strict=True)]
+            docs = batch.column("doc_id").to_numpy()[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(prefix), pa.array(docs), pa.array(place.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], ["prefix", "doc_id", "place", "before", "after"])
+
+    return contexts
+
+
+def _padded(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of LEFT words, with zeros after their end, and how many words each has."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(p.ljust(4 * LEFT, b"\0") for p in parts), "<u4").reshape(-1, LEFT), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+
+
+def _sums(words: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0 to LEFT words of each row."""
+    out = np.zeros((len(words), LEFT + 1), U)
+    with np.errstate(over="ignore"):
+        for i in range(LEFT):
+            out[:, i + 1] = mix(out[:, i] * U(31) + words[:, i].astype(U) + U(1))
+    return out
+
+
+def _intervals(min_words: int):
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Equal stretches of suffixes that stand in order. What two neighbours' words have in common after the prefix parts
+        them into intervals of suffixes that agree in `right` words or more; in each, those with the same LEFT - right words
+        before the prefix hold one run of min_words words, and the least document's is the source of all others."""
+        for table in runs(batches, ["prefix"]):
+            prefix, doc, place = (table.column(c).to_numpy() for c in ("prefix", "doc_id", "place"))
+            place = place.astype(np.int64)
+            (before, n_before), (after, n_after) = _padded(table.column("before")), _padded(table.column("after"))
+            common = np.minimum.accumulate(after[1:] == after[:-1], axis=1).sum(axis=1)
+            common[prefix[1:] != prefix[:-1]] = -1
+            sums = _sums(before)
+            by_doc = np.lexsort((place, doc))
+            source = np.full((len(doc), LEFT + 1), -1, np.int64)
+            for left in range(LEFT + 1):
+                right = LEFT - left
+                interval = np.concatenate([[0], np.cumsum(common < right)]).astype(U)
+                rows = by_doc[(n_before >= left)[by_doc] & (n_after >= right)[by_doc]]
+                with np.errstate(over="ignore"):
+                    key = mix(interval[rows] * U(0x9E3779B97F4A7C15) ^ sums[rows, left])
+                order = np.argsort(key, kind="stable")
+                first = np.concatenate([[True], key[order][1:] != key[order][:-1]])[: len(order)]
+                head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))] if len(order) else order
+                x, y = rows[order], rows[head]
+                other = doc[y] < doc[x]
+                source[x[other], left] = y[other]
+            # Runs that follow one another and have one source are one stretch.
+            flat = source.ravel()
+            new = np.concatenate([[True], flat[1:] != flat[:-1]])
+            new[:: LEFT + 1] = True
+            start = np.flatnonzero(new)
+            end = np.concatenate([start[1:], [len(flat)]])
+            keep = flat[start] >= 0
+            start, end = start[keep], end[keep]
+            x, y, furthest = start // (LEFT + 1), flat[start], (end - 1) % (LEFT + 1)
+            out = (doc[x], place[x] - furthest, doc[y], place[y] - furthest, end - start - 1 + min_words)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], STRETCH.replace(",", "").split()[0::2])
+
+    return intervals
+
+
+def _windows(min_words: int):
+    contexts = _contexts(min_words)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Every run of min_words words about the places, by its hash."""
+        for batch in contexts(batches):
+            (before, n_before), (after, n_after) = _padded(batch.column("before")), _padded(batch.column("after"))
+            left, right = _sums(before), _sums(after)
+            prefix = batch.column("prefix").to_numpy().view(U)
+            for k in range(LEFT + 1):
+                at = np.flatnonzero((n_before >= k) & (n_after >= LEFT - k))
+                with np.errstate(over="ignore"):
+                    run = mix(mix(left[at, k] + U(k)) ^ mix(right[at, LEFT - k] + prefix[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), batch.column("doc_id").take(pa.array(at)), pa.array((batch.column("place").to_numpy()[at] - k).astype(np.int32))], ["run", "doc_id", "place"])
 
     return windows
 
 
-def equal_runs(documents: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
-    """(a, a_place, b, b_place): every run of min_words words at one of the places (doc_id, place) of a document a, with
-    the first place in the least document b < a that has the run, too. Places are where seeds of GRAM words begin."""
-    by_document = places.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    runs_ = written(texts_of(documents, places).join(by_document, "doc_id").mapInArrow(_windows(min_words), "run long, doc_id long, place int"))
-    ends = runs_.groupBy("run").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("last")).filter("b < last").drop("last")
-    met = runs_.join(ends, "run")
-    heads = met.filter("doc_id = b").groupBy("run").agg(F.min("place").alias("b_place"))
-    return met.filter("doc_id > b").join(heads, "run").selectExpr("doc_id AS a", "place AS a_place", "b", "b_place")
+def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -> DataFrame:
+    """(a, a_place, b, b_place, length): for every run of min_words words about one of the suffixes (prefix, doc_id, place)
+    of a document a the first place in the least document b < a that has the run about an equal prefix, runs that follow
+    one another as one row. A prefix is min_words - LEFT words.
+
+    Suffixes are dealt by their prefix and sorted by the words after it. Those of a hot prefix would all come to one task:
+    their runs are grouped by hash instead, so that they are aggregated before they are shuffled."""
+    spark = documents.sparkSession
+    hot = hot_keys(suffixes, "prefix")
+    marked = written(suffixes.join(F.broadcast(hot), "prefix", "left").select("prefix", "doc_id", "place", F.col("salts").isNotNull().alias("hot")))
+
+    def about(places: DataFrame, function, schema: str) -> DataFrame:
+        by_document = places.groupBy("doc_id").agg(F.collect_set(F.struct("place", "prefix")).alias("places"))
+        return Ids(places).rows(rows_of(documents)).join(by_document, "doc_id").mapInArrow(function, schema)
+
+    ordered = about(marked.filter("NOT hot"), _contexts(min_words), "prefix long, doc_id long, place int, before binary, after binary")
+    ordered = ordered.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place")
+    found = ordered.mapInArrow(_intervals(min_words), STRETCH)
+    if hot.isEmpty():
+        return found
+    rows = written(about(marked.filter("hot"), _windows(min_words), "run long, doc_id long, place int"))
+    least = written(rows.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("low"), F.max("doc_id").alias("last")).filter("low.doc_id < last").drop("last"))
+    often = hot_keys(rows, "run").select("run")  # few enough to broadcast: these are joined where they lie
+    split = rows.join(F.broadcast(often.withColumn("often", F.lit(True))), "run", "left")
+    met = split.filter("often").join(F.broadcast(least.join(F.broadcast(often), "run", "left_semi")), "run").unionByName(split.filter("often IS NULL").join(least, "run"))
+    return found.unionByName(met.filter("doc_id > low.doc_id").select(F.col("doc_id").alias("a"), F.col("place").cast("long").alias("a_place"), F.col("low.doc_id").alias("b"), F.col("low.place").cast("long").alias("b_place"), F.lit(min_words).cast("long").alias("length")))
 
 
-def joined_runs(links: DataFrame, min_words: int) -> DataFrame:
-    """The passages that runs on one diagonal of two documents make, each as long as its runs follow one another."""
+def joined_stretches(stretches: DataFrame) -> DataFrame:
+    """The passages that stretches on one diagonal of two documents make, each as long as its stretches touch."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches, ["a", "b"]):
-            a, b, x, y = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "a_place", "b_place"))
+            a, b, x, y, length = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "a_place", "b_place", "length"))
             order = np.lexsort((x, x - y, b, a))
-            a, b, x, y = a[order], b[order], x[order], y[order]
-            new = np.concatenate([[True], (np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(x - y) != 0) | (np.diff(x) > min_words)])
-            first = np.flatnonzero(new)
+            a, b, x, y, length = a[order], b[order], x[order], y[order], length[order]
+            line = np.concatenate([[0], np.cumsum((np.diff(a) != 0) | (np.diff(b) != 0) | (np.diff(x - y) != 0))])
+            # The furthest end so far on the same diagonal: diagonals are set apart by more than any place.
+            apart = int((x + length).max()) + 1
+            reach = np.maximum.accumulate(x + length + line * apart)
+            first = np.flatnonzero(np.concatenate([[True], x[1:] + line[1:] * apart > reach[:-1]]))
             last = np.concatenate([first[1:] - 1, [len(a) - 1]])
-            n = x[last] - x[first] + min_words
+            n = reach[last] - line[last] * apart - x[first]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a[first], x[first], n, b[first], y[first], n)], RESULT.replace(",", "").split()[0::2])
 
-    n = partitions(links.sparkSession)
-    return links.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(join, RESULT)
+    n = partitions(stretches.sparkSession)
+    return stretches.repartition(n, "a", "b").sortWithinPartitions("a", "b").mapInArrow(join, RESULT)
 
 
 def with_stretches(found: DataFrame, documents: DataFrame, margin: int) -> DataFrame:
@@ -123,7 +226,7 @@ def with_stretches(found: DataFrame, documents: DataFrame, margin: int) -> DataF
     key = ["a", "b", "a_from", "b_from"]
     sides = [found.select(*key, F.lit(k).alias("side"), F.col(s).alias("doc_id"), F.col(f"{s}_from").alias("low"), F.col(f"{s}_to").alias("high"), F.col("parts") if not k else F.lit(None).cast("binary").alias("parts")) for k, s in enumerate("ab")]
     needs = sides[0].unionByName(sides[1])
-    lists = texts_of(documents, needs.select("doc_id")).mapInArrow(hashed, "doc_id long, words binary")
+    lists = Ids(needs).mapped(rows_of(documents), hashed, "doc_id long, words binary")
     low = F.greatest(F.col("low") - margin, F.lit(0))
     stretch = F.substring("words", (low * 4 + 1).cast("int"), ((F.col("high") + margin - low) * 4).cast("int"))
     cut = needs.join(lists, "doc_id").select(*key, "side", low.alias("stretch_low"), stretch.alias("stretch"), "parts")
@@ -139,8 +242,8 @@ def without_passages(documents: DataFrame, passages: DataFrame) -> DataFrame:
     cuts = passages.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start_word", "n_words"))).alias("cuts"))
     cuts = written(cuts)
     columns, ids = documents.columns, Ids(cuts)
-    joined = ids.rows(documents.withColumnsRenamed({"cuts": "other_cuts"})).join(cuts, "doc_id", "left")
-    own = ["other_cuts" if c == "cuts" else c for c in columns]
+    own = [c if c in ("doc_id", "text", "n_chars") else f"_{i}" for i, c in enumerate(columns)]
+    joined = ids.rows(documents.toDF(*own)).join(cuts, "doc_id", "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):

@@ -161,14 +161,19 @@ def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
     return ids.rows(documents, False).unionByName(ids.rows(documents).join(gone.distinct(), "doc_id", "left_anti").select(*documents.columns))
 
 
-def hot_keys(rows: DataFrame, key: str) -> DataFrame:
-    """(key, salts) of the keys with more rows than a sixteenth of a partition's mean share, and how many such shares each
-    has: at most 16 keys a partition, small enough to broadcast. rows may be a sample."""
+def hot_keys(rows: DataFrame, key: str, share: float | None = None) -> DataFrame:
+    """(key, salts) of the keys with more rows than `share`, a quarter of a partition's mean where it is not given, and how
+    many such shares each has: at most four keys a partition, small enough to broadcast. rows may be a sample."""
     counts = written(rows.groupBy(key).agg(F.count("*").alias("n")))
-    share = max(4.0, (counts.agg(F.sum("n")).first()[0] or 0) / (16 * partitions(rows.sparkSession)))
+    share = share or mean_share(counts.agg(F.sum("n")).first()[0], rows.sparkSession)
     return written(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts")))
 
 
+def mean_share(n_rows: int | None, spark: SparkSession) -> float:
+    """A quarter of a partition's mean share of n_rows rows."""
+    return max(4.0, (n_rows or 0) / (4 * partitions(spark)))
+
+
 def dealt(rows: DataFrame, key: str, hot: DataFrame, *order: str) -> DataFrame:
     """Rows dealt by (key, salt) and sorted by these and `order`. The salt of a hot key depends on doc_id and is 1 or more;
     that of any other key is 0."""

@@ -1,14 +1,21 @@
-"""Best-fit packing by bin completion.
+"""Best-fit packing by bin completion, a branch-and-bound search.
 
 Only the lengths matter to the packing, and there are at most `capacity` of them: Spark counts the pieces of each
-length, the completion search runs on that histogram (at most `capacity` numbers, whatever the corpus), and its answer
-is a list of patterns with a number of copies each. Every piece then finds its sequence from its length and its rank
-among the pieces of that length, which Spark numbers in salted groups.
+length, the search runs on that histogram (at most `capacity` numbers, whatever the corpus), and its answer is a list of
+patterns with a number of copies each. Every piece then finds its sequence from its length and its rank among the pieces
+of that length, which Spark numbers in salted groups.
+
+The search fills one sequence after another about the largest length left. Best fit gives the first answer, the
+incumbent. Where it needs more sequences than a lower bound of all lengths proves necessary, the undominated fillings of
+each sequence are tried, fullest first; a branch ends where its waste so far, with the waste that the bound proves for
+the lengths left, is no less than the incumbent's, or where the same lengths have been left before.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,97 +30,176 @@ from .tokens import encoder
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
+#: Lengths that are tried in the search for fewer sequences than best fit needs.
+EFFORT = 300_000
+#: Lengths of a sequence beyond which the search ends, as if its steps were used up.
+DEEPEST = 500
 
 
-class Fillings:
-    """Finds fillings of a space from the lengths that are left, fullest first and of few items.
+def lower_bound(counts: np.ndarray, capacity: int) -> int:
+    """A number of sequences that no packing can do without. For each threshold t: lengths over capacity - t have no length
+    of t or more beside them, lengths over half stand apart, and what these leave must hold the lengths from t to half."""
+    half = capacity // 2
+    n = np.cumsum(counts[::-1])[::-1]  # how many are of a length or longer
+    total = np.cumsum((counts * np.arange(len(counts)))[::-1])[::-1]
+    n, total = np.append(n, 0), np.append(total, 0)
+    t = np.concatenate([[1], np.flatnonzero(counts[: half + 1])])
+    alone, apart = n[capacity - t + 1], n[half + 1] - n[capacity - t + 1]
+    apart, alone = np.maximum(apart, 0), np.minimum(alone, n[half + 1])
+    room = apart * capacity - (total[half + 1] - total[np.maximum(capacity - t, half) + 1])
+    small = total[np.minimum(t, half + 1)] - total[half + 1]
+    return int((n[half + 1] + np.maximum(0, -(-(small - room) // capacity))).max())
 
-    A filling of fewer, larger items dominates one whose items could be put in their place, so single lengths are
-    tried before pairs, and pairs before a length with a pair, and so on; the first filling without waste ends the
-    search, and one with no less waste than the incumbent's is never entered.
-    """
 
-    def __init__(self, counts: np.ndarray, effort: int = 400):
-        self.counts, self.effort = counts, effort
-        self._index()
-
-    def _index(self) -> None:
-        here = self.counts > 0
-        self.lengths = np.flatnonzero(here)
-        self.below = np.maximum.accumulate(np.where(here, np.arange(len(here)), 0))  # the largest length at most so long
-
-    def take(self, items: list[int], copies: int) -> None:
-        for x in items:
-            self.counts[x] -= copies
-        if (self.counts[items] <= 0).any():
-            self._index()
-
-    def _best_fit(self, space: int, used: dict[int, int]) -> list[int]:
-        """The incumbent: again and again the largest length that fits."""
-        out, used = [], dict(used)
-        while space > 0 and (x := int(self.below[space])):
-            while x and self.counts[x] - used.get(x, 0) <= 0:
-                x = int(self.below[x - 1])
-            if not x:
+def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """(lengths, copies): again and again the largest length left, with the one or two that fill it best, else with the
+    largest that fits, and so on; a filling is used as often as its lengths last."""
+    counts, out = counts.copy(), []
+    lengths = np.flatnonzero(counts)
+    while len(lengths):
+        below = np.maximum.accumulate(np.where(counts > 0, np.arange(len(counts)), 0))  # the largest length at most so long
+        while len(lengths) and counts[lengths[-1]]:
+            items, used = [], Counter()
+
+            def take(x: int) -> None:
+                items.append(x)
+                used[x] += 1
+
+            take(int(lengths[-1]))
+            space = capacity - items[0]
+            while space > 0:
+                first = lengths[: np.searchsorted(lengths, space, "right")][::-1]
+                if not len(first):
+                    break
+                # Two that together leave the least space; of equals the one with the larger length.
+                second = below[space - first]
+                pair = None
+                for k in np.argsort(-(first + second), kind="stable")[:16]:
+                    x, y = int(first[k]), int(second[k])
+                    if counts[x] - used[x] > (x == y) and (not y or counts[y] - used[y] > 0):
+                        pair = (x, y)
+                        break
+                if pair and sum(pair) == space:
+                    for x in pair:
+                        if x:
+                            take(x)
+                    break
+                x = int(below[space])
+                while x and counts[x] - used[x] <= 0:
+                    x = int(below[x - 1])
+                if not x:
+                    break
+                take(x)
+                space -= x
+            copies = min(int(counts[x]) // k for x, k in used.items())
+            for x, k in used.items():
+                counts[x] -= k * copies
+            out.append((items, copies))
+            if any(not counts[x] for x in used):
                 break
-            out.append(x)
-            used[x] = used.get(x, 0) + 1
-            space -= x
-        return out
-
-    def _pair(self, space: int, used: dict[int, int]) -> list[int]:
-        """The fullest one or two lengths."""
-        x = self.lengths[: np.searchsorted(self.lengths, space, "right")][::-1]
-        if not len(x):
-            return []
-        y = self.below[space - x]
-        fill = x + y
-        for at in np.argsort(-fill, kind="stable")[:4]:
-            items = [int(x[at])] + ([int(y[at])] if y[at] else [])
-            if all(self.counts[i] - used.get(i, 0) >= items.count(i) for i in items):
-                return items
-        return []
-
-    def complete(self, space: int, used: dict[int, int]) -> list[int]:
-        best = self._best_fit(space, used)
-        waste = space - sum(best)
-        nodes = self.effort
-
-        def search(left: int, chosen: list[int], held: dict[int, int], deep: int) -> None:
-            nonlocal best, waste, nodes
-            if not waste or nodes <= 0:
-                return
-            nodes -= 1
-            pair = self._pair(left, held)
-            if left - sum(pair) < waste:
-                best, waste = [*chosen, *pair], left - sum(pair)
-            if not deep or not waste:
-                return
-            for x in self.lengths[: np.searchsorted(self.lengths, left, "right")][::-1]:
-                if not waste or nodes <= 0:
-                    return
-                x = int(x)
-                if self.counts[x] - held.get(x, 0) > 0 and (not chosen or x <= chosen[-1]):
-                    search(left - x, [*chosen, x], held | {x: held.get(x, 0) + 1}, deep - 1)
-
-        search(space, [], used, 3)
-        return best
-
-
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """(lengths, copies): sequences that hold every counted piece. At each step the largest length left is completed,
-    and the filling is used as often as its lengths last."""
+        lengths = lengths[counts[lengths] > 0]
+    return out
+
+
+def _dominated(items: list[int], slack: int, counts: np.ndarray, used: Counter) -> bool:
+    """Whether a length left over could stand in the place of some of the items and fill the sequence no less: whatever
+    they fill elsewhere could then be filled with them in its place."""
+    sums = {0: 0}  # a sum of items, and the number of them
+    for x in items:
+        for s, k in list(sums.items()):
+            sums[s + x] = max(sums.get(s + x, 0), k + 1)
+    for s, k in sums.items():
+        if s:
+            low = s + 1 if k < 2 else s
+            here = np.flatnonzero(counts[low : s + slack + 1]) + low
+            if any(counts[y] - used[y] > 0 for y in here.tolist()):
+                return True
+    return False
+
+
+def fillings(counts: np.ndarray, capacity: int, most_waste: int, effort: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of the undominated sequences about the largest length that waste at most most_waste. Each length
+    that is tried takes one from effort, and none is made when it is used up."""
+    lengths = np.flatnonzero(counts)[::-1].tolist()
+    largest, order, have = lengths[0], [-x for x in lengths], counts.tolist()
+    used = Counter([largest])
+
+    def extend(at: int, space: int, items: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+        if len(items) > DEEPEST:
+            effort[0] = 0
+        if effort[0] <= 0:
+            return
+        grown = False
+        for k in range(max(at, bisect_left(order, -space)), len(lengths)):
+            x = lengths[k]
+            effort[0] -= 1
+            if have[x] - used[x] > 0:
+                grown = True
+                used[x] += 1
+                items.append(x)
+                yield from extend(k, space - x, items)
+                items.pop()
+                used[x] -= 1
+        if not grown and space <= most_waste and effort[0] > 0 and not _dominated(items, space, counts, used):
+            yield space, (largest, *items)
+
+    yield from extend(0, capacity - largest, [])
+
+
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT) -> list[tuple[list[int], int]]:
+    """(lengths, copies): sequences that hold every counted piece, as few as the search finds.
+
+    The result is the least number wherever the incumbent meets the lower bound or the search ends by itself. It stops
+    after `effort` steps, or where a sequence has over DEEPEST lengths: bounds on the driver's time that do not depend on
+    the corpus. It then keeps the incumbent.
+    """
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         counts[length] = n
-    fillings, out = Fillings(counts), []
-    while len(fillings.lengths):
-        largest = int(fillings.lengths[-1])
-        items = [largest, *fillings.complete(capacity - largest, {largest: 1})]
-        copies = min(int(counts[x]) // items.count(x) for x in set(items))
-        fillings.take(items, copies)
-        out.append((items, copies))
-    return out
+    best = best_fit(counts, capacity)
+    best_n, proven = sum(n for _, n in best), lower_bound(counts, capacity)
+    left, seen = [effort], set()
+
+    def options(now: np.ndarray, done: int) -> list[tuple[int, tuple[int, ...]]]:
+        # Waste that a better packing may still have: its sequences' space less all that is to be packed.
+        spare = (best_n - 1 - done) * capacity - int((now * np.arange(capacity + 1)).sum())
+        return sorted(fillings(now, capacity, spare, left), key=lambda f: (f[0], len(f[1])))
+
+    # Depth first with a stack of its own: (lengths left, sequences so far, fillings to try, what led here).
+    stack = [(counts, 0, iter(options(counts, 0)), None)] if best_n > proven else []
+    while stack and best_n > proven and left[0] > 0:
+        now, done, tries, _ = stack[-1]
+        step = next(tries, None)
+        if step is None:
+            stack.pop()
+            continue
+        used = Counter(step[1])
+        after = now.copy()
+        for x, k in used.items():
+            after[x] -= k
+        n = done + 1
+        path = (step[1], stack[-1][3])
+        if not after.any():
+            if n < best_n:
+                best, best_n = [], n
+                while path:
+                    best.append((list(path[0]), 1))
+                    path = path[1]
+            continue
+        key = after.tobytes()
+        if n + lower_bound(after, capacity) >= best_n or key in seen:
+            continue
+        seen.add(key)
+        # Best fit on what is left may end the search at once.
+        rest = best_fit(after, capacity)
+        if n + sum(c for _, c in rest) < best_n:
+            best, best_n, back = list(rest), n + sum(c for _, c in rest), path
+            while back:
+                best.append((list(back[0]), 1))
+                back = back[1]
+        left[0] -= 100 + 20 * int((after > 0).sum())  # what best fit and the bound cost, in lengths tried
+        stack.append((after, n, iter(options(after, n)), path))
+    return best
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -123,8 +209,8 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKE
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in chunks(batches, "text"):
             rows = []
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.ids(raw.decode("utf-8", "replace")) + end
+            for doc, own in zip(batch.column("doc_id").to_pylist(), enc.ids(batch.column("text").to_pylist()), strict=True):
+                ids = own.astype("<u4").tobytes() + end
                 rows += [(doc, at // (4 * capacity), at // 4, len(part := ids[at : at + 4 * capacity]) // 4, zlib.crc32(part)) for at in range(0, len(ids), 4 * capacity)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -156,7 +242,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
             following[length] += copies
             offset += length
         sequence += copies
-    # A pattern uses up a length or all but a few of it, so there are some thousand slots, whatever the corpus.
+    # Each pattern of best fit uses up a length or all but a few of it, and the search has at most EFFORT steps: the
+    # slots are bounded, whatever the corpus.
     slots.sort()
     shared = documents.sparkSession.sparkContext.broadcast(np.array(slots, np.int64).reshape(-1, 4))
 

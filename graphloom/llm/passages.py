@@ -111,7 +111,7 @@ def _intervals(min_words: int):
         them into intervals of suffixes that agree in `right` words or more; in each, those with the same LEFT - right words
         before the prefix hold one run of min_words words, and the least document's is the source of all others."""
         for table in runs(batches, ["prefix"]):
-            prefix, doc, place = (table.column(c).to_numpy() for c in ("prefix", "doc_id", "place"))
+            prefix, doc, place, least, most = (table.column(c).to_numpy() for c in ("prefix", "doc_id", "place", "least", "most"))
             place = place.astype(np.int64)
             (before, n_before), (after, n_after) = _padded(table.column("before")), _padded(table.column("after"))
             common = np.minimum.accumulate(after[1:] == after[:-1], axis=1).sum(axis=1)
@@ -122,7 +122,7 @@ def _intervals(min_words: int):
             for left in range(LEFT + 1):
                 right = LEFT - left
                 interval = np.concatenate([[0], np.cumsum(common < right)]).astype(U)
-                rows = by_doc[(n_before >= left)[by_doc] & (n_after >= right)[by_doc]]
+                rows = by_doc[((n_before >= left) & (n_after >= right) & (least <= left) & (left <= most))[by_doc]]
                 with np.errstate(over="ignore"):
                     key = mix(interval[rows] * U(0x9E3779B97F4A7C15) ^ sums[rows, left])
                 order = np.argsort(key, kind="stable")
@@ -146,22 +146,24 @@ def _intervals(min_words: int):
     return intervals
 
 
-def _windows(min_words: int):
-    contexts = _contexts(min_words)
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of a prefix parted by what else a run about it must hold: those that begin at most half-way before the
+    prefix have more words after it, the others more words before it; both make a longer prefix."""
+    for batch in batches:
+        (before, n_before), (after, n_after) = _padded(batch.column("before")), _padded(batch.column("after"))
+        left, right = _sums(before), _sums(after)
+        prefix, least, most = (batch.column(c).to_numpy() for c in ("prefix", "least", "most"))
+        middle = (least + most) // 2
+        for low, high in ((least, middle), (middle + 1, most)):
+            at = np.flatnonzero((n_before >= low) & (n_after >= LEFT - high))
+            with np.errstate(over="ignore"):
+                longer = mix(mix(left[at, low[at]] + low[at].astype(U)) ^ mix(right[at, LEFT - high[at]] + high[at].astype(U)) + prefix[at].view(U))
+            rest = [batch.column(c).take(pa.array(at)) for c in ("doc_id", "place", "before", "after")]
+            yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), *rest[:2], pa.array(low[at]), pa.array(high[at]), *rest[2:]], _SUFFIX.replace(",", "").split()[0::2])
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every run of min_words words about the places, by its hash."""
-        for batch in contexts(batches):
-            (before, n_before), (after, n_after) = _padded(batch.column("before")), _padded(batch.column("after"))
-            left, right = _sums(before), _sums(after)
-            prefix = batch.column("prefix").to_numpy().view(U)
-            for k in range(LEFT + 1):
-                at = np.flatnonzero((n_before >= k) & (n_after >= LEFT - k))
-                with np.errstate(over="ignore"):
-                    run = mix(mix(left[at, k] + U(k)) ^ mix(right[at, LEFT - k] + prefix[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(run.view(np.int64)), batch.column("doc_id").take(pa.array(at)), pa.array((batch.column("place").to_numpy()[at] - k).astype(np.int32))], ["run", "doc_id", "place"])
 
-    return windows
+#: A run about the prefix begins `least` to `most` words before it.
+_SUFFIX = "prefix long, doc_id long, place int, least int, most int, before binary, after binary"
 
 
 def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -> DataFrame:
@@ -170,26 +172,35 @@ def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -
     one another as one row. A prefix is min_words - LEFT words.
 
     Suffixes are dealt by their prefix and sorted by the words after it. Those of a hot prefix would all come to one task:
-    their runs are grouped by hash instead, so that they are aggregated before they are shuffled."""
+    their prefix is made longer by halves, until it is a whole run, of which the least document alone counts."""
     spark = documents.sparkSession
-    hot = hot_keys(suffixes, "prefix")
-    marked = written(suffixes.join(F.broadcast(hot), "prefix", "left").select("prefix", "doc_id", "place", F.col("salts").isNotNull().alias("hot")))
+    share = mean_share(suffixes.count(), spark)
+    hot = hot_keys(suffixes, "prefix", share)
 
-    def about(places: DataFrame, function, schema: str) -> DataFrame:
+    def about(places: DataFrame) -> DataFrame:
         by_document = places.groupBy("doc_id").agg(F.collect_set(F.struct("place", "prefix")).alias("places"))
-        return Ids(places).rows(rows_of(documents)).join(by_document, "doc_id").mapInArrow(function, schema)
-
-    ordered = about(marked.filter("NOT hot"), _contexts(min_words), "prefix long, doc_id long, place int, before binary, after binary")
-    ordered = ordered.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place")
-    found = ordered.mapInArrow(_intervals(min_words), STRETCH)
-    if hot.isEmpty():
-        return found
-    rows = written(about(marked.filter("hot"), _windows(min_words), "run long, doc_id long, place int"))
-    least = written(rows.groupBy("run").agg(F.min(F.struct("doc_id", "place")).alias("low"), F.max("doc_id").alias("last")).filter("low.doc_id < last").drop("last"))
-    often = hot_keys(rows, "run").select("run")  # few enough to broadcast: these are joined where they lie
-    split = rows.join(F.broadcast(often.withColumn("often", F.lit(True))), "run", "left")
-    met = split.filter("often").join(F.broadcast(least.join(F.broadcast(often), "run", "left_semi")), "run").unionByName(split.filter("often IS NULL").join(least, "run"))
-    return found.unionByName(met.filter("doc_id > low.doc_id").select(F.col("doc_id").alias("a"), F.col("place").cast("long").alias("a_place"), F.col("low.doc_id").alias("b"), F.col("low.place").cast("long").alias("b_place"), F.lit(min_words).cast("long").alias("length")))
+        near = Ids(places).rows(rows_of(documents)).join(by_document, "doc_id").mapInArrow(_contexts(min_words), "prefix long, doc_id long, place int, before binary, after binary")
+        return near.withColumns({"least": F.lit(0), "most": F.lit(LEFT)}).select("prefix", "doc_id", "place", "least", "most", "before", "after")
+
+    cold = about(suffixes.join(F.broadcast(hot), "prefix", "left_anti"))
+    whole = []
+    if not hot.isEmpty():
+        rows = about(suffixes.join(F.broadcast(hot), "prefix", "left_semi"))
+        while not hot.isEmpty():
+            halves = written(rows.mapInArrow(_halves, _SUFFIX))
+            hot = hot_keys(halves, "prefix", share)
+            cold = cold.unionByName(halves.join(F.broadcast(hot), "prefix", "left_anti"))
+            rows = written(halves.join(F.broadcast(hot), "prefix", "left_semi"))
+            ended = rows.filter("least = most")
+            least = F.broadcast(ended.groupBy("prefix").agg(F.min(F.struct("doc_id", "place")).alias("low")))  # a row for each hot prefix
+            start = F.col("place").cast("long") - F.col("least")
+            whole.append(ended.join(least, "prefix").filter("doc_id > low.doc_id").select(F.col("doc_id").alias("a"), start.alias("a_place"), F.col("low.doc_id").alias("b"), (F.col("low.place").cast("long") - F.col("least")).alias("b_place"), F.lit(min_words).cast("long").alias("length")))
+            rows = rows.filter("least < most")
+            hot = hot.join(rows, "prefix", "left_semi")
+    found = cold.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place").mapInArrow(_intervals(min_words), STRETCH)
+    for more in whole:
+        found = found.unionByName(more)
+    return found
 
 
 def joined_stretches(stretches: DataFrame) -> DataFrame:

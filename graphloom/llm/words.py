@@ -6,6 +6,9 @@ words everywhere below; with 64 bits, two different words of one comparison coll
 
 from __future__ import annotations
 
+import functools
+import re
+
 import numpy as np
 
 U = np.uint64
@@ -30,38 +33,66 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U), "down": np.ones(1, U)}
+#: Bytes over which sums run on; powers of this many places are held, so that memory doesn't grow with a text.
+PIECE = 1 << 20
+_LINE_END = re.compile(rb"[\x20\x09-\x0D]")
+
+
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_MULT, _INVERSE):
+        line = np.full(PIECE + 1, base, U)
+        line[0] = 1
+        with np.errstate(over="ignore"):
+            out.append(np.cumprod(line))
+    return out[0], out[1]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _MULT), ("down", _INVERSE)):
-            line = np.full(size, base, U)
-            line[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[name] = np.cumprod(line)
-    return _powers["up"], _powers["down"]
+    """Powers of the multiplier and of its inverse up to n; those beyond a piece are not kept."""
+    up, down = _powers()
+    while len(up) < n:
+        with np.errstate(over="ignore"):
+            up, down = (np.concatenate([x, x * x[-1] * base]) for x, base in ((up, _MULT), (down, _INVERSE)))
+    return up, down
+
+
+class Sums:
+    """Hashes of stretches of bytes."""
+
+    def __init__(self, data: np.ndarray):
+        up, self.down = _power(len(data) + 1)
+        self.total = np.zeros(len(data) + 1, U)
+        with np.errstate(over="ignore"):
+            np.cumsum(_BYTES[data] * up[: len(data)], out=self.total[1:])
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[ends] - self.total[starts]) * self.down[starts] + (ends - starts).astype(U))
 
 
 class Words:
-    """The words of a list of texts. hashes, starts, ends: one entry a word; first: where each text's words begin."""
+    """The words of a list of texts. hashes, starts, ends: one entry a word; first: where each text's words begin.
+
+    Bytes are taken in pieces that end between words, so that only the words' entries grow with a text's length."""
 
     def __init__(self, texts: list[bytes], lower: bool = True):
         joined = b"\n".join([*texts, b""])
-        self.buffer = np.frombuffer(joined, np.uint8)
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.offsets = np.concatenate([[0], np.cumsum(sizes + 1)])
-        space = _SPACE[self.buffer]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-        self.starts, self.ends = edge[0::2], edge[1::2]
+        self.buffer = buffer = np.frombuffer(joined, np.uint8)
+        self.offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)])
+        found, low = [], 0
+        while low < len(buffer):
+            high = len(buffer)
+            if high - low > PIECE and (gap := _LINE_END.search(joined, low + PIECE - 1)):
+                high = gap.end()
+            piece = buffer[low:high]
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[piece], [True]]).view(np.int8)))
+            starts, ends = edge[0::2], edge[1::2]
+            found.append((Sums(_LOWER[piece] if lower else piece).hashes(starts, ends), starts + low, ends + low))
+            low = high
+        self.hashes, self.starts, self.ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.first = np.searchsorted(self.starts, self.offsets)
-        up, down = _power(len(self.buffer) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(self.buffer) + 1, U)
-            values = _BYTES[_LOWER[self.buffer]] if lower else _BYTES[self.buffer]
-            np.cumsum(values * up[: len(self.buffer)], out=total[1:])
-            self.hashes = mix((total[self.ends] - total[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(U))
 
     @property
     def counts(self) -> np.ndarray:

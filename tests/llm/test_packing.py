@@ -55,12 +55,12 @@ def test_a_hot_length(spark):
     check(rows, packing.pack(frame(spark, rows)).collect())
 
 
-@pytest.mark.parametrize("seed", range(20))
+@pytest.mark.parametrize("seed", range(60))
 def test_patterns_against_the_least_number(seed):
     """Small bins, every packing tried."""
     rng = random.Random(seed)
-    capacity = 20
-    sizes = sorted((rng.randrange(1, capacity + 1) for _ in range(9)), reverse=True)
+    capacity = rng.choice((20, 50, 100))
+    sizes = sorted((rng.randrange(1, rng.choice((capacity // 3, capacity // 2, capacity)) + 1) for _ in range(10)), reverse=True)
 
     def least(at: int, bins: list[int], best: int) -> int:
         if len(bins) >= best:
@@ -76,7 +76,24 @@ def test_patterns_against_the_least_number(seed):
     found = packing.patterns({s: sizes.count(s) for s in set(sizes)}, capacity)
     assert sorted((x for items, n in found for x in items * n), reverse=True) == sizes
     assert all(sum(items) <= capacity for items, _ in found)
-    assert sum(n for _, n in found) <= least(0, [], 99) + 1
+    assert sum(n for _, n in found) == least(0, [], 99)
+
+
+def test_backtracking():
+    """Filling one sequence after another as full as can be needs five."""
+    lengths = [29, 28, 27, 26, 18, 15, 15, 12, 11, 9]
+    assert sum(n for _, n in packing.best_fit(np.bincount(lengths, minlength=51), 50)) == 5
+    found = packing.patterns({x: lengths.count(x) for x in lengths}, 50)
+    assert sum(n for _, n in found) == 4 and sorted(x for items, n in found for x in items * n) == sorted(lengths)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_no_bound_is_too_high(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice((10, 50, 1000))
+    counts = np.bincount([rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 60))], minlength=capacity + 1)
+    n = sum(k for _, k in packing.best_fit(counts, capacity))
+    assert -(-int((counts * np.arange(capacity + 1)).sum()) // capacity) <= packing.lower_bound(counts, capacity) <= n
 
 
 def test_odd_tables_repeat(spark):

@@ -40,7 +40,7 @@ def test_ids_and_splices(name):
     for _ in range(150):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(400)))
         ids = enc.library.encode(text, add_special_tokens=False).ids
-        assert enc.ids(text) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert enc.ids([text.encode()])[0].tolist() == ids and enc.counts([text.encode()])[0] == len(ids)
         if name.startswith("byte"):
             for chunk, overlap in ((100, 40), (300, 90), (64, 8)):
                 assert tokens.count_spliced(enc, text, chunk, overlap) == len(ids), (text, chunk, overlap)
@@ -57,4 +57,14 @@ def test_more_words_than_the_cache_holds(monkeypatch):
     enc = tokens.Encoder("byte_bpe_50k.json")
     for k in range(6):
         text = " ".join(f"w{i % (40 + 30 * k)}x" for i in range(400))
-        assert enc.ids(text) == b"".join(i.to_bytes(4, "little") for i in enc.library.encode(text, add_special_tokens=False).ids)
+        assert enc.ids([text.encode()])[0].tolist() == enc.library.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_of_short_texts(name):
+    """Every order of white space, quotes, letters and numbers at the ends of texts."""
+    enc, rng = tokens.Encoder(name), random.Random(5)
+    texts = ["".join(rng.choice("ab'sdmtlvre  \n\t.,!1²½ÀéµØ×÷§''") for _ in range(rng.randrange(12))) for _ in range(4000)]
+    texts += ["漢字 abc", "a\0b", " x", "'s", "'ll 've", "x  ", "  x", " 's", "", "\u200b's"]
+    for ids, n, text in zip(enc.ids(t := [x.encode() for x in texts]), enc.counts(t), texts, strict=True):
+        assert ids.tolist() == enc.library.encode(text, add_special_tokens=False).ids and n == len(ids), text

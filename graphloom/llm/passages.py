@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, chunks, hot_keys, narrow, partitions, runs, text_bytes, written
+from .common import Ids, chunks, hot_keys, mean_share, narrow, partitions, runs, text_bytes, written
 from .words import U, Words, mix
 
 MIN_WORDS = 50
@@ -45,8 +45,11 @@ def copies_of(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array([len(t.split()) for t in texts], pa.int64())], ["doc_id", "text_key", "n_words"])
 
     keys = written(rows_of(documents).mapInArrow(keyed, "doc_id long, text_key binary, n_words long"))
-    least = keys.groupBy("text_key").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").alias("rows")).filter("rows > 1")
-    return written(keys.join(least, "text_key").filter("doc_id > source_doc_id").select("doc_id", "source_doc_id", "n_words").distinct())
+    least = written(keys.groupBy("text_key").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").alias("rows")).filter("rows > 1"))
+    # Texts of very many copies, at most four a partition, are few enough to broadcast: those copies stay where they lie.
+    often = F.broadcast(least.filter(F.col("rows") > mean_share(keys.count(), documents.sparkSession)))
+    few = keys.join(often.select("text_key"), "text_key", "left_anti").join(least, "text_key")
+    return written(keys.join(often, "text_key").unionByName(few).filter("doc_id > source_doc_id").select("doc_id", "source_doc_id", "n_words").distinct())
 
 
 def copied(copies: DataFrame, min_words: int) -> DataFrame:

@@ -18,7 +18,7 @@ from .common import chunks, narrow, text_bytes
 from .words import U, Words, mix
 
 BUCKETS = 1 << 14
-#: Word n-grams and byte n-grams; each family has BUCKETS weights and its counts are divided by their sum.
+#: Word n-grams and character (code point) n-grams; each family has BUCKETS weights and its counts are divided by their sum.
 FAMILIES = (("word", 1), ("word", 2), ("char", 2), ("char", 4))
 SAMPLE_PER_CLASS = 1000
 KEEP_FROM = 0.5
@@ -34,10 +34,10 @@ SCHEMA = T.StructType(
 )
 
 
-def _grams(words: Words, lowered: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _grams(words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each family: its number, the text of each n-gram, and the n-gram's bucket."""
     owners = words.owners()
-    of_byte = np.repeat(np.arange(len(words.offsets) - 1), np.diff(words.offsets))
+    lowered, of_character = _characters(words)
     for number, (kind, k) in enumerate(FAMILIES):
         if kind == "word":
             values, at = words.grams(k)
@@ -50,21 +50,27 @@ def _grams(words: Words, lowered: np.ndarray) -> Iterator[tuple[int, np.ndarray,
             for i in range(k):
                 value = value * np.uint32(0x01000193) + lowered[i : i + n]
             value ^= value >> np.uint32(15)
-            same = np.flatnonzero(of_byte[:n] == of_byte[k - 1 : k - 1 + n])
-            yield number, of_byte[same], ((value[same] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 14)).astype(np.int64)
+            same = np.flatnonzero(of_character[:n] == of_character[k - 1 : k - 1 + n])
+            yield number, of_character[same], ((value[same] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - 14)).astype(np.int64)
 
 
-def _lowered(words: Words) -> np.ndarray:
-    out = words.buffer.copy()
-    upper = (out >= 65) & (out <= 90)
-    out[upper] += 32
-    return out
+def _characters(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, A-Z lowered, and the text of each. Bytes that are no UTF-8 stand for themselves."""
+    raw = words.buffer.tobytes()
+    try:
+        text, begins = raw.decode(), (words.buffer & 0xC0) != 0x80
+    except UnicodeDecodeError:
+        text, begins = raw.decode("latin-1"), np.ones(len(raw), bool)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").copy()
+    points[(points >= 65) & (points <= 90)] += 32
+    offsets = np.concatenate([[0], np.cumsum(begins)])[words.offsets]
+    return points, np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
 def _rates(words: Words) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's features (family * BUCKETS + bucket) and their share of the family's n-grams."""
     parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in words.counts]
-    for number, owner, bucket in _grams(words, _lowered(words)):
+    for number, owner, bucket in _grams(words):
         key, count = np.unique(owner * BUCKETS + bucket, return_counts=True)
         cut = np.searchsorted(key, np.arange(len(parts) + 1) * BUCKETS)
         for i in range(len(parts)):
@@ -120,7 +126,7 @@ class Model:
     def margins(self, texts: list[bytes]) -> np.ndarray:
         words = Words(texts)
         out = np.zeros(len(texts))
-        for number, owner, bucket in _grams(words, _lowered(words)):
+        for number, owner, bucket in _grams(words):
             weights = self.weights[number * BUCKETS : (number + 1) * BUCKETS]
             count = np.bincount(owner, minlength=len(texts))
             out += np.bincount(owner, weights[bucket], minlength=len(texts)) / np.maximum(count, 1)
@@ -172,7 +178,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS,
     """Fit and calibrate on at most `sample` labelled rows a class. None if a class has under ten rows of use.
 
     Rows that fail the base rule are not used, as the model never decides on them. Probabilities are calibrated to the
-    share of good rows among all labelled ones. A document labelled more than once takes the mean of its labels; null ids, null labels and null texts are left out.
+    share of good rows among all labelled ones. A document labelled more than once takes the mean of its
+    labels, and one that stands in several rows is learnt once, from its least text; null ids, null labels and null texts are left out.
     """
     marks = narrow(labels, doc_id="doc_id", quality="quality").dropna().groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     order = F.xxhash64("doc_id")
@@ -180,7 +187,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS,
     share = marks.agg(F.avg("quality")).first()[0]
     docs = narrow(documents, doc_id="doc_id", text="text").filter(F.col("text").isNotNull())
     # At most 2 * sample ids: a bounded broadcast.
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "quality", text_bytes().alias("text"))
+    # One row a document, whatever rows repeat its id.
+    rows = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("doc_id", "quality", text_bytes().alias("text"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):

@@ -30,43 +30,86 @@ def _first_valid(rows: DataFrame, key: list[str], draws, known: DataFrame, on: l
     return found
 
 
-def of_triples(positives: DataFrame, known: DataFrame, n_entities: int, seed: int, tries: int = 50) -> DataFrame:
-    """(h, r, t, neg_h, neg_t, valid): each triple with its head or tail replaced (a hash bit says which) by any entity,
-    such that it is no known triple and no self-loop."""
-    side = F.pmod(order_hash(f"{seed}:side", "h", "r", "t"), F.lit(2)) == 0
-
-    def draws(rows: DataFrame) -> DataFrame:
-        other = draw(n_entities, seed, "h", "r", "t", "try")
-        return rows.withColumns({"neg_h": F.when(side, other).otherwise(F.col("h")), "neg_t": F.when(side, F.col("t")).otherwise(other)})
+def _copied(rows: DataFrame, num_neg: int) -> tuple[DataFrame, list[str]]:
+    """Each row num_neg times, with the column `copy` if there are several, and the columns that a draw depends on besides."""
+    if num_neg == 1:
+        return rows, []
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(num_neg - 1)))), ["copy"]
+
+
+def _drawn(rows: DataFrame, name: str, pool: DataFrame | int, seed: int | str, *columns: str) -> DataFrame:
+    """rows with an entity drawn: a number below pool, or a node of the pool (place from 0, node), joined by its place."""
+    if isinstance(pool, int):
+        return rows.withColumn(name, draw(pool, seed, *columns))
+    n = pool.count()
+    return rows.withColumn("place", draw(n, seed, *columns)).join(pool.select("place", F.col("node").alias(name)), "place").drop("place")
+
+
+def of_triples(positives: DataFrame, known: DataFrame, n_entities: int, seed: int, tries: int = 50, num_neg: int = 1, pool: DataFrame | None = None) -> DataFrame:
+    """(h, r, t, neg_h, neg_t, valid), with num_neg rows and a column copy for each triple if num_neg is not 1: its head or
+    tail replaced (a hash bit says which) by any entity, or one of the pool (place from 0, node), such that it is no known
+    triple and no self-loop. An empty pool is an error."""
+    rows, copy = _copied(positives.select("h", "r", "t"), num_neg)
+    side = F.pmod(order_hash(f"{seed}:side", "h", "r", "t", *copy), F.lit(2)) == 0
+    if pool is not None and pool.isEmpty():
+        raise ValueError("the pool of candidates is empty")
+
+    def draws(open_: DataFrame) -> DataFrame:
+        tried = _drawn(open_, "other", n_entities if pool is None else pool, seed, "h", "r", "t", *copy, "try")
+        return tried.withColumns({"neg_h": F.when(side, F.col("other")).otherwise(F.col("h")), "neg_t": F.when(side, F.col("t")).otherwise(F.col("other"))})
 
     truth = known.select(F.col("h").alias("neg_h"), F.col("r"), F.col("t").alias("neg_t"))
-    rows = positives.select("h", "r", "t")
     # r is a part of the key and of what is joined.
-    found = _first_valid(rows.withColumn("rel", F.col("r")), ["h", "rel", "t"], draws, truth, ["neg_h", "r", "neg_t"], F.col("neg_h") == F.col("neg_t"), tries)
-    found = found.select("h", F.col("rel").alias("r"), "t", "neg_h", "neg_t")
-    return rows.join(found, ["h", "r", "t"], "left").withColumn("valid", F.col("neg_h").isNotNull())
+    found = _first_valid(rows.withColumn("rel", F.col("r")), ["h", "rel", "t", *copy], draws, truth, ["neg_h", "r", "neg_t"], F.col("neg_h") == F.col("neg_t"), tries)
+    found = found.select("h", F.col("rel").alias("r"), "t", *copy, "neg_h", "neg_t")
+    return rows.join(found, ["h", "r", "t", *copy], "left").withColumn("valid", F.col("neg_h").isNotNull())
 
 
-def of_pairs(positives: DataFrame, known: DataFrame, pool: DataFrame, seed: int, tries: int = 50, pool_size: int | None = None) -> DataFrame:
-    """(lo, hi, neg, valid): each pair's lo with another end from the pool (place from 0, node) such that the unordered
-    pair is not known and no self-loop. The pool is joined by the place that is drawn, never gathered."""
-    n = pool.count() if pool_size is None else pool_size
-    if not n:
-        return positives.select("lo", "hi", F.lit(None).cast("long").alias("neg"), F.lit(False).alias("valid"))
+def of_pairs(positives: DataFrame, known: DataFrame, pool: DataFrame, seed: int, tries: int = 50, num_neg: int = 1) -> DataFrame:
+    """(lo, hi, neg, valid), with num_neg rows and a column copy for each pair if num_neg is not 1: its lo with another end
+    from the pool (place from 0, node) such that the unordered pair is not known and no self-loop. The pool is joined by
+    the place that is drawn, never gathered. An empty pool gives rows that are not valid."""
+    rows, copy = _copied(positives.select("lo", "hi"), num_neg)
+    if pool.isEmpty():
+        return rows.withColumns({"neg": F.lit(None).cast("long"), "valid": F.lit(False)})
 
-    def draws(rows: DataFrame) -> DataFrame:
-        drawn = rows.withColumn("place", draw(n, seed, "lo", "hi", "try")).join(pool.select("place", F.col("node").alias("neg")), "place")
-        return drawn.withColumns({"first": F.least("lo", "neg"), "second": F.greatest("lo", "neg")})
+    def draws(open_: DataFrame) -> DataFrame:
+        return _drawn(open_, "neg", pool, seed, "lo", "hi", *copy, "try").withColumns({"first": F.least("lo", "neg"), "second": F.greatest("lo", "neg")})
 
     truth = known.select(F.col("lo").alias("first"), F.col("hi").alias("second"))
-    rows = positives.select("lo", "hi")
-    found = _first_valid(rows, ["lo", "hi"], draws, truth, ["first", "second"], F.col("first") == F.col("second"), tries)
-    found = found.select("lo", "hi", F.when(F.col("first") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("neg"))
-    return rows.join(found, ["lo", "hi"], "left").withColumn("valid", F.col("neg").isNotNull())
-
-
-def of_pairs_any(positives: DataFrame, known: DataFrame, focus: DataFrame, others: DataFrame, seed: int, tries: int = 100) -> DataFrame:
-    """As of_pairs, each pair from one of two pools: a hash bit says which."""
-    rows = positives.withColumn("side", F.pmod(order_hash(f"{seed}:side", "lo", "hi"), F.lit(2)))
-    parts = [of_pairs(rows.filter(F.col("side") == k), known, pool, seed, tries) for k, pool in enumerate((focus, others))]
-    return parts[0].unionByName(parts[1])
+    found = _first_valid(rows, ["lo", "hi", *copy], draws, truth, ["first", "second"], F.col("first") == F.col("second"), tries)
+    found = found.select("lo", "hi", *copy, F.when(F.col("first") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("neg"))
+    return rows.join(found, ["lo", "hi", *copy], "left").withColumn("valid", F.col("neg").isNotNull())
+
+
+def of_pairs_any(positives: DataFrame, known: DataFrame, focus: DataFrame, others: DataFrame, seed: int, tries: int = 100, num_neg: int = 1) -> DataFrame:
+    """(lo, hi, neg_lo, neg_hi, valid), with a column copy if num_neg is not 1: pairs that have a focus node at one end at
+    least. A hash bit says whether both ends are drawn, one from the focus nodes and one from the others, or lo stays and
+    the other end is a focus node. Either pool being empty gives rows that are not valid."""
+    rows, copy = _copied(positives.select("lo", "hi"), num_neg)
+    if focus.isEmpty() or others.isEmpty():
+        return rows.withColumns({"neg_lo": F.lit(None).cast("long"), "neg_hi": F.lit(None).cast("long"), "valid": F.lit(False)})
+    both = F.pmod(order_hash(f"{seed}:side", "lo", "hi", *copy), F.lit(2)) == 0
+
+    def draws(open_: DataFrame) -> DataFrame:
+        key = ["lo", "hi", *copy, "try"]
+        tried = _drawn(_drawn(open_, "art", focus, seed, *key), "other", others, f"{seed}:other", *key)
+        end = F.when(both, F.col("other")).otherwise(F.col("lo"))
+        return tried.withColumns({"neg_lo": F.least("art", end), "neg_hi": F.greatest("art", end)})
+
+    truth = known.select(F.col("lo").alias("neg_lo"), F.col("hi").alias("neg_hi"))
+    found = _first_valid(rows, ["lo", "hi", *copy], draws, truth, ["neg_lo", "neg_hi"], F.col("neg_lo") == F.col("neg_hi"), tries)
+    return rows.join(found.drop("try"), ["lo", "hi", *copy], "left").withColumn("valid", F.col("neg_lo").isNotNull())
+
+
+def of_directed(positives: DataFrame, known: DataFrame, n_entities: int, seed: int, tries: int = 50, num_neg: int = 1) -> DataFrame:
+    """(src, dst, neg, valid), with a column copy if num_neg is not 1: src with another end such that the edge, in this
+    direction, is not known and no self-loop."""
+    rows, copy = _copied(positives.select("src", "dst"), num_neg)
+
+    def draws(open_: DataFrame) -> DataFrame:
+        return _drawn(open_, "neg", n_entities, seed, "src", "dst", *copy, "try").withColumn("from", F.col("src"))
+
+    truth = known.select(F.col("src").alias("from"), F.col("dst").alias("neg"))
+    found = _first_valid(rows, ["src", "dst", *copy], draws, truth, ["from", "neg"], F.col("from") == F.col("neg"), tries)
+    return rows.join(found.select("src", "dst", *copy, "neg"), ["src", "dst", *copy], "left").withColumn("valid", F.col("neg").isNotNull())

@@ -5,29 +5,35 @@ Edges have src, dst and, if typed, rel. A batch is a set of seeds (batch_id, nod
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import draw, order_hash
-from .order import ranked_within
+from .order import numbered, ranked_within
 
 
 def written(df: DataFrame) -> DataFrame:
     """df cut off from its lineage: written to the cluster's shared folder, so that lost executors cost nothing."""
-    spark = df.sparkSession
+    path = f"{shared_folder(df.sparkSession)}/steps-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the cluster's spark.checkpoint.dir. Where it is unset, a session on one machine gets
+    a folder of its own there; on a cluster, whose executors could not read that, it is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import os
-        import tempfile
-
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"graphloom-{os.getpid()}")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}/graphloom-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/steps-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder.rstrip("/")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -55,11 +61,14 @@ def one_hop(seeds: DataFrame, edges: DataFrame) -> DataFrame:
 
 def breadth_first(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     """(node, hop): every node within `hops` undirected steps of a seed, with its least number of steps."""
-    links = both_ways(edges.select("src", "dst")).distinct()
+    ends = edges.select("src", "dst")
+    turned = ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     seen = written(seeds.select("node").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, hops + 1):
-        reached = links.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        at = frontier.select(F.col("node").alias("src"))
+        met = [side.join(at, "src", "left_semi").select(F.col("dst").alias("node")) for side in (ends, turned)]
+        reached = met[0].unionByName(met[1]).distinct()
         frontier = written(reached.join(seen, "node", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.unionByName(frontier)
     return seen
@@ -84,12 +93,14 @@ def sampled(seeds: DataFrame, edges: DataFrame, fan_out: list[int], hops: int, s
     nodes: batch_id, node, hop; edges: batch_id, src, rel, dst, hop. Edges are joined by the places that were drawn, so a
     hub's edges are never gathered, whatever its degree.
     """
-    placed = written(indexed(edges, seed))
-    degree = placed.groupBy("src").agg(F.count("*").alias("degree"))
     nodes = written(seeds.select("batch_id", "node").distinct().withColumn("hop", F.lit(0)))
     frontier, picked = nodes, None
     for hop in range(hops):
         k = fan_out[min(hop, len(fan_out) - 1)]
+        # Only edges at the frontier are numbered; a node's numbers do not depend on other nodes.
+        near = edges.join(frontier.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        placed = written(indexed(near, seed))
+        degree = placed.groupBy("src").agg(F.count("*").alias("degree"))
         met = frontier.select("batch_id", F.col("node").alias("src")).join(degree, "src")
         start = draw(F.col("degree"), f"{seed}:start", "batch_id", "src")
         places = met.select("batch_id", "src", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(k).cast("long"), F.col("degree")) - 1)).alias("step"), "degree", start.alias("start"))
@@ -154,3 +165,41 @@ def cross_context(edges: DataFrame, nodes: DataFrame, most: int, seed: int) -> D
     met = ends.join(n, "src").join(o, "dst").filter("chunk_id != other_chunk")
     order = Window.partitionBy("src").orderBy(F.desc("other_art"), order_hash(seed, "src", "dst"), "dst")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("chunk_id", F.col("src").alias("node"), F.col("dst").alias("other"))
+
+
+def csr_columns(edges: DataFrame, width: int = 1000) -> DataFrame:
+    """(position, src, col_idx, rel): edges (src, rel, dst) in the order of src, dst, rel, numbered from 0. A node's edges
+    lie from its row pointer on."""
+    rows = edges.select("src", F.col("dst").alias("col_idx"), "rel")
+    return numbered(rows, "position", F.floor(F.col("src") / width), [F.col(c) for c in ("src", "col_idx", "rel")])
+
+
+def prepared(seeds: DataFrame, supervised: DataFrame, edges: DataFrame, catalog: DataFrame, fan_out: list[int], hops: int, most_nodes: int, most_images: int, seed: int) -> dict[str, DataFrame]:
+    """Batches made ready for encoding: sampled about their seeds, without the supervised pairs (batch_id, h, t), trimmed to
+    most_nodes and to most_images nodes with images, numbered locally.
+
+    nodes: batch_id, node, hop, local; edges: with src_local and dst_local; counts, by batch: nodes, edges, images and the
+    nodes trimmed. More seeds than most_nodes in a batch are an error."""
+    most = seeds.groupBy("batch_id").agg(F.count_distinct("node").alias("n")).agg(F.max("n")).first()[0]
+    if (most or 0) > most_nodes:
+        raise ValueError(f"a batch has {most} seeds, over the {most_nodes} nodes that it may hold")
+    nodes, taken = sampled(seeds, edges, fan_out, hops, seed)
+    kept = trimmed_images(trimmed(nodes, most_nodes), catalog, most_images, seed)
+    local, inner = induced(kept, masked(taken, supervised))
+    local, inner = written(local), written(inner)
+    images = catalog.filter("has_image").select(F.col("node_idx").alias("node"))
+    counts = nodes.groupBy("batch_id").agg(F.count("*").alias("sampled"))
+    counts = counts.join(local.groupBy("batch_id").agg(F.count("*").alias("nodes")), "batch_id")
+    counts = counts.join(local.join(images, "node", "left_semi").groupBy("batch_id").agg(F.count("*").alias("images")), "batch_id", "left")
+    counts = counts.join(inner.groupBy("batch_id").agg(F.count("*").alias("edges")), "batch_id", "left")
+    counts = counts.select("batch_id", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), F.coalesce("images", F.lit(0)).alias("images"), (F.col("sampled") - F.col("nodes")).alias("trimmed"))
+    return {"nodes": local, "edges": inner, "counts": counts}
+
+
+def external_nodes(context: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(chunk_id, node, place): the nodes outside a chunk that its context (chunk_id, node, other) names, each once, by their
+    own chunk, place and number."""
+    at = catalog.select(F.col("node_idx").alias("node"), F.col("chunk_id").alias("home"), "chunk_pos")
+    rows = context.select("chunk_id", F.col("other").alias("node")).distinct().join(at, "node")
+    order = Window.partitionBy("chunk_id").orderBy("home", "chunk_pos", "node")
+    return rows.select("chunk_id", "node", (F.row_number().over(order) - 1).alias("place"))

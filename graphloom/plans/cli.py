@@ -1,6 +1,6 @@
 """Commands: export a graph, plan its chunks, score triples or relations of a batch file.
 
-python -m graphloom.plans.cli export --tables DIR --output DIR [--overwrite] [--after NODE_ID]
+python -m graphloom.plans.cli export --tables DIR --output DIR [--overwrite] [--flushes N]
 python -m graphloom.plans.cli score-triples --vectors DIR --relations DIR --input FILE --output FILE [--scorer complex]
 python -m graphloom.plans.cli score-relations --vectors DIR --relations DIR --input FILE --output FILE [--scorer complex] [--top-k 10]
 """
@@ -23,7 +23,7 @@ def _parser() -> argparse.ArgumentParser:
     export.add_argument("--tables", required=True)
     export.add_argument("--output", required=True)
     export.add_argument("--overwrite", action="store_true")
-    export.add_argument("--after", type=int)
+    export.add_argument("--flushes", type=int, default=8)
     for name in ("score-triples", "score-relations"):
         score = commands.add_parser(name)
         for option in ("--vectors", "--relations", "--input", "--output"):
@@ -67,8 +67,8 @@ def main(arguments: list[str] | None = None) -> int:
     options = _parser().parse_args(arguments)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     if options.command == "export":
-        nodes = writers.resumed(tables.nodes(spark, options.tables), options.after)
-        writers.graph_export(nodes, tables.edges(spark, options.tables), options.output, "overwrite" if options.overwrite else "errorifexists")
+        mode = writers.export_chunks(tables.nodes(spark, options.tables), tables.edges(spark, options.tables), options.output, options.overwrite, options.flushes)
+        print(f"export: {mode}")
         return 0
     vectors, relations = spark.read.parquet(options.vectors), spark.read.parquet(options.relations)
     if options.command == "score-triples":

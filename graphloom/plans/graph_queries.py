@@ -264,48 +264,45 @@ def epoch_batches(spark, folder):
     return splits.epoch_batches(Graph(spark, folder).triples, ["h", "r", "t"], BATCH, SEED, 1)
 
 
-def _positives(spark, folder) -> tuple[Graph, DataFrame, DataFrame]:
-    """The graph, its triples, and those of orders with their customers."""
-    g = Graph(spark, folder)
-    placed = g.vocabulary.filter("type = 'PLACED_BY'").select("r")
-    return g, g.triples, g.triples.join(F.broadcast(placed), "r").select("h", "r", "t")  # one row
-
-
 def _pairs(triples: DataFrame) -> DataFrame:
     return N.undirected(triples.select(F.col("h").alias("src"), F.col("t").alias("dst")))
 
 
-def _pool(catalog: DataFrame) -> DataFrame:
+def pool_of(catalog: DataFrame) -> DataFrame:
     rows = catalog.select(F.col("node_idx").alias("node"), "chunk_id", "chunk_pos")
     return N.written(numbered(rows, "place", F.col("chunk_id"), [F.col("chunk_pos"), F.col("node")]).select("place", "node"))
 
 
 def neg_kge(spark, folder):
-    g, triples, positives = _positives(spark, folder)
-    return negatives.of_triples(positives, triples, g.catalog.count(), SEED)
+    g = Graph(spark, folder)
+    return negatives.of_triples(g.triples, g.triples, g.catalog.count(), SEED)
 
 
 def neg_uniform(spark, folder):
-    g, triples, positives = _positives(spark, folder)
-    return negatives.of_pairs(_pairs(positives), _pairs(triples), _pool(g.catalog), SEED)
+    g = Graph(spark, folder)
+    pairs = N.written(_pairs(g.triples))
+    return negatives.of_pairs(pairs, pairs, pool_of(g.catalog), SEED)
 
 
 def neg_art(spark, folder):
-    g, triples, positives = _positives(spark, folder)
-    return negatives.of_pairs(_pairs(positives), _pairs(triples), _pool(g.catalog.filter("is_art")), SEED, 100)
+    g = Graph(spark, folder)
+    pairs = N.written(_pairs(g.triples))
+    return negatives.of_pairs(pairs, pairs, pool_of(g.catalog.filter("is_art")), SEED, 100)
 
 
 def neg_art_any(spark, folder):
-    g, triples, positives = _positives(spark, folder)
-    return negatives.of_pairs_any(_pairs(positives), _pairs(triples), _pool(g.catalog.filter("is_art")), _pool(g.catalog.filter("NOT is_art")), SEED)
+    g = Graph(spark, folder)
+    pairs = N.written(_pairs(g.triples))
+    return negatives.of_pairs_any(pairs, pairs, pool_of(g.catalog.filter("is_art")), pool_of(g.catalog.filter("NOT is_art")), SEED)
 
 
 def neg_candidate_pool(spark, folder):
     """From a small pool, the nations, in which most draws are known: some rows have none that is valid."""
-    g, triples, _ = _positives(spark, folder)
+    g = Graph(spark, folder)
+    triples = g.triples
     nation = g.vocabulary.filter("type = 'IN_NATION'").select("r")
     positives = triples.join(F.broadcast(nation), "r")  # one row
-    return negatives.of_pairs(_pairs(positives), _pairs(triples), _pool(g.catalog.filter(F.col("node_id").between(2 * 10**10, 2 * 10**10 + 3))), SEED, 3)
+    return negatives.of_pairs(_pairs(positives), _pairs(triples), pool_of(g.catalog.filter(F.col("node_id").between(2 * 10**10, 2 * 10**10 + 3))), SEED, 3)
 
 
 QUERIES = {

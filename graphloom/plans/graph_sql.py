@@ -83,20 +83,27 @@ hop2 AS (SELECT DISTINCT dst AS node FROM links JOIN hop1 ON src = node EXCEPT (
 reached AS (SELECT node, 0 AS hop FROM hop0 UNION ALL SELECT node, 1 FROM hop1 UNION ALL SELECT node, 2 FROM hop2)"""
 
 
-def _pair_negatives(kind: str, pools: dict[str, str], tries: int, chosen: str = "TRUE") -> str:
-    """pools: by the side bit (or any) the condition on the catalog."""
-    draws = []
-    for side in pools:
-        where = "TRUE" if side == "any" else f"{hash_sql("'7:side'", 'p.lo', 'p.hi')} % 2 = {side}"
-        draws.append(f"SELECT p.lo, p.hi, k, q.node AS neg FROM (SELECT p.lo, p.hi, k, {hash_sql("'7'", 'p.lo', 'p.hi', 'k')} % n AS place FROM positives p, range({tries}) AS x(k), (SELECT count(*) AS n FROM pool{side}) WHERE {where}) p JOIN pool{side} q USING (place)")
-    pool = ", ".join(f"pool{side} AS (SELECT row_number() OVER (ORDER BY chunk_id, chunk_pos, node_idx) - 1 AS place, node_idx AS node FROM catalog WHERE {condition})" for side, condition in pools.items())
-    return f"""WITH {ALL}, {PAIRS}, {pool},
-positives AS (SELECT DISTINCT least(h, t) AS lo, greatest(h, t) AS hi FROM triples JOIN vocab USING (r) WHERE type = '{kind}'),
-draws AS ({' UNION ALL '.join(draws)}),
+def _pair_negatives(condition: str, tries: int, kind: str | None = None) -> str:
+    """condition: which nodes of the catalog are the pool; kind: the relation of the positives, or all."""
+    where = f"JOIN vocab USING (r) WHERE type = '{kind}'" if kind else ""
+    return f"""WITH {ALL}, {PAIRS}, pool AS (SELECT row_number() OVER (ORDER BY chunk_id, chunk_pos, node_idx) - 1 AS place, node_idx AS neg FROM catalog WHERE {condition}),
+positives AS (SELECT DISTINCT least(h, t) AS lo, greatest(h, t) AS hi FROM triples {where}),
+draws AS (SELECT lo, hi, k, neg FROM (SELECT p.lo, p.hi, k, {hash_sql("'7'", 'p.lo', 'p.hi', 'k')} % (SELECT count(*) FROM pool) AS place FROM positives p, range({tries}) AS x(k)) JOIN pool USING (place)),
 good AS (SELECT lo, hi, arg_min(neg, k) AS neg FROM draws d WHERE neg <> lo AND NOT EXISTS (SELECT 1 FROM pairs z WHERE z.lo = least(d.lo, neg) AND z.hi = greatest(d.lo, neg)) GROUP BY lo, hi)
 SELECT p.lo, p.hi, neg, neg IS NOT NULL AS valid FROM positives p LEFT JOIN good g ON g.lo = p.lo AND g.hi = p.hi"""
 
 
+# One end is a focus node: both ends are drawn, or the lesser stays and a focus node is drawn.
+_ANY_NEGATIVES = f"""WITH {ALL}, {PAIRS}, focus AS (SELECT row_number() OVER (ORDER BY chunk_id, chunk_pos, node_idx) - 1 AS place, node_idx AS node FROM catalog WHERE is_art),
+rest AS (SELECT row_number() OVER (ORDER BY chunk_id, chunk_pos, node_idx) - 1 AS place, node_idx AS node FROM catalog WHERE NOT is_art),
+places AS (SELECT p.lo, p.hi, k, {hash_sql("'7:side'", 'p.lo', 'p.hi')} % 2 = 0 AS both_drawn, {hash_sql("'7'", 'p.lo', 'p.hi', 'k')} % (SELECT count(*) FROM focus) AS x,
+    {hash_sql("'7:other'", 'p.lo', 'p.hi', 'k')} % (SELECT count(*) FROM rest) AS y FROM pairs p, range(100) AS z(k)),
+ends AS (SELECT lo, hi, k, f.node AS art, CASE WHEN both_drawn THEN o.node ELSE lo END AS other FROM places JOIN focus f ON f.place = x JOIN rest o ON o.place = y),
+draws AS (SELECT lo, hi, k, least(art, other) AS neg_lo, greatest(art, other) AS neg_hi FROM ends WHERE art <> other),
+good AS (SELECT lo, hi, arg_min(neg_lo, k) AS neg_lo, arg_min(neg_hi, k) AS neg_hi FROM draws d WHERE NOT EXISTS (SELECT 1 FROM pairs z WHERE z.lo = neg_lo AND z.hi = neg_hi) GROUP BY lo, hi)
+SELECT p.lo, p.hi, neg_lo, neg_hi, neg_lo IS NOT NULL AS valid FROM pairs p LEFT JOIN good g ON g.lo = p.lo AND g.hi = p.hi"""
+
+
 _SIDE = f"{hash_sql("'7:side'", 'p.h', 'p.r', 'p.t')} % 2 = 0"
 _OTHER = f"{hash_sql("'7'", 'p.h', 'p.r', 'p.t', 'k')} % (SELECT count(*) FROM catalog)"
 
@@ -168,12 +175,12 @@ SQL = {
     "split_overlap": f"""WITH {PAIR_SPLIT}, names AS (SELECT * FROM (VALUES ('train', 'val'), ('train', 'test'), ('val', 'test')) AS x(first, second))
         SELECT first, second, (SELECT count(*) FROM split a JOIN split b ON a.lo = b.lo AND a.hi = b.hi WHERE a.split = first AND b.split = second) AS n FROM names""",
     "epoch_batches": f"""WITH {ALL} SELECT h, r, t, (row_number() OVER (ORDER BY {hash_sql("'7:1'", "h", "r", "t")}, h, r, t) - 1) // 512 AS batch_id FROM triples""",
-    "neg_kge": f"""WITH {ALL}, positives AS (SELECT h, r, t FROM triples JOIN vocab USING (r) WHERE type = 'PLACED_BY'),
+    "neg_kge": f"""WITH {ALL}, positives AS (SELECT h, r, t FROM triples),
         draws AS (SELECT p.h, p.r, p.t, k, CASE WHEN {_SIDE} THEN {_OTHER} ELSE p.h END AS neg_h, CASE WHEN {_SIDE} THEN p.t ELSE {_OTHER} END AS neg_t FROM positives p, range(50) AS x(k)),
         good AS (SELECT *, row_number() OVER (PARTITION BY h, r, t ORDER BY k) AS n FROM draws d WHERE neg_h <> neg_t AND NOT EXISTS (SELECT 1 FROM triples z WHERE z.h = d.neg_h AND z.r = d.r AND z.t = d.neg_t))
         SELECT p.h, p.r, p.t, neg_h, neg_t, neg_h IS NOT NULL AS valid FROM positives p LEFT JOIN (SELECT * FROM good WHERE n = 1) g ON g.h = p.h AND g.r = p.r AND g.t = p.t""",
-    "neg_uniform": _pair_negatives("PLACED_BY", {"any": "TRUE"}, 50),
-    "neg_art": _pair_negatives("PLACED_BY", {"any": "is_art"}, 100),
-    "neg_art_any": _pair_negatives("PLACED_BY", {"0": "is_art", "1": "NOT is_art"}, 100),
-    "neg_candidate_pool": _pair_negatives("IN_NATION", {"any": "node_id BETWEEN 20000000000 AND 20000000003"}, 3),
+    "neg_uniform": _pair_negatives("TRUE", 50),
+    "neg_art": _pair_negatives("is_art", 100),
+    "neg_art_any": _ANY_NEGATIVES,
+    "neg_candidate_pool": _pair_negatives("node_id BETWEEN 20000000000 AND 20000000003", 3, "IN_NATION"),
 }

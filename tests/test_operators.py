@@ -236,3 +236,76 @@ def test_plans(spark, small):
     for name in ("triples_dedup", "split_unseen_repair", "one_hop_neighbors", "pending_work"):
         assert "CartesianProduct" not in QUERIES[name](spark, small)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in QUERIES["cross_chunk_context"](spark, small)._jdf.queryExecution().toString()
+
+
+def test_every_negative_about_the_focus_has_one(spark):
+    pairs = spark.createDataFrame([(i, i + 7) for i in range(0, 200, 2)], "lo long, hi long")
+    focus = spark.createDataFrame([(k, 1000 + k) for k in range(20)], "place long, node long")
+    others = spark.createDataFrame([(k, k) for k in range(300)], "place long, node long")
+    got = negatives.of_pairs_any(pairs, pairs, focus, others, 1, num_neg=3).collect()
+    assert len(got) == 300 and all(r["valid"] and r["neg_hi"] >= 1000 > r["neg_lo"] for r in got)
+    assert any(r["neg_lo"] != r["lo"] for r in got) and any(r["neg_lo"] == r["lo"] for r in got)
+    assert not any(r["valid"] for r in negatives.of_pairs_any(pairs, pairs, focus.limit(0), others, 1).collect())
+
+
+def test_negatives_by_copies_pools_and_direction(spark):
+    rows = spark.createDataFrame([(i, i % 3, i + 1) for i in range(50)], "h long, r int, t long")
+    pool = spark.createDataFrame([(k, 10 * k) for k in range(8)], "place long, node long")
+    got = negatives.of_triples(rows, rows, 0, 1, num_neg=4, pool=pool).collect()
+    assert len(got) == 200 and {r["copy"] for r in got} == {0, 1, 2, 3}
+    assert all(((r["neg_h"], r["t"]) == (r["neg_h"], r["neg_t"]) and r["neg_h"] % 10 == 0) or (r["neg_h"] == r["h"] and r["neg_t"] % 10 == 0) for r in got if r["valid"])
+    with pytest.raises(ValueError):
+        negatives.of_triples(rows, rows, 0, 1, pool=pool.limit(0))
+    # The reverse of a known edge is a negative.
+    edges = spark.createDataFrame([(0, 1), (0, 2)], "src long, dst long")
+    known = spark.createDataFrame([(0, 1), (0, 2), (1, 0), (2, 0)], "src long, dst long")
+    assert {(r["neg"], r["valid"]) for r in negatives.of_directed(edges, known, 4, 1).collect()} == {(3, True)}
+    assert {r["neg"] for r in negatives.of_directed(known, edges, 3, 1).collect()} <= {0, 1, 2, None}
+
+
+def test_exports_go_on_where_they_stopped(spark, tmp_path):
+    nodes = spark.createDataFrame([(i, i // 10, i % 10) for i in range(60)], "node_id long, chunk_id int, chunk_pos int")
+    edges = spark.createDataFrame([(i, i, (i * 7) % 60, "x") for i in range(60)], "id long, src long, dst long, type string")
+    out = f"{tmp_path}/out"
+    assert writers.export_mode(spark, out) == "fresh"
+    assert writers.export_chunks(nodes, edges, out, flushes=3, stop_after=1) == "fresh"
+    # What a stopped run has left of a chunk is replaced.
+    nodes.filter("chunk_id = 1").limit(3).write.mode("append").partitionBy("chunk_id").parquet(f"{out}/nodes")
+    assert writers.export_mode(spark, out) == "resume" and writers.done_chunks(spark, out).count() == 2
+    assert writers.export_chunks(nodes, edges, out, flushes=3) == "resume"
+    assert writers.export_chunks(nodes, edges, out, flushes=3) == "completed"
+    assert spark.read.parquet(f"{out}/nodes").count() == 60 == spark.read.parquet(f"{out}/edges").count()
+    assert writers.done_chunks(spark, out).count() == 6
+    assert writers.export_chunks(nodes, edges, out, overwrite=True) == "fresh"
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("x")
+    with pytest.raises(ValueError):
+        writers.export_mode(spark, f"{tmp_path}/other")
+
+
+def test_lists_metrics_and_vectors(spark, tmp_path):
+    nodes = spark.createDataFrame([(2, ["A"]), (1, [])], "node_id long, labels array<string>")
+    writers.node_list(nodes, f"{tmp_path}/nodes")
+    assert {r["node_id"] for r in spark.read.json(f"{tmp_path}/nodes").collect()} == {1, 2}
+    for step in (1, 2):
+        writers.metrics_rows(spark.createDataFrame([(step, 0.5)], "step int, auc double"), f"{tmp_path}/metrics")
+    assert spark.read.option("header", True).csv(f"{tmp_path}/metrics").count() == 2
+    old, new = (spark.createDataFrame(rows, "node long, vector array<float>") for rows in ([(1, [1.0]), (2, [2.0])], [(2, [3.0]), (4, [4.0])]))
+    assert sorted((r["node"], r["vector"]) for r in writers.vectors_back(old, new, f"{tmp_path}/vectors").collect()) == [(1, [1.0]), (2, [3.0]), (4, [4.0])]
+
+
+def test_prepared_batches(spark):
+    edges = spark.createDataFrame([(s, 0, d) for i in range(40) for s, d in ((i, (i + 1) % 40), ((i + 1) % 40, i))], "src long, rel int, dst long")
+    catalog = spark.createDataFrame([(i, i % 2 == 0, i % 4 == 0) for i in range(40)], "node_idx long, has_image boolean, is_art boolean")
+    mine = spark.createDataFrame([(0, 3, 4), (1, 20, 21)], "batch_id long, h long, t long")
+    seeds = mine.selectExpr("batch_id", "explode(array(h, t)) AS node")
+    got = N.prepared(seeds, mine, edges, catalog, [5], 2, 5, 2, 1)
+    counts = {r["batch_id"]: r for r in got["counts"].collect()}
+    assert all(r["nodes"] <= 5 and r["images"] <= 2 for r in counts.values())
+    hidden = {(0, 3, 4), (0, 4, 3), (1, 20, 21), (1, 21, 20)}
+    assert not hidden & {(r["batch_id"], r["src"], r["dst"]) for r in got["edges"].collect()}
+    for b, r in counts.items():
+        local = sorted(x["local"] for x in got["nodes"].collect() if x["batch_id"] == b)
+        assert local == list(range(r["nodes"]))
+    with pytest.raises(ValueError):
+        N.prepared(seeds, mine, edges, catalog, [5], 2, 1, 2, 1)

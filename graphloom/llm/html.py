@@ -1,12 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-Each text node belongs to the path of tags from the root to it. Per path, the length of its text and of its
-punctuation are set in ratio to the number of nodes on the path, smoothed along the page with the ratios of
-neighbouring nodes, and fused to one weight. Paths whose weight reaches the threshold are content. If there are article
-or main elements, those that hold content give the page's blocks; else the innermost element that holds most of all
-content does, up to its own borders, without blocks that are links alone. If that is the whole body, headings and lists
-beside the content belong to it, and other blocks outside its first and last are left out. Boilerplate elements
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are told by tag, role and class and left out.
+Every block of text, boilerplate included, belongs to the path of elements from the root to it; blocks of one parent, tag
+and class have one path. Per path, the length of its text without links and its punctuation are set in ratio to the number of blocks on the
+path, fused, and smoothed along the page with the ratios of neighbouring blocks. Tags, roles and class words that are
+usual for boilerplate or for articles only scale a weight; blocks whose weight reaches the threshold are content.
+
+The innermost element that holds most of all content, or one around it that adds little else, is the article. Of its blocks the content stays, and what stands
+between it (headings, lists, captions, short lines) unless it is links alone or has a boilerplate hint. Where that element
+is the whole body, blocks before the first and after the last content are left out but for headings and lists beside it.
 """
 
 from __future__ import annotations
@@ -28,14 +29,12 @@ _RAW = frozenset("script style textarea title xmp noembed noframes".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption search".split()
 )
-_DROPPED = frozenset("head nav header footer aside form script style noscript template iframe object embed svg math canvas button select option textarea input label dialog menu audio video map title search datalist".split())
-_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note advertisement".split())
-_HINTS = re.compile(
-    r"(?:^|[-_\s])(?:ads?|adv|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promo(?:s|tion|tions)?|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modals?|overlays?|newsletters?|subscribe|subscription|paywall"
-    r"|sidebars?|side|aside|rail|widgets?|nav|navbar|navigation|menus?|breadcrumbs?|pagination|pager|footers?|foot|masthead|topbar|toolbar|header|site-header|page-header"
-    r"|comments?|commentlist|replies|reply|respond|disqus|discussion|reactions?|share|sharing|social|related|recommended|recommendations?|trending|popular|login|signup|search)(?:$|[-_\s\d])",
-    re.I,
-)
+# Elements whose text is no text of the page.
+_SILENT = frozenset("head script style noscript template iframe object embed svg canvas select textarea datalist audio video map title".split())
+# Hints, which scale weights: elements, roles and class words that are usual for boilerplate.
+_FAINT_TAGS = frozenset("nav header footer aside form dialog menu button label search".split())
+_FAINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note advertisement".split())
+_FAINT_WORDS = frozenset("ad ads advert advertisement banner sponsored promo cookie consent notice newsletter subscribe sidebar menu nav navbar breadcrumb breadcrumbs pagination footer comment comments replies share login signup".split())
 # An open paragraph ends where one of these begins.
 _ENDS_P = _BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -48,6 +47,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 THRESHOLD = 0.5
 SMOOTHING = 1
+#: What a boilerplate hint, and what standing in an article or main element, makes of a weight.
+FAINT, LIFTED = 0.1, 2.0
 #: The share of all content that the chosen element must hold.
 MOST = 0.7
 
@@ -56,50 +57,55 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
 
 
-def _dropped(tag: str, attributes: dict[str, str], in_content: bool) -> bool:
-    if tag in _DROPPED:
-        # An article's own header holds its title.
-        return not (tag == "header" and in_content)
-    if not attributes:
-        return False
-    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in _ROLES:
+def _faint(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether an element has a boilerplate hint. An article's own header holds its title."""
+    if tag in _FAINT_TAGS:
+        return not (tag == "header" and in_article)
+    if attributes.get("role", "").lower() in _FAINT_ROLES:
         return True
-    if tag in ("html", "body", "article", "main"):
-        return False
-    return any(_HINTS.search(attributes.get(a, "")) for a in ("class", "id"))
+    return any(word in _FAINT_WORDS for a in ("class", "id") for word in re.split(r"[\s_-]+", attributes.get(a, "").lower()))
 
 
 class _Block:
-    __slots__ = ("container", "elements", "path", "text", "linked")
+    __slots__ = ("elements", "faint", "lifted", "linked", "path", "text")
+
+    def __init__(self, path: str, elements: tuple[int, ...], faint: bool, lifted: bool):
+        self.path, self.elements, self.faint, self.lifted, self.text, self.linked = path, elements, faint, lifted, [], 0
+
 
-    def __init__(self, path: str, container: int, elements: tuple[int, ...]):
-        self.path, self.container, self.elements, self.text, self.linked = path, container, elements, [], 0
+class _Element:
+    __slots__ = ("faint", "lifted", "name", "number", "silent", "tag")
+
+    def __init__(self, tag: str, name: str, number: int, silent: bool, faint: bool, lifted: bool):
+        self.tag, self.name, self.number, self.silent, self.faint, self.lifted = tag, name, number, silent, faint, lifted
 
 
 def blocks(page: str) -> list[_Block]:
-    """The page's blocks of text in order, boilerplate elements left out."""
+    """The page's blocks of text in order."""
     out: list[_Block] = []
-    stack: list[tuple[str, bool, int, int]] = [("", False, 0, 0)]  # tag, dropped, container, number
-    containers, open_block, numbered = 0, None, 0
+    stack = [_Element("", "", 0, False, False, False)]
+    open_block, numbered = None, 0
     at, size = 0, len(page)
 
     def say(text: str) -> None:
         nonlocal open_block
-        if stack[-1][1] or not text:
+        top = stack[-1]
+        if top.silent or not text:
             return
         if open_block is None:
             if not text.strip():
                 return
-            around = [(t, k) for t, _, _, k in stack if t in _BLOCKS or not t]
-            open_block = _Block("/".join(t for t, _ in around), stack[-1][2], tuple(k for _, k in around))
+            around = [e for e in stack if e.tag in _BLOCKS or not e.tag]
+            # Blocks of one path have one parent; what the parent holds beside them does not matter.
+            open_block = _Block("/".join([*(f"{e.name}#{e.number}" for e in around[:-1]), around[-1].name]), tuple(e.number for e in around), top.faint, top.lifted)
             out.append(open_block)
         open_block.text.append(text)
-        if any(t == "a" for t, *_ in stack):
+        if any(e.tag == "a" for e in stack):
             open_block.linked += len(text.strip())
 
     def close(tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
+            if stack[i].tag == tag:
                 del stack[i:]
                 return
 
@@ -113,21 +119,19 @@ def blocks(page: str) -> list[_Block]:
         if found[2] is None:
             continue
         tag = found[2].lower()
+        if tag in _BLOCKS:
+            open_block = None
         if found[1]:
-            if tag in _BLOCKS:
-                open_block = None
             close(tag)
             continue
-        if tag in _BLOCKS:
-            open_block = None
-        if tag in _ENDS_P and any(t == "p" for t, *_ in stack):
+        if tag in _ENDS_P and any(e.tag == "p" for e in stack):
             close("p")  # inline elements left open in it end with it
         if tag in _SAME:
             for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in _SAME[tag]:
+                if stack[i].tag in _SAME[tag]:
                     del stack[i:]
                     break
-                if stack[i][0] in _SAME_WITHIN:
+                if stack[i].tag in _SAME_WITHIN:
                     break
         if tag == "br":
             say(" ")
@@ -136,22 +140,19 @@ def blocks(page: str) -> list[_Block]:
         attributes = _attributes(found[3] or "")
         if tag in _RAW:
             # Everything up to its own end tag is not markup.
-            end = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at)
-            at = end.end()
+            at = re.compile(rf"</{tag}\s*>|\Z", re.I).search(page, at).end()
             continue
-        container = stack[-1][2]
-        if tag in ("article", "main") or attributes.get("role") in ("main", "article"):
-            # The outermost article or main counts; parts of it are not containers of their own.
-            if not container:
-                containers += 1
-                container = containers
+        top = stack[-1]
+        lifted = top.lifted or tag in ("article", "main") or attributes.get("role") in ("main", "article")
+        silent = top.silent or tag in _SILENT or "hidden" in attributes or attributes.get("aria-hidden") == "true"
         numbered += 1
-        stack.append((tag, stack[-1][1] or _dropped(tag, attributes, bool(container)), container, numbered))
+        name = ".".join([tag, *attributes.get("class", "").split()])
+        stack.append(_Element(tag, name, numbered, silent, top.faint or _faint(tag, attributes, lifted), lifted))
     return out
 
 
 def weights(found: list[_Block]) -> np.ndarray:
-    """Each block's fused and smoothed tag-path ratio."""
+    """Each block's weight: its path's ratios fused, smoothed along the page, and scaled by hints."""
     paths = {p: i for i, p in enumerate(dict.fromkeys(b.path for b in found))}
     of = np.array([paths[b.path] for b in found])
     joined = ["".join(b.text) for b in found]
@@ -160,8 +161,8 @@ def weights(found: list[_Block]) -> np.ndarray:
     nodes = np.bincount(of)
     ratio = np.sqrt((np.bincount(of, length) / nodes)[of] * (1 + (np.bincount(of, marks) / nodes)[of]))
     kernel = np.array([1.0, 2.0, 1.0][: 2 * SMOOTHING + 1])
-    padded = np.pad(ratio, SMOOTHING, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), "valid") if len(ratio) else ratio
+    smooth = np.convolve(np.pad(ratio, SMOOTHING, mode="edge"), kernel / kernel.sum(), "valid")
+    return smooth * np.array([(FAINT if b.faint else 1.0) * (LIFTED if b.lifted else 1.0) for b in found])
 
 
 def _links_alone(block: _Block) -> bool:
@@ -169,9 +170,9 @@ def _links_alone(block: _Block) -> bool:
 
 
 def _beside(block: _Block) -> bool:
-    """A heading or a part of a list."""
-    tags = block.path.split("/")
-    return tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6") or not {"li", "dt", "dd"}.isdisjoint(tags)
+    """A heading or a part of a list, without a boilerplate hint."""
+    tags = [re.split(r"[.#]", name)[0] for name in block.path.split("/")]
+    return not block.faint and (tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6") or not {"li", "dt", "dd"}.isdisjoint(tags))
 
 
 def main_text(page: str) -> str:
@@ -181,31 +182,34 @@ def main_text(page: str) -> str:
         return ""
     weight = weights(found)
     content = weight >= THRESHOLD * weight.mean()
-    inside = [b.container for b in found]
-    if any(inside):
-        several = {b.container for b, c in zip(found, content, strict=True) if b.container and c and not _links_alone(b)}
-        chosen = several or {max(inside)}
-        picked = [b for b in found if b.container in chosen]
-    else:
-        at = np.flatnonzero(content)
-        mass = {}
-        for i in at:
-            for k in found[i].elements:
-                mass[k] = mass.get(k, 0.0) + weight[i]
-        most = MOST * mass[0]
-        chosen = max(k for k, m in mass.items() if m >= most)  # numbered in page order: the last is the innermost
-        within = [i for i, b in enumerate(found) if chosen in b.elements and (content[i] or not _links_alone(b))]
-        first = found[within[0]]
-        if first.path.split("/")[first.elements.index(chosen)] in ("", "html", "body"):
-            # No element sets the content apart: from its first block to its last, and the headings and lists beside it.
-            low, high = (within.index(i) for i in (at[0], at[-1]))
-            while low > 0 and _beside(found[within[low - 1]]):
-                low -= 1
-            while high + 1 < len(within) and _beside(found[within[high + 1]]):
-                high += 1
-            within = within[low : high + 1]
-        picked = [found[i] for i in within]
-    lines = (_SPACE.sub(" ", "".join(b.text)).strip() for b in picked)
+    at = np.flatnonzero(content)
+    mass: dict[int, float] = {}
+    for i in at:
+        for k in found[i].elements:
+            mass[k] = mass.get(k, 0.0) + weight[i]
+    most = MOST * mass[0]
+    chosen = max(k for k, m in mass.items() if m >= most)  # numbered in page order: the last is the innermost
+    # Outwards, as long as what an element adds is mostly content, or headings and lists.
+    chain = next(b.elements for b in found if chosen in b.elements)
+    inner = {i for i, b in enumerate(found) if chosen in b.elements}
+    for k in chain[: chain.index(chosen)][::-1]:
+        added = [i for i, b in enumerate(found) if k in b.elements and i not in inner]
+        if added and 2 * sum(bool(content[i]) or _beside(found[i]) and not _links_alone(found[i]) for i in added) <= len(added):
+            break
+        if added:
+            chosen = k
+            inner.update(added)
+    within = [i for i, b in enumerate(found) if chosen in b.elements and (content[i] or not (b.faint or _links_alone(b)))]
+    outer = found[within[0]]
+    if re.split(r"[.#]", outer.path.split("/")[outer.elements.index(chosen)])[0] in ("", "html", "body"):
+        # No element sets the content apart: from its first block to its last, and the headings and lists beside it.
+        low, high = (within.index(i) for i in (at[0], at[-1]))  # content of the whole page is within the body
+        while low > 0 and _beside(found[within[low - 1]]):
+            low -= 1
+        while high + 1 < len(within) and _beside(found[within[high + 1]]):
+            high += 1
+        within = within[low : high + 1]
+    lines = (_SPACE.sub(" ", "".join(found[i].text)).strip() for i in within)
     return "\n".join(line for line in lines if line)
 
 

@@ -64,6 +64,32 @@ def test_several_articles_with_content():
     assert len(lines) == 13 and lines[6] == "Second"
 
 
+def test_class_words_do_not_decide():
+    """Long text with a class or an id that has a common word in it is content, and text-poor boilerplate needs no such class."""
+    page = f"""<html><body><div><a href=1>Home</a> <a href=2>News</a> <a href=3>More</a></div><article><div class="social-history">{LONG}</div><p id="discussion">{'It goes on, with much to say. ' * 5}</p></article>
+    <div><span>Enter your name</span><input name=q></div><div><a href=4>A link of many words that leads to another page</a></div></body></html>"""
+    lines = html.main_text(page).split("\n")
+    assert len(lines) == 7 and lines[-1].startswith("It goes on")
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+def test_link_heavy_and_form_heavy_boilerplate(tag):
+    links = "".join(f"<li><a href={i}>Story number {i}, told at some length, with commas, and stops.</a></li>" for i in range(30))
+    fields = "".join(f"<p>Field {i}<input name=f{i}></p>" for i in range(12))
+    page = f"<html><body><ul>{links}</ul><{tag}><h1>Title</h1>{LONG}</{tag}><form>{fields}<button>Send</button></form><ul>{links}</ul><footer>Owner, 2020.</footer></body></html>"
+    lines = html.main_text(page).split("\n")
+    assert lines[0] == "Title" and len(lines) == 7
+
+
+def test_the_ratios_decide(monkeypatch):
+    """With equal weights, pages whose boilerplate has no hint come out whole."""
+    links = "".join(f"<p><a href={i}>Story number {i}</a></p>" for i in range(30))
+    page = f"<html><body><div>{links}</div><div>{LONG}</div></body></html>"
+    assert len(html.main_text(page).split("\n")) == 6
+    monkeypatch.setattr(html, "weights", lambda found: __import__("numpy").ones(len(found)))
+    assert len(html.main_text(page).split("\n")) > 6
+
+
 @pytest.mark.parametrize("page", ["", " ", "<", "<p", "<!--", "<article>", "</p></article>", "<script>x", "<article></article>", "&", "&#xFFFFFFFF;", "<a href='", "<p class=\"x>y</p>", "\0", "<" * 5000, "<div>" * 3000 + "deep" + "</div>" * 3000])
 def test_broken_pages(page):
     assert isinstance(html.main_text(page), str)

@@ -164,8 +164,10 @@ def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
 def hot_keys(rows: DataFrame, key: str, share: float | None = None) -> DataFrame:
     """(key, salts) of the keys with more rows than `share`, a quarter of a partition's mean where it is not given, and how
     many such shares each has: at most four keys a partition, small enough to broadcast. rows may be a sample."""
-    counts = written(rows.groupBy(key).agg(F.count("*").alias("n")))
-    share = share or mean_share(counts.agg(F.sum("n")).first()[0], rows.sparkSession)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    if share is None:
+        counts = written(counts)
+        share = mean_share(counts.agg(F.sum("n")).first()[0], rows.sparkSession)
     return written(counts.filter(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts")))
 
 

@@ -165,19 +165,43 @@ def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(longer.view(np.int64)), *rest[:2], pa.array(low[at]), pa.array(high[at]), *rest[2:]], _SUFFIX.replace(",", "").split()[0::2])
 
 
+def _classes(min_words: int):
+    """Suffixes of a hot prefix with the same words about it, as far as their runs reach: the first, in the least document,
+    stands for all others, whose b and b_place say so."""
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs(batches, ["prefix", "salt"]):
+            prefix, doc, place, least, most = (table.column(c).to_numpy() for c in ("prefix", "doc_id", "place", "least", "most"))
+            (before, n_before), (after, n_after) = _padded(table.column("before")), _padded(table.column("after"))
+            left, right = np.minimum(n_before, most), np.minimum(n_after, LEFT - least)
+            at = np.arange(len(doc))
+            with np.errstate(over="ignore"):
+                key = mix(mix(_sums(before)[at, left] + left.astype(U)) ^ mix(_sums(after)[at, right] + right.astype(U)) + prefix.view(U))
+            order = np.lexsort((place, doc, key))
+            first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+            head = np.empty(len(doc), np.int64)
+            head[order] = order[np.maximum.accumulate(np.where(first, at, 0))]
+            stands = (head == at) | (doc[head] == doc)
+            b, b_place = pa.array(doc[head], mask=stands), pa.array(place[head], mask=stands)
+            yield from table.drop_columns(["salt"]).append_column("b", b).append_column("b_place", b_place).to_batches()
+
+    return classes
+
+
 #: A run about the prefix begins `least` to `most` words before it.
 _SUFFIX = "prefix long, doc_id long, place int, least int, most int, before binary, after binary"
 
 
 def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -> DataFrame:
-    """(a, a_place, b, b_place, length): for every run of min_words words about one of the suffixes (prefix, doc_id, place)
-    of a document a the first place in the least document b < a that has the run about an equal prefix, runs that follow
-    one another as one row. A prefix is min_words - LEFT words.
+    """(a, a_place, b, b_place, length): stretches of equal words of a document a and a lesser document b, which hold every
+    run of min_words words about one of the suffixes (prefix, doc_id, place) that a lesser document has, too, about an
+    equal prefix. A prefix is min_words - LEFT words.
 
     Suffixes are dealt by their prefix and sorted by the words after it. Those of a hot prefix would all come to one task:
-    their prefix is made longer by halves, until it is a whole run, of which the least document alone counts."""
-    spark = documents.sparkSession
-    share = mean_share(suffixes.count(), spark)
+    they are dealt over salts, and those with the same words about them leave one to stand for all. If these are still
+    too many their prefix is made longer by halves, until it is a whole run, of which one is left."""
+    spark, keyed = documents.sparkSession, min_words - LEFT
+    n, share = partitions(spark), mean_share(suffixes.count(), spark)
     hot = hot_keys(suffixes, "prefix", share)
 
     def about(places: DataFrame) -> DataFrame:
@@ -186,23 +210,26 @@ def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -
         return near.withColumns({"least": F.lit(0), "most": F.lit(LEFT)}).select("prefix", "doc_id", "place", "least", "most", "before", "after")
 
     cold = about(suffixes.join(F.broadcast(hot), "prefix", "left_anti"))
-    whole = []
-    if not hot.isEmpty():
-        rows = about(suffixes.join(F.broadcast(hot), "prefix", "left_semi"))
-        while not hot.isEmpty():
-            halves = written(rows.mapInArrow(_halves, _SUFFIX))
-            hot = hot_keys(halves, "prefix", share)
-            cold = cold.unionByName(halves.join(F.broadcast(hot), "prefix", "left_anti"))
-            rows = written(halves.join(F.broadcast(hot), "prefix", "left_semi"))
-            ended = rows.filter("least = most")
-            least = F.broadcast(ended.groupBy("prefix").agg(F.min(F.struct("doc_id", "place")).alias("low")))  # a row for each hot prefix
-            start = F.col("place").cast("long") - F.col("least")
-            whole.append(ended.join(least, "prefix").filter("doc_id > low.doc_id").select(F.col("doc_id").alias("a"), start.alias("a_place"), F.col("low.doc_id").alias("b"), (F.col("low.place").cast("long") - F.col("least")).alias("b_place"), F.lit(min_words).cast("long").alias("length")))
-            rows = rows.filter("least < most")
-            hot = hot.join(rows, "prefix", "left_semi")
-    found = cold.repartition(partitions(spark), "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place").mapInArrow(_intervals(min_words), STRETCH)
-    for more in whole:
-        found = found.unionByName(more)
+    rows, linked = None if hot.isEmpty() else about(suffixes.join(F.broadcast(hot), "prefix", "left_semi")), []
+    while rows is not None and not hot.isEmpty():
+        # First within salts, then what is left of each class, at most one for each of its salts.
+        near = F.substring("before", F.lit(1), 4 * F.col("most")), F.substring("after", F.lit(1), 4 * (LEFT - F.col("least")))
+        for salt in (F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.pmod(F.xxhash64(*near), F.col("salts"))):
+            salted = rows.join(F.broadcast(hot), "prefix").withColumn("salt", salt.cast("long")).drop("salts")
+            told = written(salted.repartition(n, "prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_classes(min_words), f"{_SUFFIX}, b long, b_place int"))
+            left, right = F.least(F.octet_length("before") / 4, F.col("most")).cast("long"), F.least(F.octet_length("after") / 4, LEFT - F.col("least")).cast("long")
+            links = told.filter("b IS NOT NULL").select(F.col("doc_id").alias("a"), (F.col("place") - left).alias("a_place"), "b", (F.col("b_place") - left).alias("b_place"), (left + right + keyed).alias("length"))
+            linked.append(links.filter(F.col("length") >= min_words))
+            rows = told.filter("b IS NULL").drop("b", "b_place")
+        many = hot_keys(rows, "prefix", share)
+        cold = cold.unionByName(rows.join(F.broadcast(many), "prefix", "left_anti"))
+        halves = written(rows.filter("least < most").join(F.broadcast(many), "prefix", "left_semi").mapInArrow(_halves, _SUFFIX))
+        hot = hot_keys(halves, "prefix", share)
+        cold = cold.unionByName(halves.join(F.broadcast(hot), "prefix", "left_anti"))
+        rows = halves.join(F.broadcast(hot), "prefix", "left_semi")
+    found = cold.repartition(n, "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place").mapInArrow(_intervals(min_words), STRETCH)
+    for links in linked:
+        found = found.unionByName(links)
     return found
 
 

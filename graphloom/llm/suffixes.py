@@ -57,8 +57,7 @@ def repeated_passages(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     """(doc_id, start_word, n_words, source_doc_id, source_start_word, n_equal): runs of at least min_words equal words that
     doc_id shares with a lesser source_doc_id.
 
-    Every run of min_words words that a lesser document has, too, is in a passage; its source is the least document that
-    has the run where its suffix stands. Passages of one document overlap where parts of it have different sources, or
+    Every run of min_words words that a lesser document has, too, is in a passage. Passages of one document overlap where parts of it have different sources, or
     where a text repeats itself. A copy of a whole text is one passage of all its words. Words are compared with A-Z
     lowered. Texts under min_words words, null and empty ones have no passages, and rows without a doc_id are left out.
     Repeated rows are one document; rows of one doc_id with different texts are searched as texts of one document. Extra

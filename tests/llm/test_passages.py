@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from graphloom.llm import chaining, suffixes
+from graphloom.llm import chaining, passages, suffixes
 from graphloom.llm.passages import without_passages
 from graphloom.llm.queries import QUERIES
 
@@ -92,6 +92,13 @@ def test_planted_passages(spark, name, seed):
     check(docs, OPERATORS[name](frame(spark, docs)).collect(), name == "suffixes")
 
 
+def test_hot_suffixes(spark, monkeypatch):
+    """Every prefix of over three suffixes is taken for a hot one."""
+    monkeypatch.setattr(passages, "mean_share", lambda n, session: 3.0)
+    docs = planted(3)
+    check(docs, suffixes.repeated_passages(frame(spark, docs)).collect(), True)
+
+
 def test_fuzzy_passages(spark):
     """A changed, a lost or a new word here and there does not end a passage; other texts have none."""
     rng = random.Random(4)

@@ -162,8 +162,8 @@ def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def hot_keys(rows: DataFrame, key: str, share: float | None = None) -> DataFrame:
-    """(key, salts) of the keys with more rows than `share`, a quarter of a partition's mean where it is not given, and how
-    many such shares each has: at most four keys a partition, small enough to broadcast. rows may be a sample."""
+    """(key, salts) of the keys with more rows than `share`, half of a partition's mean where it is not given, and how
+    many such shares each has: at most two keys a partition, small enough to broadcast. rows may be a sample."""
     counts = rows.groupBy(key).agg(F.count("*").alias("n"))
     if share is None:
         counts = written(counts)
@@ -172,8 +172,8 @@ def hot_keys(rows: DataFrame, key: str, share: float | None = None) -> DataFrame
 
 
 def mean_share(n_rows: int | None, spark: SparkSession) -> float:
-    """A quarter of a partition's mean share of n_rows rows."""
-    return max(4.0, (n_rows or 0) / (4 * partitions(spark)))
+    """Half of a partition's mean share of n_rows rows."""
+    return max(4.0, (n_rows or 0) / (2 * partitions(spark)))
 
 
 def dealt(rows: DataFrame, key: str, hot: DataFrame, *order: str) -> DataFrame:

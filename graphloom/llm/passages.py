@@ -46,7 +46,7 @@ def copies_of(documents: DataFrame) -> DataFrame:
 
     keys = written(rows_of(documents).mapInArrow(keyed, "doc_id long, text_key binary, n_words long"))
     least = written(keys.groupBy("text_key").agg(F.min("doc_id").alias("source_doc_id"), F.count("*").alias("rows")).filter("rows > 1"))
-    # Texts of very many copies, at most four a partition, are few enough to broadcast: those copies stay where they lie.
+    # Texts of very many copies, at most two a partition, are few enough to broadcast: those copies stay where they lie.
     often = F.broadcast(least.filter(F.col("rows") > mean_share(keys.count(), documents.sparkSession)))
     few = keys.join(often.select("text_key"), "text_key", "left_anti").join(least, "text_key")
     return written(keys.join(often, "text_key").unionByName(few).filter("doc_id > source_doc_id").select("doc_id", "source_doc_id", "n_words").distinct())
@@ -188,6 +188,10 @@ def _classes(min_words: int):
     return classes
 
 
+def _names(schema: str) -> list[str]:
+    return schema.replace(",", "").split()[0::2]
+
+
 #: A run about the prefix begins `least` to `most` words before it.
 _SUFFIX = "prefix long, doc_id long, place int, least int, most int, before binary, after binary"
 
@@ -202,31 +206,33 @@ def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -
     too many their prefix is made longer by halves, until it is a whole run, of which one is left."""
     spark, keyed = documents.sparkSession, min_words - LEFT
     n, share = partitions(spark), mean_share(suffixes.count(), spark)
-    hot = hot_keys(suffixes, "prefix", share)
+
+    def marked(rows: DataFrame) -> DataFrame:
+        return written(rows.join(F.broadcast(hot_keys(rows, "prefix", share)), "prefix", "left"))  # salts: null if not hot
 
     def about(places: DataFrame) -> DataFrame:
         by_document = places.groupBy("doc_id").agg(F.collect_set(F.struct("place", "prefix")).alias("places"))
         near = Ids(places).rows(rows_of(documents)).join(by_document, "doc_id").mapInArrow(_contexts(min_words), "prefix long, doc_id long, place int, before binary, after binary")
         return near.withColumns({"least": F.lit(0), "most": F.lit(LEFT)}).select("prefix", "doc_id", "place", "least", "most", "before", "after")
 
-    cold = about(suffixes.join(F.broadcast(hot), "prefix", "left_anti"))
-    rows, linked = None if hot.isEmpty() else about(suffixes.join(F.broadcast(hot), "prefix", "left_semi")), []
-    while rows is not None and not hot.isEmpty():
+    first = marked(suffixes)
+    cold, rows, linked = about(first.filter("salts IS NULL")), first.filter("salts IS NOT NULL"), []
+    rows = about(rows).join(F.broadcast(rows.select("prefix", "salts").distinct()), "prefix") if not rows.isEmpty() else None
+    while rows is not None and not rows.isEmpty():
         # First within salts, then what is left of each class, at most one for each of its salts.
         near = F.substring("before", F.lit(1), 4 * F.col("most")), F.substring("after", F.lit(1), 4 * (LEFT - F.col("least")))
         for salt in (F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.pmod(F.xxhash64(*near), F.col("salts"))):
-            salted = rows.join(F.broadcast(hot), "prefix").withColumn("salt", salt.cast("long")).drop("salts")
-            told = written(salted.repartition(n, "prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_classes(min_words), f"{_SUFFIX}, b long, b_place int"))
+            salted = rows.withColumn("salt", salt.cast("long")).select(*_names(_SUFFIX), "salts", "salt")
+            told = written(salted.repartition(n, "prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_classes(min_words), f"{_SUFFIX}, salts int, b long, b_place int"))
             left, right = F.least(F.octet_length("before") / 4, F.col("most")).cast("long"), F.least(F.octet_length("after") / 4, LEFT - F.col("least")).cast("long")
             links = told.filter("b IS NOT NULL").select(F.col("doc_id").alias("a"), (F.col("place") - left).alias("a_place"), "b", (F.col("b_place") - left).alias("b_place"), (left + right + keyed).alias("length"))
             linked.append(links.filter(F.col("length") >= min_words))
             rows = told.filter("b IS NULL").drop("b", "b_place")
-        many = hot_keys(rows, "prefix", share)
-        cold = cold.unionByName(rows.join(F.broadcast(many), "prefix", "left_anti"))
-        halves = written(rows.filter("least < most").join(F.broadcast(many), "prefix", "left_semi").mapInArrow(_halves, _SUFFIX))
-        hot = hot_keys(halves, "prefix", share)
-        cold = cold.unionByName(halves.join(F.broadcast(hot), "prefix", "left_anti"))
-        rows = halves.join(F.broadcast(hot), "prefix", "left_semi")
+        many = marked(rows.drop("salts"))
+        cold = cold.unionByName(many.filter("salts IS NULL").drop("salts"))
+        halves = marked(many.filter("salts IS NOT NULL AND least < most").drop("salts").mapInArrow(_halves, _SUFFIX))
+        cold = cold.unionByName(halves.filter("salts IS NULL").drop("salts"))
+        rows = halves.filter("salts IS NOT NULL")
     found = cold.repartition(n, "prefix").sortWithinPartitions("prefix", "after", "doc_id", "place").mapInArrow(_intervals(min_words), STRETCH)
     for links in linked:
         found = found.unionByName(links)

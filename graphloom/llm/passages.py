@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Ids, chunks, hot_keys, mean_share, narrow, partitions, runs, text_bytes, written
@@ -181,7 +181,7 @@ def _classes(min_words: int):
             first = np.concatenate([[True], key[order][1:] != key[order][:-1]])
             head = np.empty(len(doc), np.int64)
             head[order] = order[np.maximum.accumulate(np.where(first, at, 0))]
-            stands = (head == at) | (doc[head] == doc)
+            stands = head == at
             b, b_place = pa.array(doc[head], mask=stands), pa.array(place[head], mask=stands)
             yield from table.drop_columns(["salt"]).append_column("b", b).append_column("b_place", b_place).to_batches()
 
@@ -215,19 +215,29 @@ def equal_stretches(documents: DataFrame, suffixes: DataFrame, min_words: int) -
         near = Ids(places).rows(rows_of(documents)).join(by_document, "doc_id").mapInArrow(_contexts(min_words), "prefix long, doc_id long, place int, before binary, after binary")
         return near.withColumns({"least": F.lit(0), "most": F.lit(LEFT)}).select("prefix", "doc_id", "place", "least", "most", "before", "after")
 
+    def classed(rows: DataFrame, salt: Column) -> DataFrame:
+        salted = rows.withColumn("salt", F.pmod(salt, F.col("salts")).cast("long")).select(*_names(_SUFFIX), "salts", "salt")
+        return written(salted.repartition(n, "prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_classes(min_words), f"{_SUFFIX}, salts int, b long, b_place int"))
+
+    def links(told: DataFrame) -> DataFrame:
+        left, right = F.least(F.octet_length("before") / 4, F.col("most")).cast("long"), F.least(F.octet_length("after") / 4, LEFT - F.col("least")).cast("long")
+        found = told.select(F.col("doc_id").alias("a"), (F.col("place") - left).alias("a_place"), "b", (F.col("b_place") - left).alias("b_place"), (left + right + keyed).alias("length"))
+        return found.filter(F.col("length") >= min_words)
+
     first = marked(suffixes)
     cold, rows, linked = about(first.filter("salts IS NULL")), first.filter("salts IS NOT NULL"), []
     rows = about(rows).join(F.broadcast(rows.select("prefix", "salts").distinct()), "prefix") if not rows.isEmpty() else None
     while rows is not None and not rows.isEmpty():
-        # First within salts, then what is left of each class, at most one for each of its salts.
+        # First by document, so that of a class each has one suffix left at most; then what is left of each class, at most
+        # one for each of its salts. A document's other suffixes of a class follow the one that stands for them.
         near = F.substring("before", F.lit(1), 4 * F.col("most")), F.substring("after", F.lit(1), 4 * (LEFT - F.col("least")))
-        for salt in (F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.pmod(F.xxhash64(*near), F.col("salts"))):
-            salted = rows.withColumn("salt", salt.cast("long")).select(*_names(_SUFFIX), "salts", "salt")
-            told = written(salted.repartition(n, "prefix", "salt").sortWithinPartitions("prefix", "salt").mapInArrow(_classes(min_words), f"{_SUFFIX}, salts int, b long, b_place int"))
-            left, right = F.least(F.octet_length("before") / 4, F.col("most")).cast("long"), F.least(F.octet_length("after") / 4, LEFT - F.col("least")).cast("long")
-            links = told.filter("b IS NOT NULL").select(F.col("doc_id").alias("a"), (F.col("place") - left).alias("a_place"), "b", (F.col("b_place") - left).alias("b_place"), (left + right + keyed).alias("length"))
-            linked.append(links.filter(F.col("length") >= min_words))
-            rows = told.filter("b IS NULL").drop("b", "b_place")
+        told = classed(rows, F.xxhash64("doc_id"))
+        again = classed(told.filter("b IS NULL").drop("b", "b_place"), F.xxhash64(*near))
+        stands = again.select("prefix", "doc_id", F.col("place").alias("first_place"), "b", "b_place")
+        follow = told.filter("b = doc_id").drop("b").withColumnRenamed("b_place", "first_place")
+        follow = written(follow.join(stands, ["prefix", "doc_id", "first_place"]).drop("first_place"))
+        linked += [links(told.filter("b <> doc_id")), links(again.filter("b IS NOT NULL")), links(follow.filter("b IS NOT NULL"))]
+        rows = again.unionByName(follow).filter("b IS NULL").drop("b", "b_place")
         many = marked(rows.drop("salts"))
         cold = cold.unionByName(many.filter("salts IS NULL").drop("salts"))
         halves = marked(many.filter("salts IS NOT NULL AND least < most").drop("salts").mapInArrow(_halves, _SUFFIX))

@@ -99,6 +99,15 @@ def test_hot_suffixes(spark, monkeypatch):
     check(docs, suffixes.repeated_passages(frame(spark, docs)).collect(), True)
 
 
+def test_hot_suffixes_of_documents_that_repeat_themselves(spark, monkeypatch):
+    """Each document says the passage many times over; all its places but the least document's have a source."""
+    monkeypatch.setattr(passages, "mean_share", lambda n, session: 3.0)
+    rng = random.Random(5)
+    line = [f"w{rng.randrange(3000)}" for _ in range(30)]
+    docs = [(d, " ".join([f"a{d}", *line * rng.randrange(4, 9), f"b{d}", *line * 4])) for d in range(12)]
+    check(docs, suffixes.repeated_passages(frame(spark, docs)).collect(), True)
+
+
 def test_fuzzy_passages(spark):
     """A changed, a lost or a new word here and there does not end a passage; other texts have none."""
     rng = random.Random(4)

@@ -53,3 +53,19 @@ def relational_layer(edges: DataFrame, vectors: DataFrame, own: list[list[float]
     zeros = F.array_repeat(F.lit(0.0), len(bias))
     met = vectors.join(sums, "node", "left").withColumn("messages", F.coalesce("messages", zeros))
     return met.select("node", F.zip_with(dense("vector", own, bias), "messages", lambda a, b: a + b).alias("vector"))
+
+
+def no_hop(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node, vector): vectors as they are; edges are not read."""
+    return vectors.select("node", "vector")
+
+
+#: Encoders by name.
+ENCODERS = {"graphsage": sage_layer, "rgcn": relational_layer, "nohop": no_hop}
+
+
+def encoder(name: str):
+    """The encoder of a name, whatever its case; an unknown one is an error."""
+    if name.lower() not in ENCODERS:
+        raise ValueError(f"no encoder {name!r}; there are {', '.join(ENCODERS)}")
+    return ENCODERS[name.lower()]

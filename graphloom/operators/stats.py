@@ -45,6 +45,13 @@ def rolling(df: DataFrame, series: str, step: str, value: str, width: int) -> Da
     return df.select(series, step, F.avg(value).over(last).alias("mean"), F.stddev_pop(value).over(last).alias("std"), F.var_pop(value).over(last).alias("var"))
 
 
+def last_rolling(df: DataFrame, series: str, step: str, value: str, width: int) -> DataFrame:
+    """(series, n, mean, std, var) of the last `width` values of each series alone; no window over a whole series is made."""
+    order = Window.partitionBy(series).orderBy(F.desc(step))
+    last = df.withColumn("rank__", F.row_number().over(order)).filter(F.col("rank__") <= width)
+    return last.groupBy(series).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.var_pop(value).alias("var"))
+
+
 def early_stop(df: DataFrame, run: str, step: str, metric: str, min_delta: float, patience: int) -> DataFrame:
     """Of each run's evaluations: the best so far, whether this one is better by over min_delta, evaluations since then,
     and whether the run has stopped by now.

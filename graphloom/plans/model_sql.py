@@ -41,7 +41,7 @@ _SUBSETS = """flags AS (SELECT qid, x.label % 2 = 0 AS hf, y.label % 2 = 0 AS tf
 subsets AS (SELECT 'global' AS subset, qid FROM flags UNION ALL SELECT 'art_art', qid FROM flags WHERE hf AND tf UNION ALL SELECT 'art_any', qid FROM flags WHERE hf OR tf)"""
 
 
-def _auc(group: str, source: str) -> str:
+def auc_sql(group: str, source: str) -> str:
     return f"""cells AS (SELECT {group} AS g, score, sum(label)::BIGINT AS p, sum(1 - label)::BIGINT AS n FROM {source} GROUP BY ALL),
 sums AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM cells WINDOW w AS (PARTITION BY g ORDER BY score DESC))
 SELECT g AS {group.split('.')[-1]}, sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, CASE WHEN sum(p) = 0 OR sum(n) = 0 THEN 0.5 ELSE {_R("sum(n * (tp - p / 2.0)) / (sum(p)::DOUBLE * sum(n))")} END AS auc,
@@ -82,8 +82,8 @@ SQL = {
     "relation_rank_filtered": f"WITH {VECTORS}, {_ALL_R(_TRANSE)}, {_RANKS} SELECT qid, r, rank, top1 FROM ranks",
     "mrr_hits": f"""WITH {VECTORS}, {_ALL_R(_TRANSE)}, {_RANKS}, {_SUBSETS} SELECT subset, count(*) AS n, {_R('avg(1.0::DOUBLE / rank)')} AS mrr, {_R('avg((rank <= 1)::INTEGER)')} AS hits_1, {_R('avg((rank <= 3)::INTEGER)')} AS hits_3,
         {_R('avg((rank <= 10)::INTEGER)')} AS hits_10, {_R('avg((top1 = r)::INTEGER)')} AS top1 FROM ranks JOIN subsets USING (qid) GROUP BY subset""",
-    "triple_auc_ap": f"WITH {VECTORS}, {_LABELLED(_TRANSE)}, {_auc('r', 'labelled')}",
-    "subset_metrics": f"WITH {VECTORS}, {_LABELLED(_TRANSE)}, {_SUBSETS}, joined AS (SELECT * FROM labelled JOIN subsets USING (qid)), {_auc('subset', 'joined')}",
+    "triple_auc_ap": f"WITH {VECTORS}, {_LABELLED(_TRANSE)}, {auc_sql('r', 'labelled')}",
+    "subset_metrics": f"WITH {VECTORS}, {_LABELLED(_TRANSE)}, {_SUBSETS}, joined AS (SELECT * FROM labelled JOIN subsets USING (qid)), {auc_sql('subset', 'joined')}",
     "hit_at_10": f"""WITH {VECTORS}, {_LABELLED(_TRANSE)}, {_SUBSETS}, pos AS (SELECT qid, score AS goal FROM labelled WHERE label = 1),
         hits AS (SELECT qid, 1 + count(*) FILTER (label = 0 AND score >= goal) AS rank FROM labelled JOIN pos USING (qid) GROUP BY qid)
         SELECT subset, count(*) AS n, {_R('avg((rank <= 10)::INTEGER)')} AS hit FROM hits JOIN subsets USING (qid) GROUP BY subset""",

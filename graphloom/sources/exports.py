@@ -46,6 +46,27 @@ def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.json(paths, schema=TEXT, multiLine=True).select("*", name.alias("chunk"))
 
 
+def text_places(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """wid, url, brief, sections, chunk and position (the place in its shard) of text shards. A shard is one task's."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
+    shards = spark.read.text(paths, wholetext=True).select(name.alias("chunk"), F.from_json("value", f"array<struct<{TEXT}>>").alias("texts"))
+    return shards.select("chunk", F.posexplode("texts").alias("position", "x")).select("x.*", "chunk", "position")
+
+
+def node_wids(spark: SparkSession, path: str) -> DataFrame:
+    """(wid, pos): the items that a file of nodes names, a list or an object by node id, each at its first place. Another
+    structure is an error."""
+    node = "struct<properties:struct<wid:variant>>"
+    text = F.ltrim("value")
+    listed = F.from_json("value", f"array<{node}>")
+    keyed = F.map_values(F.from_json("value", f"map<string,{node}>"))
+    every = F.when(text.startswith("["), listed).when(text.startswith("{"), keyed).otherwise(F.raise_error(F.lit("nodes are neither a list nor an object")))
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(every).alias("pos", "node"))
+    wid = F.col("node.properties.wid")
+    rows = rows.filter(F.schema_of_variant(wid) == "STRING").select(F.try_variant_get(wid, "$", "string").alias("wid"), "pos")
+    return rows.filter(F.col("wid").startswith("Q")).groupBy("wid").agg(F.min("pos").alias("pos"))
+
+
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Checkpoint lines; those that aren't records are skipped."""
     return spark.read.json(paths, schema=RECORD, mode="DROPMALFORMED").filter("wid IS NOT NULL")

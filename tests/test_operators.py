@@ -309,3 +309,71 @@ def test_prepared_batches(spark):
         assert local == list(range(r["nodes"]))
     with pytest.raises(ValueError):
         N.prepared(seeds, mine, edges, catalog, [5], 2, 1, 2, 1)
+
+
+def test_items_of_node_files(spark, tmp_path):
+    from graphloom.sources import exports
+
+    node = '{"labels": [], "properties": {"wid": %s}}'
+    values = ['"Q2"', '"Q1"', "7", '"Q2"', '"x"', "null"]
+    rows = [node % v for v in values]
+    (tmp_path / "list.json").write_text("[" + ", ".join([*rows, "null", "{}"]) + "]")
+    (tmp_path / "keyed.json").write_text("{" + ", ".join(f'"{i}": {r}' for i, r in enumerate(rows)) + "}")
+    for name in ("list", "keyed"):
+        found = exports.node_wids(spark, str(tmp_path / f"{name}.json")).orderBy("pos").collect()
+        assert [(r.wid, r.pos) for r in found] == [("Q2", 0), ("Q1", 1)]
+    (tmp_path / "bad.json").write_text('"x"')
+    with pytest.raises(Exception, match="neither a list nor an object"):
+        exports.node_wids(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_texts_by_place(spark, tmp_path):
+    from graphloom.operators import texts
+    from graphloom.sources import exports
+
+    (tmp_path / "chunk_1.json").write_text('[{"wid": "Q1", "brief": "a"}, {"wid": "Q2", "brief": "b"}]')
+    (tmp_path / "chunk_2.json").write_text('[{"wid": "", "brief": "c"}, {"wid": "Q1", "brief": "d"}]')
+    rows = exports.text_places(spark, str(tmp_path))
+    assert {tuple(r) for r in texts.text_index(rows).collect()} == {("Q1", "chunk_2", 1), ("Q2", "chunk_1", 1)}
+    wanted = spark.createDataFrame([("Q1",), ("Q3",)], "wid string")
+    assert {tuple(r) for r in texts.looked_up(wanted, rows, "brief").select("wid", "brief").collect()} == {("Q1", "d"), ("Q3", "")}
+    with pytest.raises(ValueError):
+        texts.of_chunks(rows, spark.createDataFrame([("chunk_9",)], "chunk string"))
+
+
+def test_caches_are_guarded(spark, tmp_path):
+    from graphloom.sources import caches
+
+    settings = {"model": "m", "size": 2}
+    folder = caches.cache_folder(str(tmp_path), settings)
+    assert folder != caches.cache_folder(str(tmp_path), {"model": "n", "size": 2}) != caches.cache_folder(str(tmp_path), settings, 3)
+    rows = spark.createDataFrame([(1, [0.5, 1.0]), (2, [0.25, 2.0])], "node long, vector array<double>")
+    caches.write_cache(caches.stored_vectors(rows), folder, settings)
+    found = caches.read_cache(spark, folder, settings)
+    assert dict(found.dtypes)["vector"] == "array<float>" and found.count() == 2
+    with pytest.raises(ValueError, match="other settings"):
+        caches.read_cache(spark, folder, {"model": "m", "size": 3})
+    assert [r.node for r in caches.missing(found, spark.range(4).withColumnRenamed("id", "node"), "node").orderBy("node").collect()] == [0, 3]
+
+
+def test_encoders_by_name(spark):
+    from graphloom.operators import messages
+
+    rows = spark.createDataFrame([(1, [0.5])], "node long, vector array<double>")
+    assert messages.encoder("NoHop")(None, rows).collect() == rows.collect()
+    assert messages.encoder("graphsage") is messages.sage_layer
+    with pytest.raises(ValueError):
+        messages.encoder("other")
+
+
+def test_hits_count_whole_rows_alone(spark):
+    from graphloom.operators import evaluation as E
+
+    vectors = spark.createDataFrame([(i, [float(i)]) for i in range(5)], "node long, vector array<double>")
+    positives = spark.createDataFrame([("x", 1, 2), ("x", 2, 3)], "cell string, lo long, hi long")
+    drawn = spark.createDataFrame([("x", 1, 2, 1, 4), ("x", 1, 2, 0, 1), ("x", 2, 3, 0, 2)], "cell string, lo long, hi long, neg_lo long, neg_hi long")
+    rows = {r.cell: r for r in E.report(positives, drawn, vectors, 2, ["x", "y"], k=1).collect()}
+    assert (rows["x"].n_pos, rows["x"].n_neg, rows["x"].hit_pos, rows["x"].hit, rows["x"].per_positive) == (2, 3, 1, 0.0, 1.5)
+    assert tuple(rows["y"])[1:] == (0, 0, 0.0, 0.0, 0, 0.0, 0.0)
+    nothing = E.report(positives.limit(0), drawn.limit(0), vectors, 2, ["x"]).first()
+    assert nothing.n_pos == 0 and nothing.auc == 0.0

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, decontaminate, html, lm, neardup, packing, quality, sharding, suffixes, tokens
+from . import chaining, decontaminate, forest, html, lm, neardup, packing, periods, quality, sharding, spelling, suffixes, tokens
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -57,9 +57,22 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents")).withColumn("piece", F.col("piece").cast("int"))
 
 
+def op11_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return forest.nearest(_table(spark, folder, "embeddings"), queried=F.col("vec_id") % 20 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periods.periodic_runs(_table(spark, folder, "documents"), repeated=True)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_spellings(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.forms(spelling.counted(_table(spark, folder, "documents"), dropped=97))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality, op2_lm_score, op3_shards, op4_main_text, op5_leaks, op6_token_counts, op7_near_duplicates, op8_fuzzy_passages, op9_repeated_passages, op10_packing)
+    for f in (op1_quality, op2_lm_score, op3_shards, op4_main_text, op5_leaks, op6_token_counts, op7_near_duplicates, op8_fuzzy_passages, op9_repeated_passages, op10_packing, op11_nearest, op12_periodic_runs, op13_spellings)
 }
 
 # Links of all pairs that share a shingle, then the least doc_id reachable.

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..sources import exports, tables, writers
+from ..sources import exports, sharded, tables, writers
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -67,7 +67,7 @@ def main(arguments: list[str] | None = None) -> int:
     options = _parser().parse_args(arguments)
     spark = SparkSession.builder.appName("graphloom").getOrCreate()
     if options.command == "export":
-        mode = writers.export_chunks(tables.nodes(spark, options.tables), tables.edges(spark, options.tables), options.output, options.overwrite, options.flushes)
+        mode = sharded.export_chunks(tables.nodes(spark, options.tables), tables.edges(spark, options.tables), options.output, options.overwrite, options.flushes)
         print(f"export: {mode}")
         return 0
     vectors, relations = spark.read.parquet(options.vectors), spark.read.parquet(options.relations)

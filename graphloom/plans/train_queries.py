@@ -12,8 +12,10 @@ from ..functions.hashing import draw
 from ..operators import neighbours as N
 from ..operators import negatives
 from ..operators.order import numbered
-from ..sources import tables, writers
+from ..sources import sharded, tables
+from ..streaming.ledger import follow, logged, record_stream
 from .graph_queries import BATCH, CONTEXT, FAN_OUT, MOST_IMAGES, MOST_NODES, SEED, Graph, pool_of
+from .model_queries import _records
 from .graph_sql import ALL, GRAPH, PROPAGATION, SAMPLE, SPLIT, hash_sql
 
 DRAWN_BATCHES = 20
@@ -143,17 +145,53 @@ def export_modes(spark, folder):
     nodes, edges = tables.nodes(spark, folder), tables.edges(spark, folder)
     out, rows = f"{N.shared_folder(spark)}/export-{uuid.uuid4().hex}", []
     for run, stop in ((0, 1), (1, None), (2, None)):
-        mode = writers.export_chunks(nodes, edges, out, flushes=2, stop_after=stop)
-        done = writers.done_chunks(spark, out).agg(F.lit(run).alias("run"), F.lit(mode).alias("mode"), F.count("*").alias("chunks"), F.sum("node_count").alias("nodes"), F.sum("edge_count").alias("edges"))
+        mode = sharded.export_chunks(nodes, edges, out, parts=2, stop_after=stop)
+        done = sharded.done_chunks(spark, out).agg(F.lit(run).alias("run"), F.lit(mode).alias("mode"), F.count("*").alias("chunks"), F.sum("node_count").alias("nodes"), F.sum("edge_count").alias("edges"))
         rows.append(N.written(done))  # what is done by now
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
+def resume_faults(spark, folder):
+    """What a finished export finds wrong with itself when it is run again: as it is, over other input, under another name,
+    without a row of its manifest, and without the files of a chunk. Digests are named without their values."""
+    nodes, edges = tables.nodes(spark, folder), tables.edges(spark, folder)
+    out, rows = f"{N.shared_folder(spark)}/export-{uuid.uuid4().hex}", []
+    sharded.export_chunks(nodes, edges, out, parts=2)
+
+    def found(case: str, nodes=nodes, edges=edges, name: str = "graph") -> None:
+        faults = sharded.resume_faults(spark, out, sharded.snapshot(nodes, edges, name))
+        rows.extend((case, f, *(None if f.endswith("digest") else x for x in values)) for f, *values in faults)
+
+    found("same")
+    found("fewer nodes", nodes=nodes.join(nodes.agg(F.max("node_id").alias("node_id")), "node_id", "left_anti"))
+    found("fewer edges", edges=edges.join(edges.agg(F.max("id").alias("id")), "id", "left_anti"))
+    found("other name", name="other")
+    done = N.written(sharded.done_chunks(spark, out))
+    first = done.filter("chunk_index = 1").first()["chunk_id"]
+    done.filter("chunk_index > 1").write.mode("overwrite").json(f"{out}/manifest")
+    found("row lost")
+    done.write.mode("overwrite").json(f"{out}/manifest")
+    sharded._delete(spark, f"{out}/nodes/chunk_id={first}")
+    found("files lost")
+    return spark.createDataFrame(rows, f"case string, {sharded.FAULT}")
+
+
+def ledger_stream(spark, folder):
+    """The ledger of a stream of checkpoint files: events as fetch records of their users, in files that follow one another,
+    of which every batch takes a few. The last record of each user is left."""
+    records = _records(spark, folder).withColumnRenamed("status", "_fetch_status")
+    place = f"{N.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    lines = records.repartitionByRange(8, "pos").sortWithinPartitions("pos")
+    lines.select(F.to_json(F.struct("wid", "url", "brief", "_fetch_status")).alias("value")).write.text(f"{place}/records")
+    follow(record_stream(spark, f"{place}/records", 3), f"{place}/ledger", f"{place}/state").awaitTermination()
+    return logged(spark, f"{place}/ledger").select("wid", F.col("_fetch_status").alias("status"), "url", "brief")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         train_propagation, csr_columns, directed_dedup, unique_entities, test_nodes, image_counters, khop_untyped, seed_subgraph, external_order, chunk_subgraph, uniform_batches,
-        neg_kge_multi, neg_directed, batch_kge, batch_lp, export_modes,
+        neg_kge_multi, neg_directed, batch_kge, batch_lp, export_modes, resume_faults, ledger_stream,
     )
 }
 
@@ -164,8 +202,9 @@ external AS (SELECT x.chunk_id, other AS node, row_number() OVER (PARTITION BY x
     FROM (SELECT DISTINCT chunk_id, other FROM ranked_context WHERE rank <= {CONTEXT}) x JOIN catalog c ON c.node_idx = other)"""
 _MULTI_SIDE = f"{hash_sql("'7:side'", 'p.h', 'p.r', 'p.t', 'copy')} % 2 = 0"
 _UNTYPED = "prop AS (SELECT h AS src, 0 AS rel, t AS dst FROM triples UNION SELECT t, 0, h FROM triples)"
-_DONE = "(SELECT chunk_id, count(*) AS n FROM nodes GROUP BY chunk_id)"
-_EDGES_OF = "(SELECT count(*) FROM raw_edges JOIN nodes ON node_id = src WHERE TRUE"
+_CHUNKS = """chunks AS (SELECT chunk_id, n, coalesce(e, 0) AS e, row_number() OVER (ORDER BY chunk_id) AS k, count(*) OVER () AS c FROM (SELECT chunk_id, count(*) AS n FROM nodes GROUP BY chunk_id)
+    LEFT JOIN (SELECT chunk_id, count(*) AS e FROM raw_edges JOIN nodes ON node_id = src GROUP BY chunk_id) USING (chunk_id))"""
+_HALF = "(k - 1) * 2 < c"
 
 SQL = {
     "train_propagation": f"WITH {SPLIT} SELECT h AS src, r AS rel, t AS dst FROM split WHERE split = 'train' UNION SELECT t, r, h FROM split WHERE split = 'train'",
@@ -192,7 +231,18 @@ SQL = {
         draws AS (SELECT p.src, p.dst, k, {hash_sql("'7'", 'p.src', 'p.dst', 'k')} % (SELECT count(*) FROM catalog) AS neg FROM links p, range(50) AS x(k)),
         good AS (SELECT src, dst, arg_min(neg, k) AS neg FROM draws d WHERE neg <> src AND NOT EXISTS (SELECT 1 FROM links z WHERE z.src = d.src AND z.dst = d.neg) GROUP BY src, dst)
         SELECT p.src, p.dst, neg, neg IS NOT NULL AS valid FROM links p LEFT JOIN good g ON g.src = p.src AND g.dst = p.dst""",
-    "export_modes": f"""WITH {GRAPH}, done AS (SELECT * FROM {_DONE}), half AS (SELECT count(*) AS chunks, sum(n)::BIGINT AS nodes, {_EDGES_OF} AND chunk_id % 2 = 0) AS edges FROM done WHERE chunk_id % 2 = 0),
-        whole AS (SELECT count(*) AS chunks, sum(n)::BIGINT AS nodes, {_EDGES_OF}) AS edges FROM done)
-        SELECT 0 AS run, 'fresh' AS mode, * FROM half UNION ALL SELECT 1, 'resume', * FROM whole UNION ALL SELECT 2, 'completed', * FROM whole""",
+    "export_modes": f"""WITH {GRAPH}, {_CHUNKS}, whole AS (SELECT count(*) AS chunks, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM chunks)
+        SELECT 0 AS run, 'fresh' AS mode, count(*) AS chunks, sum(n)::BIGINT AS nodes, sum(e)::BIGINT AS edges FROM chunks WHERE {_HALF} UNION ALL SELECT 1, 'resume', * FROM whole UNION ALL SELECT 2, 'completed', * FROM whole""",
+    "resume_faults": f"""WITH {GRAPH}, {_CHUNKS}, lone AS (SELECT count(*) AS c FROM nodes WHERE chunk_id = (SELECT arg_max(chunk_id, node_id) FROM nodes)), half AS (SELECT * FROM chunks WHERE {_HALF}),
+        one AS (SELECT * FROM chunks WHERE k = 1), sums AS (SELECT count(*) AS c, sum(n) AS n, sum(e) AS e FROM half)
+        SELECT 'fewer nodes' AS case, 'total_nodes' AS fault, count(*)::VARCHAR AS planned, (count(*) - 1)::VARCHAR AS found FROM nodes UNION ALL SELECT 'fewer nodes', 'nodes_digest', NULL, NULL
+        UNION ALL SELECT 'fewer nodes', 'chunk_count_planned', (SELECT max(c)::VARCHAR FROM chunks), (SELECT (max(c) - 1)::VARCHAR FROM chunks) FROM lone WHERE c = 1
+        UNION ALL SELECT 'fewer edges', 'total_relationships', count(*)::VARCHAR, (count(*) - 1)::VARCHAR FROM raw_edges UNION ALL SELECT 'fewer edges', 'edges_digest', NULL, NULL
+        UNION ALL SELECT 'other name', 'name', 'graph', 'other'
+        UNION ALL SELECT 'row lost', 'chunk sequence', '1 to ' || (max(c) - 1), (max(c) - 1) || ' up to ' || max(c) FROM chunks HAVING max(c) > 1
+        UNION ALL SELECT 'row lost', 'chunk rows', c::VARCHAR, (c - 1)::VARCHAR FROM sums WHERE c > 1
+        UNION ALL SELECT 'row lost', 'completed_nodes', s.n::VARCHAR, (s.n - one.n)::VARCHAR FROM sums s, one WHERE s.c > 1
+        UNION ALL SELECT 'row lost', 'completed_edges', s.e::VARCHAR, (s.e - one.e)::VARCHAR FROM sums s, one WHERE s.c > 1 AND one.e > 0
+        UNION ALL SELECT 'files lost', 'nodes files of 1 chunks', n || ' rows', '0 rows' FROM one""",
+    "ledger_stream": "SELECT 'Q' || user_id AS wid, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_sitelink' WHEN 2 THEN 'error' END AS status, CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS url, CASE WHEN event_id % 5 > 0 THEN event_type ELSE ' ' END AS brief FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 }

@@ -46,6 +46,30 @@ def texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.json(paths, schema=TEXT, multiLine=True).select("*", name.alias("chunk"))
 
 
+def whole_shards(files: DataFrame, record: str) -> DataFrame:
+    """(file, position, and the record's columns) of shards that are each one JSON array, read all or nothing: a shard that is
+    no array, is cut short or holds anything but objects counts as empty, and the others are read as ever.
+
+    files: whole text files (value, with their metadata). A shard is one task's. Fields that a record lacks, or has in
+    another type, are null.
+    """
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    # As the one field of an object, so that nothing may follow the array.
+    whole = F.try_parse_json(F.concat(F.lit('{"shard":'), F.ltrim(F.regexp_replace("value", r"^\uFEFF", "")), F.lit("}")))
+    fields = F.try_variant_get(whole, "$", "map<string,variant>")
+    items = F.when(F.size(fields) == 1, F.try_variant_get(whole, "$.shard", "array<variant>"))
+    good = F.coalesce(F.forall(items, lambda x: F.schema_of_variant(x).startswith("OBJECT")), F.lit(False))
+    rows = files.select(name.alias("file"), F.when(good, items).alias("items"))
+    rows = rows.select("file", F.posexplode("items").alias("position", "item"))
+    return rows.select("file", "position", F.from_json(F.to_json("item"), record).alias("record")).select("file", "position", "record.*")
+
+
+def done_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """wid, url, brief, sections, file, position of text output shards, each read all or nothing, for runs that go on from
+    what is there: what a broken shard held is made again."""
+    return whole_shards(spark.read.text(paths, wholetext=True), TEXT).filter("wid IS NOT NULL")
+
+
 def text_places(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """wid, url, brief, sections, chunk and position (the place in its shard) of text shards. A shard is one task's."""
     name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.json$", "")
@@ -67,6 +91,14 @@ def node_wids(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("wid").startswith("Q")).groupBy("wid").agg(F.min("pos").alias("pos"))
 
 
+def checkpoint_lines(files: DataFrame) -> DataFrame:
+    """Records with the file's name and the line they stand in, of whole text files (value, with their metadata). Lines that
+    aren't records are skipped. A file is one task's."""
+    lines = files.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    rows = lines.select(F.from_json("text", RECORD).alias("record"), "file", F.col("line").cast("long").alias("line"))
+    return rows.select("record.*", "file", "line").filter("wid IS NOT NULL")
+
+
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Checkpoint lines; those that aren't records are skipped."""
     return spark.read.json(paths, schema=RECORD, mode="DROPMALFORMED").filter("wid IS NOT NULL")

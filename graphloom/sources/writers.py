@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,66 +20,21 @@ def graph_export(nodes: DataFrame, edges: DataFrame, folder: str, mode: str = "e
     return rows
 
 
-def export_mode(spark: SparkSession, folder: str, overwrite: bool = False) -> str:
-    """What an export into the folder would be: fresh, resume (some planned chunks are done) or completed. A folder that
-    holds other things is an error unless it may be overwritten."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if overwrite or not files.exists(path) or not files.listStatus(path):
-        return "fresh"
-    if not files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/manifest")):
-        if {f.getPath().getName() for f in files.listStatus(path)} <= {"nodes", "edges"}:
-            return "resume"  # stopped before its first chunks were done
-        raise ValueError(f"{folder} is not empty and has no manifest")
-    done = done_chunks(spark, folder).agg(F.count("*").alias("n"), F.max("planned").alias("planned")).first()
-    return "completed" if done["n"] and done["n"] >= done["planned"] else "resume"
-
-
-def done_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """The manifest rows of the chunks that are done, each once."""
-    return spark.read.schema(MANIFEST).json(f"{folder}/manifest").dropDuplicates(["chunk_id"])
-
-
-def export_chunks(nodes: DataFrame, edges: DataFrame, folder: str, overwrite: bool = False, flushes: int = 8, stop_after: int | None = None) -> str:
-    """Write nodes and edges by chunk in `flushes` parts and add each part's chunks to the manifest once they are written.
-    Run again after a stop, it writes the chunks that the manifest lacks, over what was left of them. Returns the mode it
-    began in; stop_after ends it after so many parts."""
-    spark = nodes.sparkSession
-    mode = export_mode(spark, folder, overwrite)
-    if mode == "completed":
-        return mode
-    if overwrite:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    planned = nodes.select("chunk_id").distinct().count()
-    part = F.pmod(F.col("chunk_id"), F.lit(flushes))
-    for k in range(flushes if stop_after is None else stop_after):
-        mine = nodes.filter(part == k)
-        if mode == "resume" and _exists(spark, f"{folder}/manifest"):
-            mine = mine.join(done_chunks(spark, folder).select("chunk_id"), "chunk_id", "left_anti")
-        if mine.isEmpty():
-            continue
-        placed = edges.join(mine.select(F.col("node_id").alias("src"), "chunk_id"), "src")
-        for name, rows, order in (("nodes", mine, ["node_id"]), ("edges", placed, ["src", "id"])):
-            # Of the chunks at hand whatever a stopped run has left is replaced; others stay.
-            rows.repartition("chunk_id").sortWithinPartitions("chunk_id", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(f"{folder}/{name}")
-        manifest(mine, edges).withColumn("planned", F.lit(planned)).write.mode("append").json(f"{folder}/manifest")
-    return mode
-
-
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-
-MANIFEST = "chunk_id int, node_count long, edge_count long, low long, high long, planned long"
-
-
 def node_list(nodes: DataFrame, folder: str, mode: str = "errorifexists") -> None:
     """Nodes as JSON lines in the order of their ids."""
     nodes.repartitionByRange("node_id").sortWithinPartitions("node_id").write.mode(mode).json(folder)
 
 
+def node_array(nodes: DataFrame, folder: str, mode: str = "errorifexists") -> None:
+    """Nodes as one JSON list in the order of their ids, in one file: for lists that another program reads whole. Its lines
+    pass through one writer; what is large belongs into node_list."""
+    least = nodes.agg(F.min("node_id")).first()[0]
+    line = F.concat(F.when(F.col("node_id") == least, "[").otherwise(","), F.to_json(F.struct(*nodes.columns), {"ignoreNullFields": "false"}))
+    end = nodes.agg(F.when(F.count("*") == 0, "[]").otherwise("]").alias("value"), F.lit(None).cast("long").alias("node_id"))
+    lines = nodes.select(line.alias("value"), "node_id").unionByName(end)
+    lines.repartition(1).sortWithinPartitions(F.asc_nulls_last("node_id")).select("value").write.mode(mode).text(folder)
+
+
 def metrics_rows(rows: DataFrame, folder: str) -> None:
     """Add rows of metrics to a folder of CSV."""
     rows.write.mode("append").option("header", True).csv(folder)

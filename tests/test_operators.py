@@ -10,7 +10,7 @@ from graphloom.operators import catalog as C
 from graphloom.operators import ledger, metrics, negatives, order, splits, stats
 from graphloom.operators import neighbours as N
 from graphloom.plans.config import RunConfig
-from graphloom.sources import exports, writers
+from graphloom.sources import exports, sharded, writers
 
 
 def triples(spark, n=3000, nodes=200, relations=4, seed=1):
@@ -267,20 +267,20 @@ def test_exports_go_on_where_they_stopped(spark, tmp_path):
     nodes = spark.createDataFrame([(i, i // 10, i % 10) for i in range(60)], "node_id long, chunk_id int, chunk_pos int")
     edges = spark.createDataFrame([(i, i, (i * 7) % 60, "x") for i in range(60)], "id long, src long, dst long, type string")
     out = f"{tmp_path}/out"
-    assert writers.export_mode(spark, out) == "fresh"
-    assert writers.export_chunks(nodes, edges, out, flushes=3, stop_after=1) == "fresh"
+    assert sharded.export_mode(spark, out) == "fresh"
+    assert sharded.export_chunks(nodes, edges, out, parts=3, stop_after=1) == "fresh"
     # What a stopped run has left of a chunk is replaced.
     nodes.filter("chunk_id = 1").limit(3).write.mode("append").partitionBy("chunk_id").parquet(f"{out}/nodes")
-    assert writers.export_mode(spark, out) == "resume" and writers.done_chunks(spark, out).count() == 2
-    assert writers.export_chunks(nodes, edges, out, flushes=3) == "resume"
-    assert writers.export_chunks(nodes, edges, out, flushes=3) == "completed"
+    assert sharded.export_mode(spark, out) == "resume" and sharded.done_chunks(spark, out).count() == 2
+    assert sharded.export_chunks(nodes, edges, out, parts=3) == "resume"
+    assert sharded.export_chunks(nodes, edges, out, parts=3) == "completed"
     assert spark.read.parquet(f"{out}/nodes").count() == 60 == spark.read.parquet(f"{out}/edges").count()
-    assert writers.done_chunks(spark, out).count() == 6
-    assert writers.export_chunks(nodes, edges, out, overwrite=True) == "fresh"
+    assert sharded.done_chunks(spark, out).count() == 6
+    assert sharded.export_chunks(nodes, edges, out, overwrite=True) == "fresh"
     (tmp_path / "other").mkdir()
     (tmp_path / "other" / "file").write_text("x")
     with pytest.raises(ValueError):
-        writers.export_mode(spark, f"{tmp_path}/other")
+        sharded.export_mode(spark, f"{tmp_path}/other")
 
 
 def test_lists_metrics_and_vectors(spark, tmp_path):

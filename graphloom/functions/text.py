@@ -1,16 +1,10 @@
-"""Text functions: cleaning, assembling, dates, names and articles as sections."""
+"""Text functions: cleaning, assembling, dates and names. Formats of sentences, dates and names are fixed values."""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .predicates import SECTION_BLACKLIST
 
 
 def _column(c: Column | str) -> Column:
@@ -101,79 +95,3 @@ def duration(seconds: Column | str) -> Column:
     """h:mm:ss"""
     s = F.floor(_column(seconds)).cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60, s % 60)
-
-
-_SPACE, _CITATION = re.compile(r"\s+"), re.compile(r"\[\d+\]")
-
-
-class _Sections(HTMLParser):
-    """Paragraphs, list items and headings of the part of a page that holds the article."""
-
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self, root: str | None):
-        super().__init__()
-        self.root, self.stack, self.inside = root, [], None if root else 0
-        self.found: list[tuple[str, str]] = []  # kind, text
-        self.open: list[tuple[int, str, list[str]]] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.VOID:
-            return
-        if tag in ("p", "li") and self.open and self.open[-1][1] == tag:
-            self.handle_endtag(tag)  # its end tag was left out
-        self.stack.append(tag)
-        if self.inside is None and dict(attrs).get("id") == self.root:
-            self.inside = len(self.stack)
-        if self.inside is not None and tag in ("p", "li", "h2", "h3", "h4", "script", "style"):
-            self.open.append((len(self.stack), tag, []))
-
-    def handle_endtag(self, tag):
-        if tag not in self.stack:
-            return
-        while self.stack:
-            depth, last = len(self.stack), self.stack.pop()
-            if self.open and self.open[-1][0] == depth:
-                _, kind, parts = self.open.pop()
-                self.found.append((kind, _SPACE.sub(" ", _CITATION.sub("", " ".join(p for p in parts if p))).strip()))
-            if self.inside is not None and self.inside and depth <= self.inside:
-                self.inside = -1  # after the article
-            if last == tag:
-                return
-
-    def handle_data(self, data):
-        if self.open and self.inside is not None and self.inside >= 0:
-            self.open[-1][2].append(data.strip())
-
-
-def sections_of(page: str, root: str | None, blacklist: tuple[str, ...] = SECTION_BLACKLIST) -> tuple[str, dict[str, str]]:
-    """The brief (paragraphs of 40 characters or more before the first heading) and the sections by title (paragraphs of
-    30 and list items of 20 or more). root: the id of the element that holds the article, None for the whole page."""
-    parser = _Sections(root)
-    parser.feed(page)
-    parser.close()
-    parser.handle_endtag(parser.stack[0]) if parser.stack else None
-    brief: list[str] = []
-    sections: dict[str, list[str]] = {}
-    title = None
-    for kind, text in parser.found:
-        if kind in ("h2", "h3", "h4"):
-            title = text
-        elif kind == "p" and title is None and len(text) >= 40:
-            brief.append(text)
-        elif title and (kind == "p" and len(text) >= 30 or kind == "li" and len(text) >= 20):
-            sections.setdefault(title, []).append(text)
-    kept = {t: " ".join(parts) for t, parts in sections.items() if _SPACE.sub(" ", t.strip().lower()) not in blacklist}
-    return " ".join(brief), kept
-
-
-def article_sections(html: Column | str, root: str | None = "mw-content-text") -> Column:
-    """struct<brief, sections map> of pages of HTML, in Arrow batches."""
-
-    @F.pandas_udf("struct<brief:string,sections:map<string,string>>")
-    def parse(pages: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in pages:
-            rows = [sections_of(p or "", root) for p in batch]
-            yield pd.DataFrame({"brief": [b for b, _ in rows], "sections": [s for _, s in rows]})
-
-    return parse(_column(html))

@@ -14,6 +14,15 @@ from ..functions.predicates import any_image_url, has_label
 from .order import numbered
 
 
+#: Rows of a vocabulary that a join sends to all tasks; a larger one is shuffled.
+MOST_SENT = 100_000
+
+
+def sent(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df with a hint to broadcast it, if it has no more than `most` rows."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def entities(nodes: DataFrame, focus: str = "ART") -> DataFrame:
     """node_idx, node_id, wid, has_image, is_art, chunk_id, chunk_pos: node_idx counts nodes by chunk and place in it."""
     rows = nodes.select("node_id", F.coalesce("wid", F.lit("")).alias("wid"), any_image_url("images").alias("has_image"), has_label("labels", focus).alias("is_art"), "chunk_id", "chunk_pos")
@@ -51,8 +60,8 @@ def triples(edges: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def first_triples(ended: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(h, r, t, pos) of edges with known ends, by a vocabulary of relations, which is small."""
-    return ended.join(F.broadcast(vocabulary), "type").groupBy("h", "r", "t").agg(F.min("id").alias("pos"))
+    """(h, r, t, pos) of edges with known ends, by a vocabulary of relations."""
+    return ended.join(sent(vocabulary), "type").groupBy("h", "r", "t").agg(F.min("id").alias("pos"))
 
 
 def resolved_entities(refs: DataFrame, catalog: DataFrame, ref: str = "ref") -> DataFrame:

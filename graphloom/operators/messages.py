@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .catalog import sent
+
+
+def _summed(rows: DataFrame, keys: list[str], vector: str, how: str) -> DataFrame:
+    """A sum or mean of each key's vectors, made on the JVM in one buffer a key: what is shuffled is a row for each key and
+    task, whatever the vectors' length. Null vectors count for nothing."""
+    whole = array_to_vector(F.col(vector).cast("array<double>"))
+    found = Summarizer.mean(whole) if how == "mean" else Summarizer.sum(whole)
+    return rows.filter(F.col(vector).isNotNull()).groupBy(*keys).agg(vector_to_array(found).alias(vector))
+
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """The mean of each key's vectors, place by place; it is summed before rows are shuffled."""
-    spread = rows.select(*keys, F.posexplode(F.col(vector)).alias("dim", "x"))
-    means = spread.groupBy(*keys, "dim").agg(F.avg("x").alias("x"))
-    return means.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias(vector))
+    return _summed(rows, keys, vector, "mean")
 
 
 def mean_aggregate(edges: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -42,26 +52,32 @@ def relational_layer(edges: DataFrame, vectors: DataFrame, own: list[list[float]
     """
     from ..functions.vectors import dense
 
-    means = relational_aggregate(edges, vectors).join(F.broadcast(shares.select("rel", "share")), "rel")  # one row a relation
+    means = relational_aggregate(edges, vectors).join(sent(shares.select("rel", "share")), "rel")
     shared = lambda k: lambda x: x * F.element_at("share", k + 1)
     layers = [F.transform(dense("vector", base, [0.0] * len(bias)), shared(k)) for k, base in enumerate(bases)]
     mixed = layers[0]
     for layer in layers[1:]:
         mixed = F.zip_with(mixed, layer, lambda a, b: a + b)
-    spread = means.select("node", F.posexplode(mixed).alias("dim", "x")).groupBy("node", "dim").agg(F.sum("x").alias("x"))
-    sums = spread.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("messages"))
+    sums = _summed(means.select("node", mixed.alias("messages")), ["node"], "messages", "sum")
     zeros = F.array_repeat(F.lit(0.0), len(bias))
     met = vectors.join(sums, "node", "left").withColumn("messages", F.coalesce("messages", zeros))
     return met.select("node", F.zip_with(dense("vector", own, bias), "messages", lambda a, b: a + b).alias("vector"))
 
 
+def blended(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(node, vector): half-way between the node's own vector and its neighbours' mean; its own without neighbours."""
+    met = vectors.select("node", "vector").join(mean_aggregate(edges, vectors).withColumnRenamed("vector", "mean"), "node", "left")
+    half = F.zip_with("vector", "mean", lambda a, b: (a + b) / 2)
+    return met.select("node", F.when(F.col("mean").isNull(), F.col("vector")).otherwise(half).alias("vector"))
+
+
 def no_hop(edges: DataFrame, vectors: DataFrame) -> DataFrame:
     """(node, vector): vectors as they are; edges are not read."""
     return vectors.select("node", "vector")
 
 
 #: Encoders by name.
-ENCODERS = {"graphsage": sage_layer, "rgcn": relational_layer, "nohop": no_hop}
+ENCODERS = {"graphsage": sage_layer, "rgcn": relational_layer, "blend": blended, "nohop": no_hop}
 
 
 def encoder(name: str):

@@ -9,6 +9,18 @@ from pyspark.sql.window import Window
 from ..functions.vectors import SCORERS
 
 
+#: Bytes of a list of relations that is sent to all tasks at one time.
+MOST_BYTES = 32 << 20
+SUBSETS = ("global", "art_art", "art_any")
+
+
+def for_all_subsets(rows: DataFrame, **empty: float | int) -> DataFrame:
+    """rows by subset, with a row of the given values for a subset that has none."""
+    names = rows.sparkSession.createDataFrame([(s,) for s in SUBSETS], "subset string")
+    out = F.broadcast(names).join(rows, "subset", "left")
+    return out.select("subset", *[F.coalesce(F.col(c), F.lit(empty[c]).cast(kind)).alias(c) if c in empty else F.col(c) for c, kind in rows.dtypes if c != "subset"])
+
+
 def auc_ap(scores: DataFrame, group: str, score: str = "score", label: str = "label") -> DataFrame:
     """(group, n_pos, n_neg, auc, ap): area under the ROC curve over different scores, and average precision. A group of
     one class has 0.5 and 0."""
@@ -40,31 +52,46 @@ def scored(triples: DataFrame, entities: DataFrame, relations: DataFrame, scorer
     return out.withColumn("score", SCORERS[scorer]("h_vector", "r_vector", "t_vector")).select(*triples.columns, "score")
 
 
-def all_relations(queries: DataFrame, entities: DataFrame, relations: DataFrame, scorer: str) -> DataFrame:
-    """(qid, h, t, r, score): each query pair with every relation. Relations are few; they are a graph's vocabulary."""
+def score_lists(queries: DataFrame, entities: DataFrame, relations: DataFrame, scorer: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """queries (qid, h, t, …) with scores: array of (r, score), one for each relation, in the order of r.
+
+    A pair stays one row: the relations are a list that every row runs over. It is sent to all tasks in parts of most_bytes
+    at most; where there are several, the parts of a query's list are put together again.
+    """
+    size = relations.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dims")).first()
+    parts = max(1, -(-size["n"] * ((size["dims"] or 0) * 8 + 16) // most_bytes))
+    lists = relations.groupBy(F.pmod(F.xxhash64("r"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("r", "vector"))).alias("relations"))
     h = entities.select(F.col("node").alias("h"), F.col("vector").alias("h_vector"))
     t = entities.select(F.col("node").alias("t"), F.col("vector").alias("t_vector"))
-    r = relations.select("r", F.col("vector").alias("r_vector"))
-    out = queries.select("qid", "h", "t").join(h, "h").join(t, "t").crossJoin(F.broadcast(r))
-    return out.select("qid", "h", "t", "r", SCORERS[scorer]("h_vector", "r_vector", "t_vector").alias("score"))
+    scores = F.transform("relations", lambda x: F.struct(x["r"].alias("r"), SCORERS[scorer]("h_vector", x["vector"], "t_vector").alias("score")))
+    rows = queries.join(h, "h").join(t, "t").crossJoin(F.broadcast(lists)).select(*queries.columns, scores.alias("scores"))
+    if parts > 1:
+        rows = rows.groupBy(*queries.columns).agg(F.array_sort(F.flatten(F.collect_list("scores"))).alias("scores"))
+    return rows
+
+
+def _best_first(scores: Column | str) -> Column:
+    """(score, minus): best first, ties by the relation's number, whose negative minus is."""
+    return F.sort_array(F.transform(scores, lambda x: F.struct(x["score"].alias("score"), (-x["r"]).alias("minus"))), asc=False)
 
 
-def top_relations(candidates: DataFrame, k: int) -> DataFrame:
-    """The k best relations of each query, ties by number; nothing is filtered."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "r")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def top_relations(scored_: DataFrame, k: int) -> DataFrame:
+    """(qid, r, rank, score) of the k best relations of each query's list, ties by number; nothing is filtered."""
+    best = scored_.select("qid", F.posexplode(F.slice(_best_first("scores"), 1, k)).alias("at", "x"))
+    return best.select("qid", (-F.col("x.minus")).alias("r"), (F.col("at") + 1).alias("rank"), F.col("x.score").alias("score"))
 
 
-def filtered_ranks(queries: DataFrame, candidates: DataFrame, known: DataFrame) -> DataFrame:
+def filtered_ranks(scored_: DataFrame, known: DataFrame) -> DataFrame:
     """(qid, r, rank, top1): the target's rank among relations that aren't otherwise true of the pair, ties in its favour,
-    and the best of them. queries: qid, h, t, r; known: h, r, t."""
-    target = queries.select("qid", F.col("r").alias("target"))
-    rows = candidates.join(target, "qid")
-    other = known.select("h", "t", "r").distinct().withColumn("known", F.lit(True))
-    rows = rows.join(other, ["h", "t", "r"], "left").filter("known IS NULL OR r = target")
-    goal = rows.filter("r = target").select("qid", F.col("score").alias("goal"))
-    out = rows.join(goal, "qid").groupBy("qid", "target").agg((1 + F.count_if(F.col("score") > F.col("goal"))).alias("rank"), F.min(F.struct((-F.col("score")).alias("s"), "r")).alias("best"))
-    return out.select("qid", F.col("target").alias("r"), "rank", F.col("best.r").alias("top1"))
+    and the best of them. scored_: qid, h, t, r, scores; known: h, r, t. One shuffle, by pair; a query whose
+    target has no score is left out."""
+    true = known.groupBy("h", "t").agg(F.collect_set("r").alias("known"))  # of a pair, at most all relations
+    rows = scored_.join(true, ["h", "t"], "left").withColumn("known", F.coalesce("known", F.array().cast(true.schema["known"].dataType)))
+    rows = rows.withColumn("goal", F.filter("scores", lambda x: x["r"] == F.col("r"))[0]["score"]).filter("goal IS NOT NULL")
+    open_ = F.filter("scores", lambda x: (x["r"] == F.col("r")) | ~F.array_contains("known", x["r"]))
+    rows = rows.select("qid", "r", "goal", open_.alias("open"))
+    better = F.size(F.filter("open", lambda x: x["score"] > F.col("goal")))
+    return rows.select("qid", "r", (1 + better).cast("long").alias("rank"), (-_best_first("open")[0]["minus"]).alias("top1"))
 
 
 def ranking(ranks: DataFrame, group: Column | str) -> DataFrame:

@@ -119,6 +119,33 @@ def trimmed(nodes: DataFrame, most: int) -> DataFrame:
     return nodes.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) | (F.col("hop") == 0)).drop("rank")
 
 
+def trimmed_in_stages(nodes: DataFrame, most: int, seed: int) -> DataFrame:
+    """Nodes of each batch up to `most`: all seeds; then, as far as there is room, nodes of the first hop, then those of
+    later hops, each in a hash order of its own."""
+    stage = F.least(F.col("hop"), F.lit(2))
+    hash_ = F.when(F.col("hop") < 2, order_hash(f"{seed}:11", "node")).otherwise(order_hash(f"{seed}:17", "node"))
+    order = Window.partitionBy("batch_id").orderBy(stage, hash_, "node")
+    return nodes.withColumn("rank", F.row_number().over(order)).filter((F.col("rank") <= most) | (F.col("hop") == 0)).drop("rank")
+
+
+def trim_counts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(batch_id, nodes_before, nodes_after, trimmed) of a trim."""
+    left = after.groupBy("batch_id").agg(F.count("*").alias("nodes_after"))
+    counts = before.groupBy("batch_id").agg(F.count("*").alias("nodes_before")).join(left, "batch_id", "left").withColumn("nodes_after", F.coalesce("nodes_after", F.lit(0)))
+    return counts.withColumn("trimmed", F.col("nodes_before") - F.col("nodes_after"))
+
+
+def image_trim_counts(nodes: DataFrame, catalog: DataFrame, most: int) -> DataFrame:
+    """(batch_id, images_before, images_after, trimmed, cap_exceeded) of trimmed_images: seeds with images can't go, so they
+    alone may exceed the cap."""
+    flags = catalog.select(F.col("node_idx").alias("node"), "has_image")
+    image = F.coalesce("has_image", F.lit(False))
+    counts = nodes.join(flags, "node", "left").groupBy("batch_id").agg(F.count_if(image).alias("images_before"), F.count_if(image & (F.col("hop") > 0)).alias("may_go"))
+    gone = F.least(F.greatest(F.col("images_before") - most, F.lit(0)), F.col("may_go"))
+    counts = counts.withColumn("trimmed", gone).withColumn("images_after", F.col("images_before") - F.col("trimmed"))
+    return counts.select("batch_id", "images_before", "images_after", "trimmed", (F.col("images_after") > most).alias("cap_exceeded"))
+
+
 def trimmed_images(nodes: DataFrame, catalog: DataFrame, most: int, seed: int) -> DataFrame:
     """nodes of each batch but for those with images beyond `most`: focus nodes go first, then others, by a hash order.
     Seeds stay."""
@@ -174,9 +201,9 @@ def csr_columns(edges: DataFrame, width: int = 1000) -> DataFrame:
     return numbered(rows, "position", F.floor(F.col("src") / width), [F.col(c) for c in ("src", "col_idx", "rel")])
 
 
-def prepared(seeds: DataFrame, supervised: DataFrame, edges: DataFrame, catalog: DataFrame, fan_out: list[int], hops: int, most_nodes: int, most_images: int, seed: int) -> dict[str, DataFrame]:
+def prepared(seeds: DataFrame, supervised: DataFrame, edges: DataFrame, catalog: DataFrame, fan_out: list[int], hops: int, most_nodes: int, most_images: int, seed: int, in_stages: bool = False) -> dict[str, DataFrame]:
     """Batches made ready for encoding: sampled about their seeds, without the supervised pairs (batch_id, h, t), trimmed to
-    most_nodes and to most_images nodes with images, numbered locally.
+    most_nodes (in_stages: by trimmed_in_stages) and to most_images nodes with images, numbered locally.
 
     nodes: batch_id, node, hop, local; edges: with src_local and dst_local; counts, by batch: nodes, edges, images and the
     nodes trimmed. More seeds than most_nodes in a batch are an error."""
@@ -184,7 +211,7 @@ def prepared(seeds: DataFrame, supervised: DataFrame, edges: DataFrame, catalog:
     if (most or 0) > most_nodes:
         raise ValueError(f"a batch has {most} seeds, over the {most_nodes} nodes that it may hold")
     nodes, taken = sampled(seeds, edges, fan_out, hops, seed)
-    kept = trimmed_images(trimmed(nodes, most_nodes), catalog, most_images, seed)
+    kept = trimmed_images(trimmed_in_stages(nodes, most_nodes, seed) if in_stages else trimmed(nodes, most_nodes), catalog, most_images, seed)
     local, inner = induced(kept, masked(taken, supervised))
     local, inner = written(local), written(inner)
     images = catalog.filter("has_image").select(F.col("node_idx").alias("node"))
@@ -196,6 +223,23 @@ def prepared(seeds: DataFrame, supervised: DataFrame, edges: DataFrame, catalog:
     return {"nodes": local, "edges": inner, "counts": counts}
 
 
+def chunk_messages(edges: DataFrame, nodes: DataFrame, context: DataFrame, local: DataFrame) -> DataFrame:
+    """(chunk_id, src_local, dst_local): the message edges of every chunk by its local numbers, each once: edges (src, dst)
+    within the chunk, and those between one of its nodes and a node that this one's context (chunk_id, node, other) names,
+    as they point. nodes: node_id, chunk_id; local: chunk_id, node, local."""
+    s = nodes.select(F.col("node_id").alias("src"), F.col("chunk_id").alias("src_chunk"))
+    d = nodes.select(F.col("node_id").alias("dst"), F.col("chunk_id").alias("dst_chunk"))
+    placed = written(edges.select("src", "dst").distinct().join(s, "src").join(d, "dst"))
+    rows = placed.filter("src_chunk = dst_chunk").select(F.col("src_chunk").alias("chunk_id"), "src", "dst")
+    across = placed.filter("src_chunk != dst_chunk").select("src", "dst")
+    for own, far in (("src", "dst"), ("dst", "src")):
+        rows = rows.unionByName(across.join(context.select("chunk_id", F.col("node").alias(own), F.col("other").alias(far)), [own, far]).select("chunk_id", "src", "dst"))
+    rows = rows.distinct()
+    a = local.select("chunk_id", F.col("node").alias("src"), F.col("local").alias("src_local"))
+    b = local.select("chunk_id", F.col("node").alias("dst"), F.col("local").alias("dst_local"))
+    return rows.join(a, ["chunk_id", "src"]).join(b, ["chunk_id", "dst"]).select("chunk_id", "src_local", "dst_local")
+
+
 def external_nodes(context: DataFrame, catalog: DataFrame) -> DataFrame:
     """(chunk_id, node, place): the nodes outside a chunk that its context (chunk_id, node, other) names, each once, by their
     own chunk, place and number."""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import order_hash
+from ..functions.hashing import draw, order_hash
 from .neighbours import undirected
-from .order import hash_bucket, numbered, ranked_within
+from .order import hash_bucket, numbered, permuted, ranked_within
 
 
 def split_counts(size: Column, val: float, test: float) -> tuple[Column, Column]:
@@ -75,3 +75,16 @@ def epoch_batches(rows: DataFrame, keys: list[str], size: int, seed: int, epoch:
 def first_rows(rows: DataFrame, order: list[str], most: int) -> DataFrame:
     """The first `most` rows: an evaluation's limit."""
     return rows.orderBy(*order).limit(most)
+
+
+def drawn_batches(placed: DataFrame, n: int, batches: int, size: int, seed: int, place: str = "place") -> DataFrame:
+    """batch_id, slot and the columns of placed (rows numbered from 0 to n - 1) for `batches` batches of `size` rows, each
+    drawn from all rows.
+
+    Within a batch no row is drawn twice, but if there are fewer rows than slots: then every slot draws for itself. A batch
+    depends on the seed and its number only, so that a run can go on at any step; no rows give no batches.
+    """
+    spark = placed.sparkSession
+    slots = spark.range(batches * size if n else 0).select((F.col("id") / size).cast("long").alias("batch_id"), (F.col("id") % size).alias("slot"))
+    at = permuted("slot", n, f"{seed}:batch", "batch_id") if n >= size else draw(max(1, n), f"{seed}:batch", "batch_id", "slot")
+    return slots.withColumn(place, at).join(placed, place).drop(place)

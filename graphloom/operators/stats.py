@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import partitions
+
 
 def totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("n_nodes")).crossJoin(edges.agg(F.count("*").alias("n_edges")))  # one row each
@@ -39,10 +41,29 @@ def chunk_shares(edges: DataFrame) -> DataFrame:
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 
-def rolling(df: DataFrame, series: str, step: str, value: str, width: int) -> DataFrame:
-    """Mean, population deviation and variance of the last `width` values of each series."""
-    last = Window.partitionBy(series).orderBy(step).rowsBetween(1 - width, 0)
-    return df.select(series, step, F.avg(value).over(last).alias("mean"), F.stddev_pop(value).over(last).alias("std"), F.var_pop(value).over(last).alias("var"))
+def rolling(df: DataFrame, series: str, step: str, value: str, width: int, parts: int | None = None) -> DataFrame:
+    """Mean, population deviation and variance of the last `width` values of each series, whose steps differ.
+
+    The step axis is cut into parts of about equal rows, and every part of a series is a window of its own that begins with
+    the width - 1 rows before it, so that a long series is the work of many tasks. A null step stands first.
+    """
+    n = parts or partitions(df.sparkSession)
+    cuts = df.agg(F.percentile_approx(step, [k / n for k in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x <= F.col(step))) if cuts else F.lit(0)
+    rows = df.select(F.col(series).alias("series"), F.col(step).alias("step"), F.col(value).alias("value"), F.when(F.col(step).isNull(), 0).otherwise(part).alias("part"))
+    # The last rows of each part: a part's predecessors are among those of the parts before it.
+    last = Window.partitionBy("series", "part").orderBy(F.desc_nulls_last("step"))
+    tails = rows.withColumn("at", F.row_number().over(last)).filter(F.col("at") < width).drop("at")
+    before = Window.partitionBy("series").orderBy(F.asc_nulls_first("step")).rowsBetween(2 - width, 0)
+    tails = tails.withColumn("near", F.collect_list(F.struct("step", "value")).over(before)) if width > 1 else tails.withColumn("near", F.array().cast("array<struct<step:long,value:double>>"))
+    ends = tails.groupBy("series", "part").agg(F.max_by("near", F.struct(F.col("step").isNotNull(), "step")).alias("near"))
+    carried = ends.withColumn("near", F.lag("near").over(Window.partitionBy("series").orderBy("part"))).select("series", "part", F.explode("near").alias("x"))
+    carried = carried.select("series", "x.step", "x.value", "part", F.lit(False).alias("own"))
+    order = Window.partitionBy("series", "part").orderBy("own", F.asc_nulls_first("step")).rowsBetween(1 - width, 0)
+    out = rows.withColumn("own", F.lit(True)).unionByName(carried) if width > 1 else rows.withColumn("own", F.lit(True))
+    out = out.withColumns({"mean": F.avg("value").over(order), "std": F.stddev_pop("value").over(order), "var": F.var_pop("value").over(order)})
+    return out.filter("own").select(F.col("series").alias(series), F.col("step").alias(step), "mean", "std", "var")
 
 
 def last_rolling(df: DataFrame, series: str, step: str, value: str, width: int) -> DataFrame:

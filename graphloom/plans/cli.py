@@ -38,7 +38,7 @@ def score_triples(spark: SparkSession, batch: DataFrame, vectors: DataFrame, rel
     """head, relation, tail, relation_idx, score of a batch of references; an unknown one has a null score.
 
     vectors: node, wid, vector; relations: r, type, vector."""
-    from ..operators.catalog import resolved_entities, resolved_relations
+    from ..operators.catalog import resolved_entities, resolved_relations, sent
 
     names = vectors.select(F.col("node").alias("node_id"), F.col("node").alias("node_idx"), "wid")
     rows = resolved_entities(batch.withColumnRenamed("head", "ref"), names).withColumnsRenamed({"ref": "head", "node_idx": "h"})
@@ -51,15 +51,15 @@ def score_triples(spark: SparkSession, batch: DataFrame, vectors: DataFrame, rel
 
 def score_relations(spark: SparkSession, batch: DataFrame, vectors: DataFrame, relations: DataFrame, scorer: str, k: int) -> DataFrame:
     """head, tail, top_relations (array of relation, relation_idx, score, best first) of a batch of pairs."""
-    from ..operators.catalog import resolved_entities
+    from ..operators.catalog import resolved_entities, sent
 
     names = vectors.select(F.col("node").alias("node_id"), F.col("node").alias("node_idx"), "wid")
     rows = resolved_entities(batch.withColumnRenamed("head", "ref"), names).withColumnsRenamed({"ref": "head", "node_idx": "h"})
     rows = resolved_entities(rows.withColumnRenamed("tail", "ref"), names).withColumnsRenamed({"ref": "tail", "node_idx": "t"})
     pairs = rows.filter("h IS NOT NULL AND t IS NOT NULL").select(F.struct("h", "t").alias("qid"), "h", "t").distinct()
-    top = metrics.top_relations(metrics.all_relations(pairs, vectors.select("node", "vector"), relations, scorer), k).join(F.broadcast(relations.select("r", "type")), "r")  # a graph's vocabulary
+    top = metrics.top_relations(metrics.score_lists(pairs, vectors.select("node", "vector"), relations, scorer), k).join(sent(relations.select("r", "type")), "r")
     row = F.struct("rank", F.col("type").alias("relation"), F.col("r").alias("relation_idx"), "score")
-    lists = top.groupBy("h", "t").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x.dropFields("rank")).alias("top_relations"))
+    lists = top.groupBy(F.col("qid.h").alias("h"), F.col("qid.t").alias("t")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x.dropFields("rank")).alias("top_relations"))
     return rows.join(lists, ["h", "t"], "left").select("head", "tail", "top_relations")
 
 

@@ -38,13 +38,13 @@ def _rounded(report: DataFrame) -> DataFrame:
 
 def chunk_sample(spark, folder):
     """Triples drawn without replacement from all chunks, each in proportion to its number."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     owners = g.catalog.select(F.col("node_idx").alias("h"), "chunk_id")
     return E.sampled_rows(g.triples, ["h", "r", "t"], SAMPLE, f"{SEED}:eval").join(owners, "h").select("chunk_id", "h", "r", "t")
 
 
 def chunk_focus_edges(spark, folder):
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     return E.chunk_focus_edges(N.intra_chunk(g.edges, g.nodes), g.catalog)
 
 
@@ -52,12 +52,12 @@ def image_coverage(spark, folder):
     """Nodes' images, when every second part has a file."""
     parts = tables.table(spark, folder, "part").filter("p_partkey % 2 = 0")
     wid = F.concat(F.lit("Q"), tables.node_id("part", "p_partkey").cast("string"))
-    return E.image_coverage(Graph(spark, folder).catalog, parts.select(wid.alias("wid"), F.lit("x.png").alias("path")))
+    return E.image_coverage(Graph.of(spark, folder).catalog, parts.select(wid.alias("wid"), F.lit("x.png").alias("path")))
 
 
 def split_evaluation(spark, folder):
     """Validation and test pairs, at most MOST_EDGES of each subset, with NUM_NEG negatives each of the subset's own kind."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     every = N.written(split_undirected(spark, folder))
     held = every.filter("split != 'train'").select(F.col("lo").alias("h"), F.col("hi").alias("t"), "split")
     placed = ends_flag(held, g.catalog).withColumn("subset", subsets(F.col("h_flag") & F.col("t_flag"), F.col("h_flag") | F.col("t_flag")))
@@ -81,7 +81,7 @@ def split_evaluation(spark, folder):
 
 def final_test(spark, folder):
     """All test pairs from stored vectors, with negatives from a small pool, the nations: some have not all of theirs."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     every = N.written(split_undirected(spark, folder))
     positives = every.filter("split = 'test'").select("lo", "hi")
     pool = pool_of(g.catalog.filter(F.col("node_id").between(2 * 10**10, 3 * 10**10 - 1)))

@@ -46,7 +46,7 @@ PROPAGATION = "prop AS (SELECT h AS src, r AS rel, t AS dst FROM triples UNION S
 PAIRS = "pairs AS (SELECT DISTINCT least(h, t) AS lo, greatest(h, t) AS hi FROM triples)"
 
 BATCHES = f"""batches AS (SELECT (row_number() OVER (ORDER BY {hash_sql("'7:batch'", "node_idx")}, node_idx) - 1) // 512 AS batch_id, node_idx AS node
-    FROM catalog WHERE node_id BETWEEN 40000000000 AND 49999999999)"""
+    FROM catalog)"""
 
 
 def _hop(k: int, hop: int, frontier: str) -> str:
@@ -55,7 +55,13 @@ def _hop(k: int, hop: int, frontier: str) -> str:
     JOIN placed p ON p.src = f.node AND ((p.place - {start} % d.degree) + d.degree) % d.degree < least({k}, d.degree))"""
 
 
-SAMPLE = f"""{ALL}, {PROPAGATION}, {BATCHES},
+SPLIT = f"""{ALL},
+shuffled AS (SELECT h, r, t, row_number() OVER (PARTITION BY r ORDER BY {hash_sql("'7'", "h", "r", "t")}, h, t) - 1 AS place, count(*) OVER (PARTITION BY r) AS size FROM triples),
+counted AS (SELECT *, greatest(CASE WHEN size >= 10 THEN 1 ELSE 0 END, floor(size * 0.1::DOUBLE)) AS part FROM shuffled),
+split AS (SELECT h, r, t, CASE WHEN size <= 30 OR 2 * part >= size THEN 'train' WHEN place < part THEN 'test' WHEN place < 2 * part THEN 'val' ELSE 'train' END AS split FROM counted)"""
+
+TRAIN_PROPAGATION = "prop AS (SELECT h AS src, r AS rel, t AS dst FROM split WHERE split = 'train' UNION SELECT t, r, h FROM split WHERE split = 'train')"
+SAMPLE = f"""{SPLIT}, {TRAIN_PROPAGATION}, {BATCHES},
 placed AS (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY {hash_sql("'7'", "src", "rel", "dst")}, rel, dst) - 1 AS place FROM prop),
 degree AS (SELECT src, count(*) AS degree FROM placed GROUP BY src),
 {_hop(8, 1, "batches")},
@@ -66,11 +72,6 @@ sample_nodes AS (SELECT batch_id, node, 0 AS hop FROM batches UNION ALL SELECT b
 sample_edges AS (SELECT * FROM taken1 UNION ALL SELECT * FROM taken2),
 trimmed AS (SELECT batch_id, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY hop, node) AS rank FROM sample_nodes) WHERE rank <= 2000 OR hop = 0)"""
 
-SPLIT = f"""{ALL},
-ranked AS (SELECT h, r, t, row_number() OVER (PARTITION BY r ORDER BY {hash_sql("'7'", "h", "r", "t")}, h, t) - 1 AS place, count(*) OVER (PARTITION BY r) AS size FROM triples),
-counted AS (SELECT *, greatest(CASE WHEN size >= 10 THEN 1 ELSE 0 END, floor(size * 0.1::DOUBLE)) AS part FROM ranked),
-split AS (SELECT h, r, t, CASE WHEN size <= 30 OR 2 * part >= size THEN 'train' WHEN place < part THEN 'test' WHEN place < 2 * part THEN 'val' ELSE 'train' END AS split FROM counted)"""
-
 PAIR_SPLIT = f"""{ALL}, {PAIRS},
 placed AS (SELECT lo, hi, row_number() OVER (ORDER BY {hash_sql("'7'", "lo", "hi")}, lo, hi) - 1 AS place, count(*) OVER () AS n FROM pairs),
 split AS (SELECT lo, hi, CASE WHEN place < trunc(n * 0.8::DOUBLE) THEN 'train' WHEN place < trunc(n * 0.8::DOUBLE) + trunc(n * 0.1::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM placed)"""

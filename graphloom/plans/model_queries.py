@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import vectors as V
+from ..functions.articles import article_sections
 from ..functions.hashing import draw, order_hash
 from ..functions.predicates import is_bad_section, is_terminal, is_wid
 from ..operators import catalog as C
@@ -32,13 +33,16 @@ class Vectors:
     """The embeddings as entities, and their labels' centroids as relations. A query pair is an entity and one that a hash
     draws for it; its relation is the entity's label."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.entities = tables.vectors(spark, folder)
-        self.n = self.entities.count()
+    def __init__(self, spark: SparkSession, folder: str, graph: bool = False):
+        self.plain = self.entities = tables.vectors(spark, folder)
+        self.n = self.plain.count()
+        if graph:  # entities as a graph encoder sees them
+            encoded = messages.encoder("blend")(self.edges, self.plain.select("node", "vector"))
+            self.entities = written(encoded.join(self.plain.select("node", "label"), "node"))
 
     @property
     def relations(self) -> DataFrame:
-        return messages.mean_vectors(self.entities, ["label"]).withColumnRenamed("label", "r")
+        return messages.mean_vectors(self.plain, ["label"]).withColumnRenamed("label", "r")
 
     def other(self, *key: str):
         return draw(self.n, SEED, *key)
@@ -65,7 +69,7 @@ class Vectors:
         return metrics.scored(rows, self.entities, self.relations, scorer)
 
     def candidates(self, scorer: str) -> DataFrame:
-        return metrics.all_relations(self.queries, self.entities, self.relations, scorer)
+        return metrics.score_lists(self.queries, self.entities, self.relations, scorer)
 
     def subsets(self, rows: DataFrame, ends: DataFrame) -> DataFrame:
         """rows (qid, …) in subsets; an entity of an even label is flagged."""
@@ -103,12 +107,30 @@ def relation_topk(spark, folder):
 
 def relation_rank_filtered(spark, folder):
     v = Vectors(spark, folder)
-    return metrics.filtered_ranks(v.queries, v.candidates("transe"), v.known)
+    return metrics.filtered_ranks(v.candidates("transe"), v.known)
+
+
+def relation_topk_graph(spark, folder):
+    """relation_topk over graph-encoded entities."""
+    v = Vectors(spark, folder, graph=True)
+    return metrics.top_relations(v.candidates("complex"), 3).select("qid", "r", "rank", _r(F.col("score")).alias("score"))
+
+
+def relation_rank_graph(spark, folder):
+    """relation_rank_filtered over graph-encoded entities."""
+    v = Vectors(spark, folder, graph=True)
+    return metrics.filtered_ranks(v.candidates("transe"), v.known)
+
+
+def triple_auc_ap_graph(spark, folder):
+    """triple_auc_ap over graph-encoded entities."""
+    out = metrics.auc_ap(Vectors(spark, folder, graph=True).labelled("transe"), "r")
+    return out.select("r", "n_pos", "n_neg", _r(F.col("auc")).alias("auc"), _r(F.col("ap")).alias("ap"))
 
 
 def mrr_hits(spark, folder):
     v = Vectors(spark, folder)
-    ranks = v.subsets(metrics.filtered_ranks(v.queries, v.candidates("transe"), v.known), v.queries)
+    ranks = v.subsets(metrics.filtered_ranks(v.candidates("transe"), v.known), v.queries)
     out = metrics.ranking(ranks, "subset")
     return out.select("subset", "n", *[_r(F.col(c)).alias(c) for c in ("mrr", "hits_1", "hits_3", "hits_10", "top1")])
 
@@ -120,7 +142,7 @@ def triple_auc_ap(spark, folder):
 
 def subset_metrics(spark, folder):
     v = Vectors(spark, folder)
-    out = metrics.auc_ap(v.subsets(v.labelled("transe"), v.queries), "subset")
+    out = metrics.for_all_subsets(metrics.auc_ap(v.subsets(v.labelled("transe"), v.queries), "subset"), n_pos=0, n_neg=0, auc=0.0, ap=0.0)
     return out.select("subset", "n_pos", "n_neg", _r(F.col("auc")).alias("auc"), _r(F.col("ap")).alias("ap"))
 
 
@@ -210,9 +232,13 @@ def text_assemble(spark, folder):
 
 
 def html_sections(spark, folder):
-    """Brief and number of sections of every page, whole pages read as articles."""
-    found = TX.article_sections("html", None)
-    return tables.table(spark, folder, "pages").select("page_id", found.alias("x")).select("page_id", F.col("x.brief").alias("brief"), F.size("x.sections").alias("n_sections"))
+    """Brief and sections of every page, its article put where a wiki page has it; on pages of an even number its headline
+    is made the heading of a section. Sections are JSON in the order of their titles."""
+    inner = F.regexp_extract("html", r"(?s)<article[^>]*>(.*)</article>", 1)
+    headed = F.when(F.col("page_id") % 2 == 0, F.regexp_replace(inner, "(</?)h1", "$1h2")).otherwise(inner)
+    page = F.concat(F.lit('<div id="mw-content-text"><div class="mw-parser-output">'), headed, F.lit("</div></div>"))
+    rows = tables.table(spark, folder, "pages").select("page_id", article_sections(page).alias("x"))
+    return rows.select("page_id", F.col("x.brief").alias("brief"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries("x.sections")))).alias("sections"))
 
 
 def time_format(spark, folder):
@@ -323,7 +349,7 @@ def work_batches(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        relation_centroids, transe_scores, complex_scores, relation_topk, relation_rank_filtered, mrr_hits, triple_auc_ap, subset_metrics, hit_at_10, triple_loss,
+        relation_centroids, transe_scores, complex_scores, relation_topk, relation_rank_filtered, relation_topk_graph, relation_rank_graph, triple_auc_ap_graph, mrr_hits, triple_auc_ap, subset_metrics, hit_at_10, triple_loss,
         mean_aggregate, relational_mean_aggregate, sage_layer, relational_layer, pair_scores, fused_features, text_vectors, embedding_fill, cache_hits,
         text_clean, text_assemble, html_sections, time_format, fallback_brief, image_files, latest_record_per_key, terminal_flags, pending_work, text_outputs, ordered_distinct,
         best_path_pick, preferred_statement, rolling_stats, early_stop_trace, eval_first_rows, seed_pick, work_batches,

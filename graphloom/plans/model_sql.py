@@ -68,6 +68,15 @@ _SOME = lambda k, c: f"CASE WHEN p_partkey % {k} > 0 THEN {c} END"
 _FULL = lambda x: f"regexp_replace(trim({x}), '\\.+$', '') || '.'"
 
 
+_ENCODED = """encoded AS (SELECT e.node, CASE WHEN m IS NULL THEN e.vector ELSE list_transform(range(1, 65), lambda i: (e.vector[i] + m[i]) / 2) END AS vector
+FROM ent e LEFT JOIN (SELECT node, list(x ORDER BY dim) AS m FROM means GROUP BY node) USING (node))"""
+
+
+def _graph(query: str) -> str:
+    """A query with graph-encoded entities at both ends."""
+    return query.replace(f"WITH {VECTORS}", f"WITH {VECTORS}, {_MEAN}, {_ENCODED}").replace("JOIN ent a", "JOIN encoded a").replace("JOIN ent b", "JOIN encoded b")
+
+
 def _relational(o: int) -> str:
     mixes = {0: [1.0, 0.0], 1: [0.5, 0.5], 2: [-0.25, 2.0]}
     cases = " ".join(f"WHEN {rel} THEN ({_layer(OWN[o], 'v')}) * {a} + ({_layer(NEIGHBOUR[o], 'v')}) * {b}" for rel, (a, b) in mixes.items())
@@ -133,3 +142,4 @@ SQL = {
     "seed_pick": f"(SELECT c_custkey, 'product' AS how FROM customer ORDER BY c_custkey LIMIT 50) UNION ALL (SELECT c_custkey, 'hash' AS how FROM customer ORDER BY {hash_sql("'11'", 'c_custkey')}, c_custkey LIMIT 50)",
     "work_batches": "SELECT c_custkey, chunk, (row_number() OVER (PARTITION BY chunk ORDER BY c_custkey) - 1) // 100 AS batch FROM (SELECT c_custkey, c_custkey // 1000 AS chunk FROM customer)",
 }
+SQL |= {f"{name}_graph": _graph(SQL[of]) for name, of in (("relation_topk", "relation_topk"), ("relation_rank", "relation_rank_filtered"), ("triple_auc_ap", "triple_auc_ap"))}

@@ -8,46 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.hashing import draw
 from ..operators import neighbours as N
 from ..operators import negatives
 from ..operators.order import numbered
+from ..operators.splits import drawn_batches
 from ..sources import sharded, tables
 from ..streaming.ledger import follow, logged, record_stream
 from .graph_queries import BATCH, CONTEXT, FAN_OUT, MOST_IMAGES, MOST_NODES, SEED, Graph, pool_of
 from .model_queries import _records
-from .graph_sql import ALL, GRAPH, PROPAGATION, SAMPLE, SPLIT, hash_sql
+from .graph_sql import ALL, GRAPH, PROPAGATION, SAMPLE, SPLIT, TRAIN_PROPAGATION, hash_sql
 
 DRAWN_BATCHES = 20
 
 
-def _train(g: Graph) -> DataFrame:
-    return g.split().filter("split = 'train'").select("h", "r", "t")
-
-
 def train_propagation(spark, folder):
     """Message edges of the train split alone."""
-    return N.propagation(_train(Graph(spark, folder)))
+    return N.propagation(Graph.of(spark, folder).train)
 
 
 def csr_columns(spark, folder):
-    return N.csr_columns(N.propagation(Graph(spark, folder).triples))
+    return N.csr_columns(N.propagation(Graph.of(spark, folder).triples))
 
 
 def directed_dedup(spark, folder):
-    return Graph(spark, folder).pairs.distinct()
+    return Graph.of(spark, folder).pairs.distinct()
 
 
 def unique_entities(spark, folder):
     """Every entity of the train, validation and test triples, and in which of them it stands."""
-    rows = Graph(spark, folder).split()
+    rows = Graph.of(spark, folder).split()
     ends = rows.select(F.col("h").alias("node"), "split").unionByName(rows.select(F.col("t").alias("node"), "split"))
     return ends.groupBy("node").agg(*[F.max(F.col("split") == s).alias(s) for s in ("train", "val", "test")])
 
 
 def test_nodes(spark, folder):
     """The ends of test triples, and whether they are focus nodes."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     test = g.split().filter("split = 'test'")
     ends = test.select(F.col("h").alias("node")).unionByName(test.select(F.col("t").alias("node"))).distinct()
     return ends.join(g.catalog.select(F.col("node_idx").alias("node"), "is_art"), "node")
@@ -55,20 +51,20 @@ def test_nodes(spark, folder):
 
 def image_counters(spark, folder):
     """Nodes with images, by batch and whether they are seeds."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     flags = g.catalog.select(F.col("node_idx").alias("node"), "has_image")
-    return g.sample()[0].join(flags, "node").groupBy("batch_id", (F.col("hop") == 0).alias("seed")).agg(F.count_if("has_image").alias("hit"), F.count_if(~F.col("has_image")).alias("none"))
+    return g.sample[0].join(flags, "node").groupBy("batch_id", (F.col("hop") == 0).alias("seed")).agg(F.count_if("has_image").alias("hit"), F.count_if(~F.col("has_image")).alias("none"))
 
 
 def khop_untyped(spark, folder):
     """A sample over edges without types."""
-    g = Graph(spark, folder)
-    return N.sampled(g.batches(), N.both_ways(g.pairs).distinct().withColumn("rel", F.lit(0)), FAN_OUT, 2, SEED)[0]
+    g = Graph.of(spark, folder)
+    return N.sampled(g.seeds, N.both_ways(g.train.select(F.col("h").alias("src"), F.col("t").alias("dst"))).distinct().withColumn("rel", F.lit(0)), FAN_OUT, 2, SEED)[0]
 
 
 def seed_subgraph(spark, folder):
     """Edges among the nodes of one batch, with no hop."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     of = _numbered_batches(g)
     s, d = of.withColumnRenamed("node", "src"), of.withColumnRenamed("node", "dst")
     return N.propagation(g.triples).join(s, "src").join(d, ["batch_id", "dst"]).select("batch_id", "src", "rel", "dst")
@@ -80,37 +76,68 @@ def _numbered_batches(g: Graph) -> DataFrame:
 
 
 def external_order(spark, folder):
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     return N.external_nodes(N.cross_context(g.pairs, g.flagged, CONTEXT, SEED), g.catalog)
 
 
 def chunk_subgraph(spark, folder):
     """Each chunk's nodes and the nodes its context names: local numbers, first of the chunk's own by place, then others."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     own = g.catalog.select("chunk_id", F.col("node_idx").alias("node"), F.lit(True).alias("centre"), F.col("chunk_pos").cast("long").alias("place"))
     others = external_order(spark, folder).withColumn("centre", F.lit(False)).select("chunk_id", "node", "centre", F.col("place").cast("long").alias("place"))
     order = Window.partitionBy("chunk_id").orderBy(F.desc("centre"), "place", "node")
     return own.unionByName(others).select("chunk_id", "node", "centre", (F.row_number().over(order) - 1).alias("local"))
 
 
+def chunk_flags(spark, folder):
+    """chunk_subgraph with what is known of each node: item, image, focus, and its own chunk and place."""
+    flags = Graph.of(spark, folder).catalog.select(F.col("node_idx").alias("node"), "wid", "has_image", "is_art", F.col("chunk_id").alias("home"), "chunk_pos")
+    return chunk_subgraph(spark, folder).join(flags, "node")
+
+
+def chunk_messages(spark, folder):
+    """Each chunk's message edges by local numbers."""
+    g = Graph.of(spark, folder)
+    context = N.written(N.cross_context(g.pairs, g.flagged, CONTEXT, SEED))
+    return N.chunk_messages(g.pairs, g.flagged, context, chunk_subgraph(spark, folder))
+
+
+def chunk_load(spark, folder):
+    """The stored message edges of the first two chunks."""
+    return Graph.of(spark, folder).store.of_first(2)
+
+
+def khop_staged(spark, folder):
+    """A sample trimmed in stages."""
+    return N.trimmed_in_stages(Graph.of(spark, folder).sample[0], MOST_NODES, SEED)
+
+
+def khop_staged_counts(spark, folder):
+    nodes = Graph.of(spark, folder).sample[0]
+    return N.trim_counts(nodes, N.trimmed_in_stages(nodes, MOST_NODES, SEED))
+
+
+def image_trim_counts(spark, folder):
+    g = Graph.of(spark, folder)
+    return N.image_trim_counts(g.sample[0], g.catalog, MOST_IMAGES)
+
+
 def uniform_batches(spark, folder):
-    """Batches whose rows are drawn from all triples, each as often as it is drawn."""
-    g = Graph(spark, folder)
-    placed = numbered(g.triples, "place", F.floor(F.col("h") / 1000), [F.col(c) for c in ("h", "r", "t")])
-    n = g.triples.count()
-    slots = spark.range(DRAWN_BATCHES * BATCH).select((F.col("id") / BATCH).cast("long").alias("batch_id"), "id", draw(n, SEED, "id").alias("place"))
-    return slots.join(placed, "place").select("batch_id", F.col("id").alias("slot"), "h", "r", "t")
+    """Batches drawn from the train triples, without repeats in a batch."""
+    train = Graph.of(spark, folder).train
+    placed = numbered(train, "place", F.floor(F.col("h") / 1000), [F.col(c) for c in ("h", "r", "t")])
+    return drawn_batches(placed, train.count(), DRAWN_BATCHES, BATCH, SEED)
 
 
 def neg_kge_multi(spark, folder):
     """Two negatives for each test triple, from the focus nodes."""
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     test = g.split().filter("split = 'test'").select("h", "r", "t")
     return negatives.of_triples(test, g.triples, 0, SEED, num_neg=2, pool=pool_of(g.catalog.filter("is_art")))
 
 
 def neg_directed(spark, folder):
-    g = Graph(spark, folder)
+    g = Graph.of(spark, folder)
     edges = g.pairs.distinct()
     return negatives.of_directed(edges, edges, g.catalog.count(), SEED)
 
@@ -118,8 +145,8 @@ def neg_directed(spark, folder):
 def batch_kge(spark, folder):
     """The counts of whole batches: train triples in batches, their ends as seeds, messages over the train split without
     the batch's own pairs, trimmed and numbered."""
-    g = Graph(spark, folder)
-    train = N.written(_train(g))
+    g = Graph.of(spark, folder)
+    train = g.train
     placed = numbered(train, "place", F.floor(F.col("h") / 1000), [F.col(c) for c in ("h", "r", "t")])
     mine = N.written(placed.select(F.floor(F.col("place") / (64 * BATCH)).cast("long").alias("batch_id"), "h", "t"))
     return _batch(mine, train, g)
@@ -127,17 +154,17 @@ def batch_kge(spark, folder):
 
 def batch_lp(spark, folder):
     """As batch_kge, for unordered pairs over edges without types."""
-    g = Graph(spark, folder)
-    train = N.written(_train(g))
+    g = Graph.of(spark, folder)
+    train = g.train
     pairs = N.undirected(train.select(F.col("h").alias("src"), F.col("t").alias("dst")))
     placed = numbered(pairs, "place", F.floor(F.col("lo") / 1000), [F.col("lo"), F.col("hi")])
     mine = N.written(placed.select(F.floor(F.col("place") / (64 * BATCH)).cast("long").alias("batch_id"), F.col("lo").alias("h"), F.col("hi").alias("t")))
-    return _batch(mine, pairs.select(F.col("lo").alias("h"), F.lit(0).alias("r"), F.col("hi").alias("t")), g)
+    return _batch(mine, pairs.select(F.col("lo").alias("h"), F.lit(0).alias("r"), F.col("hi").alias("t")), g, in_stages=True)
 
 
-def _batch(mine: DataFrame, train: DataFrame, g: Graph) -> DataFrame:
+def _batch(mine: DataFrame, train: DataFrame, g: Graph, in_stages: bool = False) -> DataFrame:
     seeds = mine.select("batch_id", F.explode(F.array("h", "t")).alias("node")).distinct()
-    return N.prepared(seeds, mine, N.propagation(train), g.catalog, FAN_OUT, 1, 200 * MOST_NODES, MOST_IMAGES, SEED)["counts"]
+    return N.prepared(seeds, mine, N.propagation(train), g.catalog, FAN_OUT, 1, 200 * MOST_NODES, MOST_IMAGES, SEED, in_stages)["counts"]
 
 
 def export_modes(spark, folder):
@@ -190,7 +217,7 @@ def ledger_stream(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        train_propagation, csr_columns, directed_dedup, unique_entities, test_nodes, image_counters, khop_untyped, seed_subgraph, external_order, chunk_subgraph, uniform_batches,
+        train_propagation, csr_columns, directed_dedup, unique_entities, test_nodes, image_counters, khop_untyped, seed_subgraph, external_order, chunk_subgraph, chunk_flags, chunk_messages, chunk_load, khop_staged, khop_staged_counts, image_trim_counts, uniform_batches,
         neg_kge_multi, neg_directed, batch_kge, batch_lp, export_modes, resume_faults, ledger_stream,
     )
 }
@@ -200,8 +227,13 @@ ranked_context AS (SELECT a.chunk_id, src AS node, dst AS other, row_number() OV
     FROM ends JOIN catalog a ON a.node_idx = src JOIN catalog b ON b.node_idx = dst WHERE a.chunk_id <> b.chunk_id),
 external AS (SELECT x.chunk_id, other AS node, row_number() OVER (PARTITION BY x.chunk_id ORDER BY c.chunk_id, c.chunk_pos, other) - 1 AS place
     FROM (SELECT DISTINCT chunk_id, other FROM ranked_context WHERE rank <= {CONTEXT}) x JOIN catalog c ON c.node_idx = other)"""
+_LOCAL = """both_ AS (SELECT chunk_id, node_idx AS node, TRUE AS centre, chunk_pos AS place FROM catalog UNION ALL SELECT chunk_id, node, FALSE, place FROM external),
+local AS (SELECT chunk_id, node, centre, row_number() OVER (PARTITION BY chunk_id ORDER BY centre DESC, place, node) - 1 AS local FROM both_)"""
+_STAGED = f"""staged AS (SELECT batch_id, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY least(hop, 2),
+CASE WHEN hop < 2 THEN {hash_sql("'7:11'", "node")} ELSE {hash_sql("'7:17'", "node")} END, node) AS rank FROM sample_nodes) WHERE rank <= {MOST_NODES} OR hop = 0)"""
 _MULTI_SIDE = f"{hash_sql("'7:side'", 'p.h', 'p.r', 'p.t', 'copy')} % 2 = 0"
-_UNTYPED = "prop AS (SELECT h AS src, 0 AS rel, t AS dst FROM triples UNION SELECT t, 0, h FROM triples)"
+_UNTYPED = "prop AS (SELECT h AS src, 0 AS rel, t AS dst FROM split WHERE split = 'train' UNION SELECT t, 0, h FROM split WHERE split = 'train')"
+_turn = lambda k, other: hash_sql("'7:batch'", "batch_id", str(k), other)
 _CHUNKS = """chunks AS (SELECT chunk_id, n, coalesce(e, 0) AS e, row_number() OVER (ORDER BY chunk_id) AS k, count(*) OVER () AS c FROM (SELECT chunk_id, count(*) AS n FROM nodes GROUP BY chunk_id)
     LEFT JOIN (SELECT chunk_id, count(*) AS e FROM raw_edges JOIN nodes ON node_id = src GROUP BY chunk_id) USING (chunk_id))"""
 _HALF = "(k - 1) * 2 < c"
@@ -214,13 +246,30 @@ SQL = {
         FROM (SELECT h AS node, split FROM split UNION ALL SELECT t, split FROM split) GROUP BY node""",
     "test_nodes": f"WITH {SPLIT}, ends AS (SELECT h AS node FROM split WHERE split = 'test' UNION SELECT t FROM split WHERE split = 'test') SELECT node, is_art FROM ends JOIN catalog ON node_idx = node",
     "image_counters": f"WITH {SAMPLE} SELECT batch_id, hop = 0 AS seed, count(*) FILTER (has_image) AS hit, count(*) FILTER (NOT has_image) AS none FROM sample_nodes JOIN catalog ON node_idx = node GROUP BY ALL",
-    "khop_untyped": f"WITH {SAMPLE.replace(PROPAGATION, _UNTYPED)} SELECT batch_id, node, hop FROM sample_nodes",
+    "khop_untyped": f"WITH {SAMPLE.replace(TRAIN_PROPAGATION, _UNTYPED)} SELECT batch_id, node, hop FROM sample_nodes",
     "seed_subgraph": f"WITH {ALL}, {PROPAGATION} SELECT src // {BATCH} AS batch_id, src, rel, dst FROM prop WHERE src // {BATCH} = dst // {BATCH}",
     "external_order": f"WITH {ALL}, {_CONTEXT} SELECT chunk_id, node, place FROM external",
+    "chunk_flags": f"""WITH {ALL}, {_CONTEXT}, {_LOCAL} SELECT l.*, wid, has_image, is_art, c.chunk_id AS home, chunk_pos FROM local l JOIN catalog c ON node_idx = node""",
+    "chunk_messages": f"""WITH {ALL}, {_CONTEXT}, {_LOCAL}, links AS (SELECT DISTINCT h AS src, t AS dst FROM triples), context AS (SELECT * FROM ranked_context WHERE rank <= {CONTEXT}),
+        kept AS (SELECT a.chunk_id, src, dst FROM links JOIN catalog a ON a.node_idx = src JOIN catalog b ON b.node_idx = dst WHERE a.chunk_id = b.chunk_id
+            UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = src AND other = dst UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = dst AND other = src)
+        SELECT k.chunk_id, a.local AS src_local, b.local AS dst_local FROM kept k JOIN local a ON a.chunk_id = k.chunk_id AND a.node = src JOIN local b ON b.chunk_id = k.chunk_id AND b.node = dst""",
+    "chunk_load": f"WITH {SAMPLE} SELECT src, place, rel, dst, chunk_id FROM placed JOIN catalog ON node_idx = src WHERE chunk_id < 2",
+    "khop_staged": f"WITH {SAMPLE}, {_STAGED} SELECT * FROM staged",
+    "khop_staged_counts": f"""WITH {SAMPLE}, {_STAGED} SELECT batch_id, count(*) AS nodes_before, count(s.node) AS nodes_after, count(*) - count(s.node) AS trimmed FROM sample_nodes LEFT JOIN staged s USING (batch_id, node) GROUP BY batch_id""",
+    "image_trim_counts": f"""WITH {SAMPLE}, counts AS (SELECT batch_id, count(*) FILTER (has_image) AS n, count(*) FILTER (has_image AND hop > 0) AS m FROM sample_nodes JOIN catalog ON node_idx = node GROUP BY batch_id),
+        gone AS (SELECT *, least(greatest(n - {MOST_IMAGES}, 0), m) AS x FROM counts) SELECT batch_id, n AS images_before, n - x AS images_after, x AS trimmed, n - x > {MOST_IMAGES} AS cap_exceeded FROM gone""",
     "chunk_subgraph": f"""WITH {ALL}, {_CONTEXT}, both_ AS (SELECT chunk_id, node_idx AS node, TRUE AS centre, chunk_pos AS place FROM catalog UNION ALL SELECT chunk_id, node, FALSE, place FROM external)
         SELECT chunk_id, node, centre, row_number() OVER (PARTITION BY chunk_id ORDER BY centre DESC, place, node) - 1 AS local FROM both_""",
-    "uniform_batches": f"""WITH {ALL}, placed AS (SELECT h, r, t, row_number() OVER (ORDER BY h, r, t) - 1 AS place FROM triples)
-        SELECT id // {BATCH} AS batch_id, id AS slot, h, r, t FROM (SELECT id, {hash_sql("'7'", "id")} % (SELECT count(*) FROM triples) AS place FROM range({DRAWN_BATCHES * BATCH}) AS x(id)) JOIN placed USING (place)""",
+    "uniform_batches": f"""WITH RECURSIVE {SPLIT}, placed AS (SELECT h, r, t, row_number() OVER (ORDER BY h, r, t) - 1 AS place FROM split WHERE split = 'train'),
+        size AS (SELECT n, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM (SELECT count(*) AS n FROM placed)),
+        walk AS (SELECT batch_id, slot, slot AS x, 0 AS step FROM range({DRAWN_BATCHES}) AS y(batch_id), range({BATCH}) AS z(slot)
+            UNION ALL SELECT batch_id, slot, row3 * b + (column2 + {_turn(5, 'row3')} % b) % b, step + 1
+            FROM (SELECT *, (row2 + {_turn(4, 'column2')} % a) % a AS row3 FROM (SELECT *, (column1 + {_turn(3, 'row2')} % b) % b AS column2 FROM (SELECT *, (row1 + {_turn(2, 'column1')} % a) % a AS row2
+            FROM (SELECT *, (column0 + {_turn(1, 'row1')} % b) % b AS column1 FROM (SELECT *, (x // b + {_turn(0, 'column0')} % a) % a AS row1 FROM (SELECT walk.*, size.*, x % b AS column0 FROM walk, size WHERE step = 0 OR x >= n))))))),
+        drawn AS (SELECT batch_id, slot, x AS place FROM walk, size WHERE step > 0 AND x < n AND n >= {BATCH}
+            UNION ALL SELECT batch_id, slot, {hash_sql("'7:batch'", 'batch_id', 'slot')} % n FROM walk, size WHERE step = 0 AND n < {BATCH})
+        SELECT batch_id, slot, h, r, t FROM drawn JOIN placed USING (place)""",
     "neg_kge_multi": f"""WITH {SPLIT}, pool AS (SELECT row_number() OVER (ORDER BY chunk_id, chunk_pos, node_idx) - 1 AS place, node_idx AS other FROM catalog WHERE is_art),
         positives AS (SELECT h, r, t, copy FROM split, range(2) AS y(copy) WHERE split = 'test'),
         drawn AS (SELECT p.*, k, {_MULTI_SIDE} AS head, {hash_sql("'7'", 'p.h', 'p.r', 'p.t', 'copy', 'k')} % (SELECT count(*) FROM pool) AS place FROM positives p, range(50) AS x(k)),

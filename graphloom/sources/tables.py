@@ -21,6 +21,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def state(spark: SparkSession, folder: str) -> tuple:
+    """What tells one state of the graph's tables from another: their files' names, sizes and times of change."""
+    found = []
+    for name in (*KINDS, "lineitem"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files.listStatus(path)]
+    return tuple(found)
+
+
 def node_id(kind: str, key: Column | str) -> Column:
     return F.lit(KINDS[kind] * 10**10) + (F.col(key) if isinstance(key, str) else key).cast("long")
 

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import predicates as P
+from graphloom.functions import articles as A
 from graphloom.functions import text as T
 from graphloom.functions import vectors as V
 from graphloom.functions.hashing import draw, order_hash
@@ -69,19 +70,45 @@ def test_names(spark):
     assert one(spark, T.duration(F.lit(3725))) == "1:02:05"
 
 
-ARTICLE = """<html><div id="mw-content-text"><div class="mw-parser-output"><p>Too short.</p><p>A first paragraph that is surely longer than forty characters[3].</p>
-<h2><span class="mw-headline">History</span></h2><p>A paragraph of more than thirty characters.</p><p>short</p><ul><li>An item of over twenty characters<li>no</ul>
-<h2>References</h2><p>A reference that is long enough to be text.</p><h3>Empty</h3></div></div><p>Text after the article, which is long enough to count as one.</p></html>"""
-
-
-def test_sections(spark):
-    brief, sections = T.sections_of(ARTICLE, "mw-content-text")
-    assert brief == "A first paragraph that is surely longer than forty characters."
-    assert sections == {"History": "A paragraph of more than thirty characters. An item of over twenty characters"}
-    assert T.sections_of("<p>no such element here, though it is long enough</p>", "mw-content-text") == ("", {})
-    assert T.sections_of("", None) == ("", {})
-    row = spark.createDataFrame([(ARTICLE,), (None,)], "html string").select(T.article_sections("html").alias("x")).collect()
-    assert row[0].x.brief == brief and row[0].x.sections == sections and row[1].x.sections == {}
+def article(inner: str) -> str:
+    return f'<html><p>Text before the article, long enough to count as a paragraph.</p><div id="mw-content-text"><div class="x mw-parser-output">{inner}</div></div><p>Text after the article, which is long enough, too.</p></html>'
+
+
+LONG, OTHER = "A paragraph of text that is surely longer than forty characters", "Another paragraph, which has over thirty"
+
+
+@pytest.mark.parametrize(
+    ("inner", "brief", "sections"),
+    [
+        (f"<p>Too short.</p><p>{LONG}[3].</p>", f"{LONG}.", {}),
+        # Only paragraphs directly in the body go into the brief; a heading further down does not end it.
+        (f"<div><p>{LONG} in a box.</p><h2>Inner</h2></div><p>{LONG}</p>", LONG, {"Inner": LONG}),
+        (f"<p>{LONG}</p><h1>Not a heading</h1><p>{LONG} too</p><h4>Stop</h4><p>{LONG} later</p>", f"{LONG} {LONG} too", {"Stop": f"{LONG} later"}),
+        # The span of the headline is the title, without the links beside it.
+        (f'<h2><span class="a mw-headline">His <i>tory</i>[1]</span><span>[edit]</span></h2><p>{OTHER}</p><p>short</p>', "", {"His tory": OTHER}),
+        # Of sections of one title the last with a text counts.
+        (f"<h2>A</h2><p>{OTHER} 1</p><h2>B</h2><p>{OTHER} 2</p><h3>A</h3><p>{OTHER} 3</p><h3>A</h3><p>no</p>", "", {"A": f"{OTHER} 3", "B": f"{OTHER} 2"}),
+        # A list gives its own items, which hold what lies in them; the list within is a list of its own.
+        ("<h2>L</h2><ul><li>An item of over twenty characters<li>no<li>With a list: <ol><li>an inner item of over twenty</ol></ul>", "", {"L": "An item of over twenty characters With a list: an inner item of over twenty an inner item of over twenty"}),
+        # Paragraphs at any depth go into sections; blacklisted titles don't, nor what stands under a blank one.
+        (f"<h2>T</h2><table><tr><td><p>{OTHER} deep</p></table><h2> SEE  also </h2><p>{OTHER}</p><h2> </h2><p>{OTHER}</p>", "", {"T": f"{OTHER} deep"}),
+        ('<div class="noprint shortdescription">A short  description[2]</div><p>short</p>', "A short description", {}),
+        (f"<p>{LONG}<script>var p = '<p>';</script><style>p {{}}</style> &amp; more<p>{LONG} again<div>x</div>", f"{LONG} & more {LONG} again", {}),
+        ("", "", {}),
+    ],
+)
+def test_articles(inner, brief, sections):
+    assert A.sections_of(article(inner)) == (brief, sections)
+
+
+def test_pages_without_an_article(spark):
+    assert A.sections_of(f"<p>{LONG}</p>") == ("", {}) and A.sections_of("") == ("", {})
+    # Without a parser's output the content is the body; a span of that name is none.
+    assert A.sections_of(f'<span id="mw-content-text"></span><div id="mw-content-text"><p>{LONG}</p>') == (LONG, {})
+    deep = "<div>" * 20_000
+    assert A.sections_of(article(f"<h2>D</h2>{deep}<p>{OTHER}</p>"))[1]["D"].startswith(OTHER)
+    row = spark.createDataFrame([(article(f"<p>{LONG}</p>"),), (None,)], "html string").select(A.article_sections("html").alias("x")).collect()
+    assert row[0].x.brief == LONG and row[1].x.brief == "" and row[1].x.sections == {}
 
 
 def test_assembled(spark):

@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import hashlib
-import re
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-_WORD = re.compile(r"[^\t\n\x0b\f\r ]+")
-
-
 def _vector(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("array<double>")
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with the value made once, however often `of` uses it, in lambdas, too."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -75,20 +73,9 @@ def logit_loss(score: Column | str, label: Column | str) -> Column:
 
 def hashed_bag(text: Column | str, size: int = 64) -> Column:
     """Words counted in `size` buckets, scaled to length one: a text vector that needs no model. Blank texts give zeros."""
-
-    @F.pandas_udf("array<double>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        seen: dict[str, int] = {}
-
-        def bucket(word: str) -> int:
-            if word not in seen:
-                seen[word] = int(hashlib.md5(word.encode()).hexdigest()[:15], 16) % size
-            return seen[word]
-
-        def vector(value: str | None) -> np.ndarray:
-            counts = np.bincount([bucket(w) for w in _WORD.findall((value or "").lower())], minlength=size).astype(float)
-            return counts / (np.sqrt(counts @ counts) or 1.0)
-
-        return texts.map(vector, na_action=None)
-
-    return vectors(F.col(text) if isinstance(text, str) else text)
+    text = F.col(text) if isinstance(text, str) else text
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\t\n\x0b\f\r ]+"), lambda w: w != "")
+    buckets = F.transform(words, lambda w: F.pmod(F.conv(F.substring(F.md5(w.cast("binary")), 1, 15), 16, 10).cast("long"), F.lit(size)).cast("int"))
+    counted = lambda b: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (F.size(b) - F.size(F.array_remove(b, i))).cast("double"))
+    scaled = lambda c: let(F.greatest(F.sqrt(dot(c, c)), F.lit(1.0)), lambda length: F.transform(c, lambda x: x / length))
+    return let(let(buckets, counted), scaled)

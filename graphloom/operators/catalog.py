@@ -113,3 +113,12 @@ def best_path(images: DataFrame, wid: str = "wid", path: str = "path") -> DataFr
     stem = F.regexp_replace(name, r"\.[^.]*$", "")
     rank = F.when(stem == F.col(wid), 0).when(stem == F.concat(F.col(wid), F.lit("_0")), 1).otherwise(2)
     return images.groupBy(wid).agg(F.min(F.struct(rank.alias("rank"), name.alias("name"), F.col(path).alias("path"))).alias("best")).select(wid, F.col("best.path").alias(path))
+
+
+def all_resolved(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """rows as they are, once it is sure that every reference has been resolved: of (reference, result) columns, a result that
+    is null is an error that names the reference."""
+    for ref, result in pairs:
+        unknown = F.raise_error(F.concat(F.lit(f"unknown {ref}: "), F.coalesce(F.col(ref).cast("string"), F.lit("null"))))
+        rows = rows.withColumn(result, F.when(F.col(result).isNull(), unknown.cast(rows.schema[result].dataType)).otherwise(F.col(result)))
+    return rows

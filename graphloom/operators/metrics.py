@@ -87,11 +87,11 @@ def filtered_ranks(scored_: DataFrame, known: DataFrame) -> DataFrame:
     target has no score is left out."""
     true = known.groupBy("h", "t").agg(F.collect_set("r").alias("known"))  # of a pair, at most all relations
     rows = scored_.join(true, ["h", "t"], "left").withColumn("known", F.coalesce("known", F.array().cast(true.schema["known"].dataType)))
-    rows = rows.withColumn("goal", F.filter("scores", lambda x: x["r"] == F.col("r"))[0]["score"]).filter("goal IS NOT NULL")
+    rows = rows.withColumn("goal", F.get(F.filter("scores", lambda x: x["r"] == F.col("r")), 0)["score"]).filter("goal IS NOT NULL")
     open_ = F.filter("scores", lambda x: (x["r"] == F.col("r")) | ~F.array_contains("known", x["r"]))
     rows = rows.select("qid", "r", "goal", open_.alias("open"))
     better = F.size(F.filter("open", lambda x: x["score"] > F.col("goal")))
-    return rows.select("qid", "r", (1 + better).cast("long").alias("rank"), (-_best_first("open")[0]["minus"]).alias("top1"))
+    return rows.select("qid", "r", (1 + better).cast("long").alias("rank"), (-F.get(_best_first("open"), 0)["minus"]).alias("top1"))
 
 
 def ranking(ranks: DataFrame, group: Column | str) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions.articles import article_sections
 from ..functions.hashing import draw, order_hash
 from ..functions.predicates import is_bad_section, is_terminal, is_wid
 from ..operators import catalog as C
-from ..operators import ledger, messages, metrics, stats
+from ..operators import encoding, ledger, messages, metrics, stats
 from ..operators.neighbours import written
 from ..operators.splits import first_rows
 from ..sources import tables
@@ -20,8 +20,8 @@ SEED = 11
 DIGITS = 6
 NEGATIVES = 20
 #: Fixed weights of the small layers that the queries apply.
-OWN = [[0.5, -0.25, 0.125, 1.0], [1.0, 0.5, -0.5, 0.25]]
-NEIGHBOUR = [[0.25, 0.5, -1.0, 0.125], [-0.5, 1.0, 0.25, 0.5]]
+OWN = [[0.5, -0.25, 0.125, 1.0] * 16, [1.0, 0.5, -0.5, 0.25] * 16]
+NEIGHBOUR = [[0.25, 0.5, -1.0, 0.125] * 16, [-0.5, 1.0, 0.25, 0.5] * 16]
 BIAS = [0.1, -0.2]
 
 
@@ -168,25 +168,21 @@ def relational_mean_aggregate(spark, folder):
     return _spread(messages.relational_aggregate(v.edges, v.entities), "node", "rel")
 
 
-def _short(v: Vectors) -> DataFrame:
-    return v.entities.select("node", F.slice("vector", 1, 4).alias("vector"))
-
-
 def sage_layer(spark, folder):
     v = Vectors(spark, folder)
-    return _spread(messages.sage_layer(v.edges, _short(v), OWN, NEIGHBOUR, BIAS), "node")
+    return _spread(messages.sage_layer(v.edges, v.entities.select("node", "vector"), OWN, NEIGHBOUR, BIAS), "node")
 
 
 def relational_layer(spark, folder):
     v = Vectors(spark, folder)
     shares = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-0.25, 2.0])], "rel int, share array<double>")
-    return _spread(messages.relational_layer(v.edges, _short(v), OWN, [OWN, NEIGHBOUR], shares, BIAS), "node")
+    return _spread(messages.relational_layer(v.edges, v.entities.select("node", "vector"), OWN, [OWN, NEIGHBOUR], shares, BIAS), "node")
 
 
 def pair_scores(spark, folder):
     """A link's score from both ends' vectors by one hidden layer."""
     v = Vectors(spark, folder)
-    short = _short(v)
+    short = v.entities.select("node", "vector")
     rows = v.queries.join(short.withColumnsRenamed({"node": "h", "vector": "x"}), "h").join(short.withColumnsRenamed({"node": "t", "vector": "y"}), "t")
     hidden = [[*a, *b] for a, b in zip(OWN, NEIGHBOUR, strict=True)]
     return rows.select("qid", _r(V.pair_score("x", "y", hidden, BIAS, [1.5, -0.5], 0.25)).alias("score"))
@@ -195,8 +191,8 @@ def pair_scores(spark, folder):
 def fused_features(spark, folder):
     """Text vector and image vector in one layer; every third entity has no image."""
     v = Vectors(spark, folder)
-    rows = v.entities.select("node", F.slice("vector", 1, 2).alias("text"), F.when(F.col("node") % 3 > 0, F.slice("vector", 3, 1)).alias("image"))
-    return _spread(rows.select("node", V.fused("text", "image", [0.75], OWN, BIAS).alias("vector")), "node")
+    rows = v.entities.select("node", F.slice("vector", 1, 40).alias("text"), F.when(F.col("node") % 3 > 0, F.slice("vector", 41, 23)).alias("image"))
+    return _spread(rows.select("node", V.fused("text", "image", [0.75] * 23, OWN, BIAS).alias("vector")), "node")
 
 
 def text_vectors(spark, folder):
@@ -208,11 +204,25 @@ def text_vectors(spark, folder):
 def embedding_fill(spark, folder):
     """A vector for every document: its embedding if there is one, else one made of its text."""
     docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("node"), "text")
-    cache = tables.vectors(spark, folder).select("node", F.slice("vector", 1, 8).alias("vector"))
-    found = ledger.filled(docs, cache, lambda rows: rows.select("node", V.hashed_bag("text", 8).alias("vector")))
+    cache = tables.vectors(spark, folder).select("node", "vector")
+    found = ledger.filled(docs, cache, lambda rows: rows.select("node", V.hashed_bag("text", 64).alias("vector")))
     return found.select("node", _r(V.total(F.col("vector"))).alias("sum"))
 
 
+def pair_encoding(spark, folder):
+    """Scores of pairs of entities encoded once: the documents' texts, embeddings as images (every third entity has none), and
+    the mean of neighbours; half of the vectors come from a cache."""
+    v = Vectors(spark, folder)
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("node"), "text")
+    entities = v.plain.join(docs, "node", "left").select("node", "text", F.when(F.col("node") % 3 > 0, F.slice("vector", 1, 4)).alias("image"))
+    chain = encoding.Chain(size=8, missing=(0.75, 0.0, -0.5, 0.25))
+    wanted = written(encoding.ends(v.queries))
+    cache = written(chain.encode(wanted.filter("node % 2 = 0"), entities, v.edges))
+    vectors = encoding.with_cache(wanted, cache, lambda missing: chain.encode(missing, entities, v.edges))
+    pairs = encoding.gathered(v.queries.select("qid", "h", "t"), vectors)
+    return pairs.select("qid", "h", "t", _r(V.dot("h_vector", "t_vector")).alias("score"))
+
+
 def cache_hits(spark, folder):
     docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("node"))
     return ledger.hit_rate(docs, tables.vectors(spark, folder)).withColumn("rate", _r(F.col("rate")))
@@ -350,7 +360,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         relation_centroids, transe_scores, complex_scores, relation_topk, relation_rank_filtered, relation_topk_graph, relation_rank_graph, triple_auc_ap_graph, mrr_hits, triple_auc_ap, subset_metrics, hit_at_10, triple_loss,
-        mean_aggregate, relational_mean_aggregate, sage_layer, relational_layer, pair_scores, fused_features, text_vectors, embedding_fill, cache_hits,
+        mean_aggregate, relational_mean_aggregate, sage_layer, relational_layer, pair_scores, fused_features, text_vectors, embedding_fill, pair_encoding, cache_hits,
         text_clean, text_assemble, html_sections, time_format, fallback_brief, image_files, latest_record_per_key, terminal_flags, pending_work, text_outputs, ordered_distinct,
         best_path_pick, preferred_statement, rolling_stats, early_stop_trace, eval_first_rows, seed_pick, work_batches,
     )

@@ -14,8 +14,8 @@ def _layer(row: list[float], x: str, offset: int = 0) -> str:
     return " + ".join(f"{x}[{i + 1 + offset}] * ({w}::DOUBLE)" for i, w in enumerate(row))
 
 
-OWN = [[0.5, -0.25, 0.125, 1.0], [1.0, 0.5, -0.5, 0.25]]
-NEIGHBOUR = [[0.25, 0.5, -1.0, 0.125], [-0.5, 1.0, 0.25, 0.5]]
+OWN = [[0.5, -0.25, 0.125, 1.0] * 16, [1.0, 0.5, -0.5, 0.25] * 16]
+NEIGHBOUR = [[0.25, 0.5, -1.0, 0.125] * 16, [-0.5, 1.0, 0.25, 0.5] * 16]
 BIAS = [0.1, -0.2]
 _OTHER = lambda *key: f"{hash_sql("'11'", *key)} % (SELECT count(*) FROM embeddings)"
 _R = lambda x: f"round({x}, 6) + 0.0"
@@ -50,11 +50,14 @@ CASE WHEN sum(p) = 0 OR sum(n) = 0 THEN 0.0 ELSE {_R("sum(p * (tp / (tp + fp)))
 
 _MEAN = "means AS (SELECT dst AS node, dim, avg(x) AS x FROM links JOIN dims ON dims.node = src GROUP BY ALL)"
 _RELMEAN = "means AS (SELECT dst AS node, rel, dim, avg(x) AS x FROM links JOIN dims ON dims.node = src GROUP BY ALL)"
-_COUNTS = ", ".join(f"len(list_filter(b, lambda z: z = {i}))::DOUBLE" for i in range(8))
-_BAG = f"""bags AS (SELECT node, [{_COUNTS}] AS v FROM (SELECT doc_id AS node, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> ''),
-    lambda w: ('0x' || substr(md5(w), 1, 15))::BIGINT % 8) AS b FROM documents)),
+
+
+def _bag(size: int) -> str:
+    return f"""bags AS (SELECT node, list_transform(range({size}), lambda i: len(list_filter(b, lambda z: z = i))::DOUBLE) AS v FROM (SELECT doc_id AS node, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\t\\n\\x0b\\f\\r ]+'), lambda w: w <> ''),
+    lambda w: ('0x' || substr(md5(w), 1, 15))::BIGINT % {size}) AS b FROM documents)),
 text_vectors AS (SELECT node, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1)) AS v FROM bags)"""
 
+
 _RECORDS = """records AS (SELECT 'Q' || user_id AS wid, event_id AS pos, CASE event_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'no_sitelink' WHEN 2 THEN 'error' END AS status,
 CASE WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS url, CASE WHEN event_id % 5 > 0 THEN event_type ELSE ' ' END AS brief FROM events),
 last AS (SELECT * FROM records QUALIFY row_number() OVER (PARTITION BY wid ORDER BY pos DESC) = 1),
@@ -99,17 +102,22 @@ SQL = {
     "triple_loss": f"WITH {VECTORS}, {_LABELLED(_COMPLEX)} SELECT r, {_R('avg(greatest(score, 0) - score * label + ln(1 + exp(-abs(score))))')} AS loss FROM labelled GROUP BY r",
     "mean_aggregate": f"WITH {VECTORS}, {_MEAN} SELECT node, dim, {_R('x')} AS x FROM means",
     "relational_mean_aggregate": f"WITH {VECTORS}, {_RELMEAN} SELECT node, rel, dim, {_R('x')} AS x FROM means",
-    "sage_layer": f"""WITH {VECTORS}, {_MEAN}, lists AS (SELECT node, list(x ORDER BY dim) AS v FROM means WHERE dim < 4 GROUP BY node),
-        rows AS (SELECT e.node, e.vector AS w, coalesce(v, [0.0, 0.0, 0.0, 0.0]) AS v FROM ent e LEFT JOIN lists USING (node))
+    "sage_layer": f"""WITH {VECTORS}, {_MEAN}, lists AS (SELECT node, list(x ORDER BY dim) AS v FROM means GROUP BY node),
+        rows AS (SELECT e.node, e.vector AS w, coalesce(v, list_transform(range(64), lambda i: 0.0)) AS v FROM ent e LEFT JOIN lists USING (node))
         {' UNION ALL '.join(f"SELECT node, {o} AS dim, {_R(f'{_layer(OWN[o], "w")} + ({BIAS[o]}::DOUBLE) + ({_layer(NEIGHBOUR[o], "v")})')} AS x FROM rows" for o in (0, 1))}""",
-    "relational_layer": f"""WITH {VECTORS}, {_RELMEAN}, lists AS (SELECT node, rel, list(x ORDER BY dim) AS v FROM means WHERE dim < 4 GROUP BY ALL),
+    "relational_layer": f"""WITH {VECTORS}, {_RELMEAN}, lists AS (SELECT node, rel, list(x ORDER BY dim) AS v FROM means GROUP BY ALL),
         sums AS (SELECT node, {', '.join(f"sum({_relational(o)}) AS m{o}" for o in (0, 1))} FROM lists GROUP BY node)
         {' UNION ALL '.join(f"SELECT e.node, {o} AS dim, {_R(f'{_layer(OWN[o], "e.vector")} + ({BIAS[o]}::DOUBLE) + coalesce(m{o}, 0)')} AS x FROM ent e LEFT JOIN sums USING (node)" for o in (0, 1))}""",
     "pair_scores": f"""WITH {VECTORS} SELECT qid, {_R(' + '.join(f"greatest({_layer(OWN[o], 'a.vector')} + {_layer(NEIGHBOUR[o], 'b.vector')} + ({BIAS[o]}::DOUBLE), 0) * ({w}::DOUBLE)" for o, w in ((0, 1.5), (1, -0.5))) + ' + 0.25')} AS score FROM queries {_ENDS}""",
-    "fused_features": f"""WITH {VECTORS}, rows AS (SELECT node, [vector[1], vector[2], CASE WHEN node % 3 > 0 THEN vector[3] ELSE 0.75 END, CASE WHEN node % 3 > 0 THEN 1.0 ELSE 0.0 END] AS v FROM ent)
+    "fused_features": f"""WITH {VECTORS}, rows AS (SELECT node, list_concat(vector[1:40], CASE WHEN node % 3 > 0 THEN vector[41:63] ELSE list_transform(range(23), lambda i: 0.75) END, [CASE WHEN node % 3 > 0 THEN 1.0 ELSE 0.0 END]) AS v FROM ent)
         {' UNION ALL '.join(f"SELECT node, {o} AS dim, {_R(f'greatest({_layer(OWN[o], "v")} + ({BIAS[o]}::DOUBLE), 0)')} AS x FROM rows" for o in (0, 1))}""",
-    "text_vectors": f"WITH {_BAG} SELECT node, unnest(range(8))::INTEGER AS dim, {_R('unnest(v)')} AS x FROM text_vectors",
-    "embedding_fill": f"WITH {_BAG} SELECT node, {_R('list_sum(coalesce(embedding[1:8]::DOUBLE[], v))')} AS sum FROM text_vectors LEFT JOIN embeddings ON vec_id = node",
+    "text_vectors": f"WITH {_bag(8)} SELECT node, unnest(range(8))::INTEGER AS dim, {_R('unnest(v)')} AS x FROM text_vectors",
+    "embedding_fill": f"WITH {_bag(64)} SELECT node, {_R('list_sum(coalesce(embedding::DOUBLE[], v))')} AS sum FROM text_vectors LEFT JOIN embeddings ON vec_id = node",
+    "pair_encoding": f"""WITH {VECTORS}, {_bag(8)}, features AS (SELECT e.node, list_concat(coalesce(t.v, list_transform(range(8), lambda i: 0.0)), CASE WHEN e.node % 3 > 0 THEN e.vector[1:4] ELSE [0.75, 0.0, -0.5, 0.25] END,
+            [CASE WHEN e.node % 3 > 0 THEN 1.0 ELSE 0.0 END]) AS v FROM ent e LEFT JOIN text_vectors t ON t.node = e.node),
+        spread AS (SELECT node, unnest(range(13)) AS dim, unnest(v) AS x FROM features), means AS (SELECT node, list(x ORDER BY dim) AS m FROM (SELECT dst AS node, dim, avg(x) AS x FROM links JOIN spread ON spread.node = src GROUP BY ALL) GROUP BY node),
+        encoded AS (SELECT f.node, CASE WHEN m IS NULL THEN v ELSE list_transform(range(1, 14), lambda i: (v[i] + m[i]) / 2) END AS v FROM features f LEFT JOIN means USING (node))
+        SELECT qid, h, t, {_R('list_sum(list_transform(range(1, 14), lambda i: a.v[i] * b.v[i]))')} AS score FROM queries JOIN encoded a ON a.node = h JOIN encoded b ON b.node = t""",
     "cache_hits": f"SELECT count(*) FILTER (v) AS hits, count(*) FILTER (NOT v) AS misses, {_R('count(*) FILTER (v) / count(*)')} AS rate FROM (SELECT doc_id IN (SELECT vec_id FROM embeddings) AS v FROM documents)",
     "text_clean": f"SELECT doc_id, length({_CLEAN})::INTEGER AS n, md5({_CLEAN}) AS md5 FROM documents",
     "text_assemble": f"SELECT doc_id, length({_ASSEMBLED})::INTEGER AS n, md5({_ASSEMBLED}) AS md5 FROM documents",

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import chunk_number, wid_of_stem
+from ..operators.catalog import best_path
 
-NODE = "map<string,struct<labels:array<string>,properties:variant>>"
+NODE = "map<string,struct<labels:variant,properties:variant>>"
 EDGE = "id long, src long, src_labels array<string>, dst long, dst_labels array<string>, type string"
 CHUNK = "chunk_index:long,dir_name:string,node_count:long,edge_count:long,src_node_id_min:long,src_node_id_max:long,nodes_file:string,edges_file:string"
 MANIFEST = f"schema_version long, status string, total_nodes long, total_relationships long, last_src_node_id long, completed_nodes long, completed_edges long, chunks array<struct<{CHUNK}>>"
+#: Ends of image files' names.
+IMAGES = ("png", "jpg", "jpeg", "webp", "bmp")
 TEXT = "wid string, url string, brief string, sections map<string,string>"
 RECORD = f"{TEXT}, _fetch_status string"
 
@@ -29,10 +32,13 @@ def nodes(spark: SparkSession, paths: str | list[str], list_of_images: str = "im
     """node_id, chunk_id, chunk_pos, wid, labels, images of nodes.json shards: objects by node id. A shard is one task's."""
     shards = spark.read.text(paths, wholetext=True).select(F.from_json("value", NODE).alias("nodes"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("folder"))
     rows = shards.select(chunk_number("folder").cast("int").alias("chunk_id"), F.posexplode("nodes").alias("chunk_pos", "key", "node"))
+    # Labels are a list, or one label by itself.
+    label = F.col("node.labels")
+    labels = F.when(F.schema_of_variant(label) == "STRING", F.array(F.try_variant_get(label, "$", "string"))).otherwise(F.try_variant_get(label, "$", "array<string>"))
     image = F.try_variant_get("node.properties", f"$.{list_of_images}", "variant")
     kind = F.schema_of_variant(image)
     images = F.when(kind == "STRING", F.array(F.try_variant_get(image, "$", "string"))).when(kind.startswith("ARRAY"), F.try_variant_get(image, "$", "array<string>"))
-    return rows.select(F.col("key").try_cast("long").alias("node_id"), "chunk_id", "chunk_pos", F.try_variant_get("node.properties", "$.wid", "string").alias("wid"), F.col("node.labels").alias("labels"), images.alias("images"))
+    return rows.select(F.col("key").try_cast("long").alias("node_id"), "chunk_id", "chunk_pos", F.try_variant_get("node.properties", "$.wid", "string").alias("wid"), labels.alias("labels"), images.alias("images"))
 
 
 def edges(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -109,7 +115,7 @@ def done(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths).select(F.trim("value").alias("wid")).filter("wid != ''").distinct()
 
 
-def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("png", "jpg", "jpeg", "webp", "bmp")) -> DataFrame:
+def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = IMAGES) -> DataFrame:
     """(wid, path) of image files, by their names; the files' content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     name = F.element_at(F.split("path", "/"), -1)
@@ -117,6 +123,21 @@ def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("png
     return files.filter(end.isin(*extensions)).select(wid_of_stem(stem).alias("wid"), "path").filter("wid IS NOT NULL")
 
 
+def image_lookup(wanted: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """(wid, path) of the wanted items' images among files (path): the best of those that lie in the folder itself under
+    the item's name, or that with an underscore and more; where there are none, the best of those below it whose
+    names begin with the item's. An item without any has a null path."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.withColumns({"stem": F.regexp_replace(name, r"\.[^.]*$", ""), "end": F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))}).filter(F.col("end").isin(*IMAGES))
+    items = wanted.select("wid").filter("wid IS NOT NULL").distinct()
+    direct = F.regexp_replace("path", "/[^/]*$", "").endswith(folder.rstrip("/").rpartition(":")[2].rstrip("/"))
+    here = best_path(rows.filter(direct).select(wid_of_stem(F.col("stem")).alias("wid"), "path").join(items, "wid", "left_semi"))
+    rest = items.join(here, "wid", "left_anti")
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda k: F.substring(F.col("stem"), F.lit(1), k)))
+    below = best_path(rows.select(begins.alias("wid"), "path").join(rest, "wid", "left_semi"))
+    return items.join(here.unionByName(below), "wid", "left")
+
+
 def batch(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Inputs to score: a .csv file with a header, or JSON lines."""
     if path.lower().endswith(".csv"):

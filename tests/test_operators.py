@@ -265,6 +265,87 @@ def test_scoring_commands(spark):
     assert {(r["head"], r["tail"], r["top_relations"] and r["top_relations"][0]["relation"]) for r in top} == {("Q1", "2", "A"), ("1", "Q2", "A"), ("Q9", "Q1", None)}
 
 
+def test_commands_read_their_settings(spark, small, tmp_path, capsys):
+    from graphloom.plans import cli
+    from graphloom.plans.graph_queries import Graph
+
+    settings = {"split": {"train": 0.6, "val": 0.2, "test": 0.2, "seed": 3}, "sampler": {"fan_out": [2], "hops": 1, "max_nodes": 700, "max_images": 5}, "export": {"least": 500, "target": 600, "most": 900}, "score": {"scorer": "transe", "top_k": 1}}
+    (tmp_path / "run.json").write_text(json.dumps(settings))
+    run = lambda *words: cli.main([*map(str, words), "--config", str(tmp_path / "run.json")])
+    for command in ("plan", "split", "sample"):
+        assert run(command, "--tables", small, "--output", tmp_path / command) == 0
+    made = {c: spark.read.parquet(f"{tmp_path}/{c}") for c in ("plan", "split", "sample")}
+    assert all(500 <= r["node_count"] <= 900 for r in made["plan"].collect())
+    shares = {r["split"]: r["count"] for r in made["split"].groupBy("split").count().collect()}
+    assert 0.15 < shares["val"] / sum(shares.values()) <= 0.2
+    images = made["sample"].join(Graph.of(spark, small).catalog.filter("has_image").select(F.col("node_idx").alias("node")), "node")
+    assert made["sample"].filter("hop > 1").isEmpty() and made["sample"].groupBy("batch_id").count().agg(F.max("count")).first()[0] <= 700
+    assert images.filter("hop > 0").groupBy("batch_id").count().filter("count > 5").isEmpty()
+    spark.createDataFrame([(1, "Q1", [1.0, 0.0]), (2, "Q2", [0.0, 1.0])], "node long, wid string, vector array<double>").write.parquet(f"{tmp_path}/v")
+    spark.createDataFrame([(0, "A", [-1.0, 1.0]), (1, "B", [0.0, 0.0])], "r int, type string, vector array<double>").write.parquet(f"{tmp_path}/r")
+    stored = ("--vectors", tmp_path / "v", "--relations", tmp_path / "r")
+    run("score-triples", *stored, "--head", "Q1", "--relation", "A", "--tail", "2")
+    assert json.loads(capsys.readouterr().out.splitlines()[-1]) == {"head": "Q1", "relation": "A", "tail": "2", "relation_idx": 0, "score": 0.0}
+    run("score-relations", *stored, "--head", "Q1", "--tail", "Q2")
+    assert [x["relation"] for x in json.loads(capsys.readouterr().out.splitlines()[-1])["top_relations"]] == ["A"]
+    with pytest.raises(Exception, match="unknown head: Q9"):
+        run("score-triples", *stored, "--head", "Q9", "--relation", "A", "--tail", "2")
+    with pytest.raises(ValueError, match="--tail"):
+        run("score-relations", *stored, "--head", "Q1")
+
+
+def test_entities_are_encoded_once(spark, tmp_path):
+    """An entity in 1000 pairs is encoded once; what is in the cache is not, and what was made is there for the next run."""
+    from graphloom.operators import encoding
+
+    entities = spark.createDataFrame([(i, f"word{i} word", [float(i), 1.0] if i % 2 else None) for i in range(30)], "node long, text string, image array<double>")
+    pairs = spark.createDataFrame([(0, i % 20) for i in range(1000)] + [(5, 99)], "h long, t long")
+    edges = spark.createDataFrame([(i + 1, i) for i in range(29)] + [(7, 0)], "src long, dst long")
+    chain, made = encoding.Chain(size=4, missing=(0.5, -0.5)), []
+
+    def encode(missing):
+        made.append(sorted(r["node"] for r in missing.collect()))
+        return chain.encode(missing, entities, edges)
+
+    wanted = encoding.ends(pairs)
+    cache = chain.encode(spark.createDataFrame([(3,), (4,), (25,)], "node long"), entities, edges)
+    vectors = encoding.with_cache(wanted, cache, encode, f"{tmp_path}/cache")
+    assert made == [sorted({*range(20), 99} - {3, 4})]  # each once, though 0 stands in 1000 pairs
+    found = {r["node"]: r["vector"] for r in vectors.collect()}
+    assert sorted(found) == list(range(20))  # 99 is no entity
+    out = encoding.gathered(pairs, vectors)
+    assert out.count() == 1000 and "h_vector" in out.columns
+    plain = {r["node"]: r["vector"] for r in chain.features(entities).collect()}
+    assert plain[2][4:] == [0.5, -0.5, 0.0] and plain[3][4:] == [3.0, 1.0, 1.0]
+    near = [(a + b) / 2 for a, b in zip(plain[1], plain[7])]
+    assert found[0] == pytest.approx([(x + y) / 2 for x, y in zip(plain[0], near)])
+    encoding.with_cache(wanted, cache.unionByName(spark.read.parquet(f"{tmp_path}/cache")), encode)
+    assert made[1] == [99]
+    for fusion, graph, size in (("text", "nohop", 4), ("image", "nohop", 2), ("concat", "none", None)):
+        one = encoding.Chain(fusion=fusion, graph=graph, size=4, missing=(0.5, -0.5))
+        if size is None:
+            with pytest.raises(ValueError, match="no graph encoder"):
+                one.encode(wanted, entities, edges)
+        else:
+            assert {len(r["vector"]) for r in one.encode(wanted, entities, edges).collect()} == {size}
+    silent = encoding.Chain(text="none", graph="nohop", size=3, missing=(0.0, 0.0)).encode(wanted, entities, edges)
+    assert all(r["vector"][:3] == [0.0] * 3 for r in silent.collect())
+    assert encoding.with_cache(wanted.limit(0), cache, encode).collect() == []
+
+
+def test_labels_and_image_lookup(spark, tmp_path):
+    """A label by itself is a list of one; images lie in the folder itself, or else below it under names that begin alike."""
+    folder = tmp_path / "chunk_000001_x"
+    folder.mkdir()
+    (folder / "nodes.json").write_text(json.dumps({"1": {"labels": " ART", "properties": {}}, "2": {"labels": ["X", "Y"], "properties": {}}, "3": {"labels": None, "properties": {}}, "4": {"labels": [], "properties": {}}, "5": {"properties": {}}}))
+    found = {r["node_id"]: r["labels"] for r in exports.nodes(spark, f"{folder}/nodes.json").collect()}
+    assert found == {1: [" ART"], 2: ["X", "Y"], 3: None, 4: [], 5: None}
+    files = spark.createDataFrame([(f"file:/img/{p}",) for p in ("Q1.png", "Q1_0.jpg", "sub/Q1.jpg", "Q2_7.jpg", "Q2_0.webp", "sub/Q2.png", "sub/Q3_1.bmp", "a/b/Q3_0.png", "sub/Q44.png", "Q5.txt", "Q12.png")], "path string")
+    wanted = spark.createDataFrame([("Q1",), ("Q2",), ("Q3",), ("Q4",), ("Q5",), ("Q1",), (None,)], "wid string")
+    got = {r["wid"]: r["path"] and r["path"].removeprefix("file:/img/") for r in exports.image_lookup(wanted, files, "/img/").collect()}
+    assert got == {"Q1": "Q1.png", "Q2": "Q2_0.webp", "Q3": "a/b/Q3_0.png", "Q4": "sub/Q44.png", "Q5": None}
+
+
 def test_ledger_and_cache(spark):
     wanted = spark.createDataFrame([("Q1", 0), ("Q2", 1), ("Q1", 2), (None, 3)], "wid string, pos long")
     records = spark.createDataFrame([("Q1", 0, "ok", "u", "b"), ("Q1", 1, "error", "", ""), ("Q2", 2, "ok", "u", "b")], "wid string, pos long, status string, url string, brief string")
@@ -332,7 +413,7 @@ def test_exports_go_on_where_they_stopped(spark, tmp_path):
     assert sharded.export_mode(spark, out) == "fresh"
     assert sharded.export_chunks(nodes, edges, out, parts=3, stop_after=1) == "fresh"
     # What a stopped run has left of a chunk is replaced.
-    nodes.filter("chunk_id = 1").limit(3).write.mode("append").partitionBy("chunk_id").parquet(f"{out}/nodes")
+    nodes.filter("chunk_id = 3").limit(3).write.mode("append").partitionBy("chunk_id").parquet(f"{out}/nodes")
     assert sharded.export_mode(spark, out) == "resume" and sharded.done_chunks(spark, out).count() == 2
     assert sharded.export_chunks(nodes, edges, out, parts=3) == "resume"
     assert sharded.export_chunks(nodes, edges, out, parts=3) == "completed"

@@ -30,8 +30,8 @@ from .tokens import encoder
 CAPACITY = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
-#: Lengths that are tried in the search for fewer sequences than best fit needs.
-EFFORT = 300_000
+#: Lengths that are tried in the search for fewer sequences than best fit needs: some ten seconds on the driver, at most.
+EFFORT = 2_000_000
 #: Lengths of a sequence beyond which the search ends, as if its steps were used up.
 DEEPEST = 500
 
@@ -117,12 +117,29 @@ def _dominated(items: list[int], slack: int, counts: np.ndarray, used: Counter)
     return False
 
 
+def _reached(lengths: list[int], capacity: int) -> list[int]:
+    """For each place in `lengths`, as bits, the sums up to capacity that those from there on make, each as often as wanted."""
+    whole, out = (1 << (capacity + 1)) - 1, [1]
+    for x in reversed(lengths):
+        sums, step = out[-1], x
+        while step <= capacity:
+            sums |= (sums << step) & whole
+            step *= 2
+        out.append(sums)
+    return out[::-1]
+
+
 def fillings(counts: np.ndarray, capacity: int, most_waste: int, effort: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of the undominated sequences about the largest length that waste at most most_waste. Each length
-    that is tried takes one from effort, and none is made when it is used up."""
+    """(waste, lengths) of the undominated sequences about the largest length that waste at most most_waste. Lengths after
+    which no sum fills enough are left out. Each length that is tried takes one from effort, and none is made when it
+    is used up."""
     lengths = np.flatnonzero(counts)[::-1].tolist()
     largest, order, have = lengths[0], [-x for x in lengths], counts.tolist()
-    used = Counter([largest])
+    used, reached, most_waste = Counter([largest]), _reached(lengths, capacity), max(0, most_waste)
+
+    def fills(at: int, space: int) -> bool:
+        low = max(0, space - most_waste)
+        return bool(reached[at] >> low & ((1 << (space - low + 1)) - 1))
 
     def extend(at: int, space: int, items: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
         if len(items) > DEEPEST:
@@ -135,6 +152,8 @@ def fillings(counts: np.ndarray, capacity: int, most_waste: int, effort: list[in
             effort[0] -= 1
             if have[x] - used[x] > 0:
                 grown = True
+                if not fills(k, space - x):
+                    continue
                 used[x] += 1
                 items.append(x)
                 yield from extend(k, space - x, items)
@@ -158,7 +177,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, effort: int =
         counts[length] = n
     best = best_fit(counts, capacity)
     best_n, proven = sum(n for _, n in best), lower_bound(counts, capacity)
-    left, seen = [effort], set()
+    left, seen, nodes = [effort], set(), 0
 
     def options(now: np.ndarray, done: int) -> list[tuple[int, tuple[int, ...]]]:
         # Waste that a better packing may still have: its sequences' space less all that is to be packed.
@@ -190,14 +209,17 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, effort: int =
         if n + lower_bound(after, capacity) >= best_n or key in seen:
             continue
         seen.add(key)
-        # Best fit on what is left may end the search at once.
-        rest = best_fit(after, capacity)
-        if n + sum(c for _, c in rest) < best_n:
-            best, best_n, back = list(rest), n + sum(c for _, c in rest), path
-            while back:
-                best.append((list(back[0]), 1))
-                back = back[1]
-        left[0] -= 100 + 20 * int((after > 0).sum())  # what best fit and the bound cost, in lengths tried
+        # Best fit on what is left may end the search at once. It is costly: after the first nodes it is tried now and then.
+        nodes += 1
+        if nodes <= 64 or nodes % 16 == 0:
+            rest = best_fit(after, capacity)
+            if n + sum(c for _, c in rest) < best_n:
+                best, best_n, back = list(rest), n + sum(c for _, c in rest), path
+                while back:
+                    best.append((list(back[0]), 1))
+                    back = back[1]
+            left[0] -= 20 * int((after > 0).sum())  # what it costs, in lengths tried
+        left[0] -= 100
         stack.append((after, n, iter(options(after, n)), path))
     return best
 

@@ -2,7 +2,8 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -98,3 +99,29 @@ def test_no_bound_is_too_high(seed):
 
 def test_odd_tables_repeat(spark):
     assert rows_of(packing.pack(frame(spark, [(1, None), (1, None)]))) == [(1, 0, 0, 1, zlib.crc32(b"\1\0\0\0"), 0, 0), (1, 0, 0, 1, zlib.crc32(b"\1\0\0\0"), 0, 1)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_triplets_that_fill_all_sequences(seed):
+    """60 lengths of which 20 sequences can be filled to the last place, where best fit needs 21 or more."""
+    draw, lengths = random.Random(seed), []
+    while len(lengths) < 60:
+        a = draw.randint(380, 490)
+        b = draw.randint(250, (1000 - a) * 6 // 10)
+        lengths += [a, b, 1000 - a - b]
+    found = packing.patterns(dict(Counter(lengths)), 1000)
+    assert sum(n for _, n in found) == 20 and all(sum(items) == 1000 for items, _ in found)
+    assert Counter(x for items, n in found for x in items * n) == Counter(lengths)
+
+
+def test_fillings_leave_out_what_no_sum_fills():
+    """Fillings that waste at most so much, against all subsets."""
+    draw = random.Random(6)
+    for _ in range(60):
+        lengths = sorted((draw.randint(2, 30) for _ in range(8)), reverse=True)
+        counts = np.bincount(lengths, minlength=41)
+        for waste in (0, 2, 9):
+            found = {tuple(sorted(f)) for _, f in packing.fillings(counts, 40, waste, [10**6])}
+            fits = {tuple(sorted((lengths[0], *c))) for k in range(8) for c in combinations(lengths[1:], k) if 40 - waste <= lengths[0] + sum(c) <= 40}
+            # Of what fits, one is always left: what dominates the others.
+            assert found <= fits and bool(found) == bool(fits)

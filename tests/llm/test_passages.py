@@ -185,3 +185,52 @@ def test_exact_passage_before_a_fuzzy_one(spark):
     docs = [(0, " ".join([*exact, *some(120), *fuzzy])), (1, " ".join([*exact, *some(120), *edited]))]
     have = covered(chaining.fuzzy_passages(frame(spark, docs)).collect())
     assert set(range(500)) <= have[1] and len(have[1] & set(range(620, 620 + len(edited)))) >= 110
+
+
+def edited(draw: random.Random, passage: list[str], share: float) -> list[str]:
+    """The passage with a share of its words replaced, dropped or followed by another."""
+    out = []
+    for w in passage:
+        kind = draw.random()
+        out += [f"new{draw.randrange(10**6)}"] if kind < share / 2 else [] if kind < 0.75 * share else [w, f"new{draw.randrange(10**6)}"] if kind < share else [w]
+    return out
+
+
+def with_edits(draw: random.Random, n: int, n_passages: int, copies: int, share: float) -> tuple[list[tuple[int, str]], dict[int, tuple[int, int]]]:
+    """Documents of which some hold edits of common passages, and where these lie."""
+    texts = [[f"w{draw.randrange(5000)}" for _ in range(draw.randrange(40, 200))] for _ in range(n)]
+    places, free = {}, list(range(n))
+    draw.shuffle(free)
+    for _ in range(n_passages):
+        passage = [f"w{draw.randrange(5000)}" for _ in range(draw.randrange(70, 130))]
+        for d in (free.pop() for _ in range(copies)):
+            own, at = edited(draw, passage, share), draw.randrange(len(texts[d]))
+            texts[d][at:at] = own
+            places[d] = (at, at + len(own))
+    return [(d, " ".join(t)) for d, t in enumerate(texts)], places
+
+
+def test_hot_seeds_give_the_same_passages_however_they_are_dealt(spark, monkeypatch):
+    """40 edits of one passage in 101 documents: without hot seeds, with them, and with many cells of each."""
+    docs, places = with_edits(random.Random(8), 101, 1, 40, 0.1)
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for sample, n in ((0.0, 4), (1.0, 4), (1.0, 60)):
+            monkeypatch.setattr(chaining, "SAMPLE", sample)
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(rows_of(chaining.fuzzy_passages(frame(spark, docs))))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    assert len({r[0] for r in found[0]} & {*places}) >= 0.9 * (len(places) - 1)
+
+
+@pytest.mark.parametrize("n", [300, 1500])
+def test_recall_of_edited_passages(spark, n):
+    """Of edits with a tenth of their words changed, at least 0.9 are found, over most of their words, at either size."""
+    docs, places = with_edits(random.Random(n), n, n // 30, 5, 0.1)
+    have, hits = covered(chaining.fuzzy_passages(frame(spark, docs)).collect()), 0
+    for d, span in places.items():
+        hits += len(have[d] & {*range(*span)}) >= 0.7 * (span[1] - span[0])
+    # The first of each passage's documents has no source.
+    assert hits >= 0.9 * (len(places) - n // 30)

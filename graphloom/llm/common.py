@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +13,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.neighbours import shared_folder
+
 #: Bytes of text that a task turns into arrays at one time.
 CHUNK_BYTES = 500_000
 #: Bytes of a batch that Spark sends to Python; a task holds a few of them.
@@ -24,15 +24,6 @@ BITS_AN_ID = 16
 MOST_BITS = 1 << 27
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: the cluster's spark.checkpoint.dir, or one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), f"graphloom-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it again: this cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -141,7 +132,8 @@ class Ids:
     def mapped(self, df: DataFrame, function, schema, there: bool = True, column: str = "doc_id") -> DataFrame:
         """function, if any, over rows(...), in the same Python worker."""
         if self.shared is None:
-            picked = df.join(self.ids.withColumnRenamed("doc_id", "__id"), F.col(column) == F.col("__id"), "left_semi" if there else "left_anti")
+            own = f"id_{uuid.uuid4().hex}"  # no column of df
+            picked = df.join(self.ids.withColumnRenamed("doc_id", own), F.col(column) == F.col(own), "left_semi" if there else "left_anti")
             return picked.mapInArrow(function, schema) if function else picked
         shared, bits = self.shared, self.bits
 

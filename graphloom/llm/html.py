@@ -1,13 +1,15 @@
 """Main text of web pages by tag-path ratios.
 
-Every block of text, boilerplate included, belongs to the path of elements from the root to it; blocks of one parent, tag
-and class have one path. Per path, the length of its text without links and its punctuation are set in ratio to the number of blocks on the
-path, fused, and smoothed along the page with the ratios of neighbouring blocks. Tags, roles and class words that are
-usual for boilerplate or for articles only scale a weight; blocks whose weight reaches the threshold are content.
-
-The innermost element that holds most of all content, or one around it that adds little else, is the article. Of its blocks the content stays, and what stands
-between it (headings, lists, captions, short lines) unless it is links alone or has a boilerplate hint. Where that element
-is the whole body, blocks before the first and after the last content are left out but for headings and lists beside it.
+Every block of text, boilerplate included, belongs to the path of tags and classes from the root to it. Per path, the
+length of its text without links and its punctuation are set in ratio to the number of blocks on the path, fused, and
+smoothed along the page with the ratios of neighbouring blocks. Tags, roles and class names that are usual for boilerplate or for
+articles only scale a weight; blocks whose weight reaches the threshold are content. What readers have said
+can't be told from a story by its ratios, so containers named for it are left out as such.
+
+The innermost element that holds most of all content, or one around it that adds content of the same paths, headings or lists, is the
+article. Of its blocks the content stays, and what has a place of its own in a text (headings, paragraphs, list items,
+cells, captions, quotations) unless it is links alone or its hint weighs it down; other short lines go. Where that
+element is the whole body, blocks before the first and after the last content are left out but for headings and lists beside it.
 """
 
 from __future__ import annotations
@@ -34,7 +36,13 @@ _SILENT = frozenset("head script style noscript template iframe object embed svg
 # Hints, which scale weights: elements, roles and class words that are usual for boilerplate.
 _FAINT_TAGS = frozenset("nav header footer aside form dialog menu button label search".split())
 _FAINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status note advertisement".split())
-_FAINT_WORDS = frozenset("ad ads advert advertisement banner sponsored promo cookie consent notice newsletter subscribe sidebar menu nav navbar breadcrumb breadcrumbs pagination footer comment comments replies share login signup".split())
+# Whole names in a class or an id; those of adverts are used for nothing else, the others for content, too.
+_ADVERTS = frozenset("ad ads advert adverts advertisement sponsored promo cookie-notice cookie-banner".split())
+_FAINT_WORDS = frozenset("banner cookie cookies consent notice newsletter subscribe sidebar menu nav navbar breadcrumb breadcrumbs pagination footer share sharing login signup".split())
+_REMARKS = frozenset("comments comment-list commentlist comment-section comments-area user-comments reader-comments responses replies disqus_thread".split())
+_CONTAINERS = frozenset("section div aside ol ul article main details footer".split())
+# Elements whose text has a place of its own, however short it is.
+_PLACED = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th caption figcaption pre blockquote legend summary address".split())
 # An open paragraph ends where one of these begins.
 _ENDS_P = _BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -47,8 +55,8 @@ _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 THRESHOLD = 0.5
 SMOOTHING = 1
-#: What a boilerplate hint, and what standing in an article or main element, makes of a weight.
-FAINT, LIFTED = 0.1, 2.0
+#: What a tag or role of boilerplate, an advert's name, another name, and standing in an article or main element make of a weight.
+FAINT_TAG, ADVERT, FAINT_WORD, LIFTED = 0.25, 0.1, 0.7, 1.5
 #: The share of all content that the chosen element must hold.
 MOST = 0.7
 
@@ -57,33 +65,39 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)} if text.strip(" /\n\t") else {}
 
 
-def _faint(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether an element has a boilerplate hint. An article's own header holds its title."""
-    if tag in _FAINT_TAGS:
-        return not (tag == "header" and in_article)
-    if attributes.get("role", "").lower() in _FAINT_ROLES:
-        return True
-    return any(word in _FAINT_WORDS for a in ("class", "id") for word in re.split(r"[\s_-]+", attributes.get(a, "").lower()))
+def _hint(tag: str, attributes: dict[str, str], in_article: bool) -> float:
+    """What an element's tag, role and names make of the weight of its blocks. An article's own header holds its title."""
+    names = {w for a in ("class", "id") for w in attributes.get(a, "").lower().split()}
+    if names & _ADVERTS:
+        return ADVERT
+    if tag in _FAINT_TAGS and not (tag == "header" and in_article) or attributes.get("role", "").lower() in _FAINT_ROLES:
+        return FAINT_TAG
+    return FAINT_WORD if names & _FAINT_WORDS else 1.0
+
+
+def _remarks(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element holds what readers have said."""
+    return tag in _CONTAINERS and any(w in _REMARKS for a in ("class", "id") for w in attributes.get(a, "").lower().split())
 
 
 class _Block:
-    __slots__ = ("elements", "faint", "lifted", "linked", "path", "text")
+    __slots__ = ("elements", "hint", "lifted", "linked", "path", "tag", "text")
 
-    def __init__(self, path: str, elements: tuple[int, ...], faint: bool, lifted: bool):
-        self.path, self.elements, self.faint, self.lifted, self.text, self.linked = path, elements, faint, lifted, [], 0
+    def __init__(self, path: str, tag: str, elements: tuple[int, ...], hint: float, lifted: bool):
+        self.path, self.tag, self.elements, self.hint, self.lifted, self.text, self.linked = path, tag, elements, hint, lifted, [], 0
 
 
 class _Element:
-    __slots__ = ("faint", "lifted", "name", "number", "silent", "tag")
+    __slots__ = ("hint", "lifted", "name", "number", "silent", "tag")
 
-    def __init__(self, tag: str, name: str, number: int, silent: bool, faint: bool, lifted: bool):
-        self.tag, self.name, self.number, self.silent, self.faint, self.lifted = tag, name, number, silent, faint, lifted
+    def __init__(self, tag: str, name: str, number: int, silent: bool, hint: float, lifted: bool):
+        self.tag, self.name, self.number, self.silent, self.hint, self.lifted = tag, name, number, silent, hint, lifted
 
 
 def blocks(page: str) -> list[_Block]:
     """The page's blocks of text in order."""
     out: list[_Block] = []
-    stack = [_Element("", "", 0, False, False, False)]
+    stack = [_Element("", "", 0, False, 1.0, False)]
     open_block, numbered = None, 0
     at, size = 0, len(page)
 
@@ -96,8 +110,7 @@ def blocks(page: str) -> list[_Block]:
             if not text.strip():
                 return
             around = [e for e in stack if e.tag in _BLOCKS or not e.tag]
-            # Blocks of one path have one parent; what the parent holds beside them does not matter.
-            open_block = _Block("/".join([*(f"{e.name}#{e.number}" for e in around[:-1]), around[-1].name]), tuple(e.number for e in around), top.faint, top.lifted)
+            open_block = _Block("/".join(e.name for e in around), around[-1].tag, tuple(e.number for e in around), top.hint, top.lifted)
             out.append(open_block)
         open_block.text.append(text)
         if any(e.tag == "a" for e in stack):
@@ -144,10 +157,10 @@ def blocks(page: str) -> list[_Block]:
             continue
         top = stack[-1]
         lifted = top.lifted or tag in ("article", "main") or attributes.get("role") in ("main", "article")
-        silent = top.silent or tag in _SILENT or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+        silent = top.silent or tag in _SILENT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or _remarks(tag, attributes)
         numbered += 1
         name = ".".join([tag, *attributes.get("class", "").split()])
-        stack.append(_Element(tag, name, numbered, silent, top.faint or _faint(tag, attributes, lifted), lifted))
+        stack.append(_Element(tag, name, numbered, silent, min(top.hint, _hint(tag, attributes, lifted)), lifted))
     return out
 
 
@@ -162,7 +175,8 @@ def weights(found: list[_Block]) -> np.ndarray:
     ratio = np.sqrt((np.bincount(of, length) / nodes)[of] * (1 + (np.bincount(of, marks) / nodes)[of]))
     kernel = np.array([1.0, 2.0, 1.0][: 2 * SMOOTHING + 1])
     smooth = np.convolve(np.pad(ratio, SMOOTHING, mode="edge"), kernel / kernel.sum(), "valid")
-    return smooth * np.array([(FAINT if b.faint else 1.0) * (LIFTED if b.lifted else 1.0) for b in found])
+    # Links alone weigh nothing, though their path may hold text.
+    return smooth * np.array([b.hint * (LIFTED if b.lifted else 1.0) * (not _links_alone(b)) for b in found])
 
 
 def _links_alone(block: _Block) -> bool:
@@ -171,8 +185,8 @@ def _links_alone(block: _Block) -> bool:
 
 def _beside(block: _Block) -> bool:
     """A heading or a part of a list, without a boilerplate hint."""
-    tags = [re.split(r"[.#]", name)[0] for name in block.path.split("/")]
-    return not block.faint and (tags[-1] in ("h1", "h2", "h3", "h4", "h5", "h6") or not {"li", "dt", "dd"}.isdisjoint(tags))
+    tags = {re.split(r"[.]", name)[0] for name in block.path.split("/")}
+    return block.hint == 1 and (block.tag in ("h1", "h2", "h3", "h4", "h5", "h6") or not {"li", "dt", "dd"}.isdisjoint(tags))
 
 
 def main_text(page: str) -> str:
@@ -181,27 +195,30 @@ def main_text(page: str) -> str:
     if not found:
         return ""
     weight = weights(found)
-    content = weight >= THRESHOLD * weight.mean()
+    content = (weight >= THRESHOLD * weight.mean()) & (weight > 0)
     at = np.flatnonzero(content)
+    if not len(at):
+        return ""
     mass: dict[int, float] = {}
     for i in at:
         for k in found[i].elements:
             mass[k] = mass.get(k, 0.0) + weight[i]
     most = MOST * mass[0]
     chosen = max(k for k, m in mass.items() if m >= most)  # numbered in page order: the last is the innermost
-    # Outwards, as long as what an element adds is mostly content, or headings and lists.
+    # Outwards, as long as what an element adds is mostly content, outside of articles of the same paths, or headings and lists.
     chain = next(b.elements for b in found if chosen in b.elements)
     inner = {i for i, b in enumerate(found) if chosen in b.elements}
+    paths = {found[i].path for i in at if i in inner}
     for k in chain[: chain.index(chosen)][::-1]:
         added = [i for i, b in enumerate(found) if k in b.elements and i not in inner]
-        if added and 2 * sum(bool(content[i]) or _beside(found[i]) and not _links_alone(found[i]) for i in added) <= len(added):
+        if added and 2 * sum(bool(content[i]) and (found[i].lifted or found[i].path in paths) or _beside(found[i]) and not _links_alone(found[i]) for i in added) <= len(added):
             break
         if added:
             chosen = k
             inner.update(added)
-    within = [i for i, b in enumerate(found) if chosen in b.elements and (content[i] or not (b.faint or _links_alone(b)))]
+    within = [i for i, b in enumerate(found) if chosen in b.elements and (content[i] or b.tag in _PLACED and b.hint > FAINT_TAG and not _links_alone(b))]
     outer = found[within[0]]
-    if re.split(r"[.#]", outer.path.split("/")[outer.elements.index(chosen)])[0] in ("", "html", "body"):
+    if outer.path.split("/")[outer.elements.index(chosen)].partition(".")[0] in ("", "html", "body"):
         # No element sets the content apart: from its first block to its last, and the headings and lists beside it.
         low, high = (within.index(i) for i in (at[0], at[-1]))  # content of the whole page is within the body
         while low > 0 and _beside(found[within[low - 1]]):

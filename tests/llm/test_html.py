@@ -81,6 +81,40 @@ def test_link_heavy_and_form_heavy_boilerplate(tag):
     assert lines[0] == "Title" and len(lines) == 7
 
 
+REMARKS = "".join(f"<div><b>Reader {i}</b><p>I think, as reader number {i}, that this is well said, though long; and much more could be said about it.</p></div>" for i in range(8))
+
+
+@pytest.mark.parametrize(
+    ("page", "kept", "gone"),
+    [
+        (f'<article>{LONG}<p id="footer">{"A last paragraph that is long, and ends. " * 4}</p></article>', "A last paragraph", None),
+        (f'<article>{LONG}<div class="comment-on-method">A remark on the method, by the author: it is sound, and was tried.</div></article>', "A remark on the method", None),
+        (f'<article>{LONG}<div class="banner history">It was made in 1820. It hung there for long. Then, it fell. It is kept, now, in a box.</div></article>', "It was made in 1820", None),
+        (f'<body><div id="menu-of-the-day"><h1>The menu of the day</h1>{LONG}</div></body>', "The menu of the day", None),
+        (f'<body><div>{LONG}</div><section id="responses">{REMARKS}</section></body>', "Paragraph 5", "Reader"),
+        (f'<body><div>{LONG}<section id="responses">{REMARKS}</section></div></body>', "Paragraph 5", "Reader"),
+        (f'<body><article>{LONG}<ol class="x comment-list">{REMARKS}</ol></article></body>', "Paragraph 5", "Reader"),
+        (f'<body><div class="story">{LONG}</div><div class="box"><p>A box of prose, about other things, that stands there.</p></div><div class="box"><p>One more box of prose, about this, and that.</p></div></body>', "Paragraph 5", "box of prose"),
+        (f'<body><article>{LONG}<div class="tools">Print Share Save</div></article></body>', "Paragraph 5", "Print"),
+        (f'<body><article>{LONG}<div class="ad">Buy this, it is good, and cheap; it is the best that you can have, and more.</div><p>The end</p></article></body>', "The end", "Buy"),
+        (f'<body><nav><p>Some text in a menu, with a comma.</p></nav><main>{LONG}<table><tr><td>cell</td></tr></table></main><aside><p>Something beside it, said in a sentence, or two.</p></aside></body>', "cell", "beside"),
+        # Other templates: nested boxes of one class, and a page of divisions alone.
+        (f'<body><div class="wrap"><div class="col">{LONG}</div><div class="col"><a href=1>One</a> <a href=2>Two</a></div></div></body>', "Paragraph 0", "One"),
+        ("<body>" + "".join(f"<div>Line {i} of a story without paragraphs, which is long, and has its commas, and stops. It goes on so.</div>" for i in range(9)) + "</body>", "Line 8", None),
+    ],
+)
+def test_content_stays_and_boilerplate_goes(page, kept, gone):
+    text = html.main_text(f"<html>{page}</html>")
+    assert kept in text and (gone is None or gone not in text)
+    assert text.count("Paragraph") in (0, 6)
+
+
+def test_paths_have_no_numbers():
+    """Blocks of like elements are of one path, wherever they stand."""
+    found = html.blocks("<body><div class='a b'><p>x</div><div class='a b'><p>y<p>z</div><div><p>w</div></body>")
+    assert [b.path for b in found] == ["/body/div.a.b/p"] * 3 + ["/body/div/p"]
+
+
 def test_the_ratios_decide(monkeypatch):
     """With equal weights, pages whose boilerplate has no hint come out whole."""
     links = "".join(f"<p><a href={i}>Story number {i}</a></p>" for i in range(30))

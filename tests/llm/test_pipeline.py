@@ -4,7 +4,8 @@ import re
 import tempfile
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, neardup
+from graphloom.llm import common, decontaminate, neardup
+from graphloom.llm.common import written
 from pyspark.sql import functions as F
 
 from .helpers import words
@@ -37,3 +38,38 @@ def test_stages(spark, medium):
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, medium).select(*key).collect())) == sorted(map(tuple, packed.select(*key).collect()))
     assert all(re.fullmatch(r"[a-z\- ]+", x) for x in names)
+
+
+def test_odd_rows_extra_columns_and_an_empty_table(spark, small):
+    """Nulls, empty and long texts, repeated rows and columns with clashing names go through all stages."""
+    from .helpers import ODD, frame, with_clashes
+
+    real = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    long = " ".join(r["text"] for r in real[:40])
+    rows = [*ODD, *[(1000 + r["doc_id"], r["text"]) for r in real], (5000, real[0]["text"]), (1000 + real[1]["doc_id"], real[1]["text"]), (None, real[2]["text"]), (6000, long)]
+    docs = with_clashes(frame(spark, rows)).withColumn("n_chars", F.length("text")).withColumn("__id", F.lit(1))
+    for table, whole in ((docs, True), (docs.limit(0), False)):
+        kept = [table.count()]
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            columns = table.columns
+            table = written(stage(spark, table, small))
+            assert table.columns == columns, name
+            kept.append(table.count())
+        assert kept == sorted(kept, reverse=True) and (kept[-1] > 10) == whole
+        pieces = corpus_pipeline.STAGES[-1][1](spark, table, small)
+        packed = [tuple(r) for r in pieces.select("doc_id", "start", "length", "sequence_id", "offset").collect()]
+        assert len({(s, o) for _, _, _, s, o in packed}) == len(packed) >= kept[-1]
+        if whole:
+            ids = {d for d, *_ in packed}
+            assert None in ids and not ids & {1, 2, 3, 4}  # too short for the rules; a row without an id is kept by its text
+            assert not (1000 + real[0]["doc_id"] in ids and 5000 in ids)
+
+
+def test_ids_by_bitmap_and_by_join(spark, monkeypatch):
+    """Where there are too many ids for a bitmap a join picks the rows, also beside columns of any name."""
+    docs = spark.createDataFrame([(i if i else None, "x", i) for i in range(50)], "doc_id long, text string, __id int")
+    gone = spark.createDataFrame([(i,) for i in (3, 7, 7, 49, 100)] + [(None,)], "doc_id long")
+    wanted = sorted(i for i in range(50) if i not in (3, 7, 49))
+    for bits in (common.MOST_BITS, 4):
+        monkeypatch.setattr(common, "MOST_BITS", bits)
+        assert sorted(r["__id"] for r in common.without(docs, gone).collect()) == wanted

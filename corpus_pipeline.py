@@ -1,4 +1,9 @@
-"""Documents made ready for training, in five stages; each works on all that the stage before it has kept."""
+"""Documents made ready for training, in five stages; each works on all that the stage before it has kept.
+
+Every stage but the last returns the columns that it was given, extra ones with them. A row without a doc_id is judged by
+its text alone: it is nobody's copy, and is never cut. Rows that repeat a doc_id and its text stay or go together. An empty
+table gives an empty one.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,31 @@ from graphloom.llm.common import written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go. Null, empty and very short texts are rejected; so is each of several equal
+    rows."""
     return quality.passed(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays: that of the least doc_id, with all rows that repeat it. Null and
+    empty texts are no duplicates of one another, and a row without a doc_id stays."""
     return neardup.deduplicated(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds, too, are cut from the later one."""
+    """Passages that a document of a lesser doc_id holds, too, are cut from the later one. What has no words left goes; null
+    and empty texts stay as they are, and so does a row without a doc_id."""
     return chaining.without_repeats(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold benchmark items go."""
+    """Documents that hold benchmark items go, with all rows of their doc_id. Null and empty texts hold none."""
     return decontaminate.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces, each with its sequence and its place there."""
+    """The documents' token pieces, each with its sequence and its place there. A null or empty text is a piece of one token,
+    repeated rows are pieces of their own, and pieces of one length are placed by doc_id."""
     return packing.pack(docs)
 
 

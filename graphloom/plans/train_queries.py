@@ -16,7 +16,7 @@ from ..sources import sharded, tables
 from ..streaming.ledger import follow, logged, record_stream
 from .graph_queries import BATCH, CONTEXT, FAN_OUT, MOST_IMAGES, MOST_NODES, SEED, Graph, pool_of
 from .model_queries import _records
-from .graph_sql import ALL, GRAPH, PROPAGATION, SAMPLE, SPLIT, TRAIN_PROPAGATION, hash_sql
+from .graph_sql import ALL, GRAPH, PROPAGATION, SAMPLE, SPLIT, TRAIN_PROPAGATION, _hop, hash_sql
 
 DRAWN_BATCHES = 20
 
@@ -198,7 +198,7 @@ def resume_faults(spark, folder):
     done.filter("chunk_index > 1").write.mode("overwrite").json(f"{out}/manifest")
     found("row lost")
     done.write.mode("overwrite").json(f"{out}/manifest")
-    sharded._delete(spark, f"{out}/nodes/chunk_id={first}")
+    sharded.delete_folder(spark, f"{out}/nodes/chunk_id={first}")
     found("files lost")
     return spark.createDataFrame(rows, f"case string, {sharded.FAULT}")
 
@@ -238,7 +238,35 @@ _CHUNKS = """chunks AS (SELECT chunk_id, n, coalesce(e, 0) AS e, row_number() OV
     LEFT JOIN (SELECT chunk_id, count(*) AS e FROM raw_edges JOIN nodes ON node_id = src GROUP BY chunk_id) USING (chunk_id))"""
 _HALF = "(k - 1) * 2 < c"
 
+def _batch_sql(own: str, prop: str, order: str) -> str:
+    """own: the train pairs (h, t) in batches; prop: the message edges; order: how nodes are trimmed."""
+    return f"""WITH {SPLIT}, train AS (SELECT h, r, t FROM split WHERE split = 'train'), {own}, {prop},
+        seeds AS (SELECT batch_id, h AS node FROM own UNION SELECT batch_id, t FROM own),
+        placed AS (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY {hash_sql("'7'", "src", "rel", "dst")}, rel, dst) - 1 AS place FROM prop),
+        degree AS (SELECT src, count(*) AS degree FROM placed GROUP BY src), {_hop(8, 1, "seeds")},
+        sampled AS (SELECT batch_id, node, 0 AS hop FROM seeds UNION ALL SELECT batch_id, node, 1 FROM (SELECT DISTINCT batch_id, dst AS node FROM taken1 EXCEPT SELECT batch_id, node FROM seeds)),
+        fewer AS (SELECT s.*, has_image, is_art FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY {order}) AS rank FROM sampled) s JOIN catalog ON node_idx = node WHERE rank <= {200 * MOST_NODES} OR hop = 0),
+        images AS (SELECT batch_id, count(*) FILTER (has_image) AS images FROM fewer GROUP BY batch_id),
+        gone AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY is_art DESC, CASE WHEN is_art THEN {hash_sql("'7:23'", "node")} ELSE {hash_sql("'7:29'", "node")} END, node) AS rank FROM fewer WHERE has_image AND hop > 0),
+        kept AS (SELECT f.* FROM fewer f WHERE NOT EXISTS (SELECT 1 FROM gone g JOIN images i USING (batch_id) WHERE g.batch_id = f.batch_id AND g.node = f.node AND g.rank <= images - {MOST_IMAGES})),
+        hidden AS (SELECT DISTINCT batch_id, least(h, t) AS lo, greatest(h, t) AS hi FROM own),
+        inner_ AS (SELECT e.batch_id FROM taken1 e JOIN kept a ON a.batch_id = e.batch_id AND a.node = src JOIN kept b ON b.batch_id = e.batch_id AND b.node = dst
+            WHERE NOT EXISTS (SELECT 1 FROM hidden x WHERE x.batch_id = e.batch_id AND lo = least(src, dst) AND hi = greatest(src, dst)))
+        SELECT batch_id, nodes, coalesce(edges, 0) AS edges, images, n - nodes AS trimmed FROM (SELECT batch_id, count(*) AS n FROM sampled GROUP BY batch_id) JOIN (SELECT batch_id, count(*) AS nodes, count(*) FILTER (has_image) AS images FROM kept GROUP BY batch_id) USING (batch_id)
+        LEFT JOIN (SELECT batch_id, count(*) AS edges FROM inner_ GROUP BY batch_id) USING (batch_id)"""
+
+
 SQL = {
+    "batch_kge": _batch_sql(
+        f"own AS (SELECT h, t, (row_number() OVER (ORDER BY h, r, t) - 1) // {64 * BATCH} AS batch_id FROM train)",
+        "prop AS (SELECT h AS src, r AS rel, t AS dst FROM train UNION SELECT t, r, h FROM train)",
+        "hop, node",
+    ),
+    "batch_lp": _batch_sql(
+        f"links AS (SELECT DISTINCT least(h, t) AS h, greatest(h, t) AS t FROM train), own AS (SELECT h, t, (row_number() OVER (ORDER BY h, t) - 1) // {64 * BATCH} AS batch_id FROM links)",
+        "prop AS (SELECT h AS src, 0 AS rel, t AS dst FROM links UNION SELECT t, 0, h FROM links)",
+        f"least(hop, 2), CASE WHEN hop < 2 THEN {hash_sql("'7:11'", 'node')} ELSE {hash_sql("'7:17'", 'node')} END, node",
+    ),
     "train_propagation": f"WITH {SPLIT} SELECT h AS src, r AS rel, t AS dst FROM split WHERE split = 'train' UNION SELECT t, r, h FROM split WHERE split = 'train'",
     "csr_columns": f"WITH {ALL}, {PROPAGATION} SELECT row_number() OVER (ORDER BY src, dst, rel) - 1 AS position, src, dst AS col_idx, rel FROM prop",
     "directed_dedup": f"WITH {ALL} SELECT DISTINCT h AS src, t AS dst FROM triples",

@@ -35,7 +35,7 @@ def _exists(spark: SparkSession, folder: str) -> bool:
     return files.exists(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     files, path = _path(spark, folder)
     files.delete(path, True)
 
@@ -133,7 +133,7 @@ def export_chunks(nodes: DataFrame, edges: DataFrame, folder: str, overwrite: bo
     spark = nodes.sparkSession
     mode, now = export_mode(spark, folder, overwrite), snapshot(nodes, edges, name)
     if mode == "fresh":
-        _delete(spark, folder)
+        delete_folder(spark, folder)
         plan = now | {"parts": parts}
         columns = [c.split()[0] for c in PLAN.split(", ")]
         spark.createDataFrame([tuple(plan[c] for c in columns)], PLAN).coalesce(1).write.json(f"{folder}/plan")
@@ -160,5 +160,5 @@ def export_chunks(nodes: DataFrame, edges: DataFrame, folder: str, overwrite: bo
         sums = rows.agg(F.lit(k).alias("part"), F.count("*").alias("part_chunks"), F.sum("node_count").alias("part_nodes"), F.sum("edge_count").alias("part_edges"))
         rows.crossJoin(sums).coalesce(1).write.mode("append").json(f"{folder}/manifest")  # one row of sums
     if len(todo) == len(todo[:stop_after]):
-        _delete(spark, f"{folder}/placed")
+        delete_folder(spark, f"{folder}/placed")
     return mode

@@ -51,7 +51,7 @@ BATCHES = f"""batches AS (SELECT (row_number() OVER (ORDER BY {hash_sql("'7:batc
 
 def _hop(k: int, hop: int, frontier: str) -> str:
     start = hash_sql("'7:start'", "f.batch_id", "f.node")
-    return f"""taken{hop} AS (SELECT f.batch_id, f.node AS src, p.rel, p.dst, {hop} AS hop FROM {frontier} f JOIN degree d ON d.src = f.node
+    return f"""taken{hop} AS MATERIALIZED (SELECT f.batch_id, f.node AS src, p.rel, p.dst, {hop} AS hop FROM {frontier} f JOIN degree d ON d.src = f.node
     JOIN placed p ON p.src = f.node AND ((p.place - {start} % d.degree) + d.degree) % d.degree < least({k}, d.degree))"""
 
 
@@ -62,15 +62,15 @@ split AS (SELECT h, r, t, CASE WHEN size <= 30 OR 2 * part >= size THEN 'train'
 
 TRAIN_PROPAGATION = "prop AS (SELECT h AS src, r AS rel, t AS dst FROM split WHERE split = 'train' UNION SELECT t, r, h FROM split WHERE split = 'train')"
 SAMPLE = f"""{SPLIT}, {TRAIN_PROPAGATION}, {BATCHES},
-placed AS (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY {hash_sql("'7'", "src", "rel", "dst")}, rel, dst) - 1 AS place FROM prop),
+placed AS MATERIALIZED (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY {hash_sql("'7'", "src", "rel", "dst")}, rel, dst) - 1 AS place FROM prop),
 degree AS (SELECT src, count(*) AS degree FROM placed GROUP BY src),
 {_hop(8, 1, "batches")},
 front1 AS (SELECT DISTINCT batch_id, dst AS node FROM taken1 EXCEPT SELECT batch_id, node FROM batches),
 {_hop(3, 2, "front1")},
 front2 AS (SELECT DISTINCT batch_id, dst AS node FROM taken2 EXCEPT (SELECT batch_id, node FROM batches UNION ALL SELECT batch_id, node FROM front1)),
-sample_nodes AS (SELECT batch_id, node, 0 AS hop FROM batches UNION ALL SELECT batch_id, node, 1 FROM front1 UNION ALL SELECT batch_id, node, 2 FROM front2),
-sample_edges AS (SELECT * FROM taken1 UNION ALL SELECT * FROM taken2),
-trimmed AS (SELECT batch_id, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY hop, node) AS rank FROM sample_nodes) WHERE rank <= 2000 OR hop = 0)"""
+sample_nodes AS MATERIALIZED (SELECT batch_id, node, 0 AS hop FROM batches UNION ALL SELECT batch_id, node, 1 FROM front1 UNION ALL SELECT batch_id, node, 2 FROM front2),
+sample_edges AS MATERIALIZED (SELECT * FROM taken1 UNION ALL SELECT * FROM taken2),
+trimmed AS MATERIALIZED (SELECT batch_id, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY hop, node) AS rank FROM sample_nodes) WHERE rank <= 2000 OR hop = 0)"""
 
 PAIR_SPLIT = f"""{ALL}, {PAIRS},
 placed AS (SELECT lo, hi, row_number() OVER (ORDER BY {hash_sql("'7'", "lo", "hi")}, lo, hi) - 1 AS place, count(*) OVER () AS n FROM pairs),
@@ -158,9 +158,10 @@ SQL = {
     "image_trim": f"""WITH {SAMPLE}, flagged AS (SELECT s.*, has_image, is_art FROM sample_nodes s JOIN catalog ON node_idx = node),
         images AS (SELECT batch_id, count(*) FILTER (has_image) AS images FROM flagged GROUP BY batch_id),
         gone AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY is_art DESC, CASE WHEN is_art THEN {hash_sql("'7:23'", "node")} ELSE {hash_sql("'7:29'", "node")} END, node) AS rank FROM flagged WHERE has_image AND hop > 0)
-        SELECT batch_id, node, hop FROM sample_nodes s WHERE NOT EXISTS (SELECT 1 FROM gone g JOIN images i USING (batch_id) WHERE g.batch_id = s.batch_id AND g.node = s.node AND rank <= images - 100)""",
-    "induced_subgraph": f"""WITH {SAMPLE}, local AS (SELECT batch_id, node, (row_number() OVER (PARTITION BY batch_id ORDER BY hop, node) - 1)::INTEGER AS local FROM trimmed)
-        SELECT e.*, a.local AS src_local, b.local AS dst_local FROM sample_edges e JOIN local a ON a.batch_id = e.batch_id AND a.node = src JOIN local b ON b.batch_id = e.batch_id AND b.node = dst""",
+        SELECT batch_id, node, hop FROM sample_nodes ANTI JOIN (SELECT batch_id, node FROM gone JOIN images USING (batch_id) WHERE rank <= images - 100) USING (batch_id, node)""",
+    "induced_subgraph": f"""WITH {SAMPLE}, local AS MATERIALIZED (SELECT batch_id, node, (row_number() OVER (PARTITION BY batch_id ORDER BY hop, node) - 1)::INTEGER AS local FROM trimmed),
+        starts AS MATERIALIZED (SELECT e.*, local AS src_local FROM sample_edges e JOIN local a ON a.batch_id = e.batch_id AND a.node = src)
+        SELECT e.*, local AS dst_local FROM starts e JOIN local b ON b.batch_id = e.batch_id AND b.node = dst""",
     "leakage_mask": f"""WITH {SAMPLE}, hidden AS (SELECT b.batch_id, least(h, t) AS lo, greatest(h, t) AS hi FROM batches b JOIN triples ON h = b.node JOIN vocab USING (r) WHERE type = 'IN_NATION')
         SELECT * FROM sample_edges e WHERE NOT EXISTS (SELECT 1 FROM hidden x WHERE x.batch_id = e.batch_id AND lo = least(src, dst) AND hi = greatest(src, dst))""",
     "intra_chunk_edges": f"""WITH {GRAPH} SELECT a.chunk_id, count(*) AS n, sum(a.chunk_pos)::BIGINT AS src_sum, sum(b.chunk_pos)::BIGINT AS dst_sum

@@ -240,18 +240,19 @@ _HALF = "(k - 1) * 2 < c"
 
 def _batch_sql(own: str, prop: str, order: str) -> str:
     """own: the train pairs (h, t) in batches; prop: the message edges; order: how nodes are trimmed."""
-    return f"""WITH {SPLIT}, train AS (SELECT h, r, t FROM split WHERE split = 'train'), {own}, {prop},
+    return f"""WITH {SPLIT}, train AS MATERIALIZED (SELECT h, r, t FROM split WHERE split = 'train'), {own}, {prop},
         seeds AS (SELECT batch_id, h AS node FROM own UNION SELECT batch_id, t FROM own),
         placed AS (SELECT src, rel, dst, row_number() OVER (PARTITION BY src ORDER BY {hash_sql("'7'", "src", "rel", "dst")}, rel, dst) - 1 AS place FROM prop),
         degree AS (SELECT src, count(*) AS degree FROM placed GROUP BY src), {_hop(8, 1, "seeds")},
-        sampled AS (SELECT batch_id, node, 0 AS hop FROM seeds UNION ALL SELECT batch_id, node, 1 FROM (SELECT DISTINCT batch_id, dst AS node FROM taken1 EXCEPT SELECT batch_id, node FROM seeds)),
+        sampled AS MATERIALIZED (SELECT batch_id, node, 0 AS hop FROM seeds UNION ALL SELECT batch_id, node, 1 FROM (SELECT DISTINCT batch_id, dst AS node FROM taken1 EXCEPT SELECT batch_id, node FROM seeds)),
         fewer AS (SELECT s.*, has_image, is_art FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY {order}) AS rank FROM sampled) s JOIN catalog ON node_idx = node WHERE rank <= {200 * MOST_NODES} OR hop = 0),
         images AS (SELECT batch_id, count(*) FILTER (has_image) AS images FROM fewer GROUP BY batch_id),
         gone AS (SELECT batch_id, node, row_number() OVER (PARTITION BY batch_id ORDER BY is_art DESC, CASE WHEN is_art THEN {hash_sql("'7:23'", "node")} ELSE {hash_sql("'7:29'", "node")} END, node) AS rank FROM fewer WHERE has_image AND hop > 0),
-        kept AS (SELECT f.* FROM fewer f WHERE NOT EXISTS (SELECT 1 FROM gone g JOIN images i USING (batch_id) WHERE g.batch_id = f.batch_id AND g.node = f.node AND g.rank <= images - {MOST_IMAGES})),
+        less AS (SELECT batch_id, node FROM gone JOIN images USING (batch_id) WHERE rank <= images - {MOST_IMAGES}),
+        kept AS MATERIALIZED (SELECT * FROM fewer ANTI JOIN less USING (batch_id, node)),
         hidden AS (SELECT DISTINCT batch_id, least(h, t) AS lo, greatest(h, t) AS hi FROM own),
-        inner_ AS (SELECT e.batch_id FROM taken1 e JOIN kept a ON a.batch_id = e.batch_id AND a.node = src JOIN kept b ON b.batch_id = e.batch_id AND b.node = dst
-            WHERE NOT EXISTS (SELECT 1 FROM hidden x WHERE x.batch_id = e.batch_id AND lo = least(src, dst) AND hi = greatest(src, dst)))
+        shown AS (SELECT * FROM (SELECT batch_id, src, dst, least(src, dst) AS lo, greatest(src, dst) AS hi FROM taken1) ANTI JOIN hidden USING (batch_id, lo, hi)),
+        inner_ AS (SELECT batch_id FROM shown SEMI JOIN (SELECT batch_id, node AS src FROM kept) a USING (batch_id, src) SEMI JOIN (SELECT batch_id, node AS dst FROM kept) b USING (batch_id, dst))
         SELECT batch_id, nodes, coalesce(edges, 0) AS edges, images, n - nodes AS trimmed FROM (SELECT batch_id, count(*) AS n FROM sampled GROUP BY batch_id) JOIN (SELECT batch_id, count(*) AS nodes, count(*) FILTER (has_image) AS images FROM kept GROUP BY batch_id) USING (batch_id)
         LEFT JOIN (SELECT batch_id, count(*) AS edges FROM inner_ GROUP BY batch_id) USING (batch_id)"""
 
@@ -280,8 +281,9 @@ SQL = {
     "chunk_flags": f"""WITH {ALL}, {_CONTEXT}, {_LOCAL} SELECT l.*, wid, has_image, is_art, c.chunk_id AS home, chunk_pos FROM local l JOIN catalog c ON node_idx = node""",
     "chunk_messages": f"""WITH {ALL}, {_CONTEXT}, {_LOCAL}, links AS (SELECT DISTINCT h AS src, t AS dst FROM triples), context AS (SELECT * FROM ranked_context WHERE rank <= {CONTEXT}),
         kept AS (SELECT a.chunk_id, src, dst FROM links JOIN catalog a ON a.node_idx = src JOIN catalog b ON b.node_idx = dst WHERE a.chunk_id = b.chunk_id
-            UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = src AND other = dst UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = dst AND other = src)
-        SELECT k.chunk_id, a.local AS src_local, b.local AS dst_local FROM kept k JOIN local a ON a.chunk_id = k.chunk_id AND a.node = src JOIN local b ON b.chunk_id = k.chunk_id AND b.node = dst""",
+            UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = src AND other = dst UNION SELECT chunk_id, src, dst FROM links JOIN context ON node = dst AND other = src),
+        starts AS MATERIALIZED (SELECT k.chunk_id, dst, local AS src_local FROM kept k JOIN local a ON a.chunk_id = k.chunk_id AND a.node = src)
+        SELECT k.chunk_id, src_local, local AS dst_local FROM starts k JOIN local b ON b.chunk_id = k.chunk_id AND b.node = dst""",
     "chunk_load": f"WITH {SAMPLE} SELECT src, place, rel, dst, chunk_id FROM placed JOIN catalog ON node_idx = src WHERE chunk_id < 2",
     "khop_staged": f"WITH {SAMPLE}, {_STAGED} SELECT * FROM staged",
     "khop_staged_counts": f"""WITH {SAMPLE}, {_STAGED} SELECT batch_id, count(*) AS nodes_before, count(s.node) AS nodes_after, count(*) - count(s.node) AS trimmed FROM sample_nodes LEFT JOIN staged s USING (batch_id, node) GROUP BY batch_id""",

@@ -121,7 +121,9 @@ def runs_of(words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int]]:
             a, b = int(owner_start[g]), int(owner_end[g])
             end = g + p + _alike(words[g : b - p], words[g + p : b])
             start = g - _alike(words[a:g][::-1], words[a + p : g + p][::-1])
-            beyond = max(beyond, end)
+            if end <= beyond:
+                continue  # found already: stretches of one period that aren't one end apart
+            beyond = end
             if end - start < max(LEAST_WORDS, LEAST_PERIODS * p):
                 continue
             root = words[start : start + 2 * p]

@@ -85,3 +85,10 @@ def test_odd_rows(spark):
 def test_collapsed_texts(spark):
     rows = [(1, "go  on " + "ha ha ha ha ha ha ha then\nstop"), (2, "as\tit  is"), (3, None), (4, "a b " * 4 + "a b c")]
     assert {r["doc_id"]: r["text"] for r in periods.collapsed(frame(spark, rows)).collect()} == {1: "go on ha then stop", 2: "as\tit  is", 3: None, 4: "a b c"}
+
+
+def test_run_is_found_once():
+    # The fourth grid point of a stretch from word 10 lies beyond the run, so the run does not cover it.
+    line = [0, 0, 0] + [1, 0, 0, 0, 0] * 4 + [0, 0, 0]
+    found = periods.runs_of(np.array(line, np.uint64), np.array([0, len(line)]))
+    assert sorted(found) == [(0, 23, 5), (19, 26, 1)]

@@ -249,3 +249,18 @@ def test_node_array_is_one_list(spark, tmp_path):
     writers.node_array(nodes.limit(0), f"{tmp_path}/none")
     read = lambda name: json.loads("".join(f.read_text() for f in (tmp_path / name).glob("part*")))
     assert read("some") == [{"node_id": i, "labels": None if i % 3 else ["A"]} for i in (1, 3, 5, 9)] and read("none") == []
+
+
+@pytest.mark.parametrize("page", [3, 1024])
+def test_pages_of_adjacency_give_what_the_store_gives(spark, monkeypatch, page):
+    monkeypatch.setattr(N, "PAGE", page)
+    edges, homes = graph(spark)
+    pages, wide = N.adjacency(edges, 3)
+    held = pages.select("src", "page", F.posexplode("out").alias("at", "x")).select("src", (F.col("page") * page + F.col("at")).alias("place"), "x.rel", "x.dst")
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, N.indexed(edges, 3).select("src", "place", "rel", "dst").collect()))
+    assert pages.filter(F.size("out") > page).count() == 0 and (wide.count() > 0) == (page == 3)
+    seeds = homes.select((F.col("node") % 5).alias("batch_id"), "node").filter("node % 7 = 0")
+    store = GraphStore.create(edges, homes, 3, buckets=4)
+    for found, wanted in zip(N.sampled(seeds, edges, [4, 2], 3, 3), store.sample(seeds, [4, 2], 3, 3), strict=True):
+        assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
+    store.drop()

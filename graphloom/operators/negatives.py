@@ -1,7 +1,7 @@
 """Negative samples by rejection as set logic: every draw is a hash, known rows are joined away, the first valid draw stays.
 
 The reference's loop is over rounds of draws; here `tries` draws of each row are made at once for the rows that are still
-open, first a few and then all. A row without a valid draw gets none and is marked so.
+open, one first, then a few, then all. A row without a valid draw gets none and is marked so.
 """
 
 from __future__ import annotations
@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 from ..functions.hashing import draw, order_hash
 from .neighbours import written
 
-FEW = 4
+#: Draws after which a round ends, before the last: nearly every row has a valid draw at once, so a first round of one try
+#: shuffles a row for each positive, and the others only what is still open.
+ROUNDS = (1, 6)
 
 
 def _first_valid(rows: DataFrame, key: list[str], draws, known: DataFrame, on: list[str], bad: Column, tries: int) -> DataFrame:
     """(key, *on, try) of each row's first draw that is neither bad nor known. draws: rows and a column of try numbers to
     rows with the columns `on`."""
     found = None
-    for low, high in ((0, min(FEW, tries)), (FEW, tries)):
-        if low >= high:
-            break
+    ends = [*(n for n in ROUNDS if n < tries), tries]
+    for low, high in zip([0, *ends], ends, strict=False):
         open_ = rows if found is None else rows.join(found, key, "left_anti")
         tried = draws(open_.withColumn("try", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))).filter(~bad)
         valid = tried.join(known.select(*on), on, "left_anti")

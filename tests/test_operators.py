@@ -520,3 +520,16 @@ def test_hits_count_whole_rows_alone(spark):
     assert tuple(rows["y"])[1:] == (0, 0, 0.0, 0.0, 0, 0.0, 0.0)
     nothing = E.report(positives.limit(0), drawn.limit(0), vectors, 2, ["x"]).first()
     assert nothing.n_pos == 0 and nothing.auc == 0.0
+
+
+def test_rounds_of_draws_take_only_what_is_open(spark):
+    seen, known = [], spark.createDataFrame([(0,), *((100 + k,) for k in range(7))], "x long")
+
+    def draws(open_):
+        tried = open_.withColumn("x", F.col("h") * 100 + F.col("try"))
+        seen.append(tried.count())
+        return tried
+
+    found = negatives._first_valid(spark.range(20).withColumnRenamed("id", "h"), ["h"], draws, known, ["x"], F.lit(False), 9)
+    assert {r["h"]: r["try"] for r in found.collect()} == {0: 1, 1: 7} | dict.fromkeys(range(2, 20), 0)
+    assert seen == [20, 2 * 5, 3]

@@ -13,10 +13,10 @@
 4. Each document's best proposal is confirmed on full sets; confirmed links make components. Then every block that holds
    documents of different components gets their full sets, and there each pair that might still be linked (agreement of
    at least MAYBE) is compared, best first, until the block's documents are of one component or no such pair is left. A
-   block gives fewer links than it has documents, and a link is lost only if no order has brought the pair together.
-
-A pair of similarity 0.75 is missed in all 32 orders with a chance of 5e-6, and its signatures agree in less than
-MAYBE with a chance of 1e-5.
+   block gives fewer links than it has documents.
+5. What the forest has missed is found by prefixes of the full sets: in any order that all documents share, two linked
+   sets hold a common shingle among the first 25 % (and one) of each. Documents of different components that meet in
+   such a shingle, and whose places in the order leave room for a link, are confirmed like the others. This step is exact.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ids, chunks, narrow, partitions, runs, text_bytes, without, written
+from .common import Ids, chunks, mean_share, narrow, partitions, runs, text_bytes, without, written
 from .components import components
 from .words import U, Words, mix, shingle_sets
 
@@ -40,6 +40,12 @@ REGION = 256
 PART = 16 * REGION
 NEAR = 0.80
 MAYBE = 0.58
+#: The share of documents from which frequent shingles are told, and the least number of them; in how many of these they
+#: stand, and how many are told at most. They decide only the order of prefixes; any order gives the same links.
+SAMPLE = 0.01
+LEAST_SAMPLE = 5000
+FREQUENT = 4
+MOST_FREQUENT = 100_000
 
 _SIZE = TREES * DEPTH
 _ODD = (mix(np.arange(1000, 1000 + _SIZE, dtype=U)) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -240,6 +246,91 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        sets = [np.zeros(0, U), *shingle_sets(Words(batch.column("text").to_pylist()), WORDS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+
+
+def _frequent(rows: DataFrame) -> np.ndarray:
+    """Shingles that many documents of a sample hold, the most frequent last: at most MOST_FREQUENT."""
+    share = min(1.0, max(SAMPLE, LEAST_SAMPLE / max(1, rows.count())))
+    counts = rows.sample(share, seed=1).mapInArrow(_listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    return found.column("shingle").to_numpy()[::-1].view(U)
+
+
+def _prefixes(frequent):
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first shingles of each set that is not empty: those that aren't frequent by their hash, then the others. A set
+        that is linked with this one lacks at most 25 % of it, so it holds one of these."""
+        order = np.argsort(frequent.value)
+        known = frequent.value[order]
+        for batch in chunks(batches, "text"):
+            sets = shingle_sets(Words(batch.column("text").to_pylist()), WORDS)
+            firsts = []
+            for own in sets:
+                first = len(own) - -(-PERCENT * len(own) // 100) + 1
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    rank = np.where(known[at] == own, order[at] + 1, 0)
+                    own = own[np.argsort(rank, kind="stable")]
+                firsts.append(own[:first].tobytes())
+            sizes = np.array([len(own) for own in sets], np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(firsts, pa.binary())], ["doc_id", "n", "firsts"]).filter(pa.array(sizes > 0))
+
+    return prefixes
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a prefix, with its place there."""
+    for batch in chunks(batches, "firsts"):
+        firsts = batch.column("firsts").to_pylist()
+        sizes = np.array([len(x) // 8 for x in firsts], np.int64)
+        at = np.repeat(np.arange(len(sizes)), sizes)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        of = batch.select(["doc_id", "n", "component"]).take(pa.array(at))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), np.int64)), pa.array(place.astype(np.int32)), *of.columns], ["shingle", "place", "doc_id", "n", "component"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of shingles in which documents of several components meet."""
+    for table in runs(batches, ["shingle"]):
+        shingle, component = table.column("shingle").to_numpy(), table.column("component").to_numpy()
+        new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
+        group = np.cumsum(new) - 1
+        several = np.zeros(int(group[-1]) + 1, bool)
+        several[group[component != component[new][group]]] = True
+        yield from table.filter(pa.array(several[group])).to_batches()
+
+
+def _missed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, by the documents of classes (doc_id, component): every pair
+    that is linked is among them.
+
+    A shingle that many documents have in their prefixes meets them in parts, on one side; rows of one component never
+    meet. What is common to two sets is at most what they share up to a place, and the lesser of the two rests."""
+    spark = rows.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+    firsts = Ids(classes).mapped(rows.filter("doc_id IS NOT NULL"), _prefixes(frequent), "doc_id long, n int, firsts binary")
+    places = firsts.join(classes, "doc_id").mapInArrow(_places, "shingle long, place int, doc_id long, n int, component long")
+    met = written(places.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle").mapInArrow(_met, places.schema))
+    share = max(100_000, int(mean_share(met.count(), spark)))
+    counts = written(met.groupBy("shingle").agg(F.count("*").alias("held")).withColumn("salts", F.ceil(F.col("held") * F.col("held") / share).cast("int")).drop("held"))
+    salted = met.join(counts, "shingle")
+    left = salted.select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "place", "component")])
+    right = salted.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "place", "component")])
+    both = left.join(right, ["shingle", "salt"]).filter("a_component < b_component")
+    # Linked sets of n and m shingles share PERCENT of their union: (100 + PERCENT) * shared >= PERCENT * (n + m).
+    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
+    room = lambda shared: (100 + PERCENT) * shared >= PERCENT * (F.col("a_n") + F.col("b_n"))
+    both = both.filter(room(F.least("a_place", "b_place") + 1 + rest))
+    pairs = both.groupBy("a_doc_id", "b_doc_id", "a_n", "b_n").agg(F.count("*").alias("shared"))
+    # Up to where the first of two prefixes ends, both have been compared; beyond, one set has no more than the rest of its own.
+    beyond = F.ceil(F.lit(PERCENT) * F.greatest("a_n", "b_n") / 100) - 1
+    return written(pairs.filter(room(F.col("shared") + beyond)).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
+
+
 def _sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the documents among ids, and of some others. Texts are read where they lie."""
     return written(Ids(ids).mapped(rows, _sets, "doc_id long, shingles binary"))
@@ -296,7 +387,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     if not more.isEmpty():
         found = written(components(links.unionByName(more)))
 
-    classes = classes.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("n_shingles", "low", "high", F.coalesce("component", "doc_id").alias("component"))
+    # What no order has brought together.
+    placed = classes.select("doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = written(placed)
+    missed = _missed(rows, placed)
+    more = _confirm(missed, _sets_of(missed.select(F.explode(F.array("a", "b")).alias("doc_id")), rows))
+    if not more.isEmpty():
+        # These links join components, so only components need to be joined.
+        ends = [placed.select(F.col("doc_id").alias(side), F.col("component").alias(f"{side}_component")) for side in ("a", "b")]
+        joined = components(more.join(ends[0], "a").join(ends[1], "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("least"))
+        placed = placed.join(joined, "component", "left").select("doc_id", F.coalesce("least", "component").alias("component"))
+
+    classes = classes.join(placed, "doc_id").select("n_shingles", "low", "high", "component")
     # The join has one row a class on its right, so a hot class can be split on its left.
     return signed.select("doc_id", "n_shingles", "low", "high").join(classes, ["n_shingles", "low", "high"], "left").select(
         "doc_id",

@@ -98,6 +98,35 @@ def test_sole_links_into_a_hot_group(spark, monkeypatch, size, part):
     assert len({got[i] for i in range(size)}) == 1 and joined >= 0.9 * len(want)
 
 
+def test_no_sole_link_is_lost(spark):
+    """As above, nearer to 0.75: of these hundred the forest alone misses one."""
+    rng = random.Random(900)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, edited(rng, base, rng.choice((1, 2, 3)))) for i in range(900)]
+    for k in range(100):
+        member = rows[rng.randrange(900)][1].split()
+        cut = lambda n, member=member, k=k: " ".join(member[: 200 - n] + [f"z{k}x{i}" for i in range(n)])
+        n = next(n for n in range(1, 60) if similarity(cut(n), " ".join(member)) < 0.77) - 1
+        rows.append((10**6 + k, cut(n)))
+    got = {r["component_id"] for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {0}
+
+
+@pytest.mark.parametrize("frequent", [0, 1])
+def test_prefixes_alone_find_every_link(spark, monkeypatch, frequent):
+    """Every pair at or over the threshold is among those that prefixes propose, whichever shingles count as frequent."""
+    monkeypatch.setattr(neardup, "FREQUENT", 2 if frequent else 10**9)
+    rng, rows = random.Random(11), []
+    for _ in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice((3, 6, 30, 100)))]
+        rows += [(len(rows) + n, edited(rng, base, rng.randrange(0, max(2, len(base) // 25)))) for n in range(4)]
+    docs = frame(spark, rows)
+    classes = docs.selectExpr("doc_id", "doc_id AS component")
+    got = {tuple(sorted(r)) for r in neardup._missed(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), classes).collect()}
+    linked = {(a, b) for a, x in rows for b, y in rows if a < b and 100 * len(shingles(x) & shingles(y)) >= 75 * len(shingles(x) | shingles(y))}
+    assert linked and linked <= got
+
+
 def similarity(x: str, y: str) -> float:
     p, q = shingles(x), shingles(y)
     return len(p & q) / len(p | q)

@@ -76,6 +76,15 @@ def test_trim_in_stages(spark):
     assert {r["node"] for r in N.trimmed_in_stages(nodes, 4, 5).filter("batch_id = 1").collect()} == {r["node"] for r in N.trimmed_in_stages(nodes, 4, 5).filter("batch_id = 2").collect()}
 
 
+def test_staged_trim_counts(spark):
+    """The counts of a trim need no order of the nodes: they equal those of the trim itself, and no node is sorted."""
+    nodes = spark.createDataFrame([(b, i, h) for b in (1, 2) for i, h in enumerate([0] * b + [1, 1, 1, 2, 2, 3])] + [(3, 0, 0)], "batch_id long, node long, hop int")
+    for most in (0, 1, 2, 4, 7, 99):
+        counts = N.staged_trim_counts(nodes, most)
+        assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, N.trim_counts(nodes, N.trimmed_in_stages(nodes, most, 5)).collect()))
+    assert "Window" not in plan_of(counts)
+
+
 def test_image_trim_counts(spark):
     nodes = spark.createDataFrame([(1, i, 0 if i < 3 else 1) for i in range(8)] + [(2, i, 0) for i in range(5)], "batch_id long, node long, hop int")
     catalog = spark.createDataFrame([(i, i % 4 != 3, i % 2 == 0) for i in range(8)], "node_idx long, has_image boolean, is_art boolean")

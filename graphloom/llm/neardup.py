@@ -14,9 +14,10 @@
    documents of different components gets their full sets, and there each pair that might still be linked (agreement of
    at least MAYBE) is compared, best first, until the block's documents are of one component or no such pair is left. A
    block gives fewer links than it has documents.
-5. What the forest has missed is found by prefixes of the full sets: in any order that all documents share, two linked
-   sets hold a common shingle among the first 25 % (and one) of each. Documents of different components that meet in
-   such a shingle, and whose places in the order leave room for a link, are confirmed like the others. This step is exact.
+5. What the forest has missed is found by full sets. A linked set lacks at most 25 % of a document's shingles, so documents
+   that hold more than that alone, of three eighths of all shingles, can have no link to another component. Of the others,
+   the shingles that several components hold are put in one order, the rarest first; pairs that meet in one, and whose
+   places there leave room for a link, are confirmed like the others. This step is exact.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Ids, chunks, mean_share, narrow, partitions, runs, text_bytes, without, written
@@ -41,11 +42,15 @@ PART = 16 * REGION
 NEAR = 0.80
 MAYBE = 0.58
 #: The share of documents from which frequent shingles are told, and the least number of them; in how many of these they
-#: stand, and how many are told at most. They decide only the order of prefixes; any order gives the same links.
+#: stand, and how many are told at most. They count as held by several components without being shuffled; any give the same links.
 SAMPLE = 0.01
 LEAST_SAMPLE = 5000
 FREQUENT = 4
 MOST_FREQUENT = 100_000
+#: Shingles whose hash is less are looked at first: three eighths of all. Of a quarter a linked set might hold none.
+SCREEN = U(3 << 61)
+#: Classes of set sizes for each factor of e: eight for 4/3.
+SIZE_CLASSES = 28
 
 _SIZE = TREES * DEPTH
 _ODD = (mix(np.arange(1000, 1000 + _SIZE, dtype=U)) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -253,82 +258,105 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _frequent(rows: DataFrame) -> np.ndarray:
-    """Shingles that many documents of a sample hold, the most frequent last: at most MOST_FREQUENT."""
+    """Shingles that many documents of a sample hold: at most MOST_FREQUENT, the most frequent of all."""
     share = min(1.0, max(SAMPLE, LEAST_SAMPLE / max(1, rows.count())))
     counts = rows.sample(share, seed=1).mapInArrow(_listed, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
     found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
-    return found.column("shingle").to_numpy()[::-1].view(U)
+    return found.column("shingle").to_numpy().view(U)
 
 
-def _prefixes(frequent):
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The first shingles of each set that is not empty: those that aren't frequent by their hash, then the others. A set
-        that is linked with this one lacks at most 25 % of it, so it holds one of these."""
-        order = np.argsort(frequent.value)
-        known = frequent.value[order]
+def _sampled(frequent):
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (shingle, doc_id, need) for each shingle of SCREEN parts of all that isn't frequent, of each document. need says
+        how many of them another document must hold: a set that is linked with this one lacks at most 25 % of it. One
+        that needs none has a row more, whether or not it has any."""
+        known = np.sort(frequent.value)
         for batch in chunks(batches, "text"):
             sets = shingle_sets(Words(batch.column("text").to_pylist()), WORDS)
-            firsts = []
-            for own in sets:
-                first = len(own) - -(-PERCENT * len(own) // 100) + 1
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    rank = np.where(known[at] == own, order[at] + 1, 0)
-                    own = own[np.argsort(rank, kind="stable")]
-                firsts.append(own[:first].tobytes())
-            sizes = np.array([len(own) for own in sets], np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(firsts, pa.binary())], ["doc_id", "n", "firsts"]).filter(pa.array(sizes > 0))
-
-    return prefixes
-
-
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a prefix, with its place there."""
-    for batch in chunks(batches, "firsts"):
-        firsts = batch.column("firsts").to_pylist()
-        sizes = np.array([len(x) // 8 for x in firsts], np.int64)
-        at = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        of = batch.select(["doc_id", "n", "component"]).take(pa.array(at))
-        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(firsts), np.int64)), pa.array(place.astype(np.int32)), *of.columns], ["shingle", "place", "doc_id", "n", "component"])
+            picked, needs = [], []
+            for own, doc in zip(sets, batch.column("doc_id").to_pylist(), strict=True):
+                mine = own[mix(own) < SCREEN]
+                if len(known):
+                    mine = mine[known[np.minimum(np.searchsorted(known, mine), len(known) - 1)] != mine]
+                needs.append(len(mine) - (len(own) - -(-PERCENT * len(own) // 100)))
+                picked.append(mine.view(np.int64) if needs[-1] > 0 or not len(own) else np.append(mine.view(np.int64), doc))
+            of = np.repeat(np.arange(len(sets)), [len(x) for x in picked])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(picked)), batch.column("doc_id").take(pa.array(of)), pa.array(np.array(needs, np.int32)[of])], ["shingle", "doc_id", "need"])
+
+    return sampled
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of shingles in which documents of several components meet."""
+    """The rows of shingles in which documents of several components meet, and those of documents that need none."""
     for table in runs(batches, ["shingle"]):
-        shingle, component = table.column("shingle").to_numpy(), table.column("component").to_numpy()
+        shingle, component, need = (table.column(c).to_numpy() for c in ("shingle", "component", "need"))
         new = np.concatenate([[True], shingle[1:] != shingle[:-1]])
         group = np.cumsum(new) - 1
         several = np.zeros(int(group[-1]) + 1, bool)
         several[group[component != component[new][group]]] = True
-        yield from table.filter(pa.array(several[group])).to_batches()
+        yield from table.select(["doc_id", "need"]).filter(pa.array(several[group] | (need <= 0))).to_batches()
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for batch in chunks(batches, "shingles"):
+        sets = batch.column("shingles").to_pylist()
+        sizes = np.array([len(x) // 8 for x in sets], np.int32)
+        at = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(sets), np.int64)), batch.column("doc_id").take(at), pa.array(sizes).take(at), batch.column("component").take(at)], ["shingle", "doc_id", "n", "component"])
+
+
+def _screened(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The doc_id of every document that may be linked with one of another component, by a part of its shingles."""
+    spark = rows.sparkSession
+    frequent = spark.sparkContext.broadcast(_frequent(rows))
+    rows, schema = rows.filter("doc_id IS NOT NULL"), "shingle long, doc_id long, need int"
+    # Most documents are components by themselves: the others alone are joined with theirs. Other rows of a class are dropped.
+    others = Ids(rows.select("doc_id").join(classes.filter("component = doc_id"), "doc_id", "left_anti"))
+    alone = others.mapped(rows, _sampled(frequent), schema, False).withColumn("component", F.col("doc_id"))
+    joined = others.mapped(rows, _sampled(frequent), schema).join(classes, "doc_id")
+    places = alone.unionByName(joined).repartition(partitions(spark), "shingle").sortWithinPartitions("shingle")
+    met = places.mapInArrow(_met, "doc_id long, need int").groupBy("doc_id", "need").agg(F.count("*").alias("met"))
+    return written(met.filter(F.col("met") >= F.col("need")).select("doc_id").distinct())
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) * SIZE_CLASSES).cast("int")
 
 
 def _missed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, by the documents of classes (doc_id, component): every pair
     that is linked is among them.
 
-    A shingle that many documents have in their prefixes meets them in parts, on one side; rows of one component never
-    meet. What is common to two sets is at most what they share up to a place, and the lesser of the two rests."""
+    Of the documents that _screened leaves, the shingles that several components hold are put in one order, the rarest
+    first. Two sets have no more in common than the first shingle that they share and what each has after it; what
+    a document has there says how large the other may be. So a shingle's rows meet by classes of size, and rows that leave no
+    room for a link with any size meet none."""
     spark = rows.sparkSession
-    frequent = spark.sparkContext.broadcast(_frequent(rows))
-    firsts = Ids(classes).mapped(rows.filter("doc_id IS NOT NULL"), _prefixes(frequent), "doc_id long, n int, firsts binary")
-    places = firsts.join(classes, "doc_id").mapInArrow(_places, "shingle long, place int, doc_id long, n int, component long")
-    met = written(places.repartition(partitions(spark), "shingle").sortWithinPartitions("shingle").mapInArrow(_met, places.schema))
-    share = max(100_000, int(mean_share(met.count(), spark)))
-    counts = written(met.groupBy("shingle").agg(F.count("*").alias("held")).withColumn("salts", F.ceil(F.col("held") * F.col("held") / share).cast("int")).drop("held"))
-    salted = met.join(counts, "shingle")
-    left = salted.select("shingle", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), *[F.col(c).alias(f"a_{c}") for c in ("doc_id", "n", "place", "component")])
-    right = salted.select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1)).alias("salt"), *[F.col(c).alias(f"b_{c}") for c in ("doc_id", "n", "place", "component")])
-    both = left.join(right, ["shingle", "salt"]).filter("a_component < b_component")
+    screened = _screened(rows, classes)
+    listed = _sets_of(screened, rows).join(classes, "doc_id").mapInArrow(_each, "shingle long, doc_id long, n int, component long")
+    counts = listed.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("greatest")).filter("least < greatest")
+    # One row a shingle on the right, so a hot shingle can be split on the left.
+    shared = listed.join(counts.select("shingle", "held"), "shingle")
+    own = Window.partitionBy("doc_id")
+    rest = F.count("*").over(own) - F.row_number().over(own.orderBy("held", "shingle")) + 1
     # Linked sets of n and m shingles share PERCENT of their union: (100 + PERCENT) * shared >= PERCENT * (n + m).
-    rest = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) - 1
-    room = lambda shared: (100 + PERCENT) * shared >= PERCENT * (F.col("a_n") + F.col("b_n"))
-    both = both.filter(room(F.least("a_place", "b_place") + 1 + rest))
-    pairs = both.groupBy("a_doc_id", "b_doc_id", "a_n", "b_n").agg(F.count("*").alias("shared"))
-    # Up to where the first of two prefixes ends, both have been compared; beyond, one set has no more than the rest of its own.
-    beyond = F.ceil(F.lit(PERCENT) * F.greatest("a_n", "b_n") / 100) - 1
-    return written(pairs.filter(room(F.col("shared") + beyond)).select(F.col("a_doc_id").alias("a"), F.col("b_doc_id").alias("b")).distinct())
+    most = F.least(F.floor(100 * F.col("n") / PERCENT), F.floor((100 + PERCENT) * F.col("rest") / PERCENT) - F.col("n"))
+    placed = shared.withColumn("rest", rest).withColumns({"low": F.ceil(PERCENT * F.col("n") / 100), "most": most})
+    placed = written(placed.filter("most >= low").select("shingle", "doc_id", "n", "component", "rest", "low", "most"))
+    # The greater set, or one as great, looks for the other.
+    left = placed.withColumn("size", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.least("n", "most")))))
+    right = placed.withColumn("size", _size_class(F.col("n")))
+    share = max(100_000, int(mean_share(placed.count(), spark)))
+    held = right.groupBy("shingle", "size").agg(F.count("*").alias("held"))
+    sought = left.groupBy("shingle", "size").agg(F.count("*").alias("sought")).join(held, ["shingle", "size"])
+    salts = written(sought.select("shingle", "size", F.ceil(F.col("held") * F.col("sought") / share).cast("int").alias("salts")))
+    side = lambda df, to, salt: df.join(salts, ["shingle", "size"]).select("shingle", "size", salt.alias("salt"), *[F.col(c).alias(f"{to}_{c}") for c in ("doc_id", "n", "component", "rest")])
+    a = side(left, "a", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
+    b = side(right, "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    room = (100 + PERCENT) * F.least("a_rest", "b_rest") >= PERCENT * (F.col("a_n") + F.col("b_n"))
+    both = a.join(b, ["shingle", "size", "salt"]).filter((F.col("a_component") != F.col("b_component")) & (F.col("a_n") >= F.col("b_n")) & room)
+    return written(both.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct())
 
 
 def _sets_of(ids: DataFrame, rows: DataFrame) -> DataFrame:

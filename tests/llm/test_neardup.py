@@ -127,6 +127,23 @@ def test_prefixes_alone_find_every_link(spark, monkeypatch, frequent):
     assert linked and linked <= got
 
 
+def test_unlinked_relatives_meet_in_few_pairs(spark):
+    """Documents that share most shingles, though too few for a link, are not proposed in all pairs; a linked one among them is."""
+    rng = random.Random(12)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for d in range(100):
+        line = list(base)
+        for at in (15, 45, 75, 105, 135):
+            line[at + rng.randrange(10)] = f"e{d}x{at}"
+        rows.append((d, " ".join(line)))
+    rows.append((100, rows[40][1].replace("w2 ", "other ")))
+    assert similarity(rows[100][1], rows[40][1]) >= 0.75 > similarity(rows[3][1], rows[40][1]) > 0.4
+    docs = frame(spark, rows)
+    missed = neardup._missed(docs.selectExpr("doc_id", "CAST(text AS BINARY) AS text"), docs.selectExpr("doc_id", "doc_id AS component"))
+    got = {tuple(sorted(r)) for r in missed.collect()}
+    assert (40, 100) in got and len(got) < 200
+
+
 def similarity(x: str, y: str) -> float:
     p, q = shingles(x), shingles(y)
     return len(p & q) / len(p | q)

@@ -60,6 +60,20 @@ def test_split_rules(spark):
     assert sorted(map(tuple, splits.by_relation(rows.repartition(7), 0.1, 0.1, 30, 3).collect())) == sorted(map(tuple, split.collect()))
 
 
+def test_split_shuffles_few_rows(spark):
+    """Rows are shuffled only where a relation's split changes, and the split is that of a rank over all rows."""
+    from graphloom.functions.hashing import order_hash
+
+    rows = spark.range(20000).select(F.col("id").alias("h"), F.when(F.col("id") < 15, 2).otherwise(F.col("id") % 2).cast("int").alias("r"), (F.col("id") % 777).alias("t"))
+    split = splits.by_relation(rows, 0.1, 0.1, 30, 3)
+    assert split._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    ranked = order.ranked_within(rows, ["r"], "n", order_hash(3, "h", "r", "t"), [F.col("h"), F.col("t")])
+    size = dict(map(tuple, rows.groupBy("r").count().collect()))
+    part = {r: 0 if n <= 30 else int(n * 0.1) for r, n in size.items()}
+    want = {(x["h"], x["r"], x["t"], "test" if x["n"] < part[x["r"]] else "val" if x["n"] < 2 * part[x["r"]] else "train") for x in ranked.collect()}
+    assert set(map(tuple, split.collect())) == want and split.count() == 20000
+
+
 def test_pair_split(spark):
     edges = triples(spark).select(F.col("h").alias("src"), F.col("t").alias("dst"))
     split = splits.of_pairs(edges, 0.8, 0.1, 1)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import chunks, narrow, partitions, text_bytes, written
+from .common import chunks, given_back, narrow, partitions, text_bytes, written
 from .tokens import encoder
 
 CAPACITY = 4096
@@ -272,7 +272,7 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENI
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, rank, sequence, offset = shared.value.T
         key = (length << 44) + rank
-        for batch in batches:
+        for batch in given_back(batches):
             own = batch.column("rank").to_numpy()
             at = np.searchsorted(key, (batch.column("length").to_numpy() << 44) + own, "right") - 1
             keep = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]

@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import packing, tokens
+from graphloom.llm import common, packing, tokens
 from graphloom.llm.queries import QUERIES
 
 from .helpers import ODD, frame, rows_of, same_with_clashes
@@ -125,3 +126,15 @@ def test_fillings_leave_out_what_no_sum_fills():
             fits = {tuple(sorted((lengths[0], *c))) for k in range(8) for c in combinations(lengths[1:], k) if 40 - waste <= lengths[0] + sum(c) <= 40}
             # Of what fits, one is always left: what dominates the others.
             assert found <= fits and bool(found) == bool(fits)
+
+
+def test_tasks_return_freed_memory(monkeypatch):
+    """After every GIVE_BACK_BYTES of text, not only after the last batch."""
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    monkeypatch.setattr(common, "GIVE_BACK_BYTES", 1000)
+    batches = [pa.RecordBatch.from_arrays([pa.array([b"x" * 100] * 50)], ["text"])] * 2
+    got = list(common.chunks(iter(batches), "text", 300))
+    assert sum(b.num_rows for b in got) == 100 and max(b.num_rows for b in got) == 3 and 8 <= len(calls) <= 11
+    calls.clear()
+    assert list(common.given_back(iter(batches))) == batches and len(calls) == 1

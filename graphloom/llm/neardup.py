@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Ids, chunks, mean_share, narrow, partitions, runs, text_bytes, without, written
+from .common import Ids, chunks, given_back, narrow, partitions, runs, text_bytes, without, written
 from .components import components
 from .words import U, Words, mix, shingle_sets
 
@@ -51,6 +51,8 @@ MOST_FREQUENT = 100_000
 SCREEN = U(3 << 61)
 #: Classes of set sizes for each factor of e: eight for 4/3.
 SIZE_CLASSES = 28
+#: Rows of a part of those that hold a shingle and are of one size class.
+SIDE = 512
 
 _SIZE = TREES * DEPTH
 _ODD = (mix(np.arange(1000, 1000 + _SIZE, dtype=U)) & U(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -90,7 +92,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document and order: the key of its first DEPTH values."""
-    for batch in batches:
+    for batch in given_back(batches):
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             values = _matrix(part.column("signature"))
@@ -116,7 +118,7 @@ def _prefix(values: np.ndarray, tree: int, depth: int) -> np.ndarray:
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of regions get their block: the deeper prefix that the region's size asks for. Also the signature's low bytes, and
     the order by the two values after that prefix."""
-    for batch in batches:
+    for batch in given_back(batches):
         values = _matrix(batch.column("signature"))
         tree, size, region, doc = (batch.column(c).to_numpy() for c in ("tree", "n", "region", "doc_id"))
         depth = np.where(size > REGION, np.minimum(24, DEPTH + 2 * np.ceil(np.log2(np.maximum(size, 1) / REGION)).astype(int)), DEPTH)
@@ -324,6 +326,34 @@ def _size_class(n: Column) -> Column:
     return F.floor(F.log(n) * SIZE_CLASSES).cast("int")
 
 
+def _in_cells(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (shingle, size, doc_id, n, component, rest) of both sides in cells (shingle, size, a_part, b_part): those of one shingle
+    and size that are of different components meet in one cell.
+
+    A shingle's rows of one size fall into parts of about SIDE rows. A component with more rows there has parts of its own,
+    which don't meet one another: so what a large group of near copies meets is only what else holds the shingle."""
+    both = left.select("shingle", "size", "component", F.lit(1).alias("seeks"), F.lit(0).alias("stands")).unionByName(right.select("shingle", "size", "component", F.lit(0).alias("seeks"), F.lit(1).alias("stands")))
+    each = both.groupBy("shingle", "size", "component").agg(F.greatest(F.sum("seeks"), F.sum("stands")).alias("n"))
+    # Null is the own of all components that share their parts. It comes first.
+    own = F.when(F.col("n") > SIDE, F.col("component"))
+    cut = each.groupBy("shingle", "size", own.alias("own")).agg(F.ceil(F.sum("n") / SIDE).alias("parts"))
+    group = Window.partitionBy("shingle", "size")
+    cut = cut.withColumns({"first": F.coalesce(F.sum("parts").over(group.orderBy("own").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "total": F.sum("parts").over(group)})
+    owns = F.collect_list(F.when(F.col("own").isNotNull(), F.struct("own", F.struct("first", "parts"))))
+    cells = written(cut.filter("total > 1").groupBy("shingle", "size").agg(F.max("total").alias("total"), F.max(F.when(F.col("own").isNull(), F.col("parts"))).alias("common"), F.map_from_entries(owns).alias("owns")))
+
+    def side(rows: DataFrame, to: str, other: str) -> DataFrame:
+        rows = rows.join(cells, ["shingle", "size"], "left").withColumn("own", F.try_element_at("owns", F.col("component")))
+        first, last = F.col("own.first"), F.col("own.first") + F.col("own.parts") - 1
+        part = F.coalesce(first + F.pmod(F.xxhash64("doc_id"), F.col("own.parts")), F.pmod(F.xxhash64("doc_id"), F.col("common")), F.lit(0))
+        all_ = F.sequence(F.lit(0).cast("long"), F.coalesce("total", F.lit(1)).cast("long") - 1)
+        met = F.when(first.isNull(), all_).otherwise(F.filter(all_, lambda i: ~i.between(first, last)))
+        columns = [F.col(c).alias(f"{to}_{c}") for c in ("doc_id", "n", "component", "rest")]
+        return rows.select("shingle", "size", part.cast("long").alias(f"{to}_part"), F.explode(met).alias(f"{other}_part"), *columns)
+
+    return side(left, "a", "b"), side(right, "b", "a")
+
+
 def _missed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, by the documents of classes (doc_id, component): every pair
     that is linked is among them.
@@ -332,7 +362,6 @@ def _missed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     first. Two sets have no more in common than the first shingle that they share and what each has after it; what
     a document has there says how large the other may be. So a shingle's rows meet by classes of size, and rows that leave no
     room for a link with any size meet none."""
-    spark = rows.sparkSession
     screened = _screened(rows, classes)
     listed = _sets_of(screened, rows).join(classes, "doc_id").mapInArrow(_each, "shingle long, doc_id long, n int, component long")
     counts = listed.groupBy("shingle").agg(F.count("*").alias("held"), F.min("component").alias("least"), F.max("component").alias("greatest")).filter("least < greatest")
@@ -347,15 +376,9 @@ def _missed(rows: DataFrame, classes: DataFrame) -> DataFrame:
     # The greater set, or one as great, looks for the other.
     left = placed.withColumn("size", F.explode(F.sequence(_size_class(F.col("low")), _size_class(F.least("n", "most")))))
     right = placed.withColumn("size", _size_class(F.col("n")))
-    share = max(100_000, int(mean_share(placed.count(), spark)))
-    held = right.groupBy("shingle", "size").agg(F.count("*").alias("held"))
-    sought = left.groupBy("shingle", "size").agg(F.count("*").alias("sought")).join(held, ["shingle", "size"])
-    salts = written(sought.select("shingle", "size", F.ceil(F.col("held") * F.col("sought") / share).cast("int").alias("salts")))
-    side = lambda df, to, salt: df.join(salts, ["shingle", "size"]).select("shingle", "size", salt.alias("salt"), *[F.col(c).alias(f"{to}_{c}") for c in ("doc_id", "n", "component", "rest")])
-    a = side(left, "a", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"))
-    b = side(right, "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    a, b = _in_cells(left, right)
     room = (100 + PERCENT) * F.least("a_rest", "b_rest") >= PERCENT * (F.col("a_n") + F.col("b_n"))
-    both = a.join(b, ["shingle", "size", "salt"]).filter((F.col("a_component") != F.col("b_component")) & (F.col("a_n") >= F.col("b_n")) & room)
+    both = a.join(b, ["shingle", "size", "a_part", "b_part"]).filter((F.col("a_component") != F.col("b_component")) & (F.col("a_n") >= F.col("b_n")) & room)
     return written(both.select(F.least("a_doc_id", "b_doc_id").alias("a"), F.greatest("a_doc_id", "b_doc_id").alias("b")).distinct())
 
 

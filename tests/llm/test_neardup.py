@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom.llm import neardup
 from graphloom.llm.components import components
@@ -144,6 +145,22 @@ def test_unlinked_relatives_meet_in_few_pairs(spark):
     assert (40, 100) in got and len(got) < 200
 
 
+def test_copies_of_one_component_do_not_meet_one_another(spark, monkeypatch):
+    """Of a shingle that a large component and a few other documents hold, each pair of components meets in one cell, and the
+    large one's rows are not repeated by its own size."""
+    monkeypatch.setattr(neardup, "SIDE", 16)
+    rows = [(7, 3, d, 100, 0 if d < 1000 else 1 if d < 1100 else d, 90) for d in range(1110)] + [(8, 3, d, 100, d, 90) for d in range(5)]
+    table = spark.createDataFrame(rows, "shingle long, size int, doc_id long, n int, component long, rest int")
+    a, b = (x.cache() for x in neardup._in_cells(table, table))
+    # 1000 rows in 63 parts, 100 in 7 and ten in one: each row meets the parts of others only.
+    assert a.count() == b.count() <= 1000 * 8 + 100 * 64 + 10 * 71 + 5
+    met = a.join(b, ["shingle", "size", "a_part", "b_part"])
+    pairs = met.filter("a_component <> b_component").groupBy("shingle", "a_doc_id", "b_doc_id").count()
+    kinds = pairs.groupBy("shingle").agg(F.count("*"), F.max("count")).orderBy("shingle").collect()
+    assert [tuple(r) for r in kinds] == [(7, 2 * (1000 * 110 + 100 * 10 + 45), 1), (8, 20, 1)]
+    assert met.filter("shingle = 7 AND a_component = b_component AND a_component < 2").count() == 0
+
+
 def similarity(x: str, y: str) -> float:
     p, q = shingles(x), shingles(y)
     return len(p & q) / len(p | q)

@@ -273,3 +273,23 @@ def test_pages_of_adjacency_give_what_the_store_gives(spark, monkeypatch, page):
     for found, wanted in zip(N.sampled(seeds, edges, [4, 2], 3, 3), store.sample(seeds, [4, 2], 3, 3), strict=True):
         assert sorted(map(tuple, found.select(*wanted.columns).collect())) == sorted(map(tuple, wanted.collect()))
     store.drop()
+
+
+def test_contexts_tell_pairs_apart_before_they_are_turned(spark):
+    """Doubled, turned and looped edges give each neighbour once; no aggregate runs over rows of both directions."""
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (1, 1), (1, 3), (4, 1), (None, 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, 0, False), (2, 1, False), (3, 0, True), (4, 2, True)], "node_id long, chunk_id long, is_art boolean")
+    found = N.cross_context(edges, nodes, 5, 1)
+    assert sorted(map(tuple, found.collect())) == [(0, 1, 2), (0, 1, 4), (1, 2, 1), (2, 4, 1)]
+    assert sorted(map(tuple, N.cross_context(edges, nodes, 1, 1).collect())) == [(0, 1, 4), (1, 2, 1), (2, 4, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Union") < plan.index("Aggregate")
+
+
+def test_chunk_messages_make_their_context_once(spark, small, monkeypatch):
+    from graphloom.plans import train_queries
+
+    made, whole = [], N.cross_context
+    monkeypatch.setattr(N, "cross_context", lambda *given: made.append(1) or whole(*given))
+    train_queries.chunk_messages(spark, small)
+    assert len(made) == 1

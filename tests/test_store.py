@@ -293,3 +293,39 @@ def test_chunk_messages_make_their_context_once(spark, small, monkeypatch):
     monkeypatch.setattr(N, "cross_context", lambda *given: made.append(1) or whole(*given))
     train_queries.chunk_messages(spark, small)
     assert len(made) == 1
+
+
+def test_samples_lie_by_batch(spark):
+    """What follows a sample by batch shuffles none of its rows again; both ends of links come from one reading."""
+    edges, homes = graph(spark)
+    seeds = homes.select((F.col("node") % 5).alias("batch_id"), "node").filter("node % 7 = 0")
+    nodes, picked = N.sampled(seeds, edges, [4, 2], 2, 3)
+    catalog = homes.select(F.col("node").alias("node_idx"), (F.col("node") % 2 == 0).alias("has_image"), (F.col("node") % 4 == 0).alias("is_art"))
+    for found in (N.trimmed(nodes, 9), N.trimmed_in_stages(nodes, 9, 1), N.trimmed_images(nodes, catalog, 3, 1), N.image_trim_counts(nodes, catalog, 3)):
+        assert "hashpartitioning(" not in plan_of(found)
+    assert "hashpartitioning(node" not in plan_of(N.induced(nodes, picked)[1])
+    links = N.links(edges.select(F.col("src").alias("h"), F.col("rel").alias("r"), F.col("dst").alias("t")))
+    assert N.both_ways(links)._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_prepared_batches_against_brute_force(spark):
+    edges, homes = graph(spark)
+    catalog = homes.select(F.col("node").alias("node_idx"), (F.col("node") % 2 == 0).alias("has_image"), (F.col("node") % 4 == 0).alias("is_art"))
+    mine = edges.filter("src % 9 = 0 AND src != dst").select(((F.col("src") / 9).cast("long") % 3).alias("batch_id"), F.col("src").alias("h"), F.col("dst").alias("t"))
+    seeds = mine.selectExpr("batch_id", "explode(array(h, t)) AS node")
+    nodes, picked = N.sampled(seeds, edges, [5], 1, 2)
+    every = sorted(map(tuple, nodes.select("batch_id", "hop", "node").collect()))
+    drawn = [tuple(r) for r in picked.select("batch_id", "src", "rel", "dst").collect()]
+    hidden = {(b, *sorted((h, t))) for b, h, t in map(tuple, mine.collect())}
+    for most in (10_000, max(sum(r[0] == b and r[1] == 0 for r in every) for b in range(3)) + 4):
+        got = N.prepared(seeds, mine, edges, catalog, [5], 1, most, 6, 2)
+        kept = {tuple(r) for r in N.trimmed_images(N.trimmed(nodes, most), catalog, 6, 2).select("batch_id", "hop", "node").collect()}
+        local = {(b, n): i for b in range(3) for i, (_, n) in enumerate(sorted(r[1:] for r in kept if r[0] == b))}
+        assert {(r["batch_id"], r["node"]): r["local"] for r in got["nodes"].collect()} == local
+        inner = [(b, s, r, d, local[b, s], local[b, d]) for b, s, r, d in drawn if (b, s) in local and (b, d) in local and (b, *sorted((s, d))) not in hidden]
+        assert inner and sorted(tuple(r) for r in got["edges"].select("batch_id", "src", "rel", "dst", "src_local", "dst_local").collect()) == sorted(inner)
+        for r in got["counts"].collect():
+            own = [n for b, _, n in kept if b == r["batch_id"]]
+            assert (r["nodes"], r["edges"]) == (len(own), sum(e[0] == r["batch_id"] for e in inner))
+            assert (r["images"], r["trimmed"]) == (sum(n % 2 == 0 for n in own), sum(e[0] == r["batch_id"] for e in every) - len(own))
+        assert got["counts"].count() == 3

@@ -329,3 +329,19 @@ def test_prepared_batches_against_brute_force(spark):
             assert (r["nodes"], r["edges"]) == (len(own), sum(e[0] == r["batch_id"] for e in inner))
             assert (r["images"], r["trimmed"]) == (sum(n % 2 == 0 for n in own), sum(e[0] == r["batch_id"] for e in every) - len(own))
         assert got["counts"].count() == 3
+
+
+def test_store_ranks_no_edges_but_those_of_hubs(spark, monkeypatch):
+    """Hubs and others get the numbers of `indexed` and their degrees; only hubs are ranked by windows."""
+    monkeypatch.setattr(N, "PAGE", 50)
+    edges, homes = graph(spark)
+    edges = edges.unionByName(spark.createDataFrame([(5000, 1, 2)], edges.schema))  # its source has no chunk
+    wanted = N.indexed(edges, 3).join(homes.withColumnRenamed("node", "src"), "src").select("src", "place", "rel", "dst", "chunk_id")
+    wanted = sorted(map(tuple, wanted.collect()))
+    ranked = []
+    monkeypatch.setattr(N, "indexed", lambda rows, seed, whole=N.indexed: ranked.append(rows.select("src").distinct().count()) or whole(rows, seed))
+    store = GraphStore.create(edges, homes, 3, buckets=4)
+    assert ranked == [1]
+    assert sorted(map(tuple, store.edges.collect())) == wanted
+    assert sorted(map(tuple, store.degrees.collect())) == sorted({(r[0], sum(x[0] == r[0] for x in wanted)) for r in wanted})
+    store.drop()

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, order_hash
+from .catalog import MOST_SENT, sent
 from .neighbours import written
 
 #: Draws after which a round ends, before the last: nearly every row has a valid draw at once, so a first round of one try
@@ -18,17 +19,35 @@ ROUNDS = (1, 6)
 
 
 def _first_valid(rows: DataFrame, key: list[str], draws, known: DataFrame, on: list[str], bad: Column, tries: int) -> DataFrame:
-    """(key, *on, try) of each row's first draw that is neither bad nor known. draws: rows and a column of try numbers to
-    rows with the columns `on`."""
-    found = None
+    """(key, *on, try, valid): each row's first draw that is neither bad nor known; nulls, and not valid, if there is none.
+    draws: rows and a column of try numbers to rows with the columns `on`. Rows of one key stay as many.
+
+    A round writes its rows with what they found; only those that found nothing are read by the next, so rows and finds are
+    never joined."""
     ends = [*(n for n in ROUNDS if n < tries), tries]
+    truth, open_, found = known.select(*on).distinct().withColumn("known", F.lit(True)), rows, None
     for low, high in zip([0, *ends], ends, strict=False):
-        open_ = rows if found is None else rows.join(found, key, "left_anti")
-        tried = draws(open_.withColumn("try", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))).filter(~bad)
-        valid = tried.join(known.select(*on), on, "left_anti")
-        got = written(valid.groupBy(*key).agg(F.min(F.struct("try", *on)).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in on], "x.try"))
-        found = got if found is None else found.unionByName(got)
-    return found
+        tried, of = draws(open_.withColumn("try", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))), truth
+        if found is not None:
+            few = open_.limit(MOST_SENT // (high - low) + 1).count()
+            if not few:
+                break
+            if few * (high - low) <= MOST_SENT:
+                # What is known of a few draws is told without a shuffle of all that is known.
+                tried = written(tried)
+                of = known.select(*on).join(F.broadcast(tried.select(*on)), on, "left_semi").distinct().withColumn("known", F.lit(True))
+        tried = tried.join(of, on, "left")
+        valid = ~F.coalesce(bad, F.lit(True)) & F.col("known").isNull()
+        if high - low == 1:
+            drawn = tried.select(*key, *[F.when(valid, F.col(c)).alias(c) for c in (*on, "try")], F.coalesce(valid, F.lit(False)).alias("valid"))
+        else:
+            best = tried.groupBy(*key).agg(F.min(F.when(valid, F.struct("try", *on))).alias("x"), (F.count("*") / (high - low)).cast("int").alias("n"))
+            drawn = best.select(*key, *[F.col(f"x.{c}").alias(c) for c in (*on, "try")], F.col("x").isNotNull().alias("valid"), F.explode(F.sequence(F.lit(1), "n")).alias("n")).drop("n")
+        drawn = written(drawn)
+        done = drawn.filter("valid")
+        found, open_ = done if found is None else found.unionByName(done), drawn.filter("NOT valid").select(*key)
+        none = drawn.filter("NOT valid")
+    return found.unionByName(none)
 
 
 def _copied(rows: DataFrame, num_neg: int) -> tuple[DataFrame, list[str]]:
@@ -43,7 +62,7 @@ def _drawn(rows: DataFrame, name: str, pool: DataFrame | int, seed: int | str, *
     if isinstance(pool, int):
         return rows.withColumn(name, draw(pool, seed, *columns))
     n = pool.count()
-    return rows.withColumn("place", draw(n, seed, *columns)).join(pool.select("place", F.col("node").alias(name)), "place").drop("place")
+    return rows.withColumn("place", draw(n, seed, *columns)).join(sent(pool.select("place", F.col("node").alias(name))), "place").drop("place")
 
 
 def of_triples(positives: DataFrame, known: DataFrame, n_entities: int, seed: int, tries: int = 50, num_neg: int = 1, pool: DataFrame | None = None) -> DataFrame:
@@ -60,10 +79,9 @@ def of_triples(positives: DataFrame, known: DataFrame, n_entities: int, seed: in
         return tried.withColumns({"neg_h": F.when(side, F.col("other")).otherwise(F.col("h")), "neg_t": F.when(side, F.col("t")).otherwise(F.col("other"))})
 
     truth = known.select(F.col("h").alias("neg_h"), F.col("r"), F.col("t").alias("neg_t"))
-    # r is a part of the key and of what is joined.
-    found = _first_valid(rows.withColumn("rel", F.col("r")), ["h", "rel", "t", *copy], draws, truth, ["neg_h", "r", "neg_t"], F.col("neg_h") == F.col("neg_t"), tries)
-    found = found.select("h", F.col("rel").alias("r"), "t", *copy, "neg_h", "neg_t")
-    return rows.join(found, ["h", "r", "t", *copy], "left").withColumn("valid", F.col("neg_h").isNotNull())
+    truth = truth.withColumnRenamed("r", "neg_r")
+    found = _first_valid(rows, ["h", "r", "t", *copy], lambda open_: draws(open_).withColumn("neg_r", F.col("r")), truth, ["neg_h", "neg_r", "neg_t"], F.col("neg_h") == F.col("neg_t"), tries)
+    return found.select("h", "r", "t", *copy, "neg_h", "neg_t", "valid")
 
 
 def of_pairs(positives: DataFrame, known: DataFrame, pool: DataFrame, seed: int, tries: int = 50, num_neg: int = 1) -> DataFrame:
@@ -79,8 +97,7 @@ def of_pairs(positives: DataFrame, known: DataFrame, pool: DataFrame, seed: int,
 
     truth = known.select(F.col("lo").alias("first"), F.col("hi").alias("second"))
     found = _first_valid(rows, ["lo", "hi", *copy], draws, truth, ["first", "second"], F.col("first") == F.col("second"), tries)
-    found = found.select("lo", "hi", *copy, F.when(F.col("first") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("neg"))
-    return rows.join(found, ["lo", "hi", *copy], "left").withColumn("valid", F.col("neg").isNotNull())
+    return found.select("lo", "hi", *copy, F.when(F.col("first") == F.col("lo"), F.col("second")).otherwise(F.col("first")).alias("neg"), "valid")
 
 
 def of_pairs_any(positives: DataFrame, known: DataFrame, focus: DataFrame, others: DataFrame, seed: int, tries: int = 100, num_neg: int = 1) -> DataFrame:
@@ -100,7 +117,7 @@ def of_pairs_any(positives: DataFrame, known: DataFrame, focus: DataFrame, other
 
     truth = known.select(F.col("lo").alias("neg_lo"), F.col("hi").alias("neg_hi"))
     found = _first_valid(rows, ["lo", "hi", *copy], draws, truth, ["neg_lo", "neg_hi"], F.col("neg_lo") == F.col("neg_hi"), tries)
-    return rows.join(found.drop("try"), ["lo", "hi", *copy], "left").withColumn("valid", F.col("neg_lo").isNotNull())
+    return found.select("lo", "hi", *copy, "neg_lo", "neg_hi", "valid")
 
 
 def of_directed(positives: DataFrame, known: DataFrame, n_entities: int, seed: int, tries: int = 50, num_neg: int = 1) -> DataFrame:
@@ -113,4 +130,4 @@ def of_directed(positives: DataFrame, known: DataFrame, n_entities: int, seed: i
 
     truth = known.select(F.col("src").alias("from"), F.col("dst").alias("neg"))
     found = _first_valid(rows, ["src", "dst", *copy], draws, truth, ["from", "neg"], F.col("from") == F.col("neg"), tries)
-    return rows.join(found.select("src", "dst", *copy, "neg"), ["src", "dst", *copy], "left").withColumn("valid", F.col("neg").isNotNull())
+    return found.select("src", "dst", *copy, "neg", "valid")

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.functions.hashing import draw, order_hash
 from graphloom.operators import catalog as C
 from graphloom.operators import ledger, metrics, negatives, order, splits, stats
 from graphloom.operators import neighbours as N
@@ -547,3 +548,30 @@ def test_rounds_of_draws_take_only_what_is_open(spark):
     found = negatives._first_valid(spark.range(20).withColumnRenamed("id", "h"), ["h"], draws, known, ["x"], F.lit(False), 9)
     assert {r["h"]: r["try"] for r in found.collect()} == {0: 1, 1: 7} | dict.fromkeys(range(2, 20), 0)
     assert seen == [20, 2 * 5, 3]
+
+
+def test_rounds_of_negatives_do_not_join_rows_with_finds(spark):
+    """Rows that no early round serves get their first valid draw later, repeated ones each; what is read last is no join."""
+    pairs = spark.createDataFrame([(lo, hi) for lo in range(4) for hi in range(lo + 1, 12)] + [(0, 5), (20, 30)], "lo long, hi long")
+    pool = spark.createDataFrame([(i, i) for i in range(13)], "place long, node long")
+    found = negatives.of_pairs(pairs, pairs, pool, 3, tries=40)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows, known = found.collect(), {tuple(r) for r in pairs.collect()}
+    assert sorted((r["lo"], r["hi"]) for r in rows) == sorted(map(tuple, pairs.collect()))
+    draws = {}
+    for r in pairs.distinct().crossJoin(spark.range(40).withColumnRenamed("id", "try")).withColumn("x", draw(13, 3, "lo", "hi", "try")).orderBy("try").collect():
+        if r["x"] != r["lo"] and tuple(sorted((r["lo"], r["x"]))) not in known:
+            draws.setdefault((r["lo"], r["hi"]), (r["try"], r["x"]))
+    assert all(r["neg"] == draws.get((r["lo"], r["hi"]), (None, None))[1] and r["valid"] == (r["neg"] is not None) for r in rows)
+    assert any(k >= 6 for k, _ in draws.values())
+
+
+def test_pairs_are_split_without_ranking_all(spark):
+    rows = spark.range(9000).select(F.col("id").alias("src"), (F.col("id") % 777 + 1).alias("dst"))
+    split = splits.of_pairs(rows, 0.8, 0.1, 3)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Window") and "Aggregate" not in plan
+    pairs = [tuple(r) for r in N.undirected(rows).withColumn("x", order_hash(3, "lo", "hi")).orderBy("x", "lo", "hi").select("lo", "hi").collect()]
+    n, got = len(pairs), {(r["lo"], r["hi"]): r["split"] for r in split.collect()}
+    assert len(got) == n == split.count()
+    assert all(got[p] == ("train" if i < int(n * 0.8) else "val" if i < int(n * 0.8) + int(n * 0.1) else "test") for i, p in enumerate(pairs))
